@@ -84,31 +84,38 @@ def relative_date(text: Column, now) -> Column:
     return let(F.lower(F.trim(text)), read)
 
 
+# Seconds per unit on a job card.
+UNIT_SECONDS = {
+    "minute": 60, "hour": 3_600, "day": 86_400, "week": 604_800, "month": 2_592_000, "year": 31_536_000,
+}
+
+
 def board_relative_date(text: Column, now) -> Column:
-    """FN-75: "Reposted 15 Days Ago", "Yesterday", "An Hour Ago"; "30+ Days" counts as 30."""
-    pattern = r"^(\d{1,6}|an?)\+?\s*(minute|hour|day|week|month|year)s?\s+ago$"
-    table = F.create_map(*[F.lit(x) for kv in UNIT_DAYS.items() for x in kv])
+    """FN-75: "Reposted 15 Days Ago", "Yesterday", "An Hour Ago"; "30+ Days Ago" counts as 30."""
+    pattern = r"^(\d{1,6}|an?)\+?\s+(minute|hour|day|week|month|year)s?\s+ago$"
+    table = F.create_map(*[F.lit(x) for kv in UNIT_SECONDS.items() for x in kv])
 
     def read(t: Column) -> Column:
-        n = F.regexp_replace(F.regexp_extract(t, pattern, 1), "^an?$", "1").try_cast("int")
-        days = n * F.try_element_at(table, F.regexp_extract(t, pattern, 2))
+        n = F.regexp_replace(F.regexp_extract(t, pattern, 1), "^an?$", "1").try_cast("bigint")
+        seconds = n * F.try_element_at(table, F.regexp_extract(t, pattern, 2))
         return (
-            F.when(t.rlike("^(just now|today)$"), as_instant(now))
+            F.when(t == "today", as_instant(now))
             .when(t == "yesterday", _days_before(now, F.lit(1)))
-            .when(t.rlike(pattern), _days_before(now, days)))
+            .when(t.rlike(pattern), F.timestamp_micros(F.unix_micros(as_instant(now)) - seconds * 1_000_000)))
 
-    return let(F.lower(F.regexp_replace(F.trim(text), r"(?i)^(re)?posted\s+", "")), read)
+    return let(F.lower(F.trim(F.regexp_replace(text, r"(?i)^reposted\s+", ""))), read)
 
 
 def workday_relative_date(text: Column, now) -> Column:
-    """FN-75: "Posted Today", "Posted 3 Days Ago"; "30+ Days" is a bound, so NULL."""
-    t = F.lower(F.trim(text))
-    days = F.regexp_extract(t, r"posted\s+(\d{1,6})\s+days?\s+ago", 1).try_cast("int")
-    return (
-        F.when(t.rlike(r"\d\+"), F.lit(None).cast("timestamp"))
-        .when(t.contains("posted today"), as_instant(now))
-        .when(t.contains("posted yesterday"), _days_before(now, F.lit(1)))
-        .when(days.isNotNull(), _days_before(now, days)))
+    """FN-75: "Posted Today", "Posted 3 Days Ago"; "Posted 30+ Days Ago" is a bound, so NULL."""
+    def read(t: Column) -> Column:
+        days = F.regexp_extract(t, r"posted\s+(\d{1,6})\s*day", 1).try_cast("int")
+        return (
+            F.when(t.rlike(r"posted\s+today"), as_instant(now))
+            .when(t.rlike(r"posted\s+yesterday"), _days_before(now, F.lit(1)))
+            .when(days.isNotNull(), _days_before(now, days)))
+
+    return let(F.lower(text), read)
 
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"

@@ -176,29 +176,34 @@ def resolve_salary(structured: Column | None, text: Column, parity=DEFAULT_PARIT
 
 # How often a pay interval occurs in a year.
 YEARLY_FACTOR = {
-    "year": 1, "half_year": 2, "quarter": 4, "two_months": 6, "month": 12, "half_month": 24,
-    "two_weeks": 26, "week": 52, "day": 260, "hour": 2080,
+    "1 HOUR": 2080, "1 DAY": 260, "1 WEEK": 52, "2 WEEK": 26, "0.5 MONTH": 24, "1 MONTH": 12, "2 MONTH": 6,
+    "3 MONTH": 4, "6 MONTH": 2, "1 YEAR": 1,
 }
 
 
-def annualise(low: Column, high: Column, interval: Column) -> Column:
+def bounds(low: Column, high: Column, currency: Column) -> Column:
+    """struct(min, max, currency) in order; a missing bound takes the other one's value."""
+    amounts = F.struct(
+        F.when(low >= 0, low).alias("a"), F.when(high >= 0, high).alias("b"),
+        F.upper(F.trim(F.coalesce(currency, F.lit("")))).alias("currency"))
+    return let(amounts, lambda x: F.when(
+        x["a"].isNotNull() | x["b"].isNotNull(),
+        F.struct(F.least(x["a"], x["b"]).alias("min"), F.greatest(x["a"], x["b"]).alias("max"), x["currency"])))
+
+
+def annualise(low: Column, high: Column, interval: Column, currency: Column) -> Column:
     """FN-57: both bounds per year, in order; NULL for an unknown interval."""
     table = F.create_map(*[F.lit(x) for k, v in YEARLY_FACTOR.items() for x in (k, float(v))])
-    key = F.regexp_replace(F.lower(F.trim(interval)), r"^1\s+|s$", "")
-    key = F.regexp_replace(F.regexp_replace(key, r"[\s-]+", "_"), "ly$", "")
-    factor = F.try_element_at(table, key)
-    a, b = low * factor, high * factor
-    return F.when(
-        factor.isNotNull() & (a.isNotNull() | b.isNotNull()),
-        F.struct(F.least(a, b).alias("min"), F.greatest(a, b).alias("max")))
+    factor = F.try_element_at(table, F.coalesce(F.nullif(interval, F.lit("")), F.lit("1 YEAR")))
+    return bounds(F.when(low >= 0, low) * factor, F.when(high >= 0, high) * factor, currency)
 
 
 def card_band(text: Column) -> Column:
-    """FN-58: "115K-130K Annually"; hourly bands and unknown currency stay out."""
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*k\s*[-–]\s*\$?(\d+(?:\.\d+)?)\s*k\s+annually"
-    return F.when(text.rlike(pattern), F.struct(
-        (F.regexp_extract(text, pattern, 1).try_cast("double") * 1000).alias("min"),
-        (F.regexp_extract(text, pattern, 2).try_cast("double") * 1000).alias("max")))
+    """FN-58: "115K-130K Annually" or "115K Annually"; hourly bands are not read."""
+    pattern = r"(?i)^(\d+(?:\.\d+)?)K(?:-(\d+(?:\.\d+)?)K)?\s+Annually$"
+    return let(F.trim(text), lambda t: bounds(
+        F.nullif(F.round(F.regexp_extract(t, pattern, 1).try_cast("double") * 1000), F.lit(0.0)),
+        F.round(F.regexp_extract(t, pattern, 2).try_cast("double") * 1000), F.lit("")))
 
 
 def salary_from_label(text: Column) -> Column:

@@ -173,7 +173,7 @@ def _layers(terms):
     return layers
 
 
-def terms_found(norm: Column, terms) -> Column:
+def terms_found(norm: Column, terms, plural: bool = True) -> Column:
     """FN-08 over a whole list: array of the (folded) terms present, list order.
 
     A look-ahead keeps overlapping occurrences, so one scan of the text per
@@ -184,20 +184,36 @@ def terms_found(norm: Column, terms) -> Column:
         return F.array().cast("array<string>")
     scans = []
     for layer in _layers(folded):
-        body = "|".join(quote(t) + _plural(t) for t in layer)
+        body = "|".join(quote(t) + (_plural(t) if plural else "") for t in layer)
         scans.append(F.regexp_extract_all(
             norm, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?=({body})(?![\p{{L}}\p{{N}}]))"), F.lit(1)))
     hits = F.array_distinct(F.concat(*scans)) if len(scans) > 1 else F.array_distinct(scans[0])
     names = {}
     for t in folded:
         names.setdefault(t, t)
-        if _plural(t):
+        if plural and _plural(t):
             names.setdefault(t + "s", t)
     lookup = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     found = F.transform(hits, lambda h: F.try_element_at(lookup, h))
     return F.array_intersect(F.array(*[F.lit(t) for t in folded]), found)
 
 
+def triggers_found(norm: Column, terms) -> Column:
+    """FN-06 over a whole list: the (folded) terms present, in list order."""
+    folded = list(dict.fromkeys(fold(t) for t in terms if fold(t)))
+    words = [t for t in folded if " " not in t]
+    phrases = [t for t in folded if " " in t]
+    scans = [F.regexp_extract_all(
+        norm, F.lit(rf"(?<![a-z0-9])(?=({'|'.join(quote(t) for t in layer)})(?:s|es|is)?(?![a-z0-9]))"), F.lit(1))
+        for layer in _layers(words)]
+    if phrases:
+        scans.append(F.when(
+            norm.rlike("|".join(quote(p) for p in phrases)),
+            F.array_compact(F.array(*[F.when(norm.contains(p), F.lit(p)) for p in phrases])),
+        ).otherwise(F.array().cast("array<string>")))
+    return F.array_intersect(F.array(*[F.lit(t) for t in folded]), F.concat(*scans))
+
+
 # ------------------------------------------------------------------- slugs, titles
 
 

@@ -70,12 +70,14 @@ def board_index(board: DataFrame, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) ->
     """
     company, title = text.normalize_text(F.col("empresa")), text.normalize_text(F.col("titulo"))
     keyed = bind(board, _e=company, _t=title)
-    keys = F.array(
-        F.struct(F.lit("id").alias("tipo"), F.col("id").alias("chave")),
-        F.struct(F.lit("link"), F.nullif(urls.normalize_link(F.col("url"), parity), F.lit(""))),
-        F.struct(F.lit("canon"), urls.extract_id(F.col("url"))["id_externo"]),
-        F.struct(F.lit("req"), urls.requisition_key(F.col("_e"), F.col("titulo"), kw)),
-        F.struct(F.lit("ann"), urls.announcement_key(F.col("_e"), F.col("_t"), kw)))
+    by_kind = {
+        "id": F.col("id"),
+        "link": F.nullif(urls.normalize_link(F.col("url"), parity), F.lit("")),
+        "canon": urls.extract_id(F.col("url"))["id_externo"],
+        "req": urls.requisition_key(F.col("_e"), F.col("titulo"), kw),
+        "ann": urls.announcement_key(F.col("_e"), F.col("_t"), kw),
+    }
+    keys = F.array(*[F.struct(F.lit(k).alias("tipo"), c.alias("chave")) for k, c in by_kind.items()])
     return (
         keyed.select(F.inline(keys), "id", "status", "titulo", "ord")
         .filter("chave IS NOT NULL")
@@ -99,11 +101,10 @@ def join_board(df: DataFrame, board: DataFrame, strict: bool = True, aliases: Da
         df = with_identity(df, kw, parity)
     ids = F.transform(_known_ids(df), lambda i, n: F.struct(
         n.alias("rank"), F.lit("id").alias("tipo"), i.alias("chave")))
-    rest = F.array(
-        F.struct(F.lit(2_000_001).alias("rank"), F.lit("link").alias("tipo"), F.col("chave_link").alias("chave")),
-        F.struct(F.lit(2_000_002), F.lit("canon"), F.col("id_canonico")),
-        F.struct(F.lit(2_000_003), F.lit("req"), F.col("chave_requisicao")),
-        F.struct(F.lit(2_000_004), F.lit("ann"), F.col("chave_anuncio")))
+    weaker = {"link": "chave_link", "canon": "id_canonico", "req": "chave_requisicao", "ann": "chave_anuncio"}
+    rest = F.array(*[
+        F.struct(F.lit(2_000_001 + i).alias("rank"), F.lit(k).alias("tipo"), F.col(c).alias("chave"))
+        for i, (k, c) in enumerate(weaker.items())])
     wanted = df.select(
         "id_externo", F.col("titulo").alias("_titulo"), F.inline(F.concat(ids, rest))).filter("chave IS NOT NULL")
     if aliases is not None:
