@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def decode_entities(text: Column, table: dict = NAMED_ENTITIES, keep_invalid: bo
     Only the distinct entities of a text are looked up, and text without an
     ampersand is not touched at all.
     """
-    names = F.create_map(*[F.lit(x) for k, v in table.items() for x in (f"&{k};", v)])
+    # One foldable literal: a map built from 140 literals would weigh on every plan.
+    names = F.from_json(F.lit(json.dumps({f"&{k};": v for k, v in table.items()})), "map<string,string>")
 
     def found(src: Column, pattern: str) -> Column:
         return F.regexp_extract_all(src, F.lit(pattern), F.lit(1))

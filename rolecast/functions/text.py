@@ -279,7 +279,7 @@ def strip_company_suffix(title: Column, company: Column) -> Column:
 def location_parts(loc: Column) -> Column:
     """FN-11: "Remote · Chile · Brazil" -> the non-empty parts."""
     parts = F.split(F.coalesce(loc, F.lit("")), r"\s*[·;|—–]\s*|\s*,\s*")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def compose_location(parts: Column, remote: Column | None = None, sep: str = ", ") -> Column:

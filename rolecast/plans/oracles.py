@@ -534,4 +534,25 @@ CONTENT_ORACLES = {
         SELECT conv_id AS snapshot_id, motivo, count(*) AS n FROM v GROUP BY ALL""",
 }
 
-ORACLES = {**POSTING_ORACLES, **CONTENT_ORACLES}
+STREAM_ORACLES = {
+    "stream_daily_counts": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dia, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_rolling_counts": """WITH d AS (SELECT CAST(ts AS DATE) AS dia, count(*) AS n FROM events GROUP BY 1),
+        o AS (SELECT unnest(generate_series(0, 6)) AS k)
+        SELECT CAST(dia + CAST(k AS INTEGER) AS VARCHAR) AS ate, CAST(sum(n) AS BIGINT) AS n FROM d, o GROUP BY 1""",
+    "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS novo FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT *, sum(novo) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS inicio, count(*) AS n FROM s GROUP BY user_id, k""",
+    "stream_status_fold": f"""WITH {CURRENT} SELECT coalesce(c.status, 'Avaliar') AS status, count(*) AS n FROM orders o LEFT JOIN current_status c ON c.id = CAST(o.o_orderkey AS VARCHAR) GROUP BY 1""",
+    "stream_day_quota": """WITH e AS (SELECT *, CAST(ts - INTERVAL 3 HOUR AS DATE) AS dia FROM events),
+        r AS (SELECT user_id, dia, min(ts) AS em FROM e WHERE event_type = 'signup' GROUP BY ALL),
+        c AS (SELECT e.user_id, e.dia, arg_min(event_id, (ts, event_id)) AS run FROM e JOIN r ON r.user_id = e.user_id AND r.dia = e.dia AND e.ts >= r.em WHERE event_type = 'purchase' GROUP BY ALL)
+        SELECT r.user_id AS instalacao, CAST(r.dia AS VARCHAR) AS dia, CAST(c.run AS VARCHAR) AS run_id FROM r LEFT JOIN c USING (user_id, dia)""",
+    "stream_fingerprints": """WITH l AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS antes FROM events)
+        SELECT CAST(user_id AS VARCHAR) AS id_externo, count(*) AS n FROM l WHERE antes <> event_type GROUP BY 1""",
+    "stream_attempt_ledger": """WITH i AS (SELECT user_id, min(ts) AS em FROM events WHERE event_type = 'click' GROUP BY 1),
+        p AS (SELECT e.user_id, arg_min(event_id, (ts, event_id)) AS prova FROM events e JOIN i ON i.user_id = e.user_id AND e.ts >= i.em WHERE event_type = 'purchase' GROUP BY 1)
+        SELECT CAST(i.user_id AS VARCHAR) AS chave, CAST(p.prova AS VARCHAR) AS prova, CASE WHEN p.prova IS NULL THEN 'envio_incerto' ELSE 'enviada' END AS estado FROM i LEFT JOIN p USING (user_id)""",
+}
+
+ORACLES = {**POSTING_ORACLES, **CONTENT_ORACLES, **STREAM_ORACLES}
