@@ -13,7 +13,7 @@ from rolecast.sources import search
 
 
 def _t(spark, sf, name):
-    return table(inputs.prepare(spark), sf, name)
+    return inputs.spread(table(inputs.prepare(spark), sf, name))
 
 
 # ----------------------------------------------------------------------------- pages

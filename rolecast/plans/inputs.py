@@ -43,12 +43,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that is smaller than one split per core.
+
+    A table that already has enough splits, as any large one has, is left as
+    it is: no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings derived from orders, customers and nations, one per order."""
     prepare(spark)
     return spark.sql(
         POSTINGS_SQL,
-        orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"),
+        orders=spread(table(spark, sf_dir, "orders")), customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"))
 
 

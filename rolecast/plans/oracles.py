@@ -555,4 +555,45 @@ STREAM_ORACLES = {
         SELECT CAST(i.user_id AS VARCHAR) AS chave, CAST(p.prova AS VARCHAR) AS prova, CASE WHEN p.prova IS NULL THEN 'envio_incerto' ELSE 'enviada' END AS estado FROM i LEFT JOIN p USING (user_id)""",
 }
 
-ORACLES = {**POSTING_ORACLES, **CONTENT_ORACLES, **STREAM_ORACLES}
+DAY = "strftime(publicada_em, '%Y-%m-%d') AS publicada"
+PLACE = "CASE WHEN modelo = 'remoto' THEN 'Remote' WHEN modelo IS NULL THEN 'Worldwide' ELSE pais END"
+OF_INTEREST = (f"({any_of(has(nt('titulo'), k) for k in KW.title_weights)} AND NOT "
+               f"{any_of(term(nt('titulo'), k) for k in KW.title_excluded + KW.role_excluded)})")
+ENTERS = "(modelo = 'remoto' OR modelo IS NULL OR pais = 'BRAZIL')"
+
+
+def provider(source, name, link, key, titulo="titulo", empresa="empresa", date="NULL"):
+    """A provider feed: one job per link, of interest, that accepts the region."""
+    return f"""WITH {KEYED}, f AS (SELECT *, {link} AS l, {key} AS k, {titulo} AS t, {PLACE} AS p FROM keyed),
+      d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS rn FROM f)
+      SELECT {q(source + ':')} || substr(sha1(k || '|' || {nt('t')}), 1, 12) AS id_externo, {q(name)} AS fonte, t AS titulo, {empresa} AS empresa, l AS link,
+        p AS pais, CASE WHEN p = 'Remote' THEN 'remoto' END AS modelo, {date} AS publicada FROM d WHERE rn = 1 AND {OF_INTEREST} AND {ENTERS}"""
+
+
+FEED_ORACLES = {
+    "feed_gupy": f"WITH {POSTINGS} SELECT 'gupy:' || CAST(seq AS VARCHAR) AS id_externo, 'Gupy' AS fonte, titulo, empresa, link, pais, modelo, {DAY} FROM postings",
+    "feed_arc": f"""WITH {POSTINGS} SELECT 'arc:' || CAST(seq AS VARCHAR) AS id_externo, 'Arc' AS fonte, titulo, empresa,
+        'https://arc.dev/remote-jobs/details/job-' || CAST(seq AS VARCHAR) AS link, CASE WHEN pais = 'BRAZIL' THEN 'Brasil' END AS pais, 'remoto' AS modelo, {DAY}
+        FROM postings WHERE fonte <> 'Arc' AND (pais = 'BRAZIL' OR coalesce(modelo = 'remoto', false))""",
+    "feed_ux_remote_talent": f"""WITH {POSTINGS} SELECT 'uxremotetalent:' || CAST(seq AS VARCHAR) AS id_externo, titulo, empresa, 'Full-time' AS contrato,
+        CASE WHEN modelo = 'remoto' THEN 'Anywhere in the World' WHEN pais = 'BRAZIL' THEN 'Brazil Only' ELSE 'Somewhere' END AS restricao_pais, {DAY}, true AS descricao_pendente
+        FROM postings WHERE coalesce(modelo = 'remoto', false) OR pais <> 'INDIA'""",
+    "feed_linkedin": f"""WITH {POSTINGS} SELECT 'linkedin:9' || lpad(CAST(seq AS VARCHAR), 11, '0') AS id_externo, titulo, CASE WHEN modelo IS NOT NULL THEN true END AS remoto,
+        'Brasil' AS pais, CASE WHEN fonte = 'Gupy' THEN 'junior' END AS senioridade,
+        CASE WHEN modelo IS NOT NULL THEN '2001-07-19' ELSE strftime(publicada_em, '%Y-%m-%d') END AS publicada, 8100.0 AS de, 10000.0 AS ate, 'mes' AS periodo FROM postings""",
+    "feed_mapped_import": f"""WITH {KEYED}, x AS (SELECT *, modelo IS DISTINCT FROM 'remoto' AS por_link,
+          CASE WHEN modelo = 'remoto' THEN CAST(seq AS VARCHAR) ELSE 'url-' || chave_link END AS k FROM keyed),
+        d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS rn FROM x)
+        SELECT por_link, pais AS localizacao, count(*) AS n, count(*) AS com_data FROM d WHERE rn = 1 GROUP BY ALL""",
+    "feed_remotive": provider("remotive", "Remotive", "link", "chave_link"),
+    "feed_weworkremotely": provider("weworkremotely", "We Work Remotely", "'https://weworkremotely.com/jobs/' || CAST(seq AS VARCHAR)",
+                                    "'weworkremotely.com/jobs/' || CAST(seq AS VARCHAR)", date="strftime(publicada_em, '%Y-%m-%d')"),
+    "feed_workable_markdown": provider("workable", "Workable", "'https://apply.workable.com/acme/j/' || CAST(seq AS VARCHAR)",
+                                       "'apply.workable.com/acme/j/' || CAST(seq AS VARCHAR)"),
+    "feed_hackernews": provider("hackernews", "Hacker News Who is hiring", "'https://jobs.example.com/' || CAST(seq AS VARCHAR)",
+                                "'jobs.example.com/' || CAST(seq AS VARCHAR)", titulo=f"empresa || ' | ' || titulo || ' | ' || {PLACE} || ' |'"),
+    "feed_counters": f"""WITH {POSTINGS} SELECT 'remotive' AS source, count(*) AS consultadas, count(*) FILTER (WHERE modelo IN ('remoto', 'hibrido')) AS falhas,
+        'JSON invalido' AS erro FROM postings""",
+}
+
+ORACLES = {**POSTING_ORACLES, **CONTENT_ORACLES, **STREAM_ORACLES, **FEED_ORACLES}

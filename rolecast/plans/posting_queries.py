@@ -157,7 +157,7 @@ def score_postings(spark, sf):
 
 def document_scores(spark, sf):
     """Domain, signals and English over whole texts: every document, every benchmark passage."""
-    docs = inputs.table(inputs.prepare(spark), sf, "documents")
+    docs = inputs.spread(inputs.table(inputs.prepare(spark), sf, "documents"))
     df = bind(docs, t=text.normalize_text(F.col("text")))
     df = bind(df, sinais=score.signals_found(F.col("t")))
     return df.select(
