@@ -30,7 +30,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
         both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .filter("u <> v").distinct())
+        .filter("u <> v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -39,8 +39,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _signature(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Every node points at one center, and no center points anywhere."""
+    if not edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return False
+    centers = edges.select(F.col("v").alias("u")).distinct()
+    return edges.join(centers, "u", "left_semi").isEmpty()
 
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -48,17 +52,13 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nodes without an edge are their own component and are not listed.
     """
-    current = cut_lineage(edges)
-    before = _signature(current)
+    current = cut_lineage(edges, "edges")
     for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current)))
-        after = _signature(current)
-        if after == before:
+        if _settled(current):
             break
-        before = after
+        current = cut_lineage(_small_star(_large_star(current)), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # At rest every node points at the smallest id, which itself has no edge out.
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         roots.select("node", F.col("node").alias("label")))

@@ -27,13 +27,16 @@ def known_keys(df: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     return keys.unionByName(aliases.select("id_externo", F.lit(1_000_000).alias("pos"), F.col("alias").alias("chave")))
 
 
-def join_judgements(df: DataFrame, judgements: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def join_judgements(df: DataFrame, judgements: DataFrame, aliases: DataFrame | None = None,
+                    keys_from: DataFrame | None = None) -> DataFrame:
     """JN-03: the judgement found under the first id that has one.
 
-    ``judgements``: (id, nota, resumo, gaps, impressao, lido_em).
+    ``judgements``: (id, nota, resumo, gaps, impressao, lido_em).  The ids are
+    looked up on ``keys_from``, by default ``df`` itself; a caller whose ``df``
+    is costly to compute passes the table it came from.
     """
     hits = (
-        known_keys(df, aliases)
+        known_keys(df if keys_from is None else keys_from, aliases)
         .join(judgements.withColumnRenamed("id", "chave"), "chave")
         .groupBy("id_externo")
         .agg(F.min_by(F.struct("chave", "nota", "resumo", "gaps", "impressao", "lido_em"),
@@ -86,19 +89,14 @@ def board_index(board: DataFrame, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) ->
              .alias("card")))
 
 
-def join_board(df: DataFrame, board: DataFrame, strict: bool = True, aliases: DataFrame | None = None,
+def board_hits(df: DataFrame, board: DataFrame, strict: bool = True, aliases: DataFrame | None = None,
                kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) -> DataFrame:
-    """JN-04: what the board knows of each posting, by decreasing trust.
+    """(id_externo, _card, _weak): the best sure match of each posting, and the announcement match."""
+    from rolecast.operators.resolve import with_identity
 
-    Ids, then link, canonical id of the link, requisition, and last the
-    announcement, which must not conflict on the requisition and in strict
-    mode only flags.  All candidates meet the index in one equi join.
-    """
-    index = board_index(board, kw, parity)
-    has_identity = {"chave_link", "chave_requisicao", "chave_anuncio"} <= set(df.columns)
-    if not has_identity:
-        from rolecast.operators.resolve import with_identity
-        df = with_identity(df, kw, parity)
+    if not {"chave_link", "chave_requisicao", "chave_anuncio", "id_canonico"} <= set(df.columns):
+        keep = [c for c in ("id_externo", "id_canonico", "ids_alternativos", "link", "empresa", "titulo") if c in df.columns]
+        df = with_identity(df.select(*keep), kw, parity)
     ids = F.transform(_known_ids(df), lambda i, n: F.struct(
         n.alias("rank"), F.lit("id").alias("tipo"), i.alias("chave")))
     weaker = {"link": "chave_link", "canon": "id_canonico", "req": "chave_requisicao", "ann": "chave_anuncio"}
@@ -106,18 +104,30 @@ def join_board(df: DataFrame, board: DataFrame, strict: bool = True, aliases: Da
         F.struct(F.lit(2_000_001 + i).alias("rank"), F.lit(k).alias("tipo"), F.col(c).alias("chave"))
         for i, (k, c) in enumerate(weaker.items())])
     wanted = df.select(
-        "id_externo", F.col("titulo").alias("_titulo"), F.inline(F.concat(ids, rest))).filter("chave IS NOT NULL")
+        "id_externo", urls.requisition(F.col("titulo")).alias("_req"), F.inline(F.concat(ids, rest))).filter(
+        "chave IS NOT NULL")
     if aliases is not None:
         wanted = wanted.unionByName(aliases.select(
-            "id_externo", F.lit(None).cast("string").alias("_titulo"), F.lit(1_000_000).alias("rank"),
+            "id_externo", F.lit(None).cast("string").alias("_req"), F.lit(1_000_000).alias("rank"),
             F.lit("id").alias("tipo"), F.col("alias").alias("chave")))
-    ours, theirs = urls.requisition(F.col("_titulo")), urls.requisition(F.col("card.titulo_quadro"))
-    conflict = F.coalesce(ours != theirs, F.lit(False))
+    index = board_index(board, kw, parity).withColumn("_req_quadro", urls.requisition(F.col("card.titulo_quadro")))
+    conflict = F.coalesce(F.col("_req") != F.col("_req_quadro"), F.lit(False))
     found = wanted.join(index, ["tipo", "chave"]).filter((F.col("tipo") != "ann") | ~conflict)
     sure = F.col("tipo") != "ann" if strict else F.lit(True)
-    best = found.groupBy("id_externo").agg(
+    return found.groupBy("id_externo").agg(
         F.min_by("card", F.when(sure, F.struct("rank", "chave"))).alias("_card"),
         F.min_by("card", F.when(F.col("tipo") == "ann", F.struct("rank", "chave"))).alias("_weak"))
+
+
+def join_board(df: DataFrame, board: DataFrame, strict: bool = True, aliases: DataFrame | None = None,
+               kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY, keys_from: DataFrame | None = None) -> DataFrame:
+    """JN-04: what the board knows of each posting, by decreasing trust.
+
+    Ids, then link, canonical id of the link, requisition, and last the
+    announcement, which must not conflict on the requisition and in strict
+    mode only flags.  All candidates meet the index in one equi join.
+    """
+    best = board_hits(df if keys_from is None else keys_from, board, strict, aliases, kw, parity)
     status = F.col("_card.status")
     flagged = F.col("_card").isNull() & F.col("_weak").isNotNull()
     return df.join(best, "id_externo", "left").select(
@@ -138,7 +148,10 @@ def hydrate(cache: DataFrame, judgements: DataFrame, board: DataFrame, now, prof
     """
     active = filters.with_reason(cache, now, profile, kw, parity).filter("reason IS NULL")
     scored = score.with_score(active, profile, kw)
-    joined = join_board(join_judgements(scored, judgements, aliases), board, True, aliases, kw, parity)
+    # The lookups read only ids and names, so they start from the cache and do
+    # not repeat the filter and the score.
+    joined = join_judgements(scored, judgements, aliases, keys_from=cache)
+    joined = join_board(joined, board, True, aliases, kw, parity, keys_from=cache)
     compat = score.compatibility(
         F.col("score.determinado"), F.col("semantico"), col_or_null(cache, "validada", "boolean"),
         F.col("fonte"), profile)

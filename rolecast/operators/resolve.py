@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from rolecast.config import DEFAULT_KEYWORDS, DEFAULT_PARITY, DEFAULT_PRIORITY, SOURCE_PRIORITY
 from rolecast.functions import text, urls
 from rolecast.operators.components import component_labels, star_edges
-from rolecast.operators.shaping import bind, col_or_null
+from rolecast.operators.shaping import bind, col_or_null, cut_lineage
 
-# Columns filled from the losers when the survivor lacks them.
+# The identity columns, and (fixed values) those filled from the losers when the survivor lacks them.
+KEYS = ("chave_link", "chave_requisicao", "chave_anuncio", "requisicao")
 GAP_COLUMNS = ("descricao", "salario_bruto", "atualizada_em", "publicada_em", "cidade", "estado", "modelo")
 
 
@@ -95,23 +96,28 @@ def _election_order(seq: Column) -> Column:
 
 def resolve(postings: DataFrame, strict: bool = True, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) -> Resolution:
     """GR-01 … GR-07: postings (with an arrival order ``seq``) to entities."""
-    keyed = with_identity(postings.filter("id_externo IS NOT NULL"), kw, parity)
+    known = postings.filter("id_externo IS NOT NULL")
+    if "id_canonico" not in known.columns:
+        known = bind(known, id_canonico=urls.canonical_id(F.col("link"), F.col("id_externo")))
+    # The keys cost many patterns per row and the edges read them twice, so
+    # they are written once; the postings themselves, with their text, are not.
+    keyed = cut_lineage(with_identity(known, kw, parity).select("id_externo", "id_canonico", *KEYS))
     labels = component_labels(identity_edges(keyed, strict)).select(
         F.col("node").alias("id_externo"), F.col("label").alias("cluster"))
     # Postings that share no key are most of the table.  They are not regrouped:
     # the anti join leaves them partitioned by id, which is their cluster.
-    merged = keyed.join(labels, "id_externo")
-    alone = keyed.join(labels.select("id_externo"), "id_externo", "left_anti").withColumn(
+    merged = known.join(labels, "id_externo")
+    alone = known.join(labels.select("id_externo"), "id_externo", "left_anti").withColumn(
         "cluster", F.col("id_externo"))
     survivors = elect(merged).unionByName(elect(alone))
-    labelled = keyed.select("id_externo", "id_canonico").join(labels, "id_externo", "left").withColumn(
-        "cluster", F.coalesce("cluster", "id_externo"))
     aliases = (
-        labelled.select("cluster", F.explode(F.array_distinct(F.array("id_externo", "id_canonico"))).alias("alias"))
-        .distinct()
+        known.select("id_externo", F.explode(F.array_distinct(F.array("id_externo", "id_canonico"))).alias("alias"))
+        .join(labels, "id_externo", "left").withColumn("cluster", F.coalesce("cluster", "id_externo"))
+        .select("cluster", "alias").distinct()
         .join(survivors.select("cluster", "id_externo"), "cluster")
         .filter("alias <> id_externo").select("id_externo", "alias"))
-    weak = _weak_edges(survivors) if strict else _weak_edges(survivors.limit(0))
+    judged = with_identity(survivors.select("id_externo", "id_canonico", "link", "empresa", "titulo"), kw, parity)
+    weak = _weak_edges(judged) if strict else _weak_edges(judged.limit(0))
     flagged = weak.select(F.col("u").alias("id_externo"), F.col("v").alias("possivel_duplicata")).unionByName(
         weak.select(F.col("v").alias("id_externo"), F.col("u").alias("possivel_duplicata")))
     return Resolution(survivors, aliases, flagged, labels)
