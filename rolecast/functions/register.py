@@ -1,37 +1,37 @@
-"""UDF-05: the scalar functions as SQL functions of a session.
+"""UDF-05: scalar functions as SQL functions of a session.
 
-They are registered as SQL expressions, so a query that calls one is planned
-like the DataFrame form and nothing runs in Python.
+Each is a SQL expression, so a query that calls one is planned like the
+DataFrame form and nothing runs in Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from rolecast.functions import html, money, text, urls
+from rolecast.functions import text
 
-# name → (argument names, result type, builder)
-FUNCTIONS = {
-    "normalize_text": (("s",), "STRING", lambda c: text.normalize_text(c)),
-    "clean_html": (("s",), "STRING", lambda c: html.clean_html(c)),
-    "fingerprint": (("s",), "STRING", lambda c: text.fingerprint(c)),
-    "normalize_link": (("s",), "STRING", lambda c: urls.normalize_link(c)),
-    "public_url": (("s",), "STRING", lambda c: urls.public_url(c)),
-    "comparable_title": (("s",), "STRING", lambda c: urls.comparable_title(c)),
-    "parse_amount": (("s",), "DOUBLE", lambda c: money.parse_number(c)),
-}
 
+def _q(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-class SqlNames:
-    """Views that apply a function to a column, for sessions that work in SQL."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+def _definitions() -> dict[str, tuple[str, str]]:
+    collapsed = f"trim(regexp_replace({{}}, {_q(text.SPACE + '+')}, ' '))"
+    folded = f"translate(s, {_q(text._FOLD_FROM)}, {_q(text._FOLD_TO)})"
+    return {
+        "normalize_text": ("STRING", f"coalesce({collapsed.format(f'lower({folded})')}, '')"),
+        "fingerprint": ("STRING", f"substr(sha1(nullif({collapsed.format('s')}, '')), 1, 12)"),
+        "requisition": (
+            "STRING",
+            f"coalesce(nullif(regexp_extract(s, {_q(chr(92) + '((' + chr(92) + 'd{3,6})' + chr(92) + ')')}, 1), ''), "
+            f"upper(nullif(regexp_extract(s, {_q('(?i)REF' + chr(92) + 's*#?' + chr(92) + 's*([0-9]{3,8}[a-z]?)')}, 1), '')), "
+            f"upper(nullif(regexp_extract(s, {_q('(?i)' + chr(92) + 'bRef' + chr(92) + '.?' + chr(92) + 's*([0-9]{3,8}[a-z]?)' + chr(92) + 'b')}, 1), '')))"),
+        "is_alive": ("BOOLEAN", "CASE WHEN nullif(s, '') IS NOT NULL THEN s RLIKE '(?i)^(published|open|active|live|publicada|aberta)$' END"),
+    }
 
-    def apply(self, view: str, source: str, **columns: tuple[str, str]) -> None:
-        """Create ``view`` = ``source`` plus columns given as name=(function, column)."""
-        added: dict[str, Column] = {}
-        for name, (function, column) in columns.items():
-            added[name] = FUNCTIONS[function][2](F.col(column))
-        self.spark.table(source).withColumns(added).createOrReplaceTempView(view)
+
+def register(spark: SparkSession, prefix: str = "job_") -> list[str]:
+    """Create the functions for this session and return their names."""
+    for name, (kind, body) in _definitions().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(s STRING) RETURNS {kind} RETURN {body}")
+    return [prefix + n for n in _definitions()]

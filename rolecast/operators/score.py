@@ -119,8 +119,9 @@ def with_score(df: DataFrame, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS) -> D
 def compatibility(determined: Column, semantic: Column, validated: Column, source: Column,
                   profile=DEFAULT_PROFILE) -> Column:
     """SC-07: rule score plus the judgement, under the caps, as an integer 0 … 100."""
-    total = determined + F.coalesce(
-        F.greatest(F.lit(0.0), F.least(semantic.cast("double"), F.lit(float(profile.semantic_max)))), F.lit(0.0))
+    # least() and greatest() skip NULL, so an absent judgement is made 0 before them.
+    read = F.coalesce(semantic.cast("double"), F.lit(0.0))
+    total = determined + F.greatest(F.lit(0.0), F.least(read, F.lit(float(profile.semantic_max))))
     cap = F.least(
         F.when(~validated, float(profile.cap_unvalidated)).otherwise(100.0),
         F.when(source == "Solta", float(profile.cap_loose_source)).otherwise(100.0))

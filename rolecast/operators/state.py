@@ -147,7 +147,10 @@ def upsert_judgements(stored: DataFrame, new: DataFrame, today, profile=DEFAULT_
     latest = new.groupBy("id").agg(F.max_by(F.struct(
         "nota", "resumo", "gaps", "impressao", "descricao", "lido_em"), "ord").alias("n"))
     given = F.coalesce(F.col("n.impressao"), text.fingerprint(F.col("n.descricao")))
-    clamped = F.greatest(F.lit(0.0), F.least(F.col("n.nota").cast("double"), F.lit(float(profile.semantic_max))))
+    given_note = F.col("n.nota").cast("double")
+    # least() and greatest() skip NULL: an absent score must not become the maximum.
+    clamped = F.when(given_note.isNotNull(), F.greatest(
+        F.lit(0.0), F.least(given_note, F.lit(float(profile.semantic_max)))))
     has = F.col("n").isNotNull()
     return stored.join(latest, "id", "full").select(
         "id",

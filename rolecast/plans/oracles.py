@@ -243,7 +243,7 @@ SEEN = f"""id_externo, status_sure IS NOT NULL AS no_notion, status_sure AS stat
 HYDRATED = f"""{KEYED}, {JUDGED_WIDE}, {SCORED.split(JUDGED_WIDE + ',')[1]}, {JUDGEMENTS}, {LOOKUP},
 hydrated AS (SELECT s.id_externo, s.titulo, s.empresa, s.descricao, j.id IS NOT NULL AS lida, j.nota AS semantico, {SEEN.replace('id_externo, ', '', 1).strip()},
     s.determinado, CASE WHEN j.id IS NOT NULL THEN j.toxic = 1 END AS julgamento_desatualizado,
-    CAST(greatest(0, least(100, floor(s.determinado + coalesce(greatest(0, least(j.nota, 40)), 0) + 0.5))) AS INTEGER) AS compatibilidade
+    CAST(greatest(0, least(100, floor(s.determinado + CASE WHEN j.nota IS NULL THEN 0 WHEN j.nota > 40 THEN 40 ELSE j.nota END + 0.5))) AS INTEGER) AS compatibilidade
   FROM scored s JOIN seen b USING (id_externo) LEFT JOIN judgements j ON j.id = s.id_externo)"""
 BAND = ("CASE WHEN compatibilidade >= 75 THEN 'Aplicar ja' WHEN compatibilidade >= 55 THEN 'Vale olhar' "
         "WHEN compatibilidade >= 40 THEN 'Radar' ELSE 'Fora' END")

@@ -172,7 +172,10 @@ def upsert_sink(cache: StateTable, clock, late: str, ts: str = "publicada_em", s
     def run(batch: DataFrame, batch_id: int) -> None:
         now = clock(batch_id)
         # Combines map-side, so a posting delivered very often is one row before the shuffle.
-        latest = batch.groupBy("id_externo").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "id_externo"]), ts).alias("r"))
+        # The order is a struct, so a row without a date is kept too; equal dates fall back on the content.
+        payload = [c for c in batch.columns if c != "id_externo"]
+        latest = batch.groupBy("id_externo").agg(
+            F.max_by(F.struct(*payload), F.struct(ts, F.xxhash64(*payload))).alias("r"))
         rows = latest.select("id_externo", "r.*")
         in_time, too_late = split_late(rows, ts, F.lit(now).cast("timestamp"))
         write_batch(too_late, late, batch_id)
