@@ -71,7 +71,7 @@ def _days_before(now, days: Column) -> Column:
 
 def relative_date(text: Column, now) -> Column:
     """FN-74: "2 weeks ago", "3 dias"; anything else is NULL."""
-    pattern = r"^(\d{1,6})\s*(minute|hour|day|week|month|year|minuto|hora|dia|semana|mes|mês|ano)s?\s*(ago|atras|atrás)?$"
+    pattern = r"^(\d{1,4})\s*(minute|hour|day|week|month|year|minuto|hora|dia|semana|mes|mês|ano)s?\s*(ago|atras|atrás)?$"
     table = F.create_map(*[F.lit(x) for kv in UNIT_DAYS.items() for x in kv])
 
     def read(t: Column) -> Column:
@@ -92,7 +92,7 @@ UNIT_SECONDS = {
 
 def board_relative_date(text: Column, now) -> Column:
     """FN-75: "Reposted 15 Days Ago", "Yesterday", "An Hour Ago"; "30+ Days Ago" counts as 30."""
-    pattern = r"^(\d{1,6}|an?)\+?\s+(minute|hour|day|week|month|year)s?\s+ago$"
+    pattern = r"^(\d{1,4}|an?)\+?\s+(minute|hour|day|week|month|year)s?\s+ago$"
     table = F.create_map(*[F.lit(x) for kv in UNIT_SECONDS.items() for x in kv])
 
     def read(t: Column) -> Column:

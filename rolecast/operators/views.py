@@ -150,9 +150,13 @@ def balance_check(known: DataFrame, current: DataFrame, last_check: Column, toda
 
 def dataset_counters(raw: DataFrame, normalized: DataFrame) -> DataFrame:
     """AG-15: raw, normalized, without link and without date, of one dataset."""
-    return raw.agg(F.count("*").alias("brutas")).crossJoin(
-        normalized.agg(F.count("*").alias("normalizadas"), F.count_if(F.col("publicada_em").isNull()).alias("sem_data"))
-    ).withColumn("sem_link", F.col("brutas") - F.col("normalizadas"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    no_date = F.when(F.col("publicada_em").isNull(), one).otherwise(zero)
+    marks = raw.select(one.alias("brutas"), zero.alias("normalizadas"), zero.alias("sem_data")).unionByName(
+        normalized.select(zero.alias("brutas"), one.alias("normalizadas"), no_date.alias("sem_data")))
+    total = lambda c: F.coalesce(F.sum(c), zero).alias(c)
+    return marks.agg(total("brutas"), total("normalizadas"), total("sem_data")).withColumn(
+        "sem_link", F.col("brutas") - F.col("normalizadas"))
 
 
 def source_yield(postings: DataFrame, kept: Column) -> DataFrame:

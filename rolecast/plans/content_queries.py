@@ -279,10 +279,32 @@ def snapshot_validation(spark, sf):
     return violations
 
 
+def import_completeness(spark, sf):
+    """SRC-12: each conversation as a dataset of one-item pages of known size; system turns are invalid items."""
+    conv = _t(spark, sf, "conversations")
+    sizes = conv.groupBy("conv_id").agg(F.count("*").alias("total"))
+    bad = F.when(F.col("role") == "system", 1).otherwise(0)
+    pages = conv.join(sizes, "conv_id").select(
+        F.col("conv_id").alias("fonte"), F.col("turn").alias("offset"), F.lit(1).alias("limite"), "total", F.lit(1).alias("brutas"),
+        bad.alias("invalidas"), F.lit(0).alias("duplicadas"), (F.lit(1) - bad).alias("importadas"),
+        F.when(F.col("text").contains("\n"), "HTTP 500").alias("erro"), F.lit(False).alias("desativada"))
+    return quality.import_completeness(pages).select("fonte", "consultadas", "brutas", "importadas", "falhas", "truncada", "status")
+
+
+def page_yield(spark, sf):
+    """FLT-27: list items, anchors and anchors to a plain word as cards, usable rows and located rows."""
+    page = F.col("html")
+    rows = _t(spark, sf, "pages").select(
+        "page_id", F.regexp_count(page, F.lit("<li>")).alias("cartoes"), F.regexp_count(page, F.lit("<a href=")).alias("usaveis"),
+        F.regexp_count(page, F.lit('<a href="/[a-z]+"')).alias("com_local"))
+    return views.page_yield(rows)
+
+
 QUERIES = {f.__name__: f for f in (
     page_links, page_title, page_text, page_clean_html, page_status, public_urls, page_duplicates, known_url_classes,
     unseen_companies, discovered_boards, doc_normalized, doc_fingerprint_duplicates, doc_language_guess, doc_bigrams,
     doc_pii_scan, conversation_pii_scan, term_coverage, judgement_staleness, latest_status, status_transitions,
     status_events, last_five, status_as_of, status_counts, board_summary, daily_balance, running_value,
     local_day_counts, event_props, task_effects, turn_chain_check, revision_chain, answer_checks, snapshot_validation,
+    import_completeness, page_yield,
 )}

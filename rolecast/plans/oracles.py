@@ -596,4 +596,34 @@ FEED_ORACLES = {
         'JSON invalido' AS erro FROM postings""",
 }
 
-ORACLES = {**POSTING_ORACLES, **CONTENT_ORACLES, **STREAM_ORACLES, **FEED_ORACLES}
+MORE_ORACLES = {
+    "signal_counts": f"WITH {SCORED} SELECT id_externo, {listed('achados')} AS sinais FROM scored",
+    "dataset_counters": f"""WITH {POSTINGS} SELECT count(*) AS brutas, count(modelo) AS normalizadas, 0 AS sem_data, count(*) - count(modelo) AS sem_link FROM postings""",
+    "source_counters": """SELECT 's' || CAST(l_suppkey AS VARCHAR) AS fonte, count(*) AS consultadas, sum(l_linenumber) AS brutas,
+        count(*) FILTER (WHERE l_returnflag = 'R') AS falhas, max(CASE WHEN l_returnflag = 'R' THEN 'HTTP 500' END) AS erro FROM lineitem GROUP BY 1""",
+    "facet_coverage": """WITH f AS (SELECT l_suppkey AS listagem, 'retorno' AS faceta, l_returnflag AS v, count(*) FILTER (WHERE l_quantity < 30) AS n FROM lineitem GROUP BY ALL
+          UNION ALL SELECT l_suppkey, 'situacao', l_linestatus, count(*) FILTER (WHERE l_quantity < 30) FROM lineitem GROUP BY ALL),
+        p AS (SELECT listagem, faceta, sum(n) AS soma, max(n) AS maior FROM f GROUP BY ALL)
+        SELECT listagem, max(soma) AS total_real, 2000 AS total_informado, arg_min(faceta, (maior, faceta)) AS faceta_menor_fatia, max(soma) >= 2000 AS truncada FROM p GROUP BY 1""",
+    "stock": """SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS busca, count(*) FILTER (WHERE o_orderstatus = 'F') AS preparar, 0 AS em_revisao,
+        count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) AS pronta, 6000 AS alvo, count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) < 6000 AS pode_preparar FROM orders""",
+    "send_preconditions": f"""WITH {KEYED}, {JUDGED_WIDE}, {JUDGEMENTS}, {LOOKUP},
+        r AS (SELECT g.id_externo, g.reason, g.fonte, b.status_sure, j.id IS NOT NULL AS lida, coalesce(j.toxic = 1, false) AS velho, b.status_sure IS NULL AND b.status_weak IS NOT NULL AS conflito
+          FROM judged g JOIN seen b USING (id_externo) LEFT JOIN judgements j ON j.id = g.id_externo),
+        m AS (SELECT id_externo, concat_ws('|', CASE WHEN reason IS NOT NULL THEN 'vaga ausente ou barrada pela regra atual' END,
+            CASE WHEN status_sure IS DISTINCT FROM 'Aplicar' THEN 'vaga não está em Aplicar na fonte de estado' END,
+            CASE WHEN reason IS NULL AND NOT lida THEN 'anúncio ainda não foi lido contra o currículo' END, CASE WHEN velho THEN 'anúncio mudou: releitura necessária' END,
+            CASE WHEN conflito THEN 'identidade ambígua: conferir a requisição oficial' END, CASE WHEN fonte = 'Arc' THEN 'controle de transmissão não liberado' END) AS motivos FROM r)
+        SELECT id_externo, motivos, motivos = '' AS precondicoes_atendidas FROM m""",
+    "import_completeness": """WITH p AS (SELECT conv_id, turn, role = 'system' AS bad, contains(text, chr(10)) AS err, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations),
+        g AS (SELECT conv_id AS fonte, count(*) AS consultadas, count(*) FILTER (WHERE NOT err) AS brutas, count(*) FILTER (WHERE NOT err AND NOT bad) AS importadas,
+          count(*) FILTER (WHERE NOT err AND bad) AS invalidas, count(*) FILTER (WHERE err) AS falhas,
+          coalesce(max(turn) FILTER (WHERE NOT err) + 1 < any_value(total), false) AS truncada FROM p GROUP BY 1)
+        SELECT fonte, consultadas, brutas, importadas, falhas, truncada, CASE WHEN falhas > 0 OR (brutas > 0 AND invalidas = brutas) THEN CASE WHEN importadas > 0 THEN 'parcial' ELSE 'erro' END
+          WHEN truncada OR invalidas > 0 THEN 'parcial' WHEN brutas > 0 THEN 'ok' ELSE 'vazia' END AS status FROM g""",
+    "page_yield": """WITH c AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS cartoes, len(regexp_extract_all(html, '<a href=')) AS usaveis,
+          len(regexp_extract_all(html, '<a href="/[a-z]+"')) AS com_local FROM pages)
+        SELECT *, (usaveis >= 5 AND com_local * 2 < usaveis) OR (cartoes > 0 AND usaveis = 0) AS layout_suspeito FROM c""",
+}
+
+ORACLES = {**POSTING_ORACLES, **CONTENT_ORACLES, **STREAM_ORACLES, **FEED_ORACLES, **MORE_ORACLES}

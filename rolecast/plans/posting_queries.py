@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecast.config import Profile
 from rolecast.functions import dates, money, text, urls
-from rolecast.operators import coverage, filters, lookups, resolve, score, state, views, windows
+from rolecast.operators import coverage, filters, lookups, quality, resolve, score, state, views, windows
 from rolecast.operators.shaping import bind
 from rolecast.plans import inputs
 from rolecast.plans.inputs import NOW
@@ -343,6 +343,50 @@ def emphasis_buckets(spark, sf):
     return coverage.emphasis(_P(spark, sf)).select("id_externo", "balde", F.array_join("acertos", "|").alias("acertos"), "n")
 
 
+def signal_counts(spark, sf):
+    return views.signal_counts(_scored(spark, sf))
+
+
+def dataset_counters(spark, sf):
+    df = _P(spark, sf)
+    return views.dataset_counters(df, df.filter("modelo IS NOT NULL"))
+
+
+def source_counters(spark, sf):
+    """AG-04 with every line item as a landed page of its supplier."""
+    li = inputs.table(inputs.prepare(spark), sf, "lineitem")
+    return views.source_counters(li.select(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("fonte"), F.col("l_linenumber").alias("itens"),
+        F.when(F.col("l_returnflag") == "R", "HTTP 500").alias("erro")))
+
+
+def facet_coverage(spark, sf):
+    """AG-10: line items per supplier, counted under two facets."""
+    li = inputs.table(inputs.prepare(spark), sf, "lineitem").withColumn("listagem", F.col("l_suppkey"))
+    facet = lambda name, c: li.groupBy("listagem", F.lit(name).alias("faceta"), F.col(c).alias("valor")).agg(
+        F.count_if(F.col("l_quantity") < 30).alias("quantidade"))
+    rows = facet("retorno", "l_returnflag").unionByName(facet("situacao", "l_linestatus"))
+    return views.facet_coverage(rows.withColumn("total_informado", F.lit(2000)), 2000)
+
+
+def stock(spark, sf):
+    status = F.col("o_orderstatus")
+    tasks = inputs.table(inputs.prepare(spark), sf, "orders").select(
+        F.when(status == "O", "busca").when(status == "F", "preparar").otherwise("pronta").alias("etapa"))
+    return views.stock(tasks, 6000)
+
+
+def send_preconditions(spark, sf):
+    """FLT-21 over every posting, with what the filter, the judgements and the board say of it."""
+    judged = filters.with_reason(_P(spark, sf), NOW, profile=WIDE)
+    df = lookups.join_board(lookups.join_judgements(judged, inputs.judgements(spark, sf)), inputs.board(spark, sf))
+    df = df.select(
+        "id_externo", F.col("reason").isNull().alias("presente"), F.col("status_notion").alias("status_quadro"), "lida",
+        "julgamento_desatualizado", "conflito_identidade", (F.col("fonte") != "Arc").alias("transmissao"))
+    got = quality.send_preconditions(df, NOW, authorised=True)
+    return got.select("id_externo", F.array_join("motivos", "|").alias("motivos"), "precondicoes_atendidas")
+
+
 QUERIES = {f.__name__: f for f in (
     normalize_links, link_dedupe_survivor, comparable_titles, requisition_keys, entity_clusters, entity_survivors,
     entity_aliases, weak_duplicates, collision_count, classify_seniority, work_model, salary_monthly,
@@ -351,6 +395,7 @@ QUERIES = {f.__name__: f for f in (
     queue_gaps, brief_candidates, run_totals, judgement_join, judgement_migration, board_join_priority, board_index,
     board_listing, cache_upsert, cache_expunge, cache_removed_ids, new_ids, board_register, board_moves,
     board_moves_rejected, judgement_upsert, source_yield_rollup, source_yield, source_activation, emphasis_buckets,
+    signal_counts, dataset_counters, source_counters, facet_coverage, stock, send_preconditions,
 )}
 
 

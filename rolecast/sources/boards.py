@@ -464,8 +464,10 @@ def mapped_import(raw: DataFrame, source: str, mapping: dict[str, str | None]) -
         link=F.col("_link"), localizacao=where, publicada_em=dates.strict_iso(read("publishedAt")), validada=F.lit(False),
         descricao_pendente=body.isNull()))
     kept = _distinct(shaped)
-    counters = rows.agg(F.count("*").alias("brutas"), F.count_if(~valid).alias("invalidas")).crossJoin(
-        kept.agg(F.count("*").alias("importadas"))).withColumn(
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    marks = rows.select(one.alias("brutas"), F.when(valid, zero).otherwise(one).alias("invalidas"), zero.alias("importadas")).unionByName(
+        kept.select(zero.alias("brutas"), zero.alias("invalidas"), one.alias("importadas")))
+    counters = marks.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("brutas", "invalidas", "importadas")]).withColumn(
         "duplicadas", F.col("brutas") - F.col("invalidas") - F.col("importadas")).withColumn("fonte", F.lit(source))
     return kept, counters
 
