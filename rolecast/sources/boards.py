@@ -9,6 +9,7 @@ from rolecast.config import DEFAULT_KEYWORDS
 from rolecast.functions import dates, html, money, text, urls
 from rolecast.functions.text import let
 from rolecast.operators import filters
+from rolecast.operators.shaping import bind
 from rolecast.operators.windows import first_per_key, prefer_described
 from rolecast.sources import items
 from rolecast.sources.items import ITEM, each, flag, join_parts, js, strings, txt
@@ -353,8 +354,9 @@ def _ats_columns() -> dict[str, tuple]:
 
 
 def _eligible(df: DataFrame, restrictions: Column) -> DataFrame:
-    return df.withColumn("_e", filters.eligibility(restrictions, F.col("descricao"))).filter("_e.entra").withColumn(
-        "elegibilidade_latam", F.col("_e.latam")).withColumn("elegibilidade_motivo", F.col("_e.motivo")).drop("_e")
+    judged = bind(df, _e=filters.eligibility(restrictions, F.col("descricao"))).filter("_e.entra")
+    return judged.withColumns({
+        "elegibilidade_latam": F.col("_e.latam"), "elegibilidade_motivo": F.col("_e.motivo")}).drop("_e")
 
 
 def ats(raw: DataFrame, provider: str, now, kw=DEFAULT_KEYWORDS) -> DataFrame:

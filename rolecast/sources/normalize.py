@@ -11,6 +11,7 @@ from rolecast.config import DEFAULT_KEYWORDS
 from rolecast.functions import html, text, urls
 from rolecast.functions.text import let
 from rolecast.operators import filters
+from rolecast.operators.shaping import bind
 from rolecast.operators.windows import first_per_key
 from rolecast.sources import boards, providers
 from rolecast.sources.landing import failures, payloads
@@ -41,8 +42,9 @@ def provider_postings(jobs: DataFrame, names: dict[str, str] | None = None, kw=D
     label = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     wanted = jobs.filter(let(text.normalize_text(F.col("title")), lambda t: filters.is_of_interest(t, kw)))
     body = html.clean_html(F.coalesce("description", F.lit("")))
-    judged = wanted.withColumn("descricao", body).withColumn(
-        "_e", filters.eligibility(text.location_parts(F.col("location")), F.col("descricao"))).filter("_e.entra")
+    cleaned = bind(wanted, descricao=body)
+    judged = bind(cleaned, _e=filters.eligibility(
+        text.location_parts(F.col("location")), F.col("descricao"))).filter("_e.entra")
     remote = F.coalesce(F.col("location").rlike(r"(?i)\b(remote|remoto)\b"), F.lit(False))
     return boards.shape(judged, dict(
         id_externo=F.concat(F.col("source"), F.lit(":"), urls.synthetic_id(F.col("url"), F.col("title"))),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rolecast.functions import dates, html, money, text, urls
 from rolecast.functions.text import let
+from rolecast.operators.shaping import bind
 from rolecast.sources import items
 from rolecast.sources.items import (
     ITEM, each, flag, https_url, join_parts, js, remote_if, strings, tag, txt, web_url,
@@ -153,15 +154,21 @@ def layout_drift(raw: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ free text: PV-29
 
 
-def _hn_fields(now) -> dict[str, Column]:
-    raw = F.coalesce(js("text"), F.lit(""))
-    t = F.regexp_replace(raw, r'(?i)<a\s[^>]*href="([^"]+)"[^>]*>.*?</a>', "$1")
+def _hn_rows(df: DataFrame) -> DataFrame:
+    """Comments with their text lines, decoded once per comment."""
+    rows = items.json_items(df, "$.children", "$.hits")
+    t = F.regexp_replace(F.coalesce(js("text"), F.lit("")), r'(?i)<a\s[^>]*href="([^"]+)"[^>]*>.*?</a>', "$1")
     t = F.regexp_replace(t, r"(?i)</?(?:p|br|div|li|h[1-6])\b[^>]*>", "\n")
     t = html.decode_entities(F.regexp_replace(t, "<[^>]+>", " "), html.PROVIDER_ENTITIES, keep_invalid=True)
-    lines = F.filter(F.transform(F.split(t, r"\r\n|\r|\n"), lambda p: F.trim(p)), lambda x: x != "")
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    parts = F.transform(F.split(first, r"\|"), lambda p: F.trim(p))
-    link = F.regexp_replace(F.regexp_extract(F.array_join(lines, "\n"), r"""(https?://[^\s<>"')]+)""", 1), r"[.,;!?)]+$", "")
+    rows = bind(rows, lines=F.filter(F.transform(F.split(t, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return bind(rows, first=F.coalesce(F.get("lines", F.lit(0)), F.lit("")))
+
+
+def _hn_fields(now) -> dict[str, Column]:
+    first = F.col("first")
+    parts = F.transform(F.split(first, r"\|"), lambda x: F.trim(x))
+    link = F.regexp_replace(
+        F.regexp_extract(F.array_join("lines", "\n"), r"""(https?://[^\s<>"')]+)""", 1), r"[.,;!?)]+$", "")
     return dict(
         title=F.trim(F.regexp_replace(F.regexp_replace(first, r"https?://\S+", ""), r"\s{2,}", " ")),
         url=F.coalesce(F.nullif(link, F.lit("")), F.col("url")),
@@ -344,22 +351,19 @@ def _jobvite_url() -> Column:
     return F.coalesce(secure("detail-url"), secure("apply-url"))
 
 
-def _split(title: Column, how) -> tuple[Column, Column]:
-    parts = how(title)
-    return parts["cargo"], parts["empresa"]
+def _split_feed(how) -> Callable:
+    """Feed items with the title split into role and company, once per item."""
+    return lambda df: bind(items.feed_items(df), parts=how(tag("title")))
 
 
-def _feed_with_split(how, host: str, location) -> Callable:
-    def fields(now) -> dict[str, Column]:
-        title, company = _split(tag("title"), how)
-        return dict(title=title, company=company, url=https_url(tag("link"), host, subdomains=True),
-                    location=location(), posted_at=dates.feed_date(tag("pubDate")))
-    return fields
+def _feed_with_split(how, host: str, location) -> dict:
+    return dict(rows=_split_feed(how), family="rss", fields=lambda now: dict(
+        title=F.col("parts.cargo"), company=F.col("parts.empresa"), url=https_url(tag("link"), host, subdomains=True),
+        location=location(), posted_at=dates.feed_date(tag("pubDate"))))
 
 
 def _crypto_fields(now) -> dict[str, Column]:
-    title, company = _split(tag("title"), text.split_last_at)
-    return dict(title=title, company=F.coalesce(company, F.lit("")), url=F.coalesce(tag("link"), tag("guid")), location=F.lit("Remote"),
+    return dict(title=F.col("parts.cargo"), company=F.coalesce("parts.empresa", F.lit("")), url=F.coalesce(tag("link"), tag("guid")), location=F.lit("Remote"),
                 description=html.html_to_text(tag("description")), posted_at=dates.feed_date(tag("pubDate")))
 
 
@@ -421,18 +425,18 @@ def _teamtailor_location() -> Column:
 SPECS = (
     ProviderSpec("remotli", "Remotli", _json("$.jobs", "$"), _remotli_fields,
                  keep=lambda: F.lower(F.trim(js("jobs.status"))) == "active"),
-    ProviderSpec("weworkremotely", "We Work Remotely", **_feed(_feed_with_split(
-        text.split_first_colon, "weworkremotely.com", lambda: F.coalesce(tag("region"), tag("category"), F.lit(""))))),
+    ProviderSpec("weworkremotely", "We Work Remotely", **_feed_with_split(
+        text.split_first_colon, "weworkremotely.com", lambda: F.coalesce(tag("region"), tag("category"), F.lit("")))),
     ProviderSpec("jobicy", "Jobicy", _json("$.jobs"), lambda now: dict(
         title=txt("jobTitle"), url=https_url(txt("url"), "jobicy.com", "www.jobicy.com"), company=txt("companyName"),
         location=F.coalesce(txt("jobGeo"), F.lit("")), posted_at=_iso("pubDate"))),
     ProviderSpec("torre", "Torre", _json("$.results", "$"), _torre_fields,
                  keep=lambda: F.coalesce(txt("status") == "open", F.lit(True))),
     ProviderSpec("remoteok", "RemoteOK", _json("$"), _simple("position", "url", "company", "location")),
-    ProviderSpec("cryptocurrencyjobs", "Crypto Jobs", **_feed(_crypto_fields)),
+    ProviderSpec("cryptocurrencyjobs", "Crypto Jobs", _split_feed(text.split_last_at), _crypto_fields, family="rss"),
     ProviderSpec("remotive", "Remotive", _json("$.jobs"), _simple("title", "url", "company_name", "candidate_required_location")),
     ProviderSpec("workingnomads", "Working Nomads", _json("$"), _simple("title", "url", "company_name", "location")),
-    ProviderSpec("nodesk", "NoDesk", **_feed(_feed_with_split(text.split_last_at, "nodesk.co", lambda: F.lit("")))),
+    ProviderSpec("nodesk", "NoDesk", **_feed_with_split(text.split_last_at, "nodesk.co", lambda: F.lit(""))),
     ProviderSpec("jobspresso", "Jobspresso", **_feed(lambda now: dict(
         title=tag("title"), url=https_url(tag("link"), "jobspresso.co", subdomains=True),
         company=F.coalesce(tag("job_listing:company"), F.lit("")), location=F.coalesce(tag("job_listing:location"), F.lit("")),
@@ -440,7 +444,7 @@ SPECS = (
     ProviderSpec("himalayas", "Himalayas", _json("$.jobs"), _himalayas_fields),
     ProviderSpec("getonbrd", "Get on Board", _json("$.data"), _getonbrd_fields),
     ProviderSpec("landingjobs", "Landing.jobs", _json("$", "$.jobs"), _landing_fields),
-    ProviderSpec("hackernews", "Hacker News Who is hiring", _json("$.children", "$.hits"), _hn_fields),
+    ProviderSpec("hackernews", "Hacker News Who is hiring", _hn_rows, _hn_fields),
     ProviderSpec("wttj", "Welcome to the Jungle", _json("$.results[0].hits", "$.hits"), _wttj_fields),
     ProviderSpec("a16z-speedrun-talent", "a16z Speedrun", _json("$.jobs", "$"), lambda now: dict(
         title=txt("title"), url=https_url(txt("url"), "speedrun-talent-network.com"),
@@ -515,10 +519,9 @@ def jobs_of(spec: ProviderSpec, payloads: DataFrame, now) -> DataFrame:
     if spec.keep is not None:
         rows = rows.filter(spec.keep())
     given = spec.fields(now)
-    out = [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in JOB_FIELDS.items()]
-    jobs = rows.select("source", "entry", F.col("url").alias("page"), "pos", *out)
-    needs_company = spec.id == "generalist-world"
-    usable = F.coalesce(F.trim("title") != "", F.lit(False)) & F.coalesce(F.trim("url") != "", F.lit(False))
-    if needs_company:
-        usable = usable & F.coalesce(F.col("company") != "", F.lit(False))
-    return jobs.filter(usable)
+    job = F.struct(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in JOB_FIELDS.items()])
+    usable = F.coalesce(F.trim("job.title") != "", F.lit(False)) & F.coalesce(F.trim("job.url") != "", F.lit(False))
+    if spec.id == "generalist-world":
+        usable = usable & F.coalesce(F.col("job.company") != "", F.lit(False))
+    # Bound, so that the filter does not parse and decode the fields a second time.
+    return bind(rows, job=job).filter(usable).select("source", "entry", F.col("url").alias("page"), "pos", "job.*")
