@@ -27,7 +27,8 @@ def _raw(spark, sf, source: str, body: Column, url: Column | None = None, entry:
 
 # Where a feed says the posting is: vague, a country, or worldwide.
 def _place() -> Column:
-    return F.when(F.col("modelo") == "remoto", "Remote").when(F.col("modelo").isNull(), "Worldwide").otherwise(F.col("pais"))
+    return F.when(F.col("modelo") == "remoto", "Remote").when(F.col("modelo").isNull(), "Worldwide").otherwise(
+        inputs.place_of(F.col("pais")))
 
 
 def _wrap(field: str | None, *columns: Column) -> Column:
@@ -56,7 +57,7 @@ def feed_gupy(spark, sf):
 def feed_arc(spark, sf):
     c = F.col
     job = _wrap("arcJobs", c("seq").cast("string").alias("randomKey"), c("titulo").alias("title"), F.lit("job").alias("urlString"),
-                F.when(c("pais") == "BRAZIL", F.array(F.lit("BR"))).when(c("modelo") == "remoto", F.array().cast("array<string>"))
+                F.when(c("pais") == "NATION_0", F.array(F.lit("BR"))).when(c("modelo") == "remoto", F.array().cast("array<string>"))
                 .otherwise(F.array(F.lit("US"))).alias("requiredCountries"),
                 F.unix_seconds(c("publicada_em").cast("timestamp")).alias("postedAt"), F.lit(30).alias("minHourlyRate"),
                 F.struct(c("empresa").alias("name")).alias("company"),
@@ -70,8 +71,8 @@ def feed_arc(spark, sf):
 def feed_ux_remote_talent(spark, sf):
     c = F.col
     pill = lambda x, cls="": F.concat(F.lit(f'<div class="card-job-detail{cls}"><div class="regular-job-info">'), x, F.lit("</div></div>"))
-    restriction = F.when(c("modelo") == "remoto", "Anywhere in the World").when(c("pais") == "BRAZIL", "Brazil Only").when(
-        c("pais") == "INDIA", "India Only").otherwise("Somewhere")
+    restriction = F.when(c("modelo") == "remoto", "Anywhere in the World").when(c("pais") == "NATION_0", "Brazil Only").when(
+        c("pais") == "NATION_1", "India Only").otherwise("Somewhere")
     body = F.concat(
         F.lit('<div class="w-dyn-item"><a href="/ux-job/'), c("seq").cast("string"), F.lit('"></a><h2 class="regular-job-title">'),
         c("titulo"), F.lit("</h2>"), pill(c("empresa"), " card-company-name"), pill(F.lit("Full-time")), pill(restriction),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = "2001-08-02 00:00:00"
@@ -31,6 +31,15 @@ STATUS_OF_EVENT = {
 }
 
 
+# The nations have no real names; three of them stand for places that accept the candidate.
+PLACE_OF_NATION = {"NATION_0": "Brazil", "NATION_1": "Latin America", "NATION_2": "Americas"}
+
+
+def place_of(nation: Column) -> Column:
+    named = F.create_map(*[F.lit(x) for kv in PLACE_OF_NATION.items() for x in kv])
+    return F.coalesce(F.try_element_at(named, nation), nation)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the plans rely on: instants are UTC, adaptive execution splits hot keys."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -72,6 +72,8 @@ def listed(x: str) -> str:
 
 PRIORITY = "CASE fonte " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in SOURCE_PRIORITY.items()) + " ELSE 5 END"
 
+NATION_PLACE = "CASE pais WHEN 'NATION_0' THEN 'Brazil' WHEN 'NATION_1' THEN 'Latin America' WHEN 'NATION_2' THEN 'Americas' ELSE pais END"
+
 # Features of the derived postings. Their links carry only tracking parameters and p=1.
 LINK = """concat(regexp_extract(link, 'https://www\\.([^/]+)', 1), regexp_extract(link, 'https://[^/]+(/jobs/\\d+)', 1),
   CASE WHEN contains(link, 'p=1') THEN '?p=1' ELSE '' END)"""
@@ -300,10 +302,11 @@ POSTING_ORACLES = {
     "freshness_windows": f"WITH {POSTINGS} SELECT id_externo, {AGE} AS idade_dias, {window()} AS janela FROM postings",
     "freshness_points": f"""WITH {POSTINGS} SELECT CASE WHEN {AGE} <= 3 THEN 5 WHEN {AGE} <= 7 THEN 4 WHEN {AGE} <= 14 THEN 2
         WHEN {AGE} <= 30 THEN 1 ELSE 0 END AS pontos, count(*) AS n FROM postings GROUP BY 1""",
-    "eligibility": f"""WITH {POSTINGS}, places AS (SELECT id_externo, concat_ws(' | ', modelo, pais) AS j FROM postings),
-        hits AS (SELECT *, {first_of(nt('j'), ACCEPTS_LATAM, term)} AS hit FROM places)
-        SELECT id_externo, hit IS NOT NULL AS entra, hit IS NOT NULL AS latam,
-          coalesce('aceita ' || hit, 'local especifico, sem mencao a LATAM: ' || substr(j, 1, 48)) AS motivo FROM hits""",
+    "eligibility": f"""WITH {POSTINGS}, places AS (SELECT id_externo, concat_ws(' | ', modelo, CASE WHEN modelo = 'remoto' THEN NULL ELSE {NATION_PLACE} END) AS j FROM postings),
+        hits AS (SELECT *, {first_of(nt('j'), ACCEPTS_LATAM, term)} AS hit, j = 'remoto' AS vago FROM places)
+        SELECT id_externo, hit IS NOT NULL OR vago AS entra, CASE WHEN hit IS NOT NULL THEN true WHEN NOT vago THEN false END AS latam,
+          CASE WHEN hit IS NOT NULL THEN 'aceita ' || hit WHEN vago THEN 'elegibilidade nao declarada'
+            ELSE 'local especifico, sem mencao a LATAM: ' || substr(j, 1, 48) END AS motivo FROM hits""",
     "filter_reasons": f"WITH {JUDGED} SELECT id_externo, reason FROM judged",
     "filter_reasons_hybrid_profile": f"WITH {POSTINGS} SELECT id_externo, {reason(hybrid=True, floor=0)} AS reason FROM postings",
     "reason_histogram": f"WITH {JUDGED} SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 1",
@@ -556,10 +559,10 @@ STREAM_ORACLES = {
 }
 
 DAY = "strftime(publicada_em, '%Y-%m-%d') AS publicada"
-PLACE = "CASE WHEN modelo = 'remoto' THEN 'Remote' WHEN modelo IS NULL THEN 'Worldwide' ELSE pais END"
+PLACE = "CASE WHEN modelo = 'remoto' THEN 'Remote' WHEN modelo IS NULL THEN 'Worldwide' ELSE " + NATION_PLACE + " END"
 OF_INTEREST = (f"({any_of(has(nt('titulo'), k) for k in KW.title_weights)} AND NOT "
                f"{any_of(term(nt('titulo'), k) for k in KW.title_excluded + KW.role_excluded)})")
-ENTERS = "(modelo = 'remoto' OR modelo IS NULL OR pais = 'BRAZIL')"
+ENTERS = "(modelo = 'remoto' OR modelo IS NULL OR pais IN ('NATION_0', 'NATION_1', 'NATION_2'))"
 
 
 def provider(source, name, link, key, titulo="titulo", empresa="empresa", date="NULL"):
@@ -573,11 +576,11 @@ def provider(source, name, link, key, titulo="titulo", empresa="empresa", date="
 FEED_ORACLES = {
     "feed_gupy": f"WITH {POSTINGS} SELECT 'gupy:' || CAST(seq AS VARCHAR) AS id_externo, 'Gupy' AS fonte, titulo, empresa, link, pais, modelo, {DAY} FROM postings",
     "feed_arc": f"""WITH {POSTINGS} SELECT 'arc:' || CAST(seq AS VARCHAR) AS id_externo, 'Arc' AS fonte, titulo, empresa,
-        'https://arc.dev/remote-jobs/details/job-' || CAST(seq AS VARCHAR) AS link, CASE WHEN pais = 'BRAZIL' THEN 'Brasil' END AS pais, 'remoto' AS modelo, {DAY}
-        FROM postings WHERE fonte <> 'Arc' AND (pais = 'BRAZIL' OR coalesce(modelo = 'remoto', false))""",
+        'https://arc.dev/remote-jobs/details/job-' || CAST(seq AS VARCHAR) AS link, CASE WHEN pais = 'NATION_0' THEN 'Brasil' END AS pais, 'remoto' AS modelo, {DAY}
+        FROM postings WHERE fonte <> 'Arc' AND (pais = 'NATION_0' OR coalesce(modelo = 'remoto', false))""",
     "feed_ux_remote_talent": f"""WITH {POSTINGS} SELECT 'uxremotetalent:' || CAST(seq AS VARCHAR) AS id_externo, titulo, empresa, 'Full-time' AS contrato,
-        CASE WHEN modelo = 'remoto' THEN 'Anywhere in the World' WHEN pais = 'BRAZIL' THEN 'Brazil Only' ELSE 'Somewhere' END AS restricao_pais, {DAY}, true AS descricao_pendente
-        FROM postings WHERE coalesce(modelo = 'remoto', false) OR pais <> 'INDIA'""",
+        CASE WHEN modelo = 'remoto' THEN 'Anywhere in the World' WHEN pais = 'NATION_0' THEN 'Brazil Only' ELSE 'Somewhere' END AS restricao_pais, {DAY}, true AS descricao_pendente
+        FROM postings WHERE coalesce(modelo = 'remoto', false) OR pais <> 'NATION_1'""",
     "feed_linkedin": f"""WITH {POSTINGS} SELECT 'linkedin:9' || lpad(CAST(seq AS VARCHAR), 11, '0') AS id_externo, titulo, CASE WHEN modelo IS NOT NULL THEN true END AS remoto,
         'Brasil' AS pais, CASE WHEN fonte = 'Gupy' THEN 'junior' END AS senioridade,
         CASE WHEN modelo IS NOT NULL THEN '2001-07-19' ELSE strftime(publicada_em, '%Y-%m-%d') END AS publicada, 8100.0 AS de, 10000.0 AS ate, 'mes' AS periodo FROM postings""",

@@ -106,8 +106,9 @@ def freshness_points(spark, sf):
 
 
 def eligibility(spark, sf):
-    # "UNITED STATES; BRAZIL"-style places: the country next to the work model.
-    places = F.array_compact(F.array("modelo", "pais"))
+    # The place next to the work model; remote postings name no place.
+    place = F.when(~F.col("modelo").eqNullSafe("remoto"), inputs.place_of(F.col("pais")))
+    places = F.array_compact(F.array(F.col("modelo"), place))
     df = bind(_P(spark, sf), e=filters.eligibility(places, F.col("descricao")))
     return df.select("id_externo", F.col("e.entra").alias("entra"), F.col("e.latam").alias("latam"),
                      F.col("e.motivo").alias("motivo"))
