@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import mixing, quality
+from rolecast.llm import html_main, licenses, mixing, quality
 from rolecast.operators.shaping import checkpoint_root
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
@@ -25,6 +25,25 @@ def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = html_main.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base, more = F.col("scan.phrases"), F.col("scan.templates")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "scan.n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["first"]).alias("first_word"), F.array_max(base["first"]).alias("last_word"),
+        joined(base["label"]).alias("base_labels"), joined(F.concat(base["label"], more["label"])).alias("labels"),
+        F.when(F.size(more) > 0, 1.0).when(F.size(base) > 0, 0.5).otherwise(0.0).alias("score"),
+        F.size(more).cast("long").alias("n_templates"))
+
+
 def op10_mix_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
@@ -32,6 +51,8 @@ def op10_mix_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_lines": op2_quality_lines,
+    "op3_site_templates": op3_site_templates,
+    "op8_license_templates": op8_license_templates,
     "op10_mix_thresholds": op10_mix_thresholds,
 }
 
