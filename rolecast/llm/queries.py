@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import html_main, licenses, mixing, quality
+from rolecast.llm import bag_minhash, html_main, licenses, mixing, quality
 from rolecast.operators.shaping import checkpoint_root
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
@@ -31,6 +31,11 @@ def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -52,6 +57,7 @@ def op10_mix_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_lines": op2_quality_lines,
     "op3_site_templates": op3_site_templates,
+    "op6_bag_minhash": op6_bag_minhash,
     "op8_license_templates": op8_license_templates,
     "op10_mix_thresholds": op10_mix_thresholds,
 }
