@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import bag_minhash, html_main, licenses, mixing, quality
+from rolecast.llm import bag_minhash, html_main, licenses, mixing, quality, repeats
 from rolecast.operators.shaping import checkpoint_root
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
@@ -49,6 +49,12 @@ def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(more).cast("long").alias("n_templates"))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document without strings of 100 bytes that stand earlier."""
+    done = repeats.cut_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return done.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
 def op10_mix_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ QUERIES = {
     "op3_site_templates": op3_site_templates,
     "op6_bag_minhash": op6_bag_minhash,
     "op8_license_templates": op8_license_templates,
+    "op9_suffix_repeats": op9_suffix_repeats,
     "op10_mix_thresholds": op10_mix_thresholds,
 }
 
