@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import bag_minhash, decontaminate, html_main, licenses, mixing, quality, repeats
+from rolecast.llm import adaptive_scan, bag_minhash, decontaminate, html_main, licenses, mixing, quality, repeats
 from rolecast.operators.shaping import checkpoint_root
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
@@ -31,6 +31,11 @@ def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest neighbours of every vector whose id is divisible by 50."""
+    return adaptive_scan.search(table(spark, sf_dir, "embeddings"), lambda key: F.pmod(key, F.lit(50)) == 0)
+
+
 def op5_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with benchmark items that they contain."""
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -69,6 +74,7 @@ def op10_mix_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_lines": op2_quality_lines,
     "op3_site_templates": op3_site_templates,
+    "op4_adaptive_scan": op4_adaptive_scan,
     "op5_latent_leaks": op5_latent_leaks,
     "op6_bag_minhash": op6_bag_minhash,
     "op8_license_templates": op8_license_templates,
