@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import adaptive_scan, bag_minhash, decontaminate, html_main, licenses, mixing, quality, repeats
+from rolecast.llm import adaptive_scan, bag_minhash, chat_windows, decontaminate, html_main, licenses, mixing, quality, repeats
 from rolecast.operators.shaping import checkpoint_root
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
@@ -16,6 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: A conversation whose texts hold control strings of templates.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted windows of every conversation hold, read back from them."""
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_windows.read_back(chat_windows.windows(turns))
+
+
 def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels only from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +85,7 @@ def op10_mix_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_windows": op1_chat_windows,
     "op2_quality_lines": op2_quality_lines,
     "op3_site_templates": op3_site_templates,
     "op4_adaptive_scan": op4_adaptive_scan,
