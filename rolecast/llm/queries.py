@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import adaptive_scan, bag_minhash, chat_windows, decontaminate, html_main, licenses, mixing, quality, repeats
+from rolecast.llm import adaptive_scan, backoff_lm, bag_minhash, chat_windows, decontaminate, html_main, licenses, mixing, quality, repeats
 from rolecast.operators.shaping import checkpoint_root
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
@@ -60,6 +60,11 @@ def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document by the counts of all others."""
+    return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -91,6 +96,7 @@ QUERIES = {
     "op4_adaptive_scan": op4_adaptive_scan,
     "op5_latent_leaks": op5_latent_leaks,
     "op6_bag_minhash": op6_bag_minhash,
+    "op7_stupid_backoff": op7_stupid_backoff,
     "op8_license_templates": op8_license_templates,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_mix_thresholds": op10_mix_thresholds,
