@@ -19,8 +19,9 @@ band share a bucket.  A bucket of any size costs one pair per member: each membe
 is compared with the bucket's leader, the member with the most bucket mates.  The
 similarity that decides is exact, by the texts' shingle multisets.  A member that
 is not similar to its leader is then compared with those members of the bucket
-that are not in its class yet and can be similar to it by the triangle inequality
-of the Jaccard distance, so no link that a bucket offers is lost.  Classes are the
+that are not in its class yet and can be similar to it: by the triangle inequality
+of the Jaccard distance, and by how many of their shingles stand in any other such
+text at all.  So no link that a bucket offers is lost.  Classes are the
 connected components of the links.
 
 Edge cases: a text of fewer than five words, but at least one, is one shingle; a
@@ -179,6 +180,22 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def _lone_mass(texts: DataFrame) -> DataFrame:
+    """(_node, lone): how many of a text's shingles stand in no other of these texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, shingles, bounds in text_shingles(batch.column(1)):
+                text, element, weight = bags(shingles, bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, end - row).take(pa.array(text)), pa.array(element.view(np.int64)), pa.array(weight)],
+                    names=["_node", "s", "n"])
+
+    rows = texts.select("_node", "_text").mapInArrow(run, "_node binary, s bigint, n bigint")
+    once = rows.groupBy("s").agg(F.count("*").alias("texts"), F.min("_node").alias("_node"), F.min("n").alias("n"))
+    return once.filter("texts = 1").groupBy("_node").agg(F.sum("n").alias("lone"))
+
+
 def _links(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(u, v), u > v: similar nodes, as many as it takes to join each class."""
     keyed = nodes.select("_node", "weight", F.explode("keys").alias("h"))
@@ -200,19 +217,30 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     as_edge = lambda df: df.filter(F.col("similarity") >= similarity).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     found = as_edge(checked)
+
     labels = cut_lineage(component_labels(found), "dup-labels")
 
-    # What a leader did not settle: members of other classes that the distances to the leader allow.
+    # What a leader did not settle: members of other classes that the distances to the leader and the common
+    # shingles allow.  A pair counts in the first bucket that it shares.
     known = led.join(checked, (F.col("_node") == F.col("a")) & (F.col("leader") == F.col("b"))).select(
         "h", "_node", "weight", "similarity")
-    known = known.join(labels.select(F.col("node").alias("_node"), "label"), "_node", "left").withColumn(
-        "label", F.coalesce("label", "_node"))
-    side = lambda p: known.select(*[F.col(c).alias(p + c) for c in ("h", "_node", "weight", "similarity", "label")])
+    named = labels.select(F.col("node").alias("_node"), "label")
+    known = known.join(named, "_node", "left").withColumn("label", F.coalesce("label", "_node"))
+    mixed = known.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("h")
+    known = cut_lineage(known.join(mixed, "h", "left_semi"), "dup-mixed")
+    lone = _lone_mass(texts.join(known.select("_node").distinct(), "_node", "left_semi"))
+    known = known.join(lone, "_node", "left").withColumn("meets", F.col("weight") - F.coalesce("lone", F.lit(0)))
+    # A partner has at least this share of a text's size, and all of it in common at best.
+    known = known.filter(F.col("meets") >= similarity * F.col("weight") - 1e-9).join(nodes.select("_node", "keys"), "_node")
+    side = lambda p: known.select(
+        *[F.col(c).alias(p + c) for c in ("h", "_node", "weight", "similarity", "label", "meets", "keys")])
     far = 1 - similarity
+    # Two texts with similarity s have s / (1 + s) of their joint size in common.
+    need = similarity / (1 + similarity) * (F.col("xweight") + F.col("yweight")) - 1e-9
     rest = side("x").filter(F.col("xsimilarity") < similarity).join(side("y"), F.col("xh") == F.col("yh")).filter(
         (F.col("xlabel") != F.col("ylabel"))
         & (F.abs(F.col("xsimilarity") - F.col("ysimilarity")) <= far + 1e-9)
-        & (F.least("xweight", "yweight") >= similarity * F.greatest("xweight", "yweight") - 1e-9))
+        & (F.least("xmeets", "ymeets") >= need) & (F.array_min(F.array_intersect("xkeys", "ykeys")) == F.col("xh")))
     rest = cut_lineage(rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "dup-rest")
     return found.unionByName(as_edge(_verify(rest, texts))).distinct()
 
