@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolecast.llm import mixing, quality
+from rolecast.llm import bag_minhash, decontaminate, mixing, quality, repeats
 from rolecast.llm.queries import table
 from rolecast.operators.shaping import cut_lineage
 
@@ -15,6 +16,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, field).filter("score >= 0.3").select(*docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the smallest id."""
+    return bag_minhash.drop_near_duplicates(docs)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without byte strings that stand earlier; ``n_chars`` follows the text."""
+    done = repeats.cut_repeats(docs, keep=[c for c in docs.columns if c != "text"])
+    done = done.withColumn("text", repeats.kept_text(F.col("cut.kept")))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with the number of words (``taken``)."""
     return mixing.mix(docs)
@@ -22,6 +43,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mixing_stage),
 ]
 

@@ -260,19 +260,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     blocks = max(1, -(-items.count() // item_block))
     latent = latent_map(docs, text)
     hits = "array<struct<item: bigint, item_words: bigint, common: bigint, cosine: double, at: bigint, kind: string>>"
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(text).alias("_text"), F.lit(None).cast(hits).alias("leaks"))
+    carried = [c for c in names if c != text]
+    out = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]).alias("_doc"), F.col(text).cast("string").alias("_text"),
+                      F.lit(None).cast(hits).alias("leaks"))
     kind = out.schema["_doc"].dataType.simpleString()
     for b in range(blocks):
         # About item_block items, whatever the benchmark's size.
         some = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).orderBy("item", "words").toPandas()
         known = Items(some["item"].tolist(), some["words"].tolist(), [a if isinstance(a, str) else None for a in some["answer"]], latent)
-        out = out.mapInArrow(_scanner(known, latent, cosine, near, paraphrase, b + 1 == blocks),
+        out = out.mapInArrow(_scanner(known, latent, cosine, near, paraphrase, b + 1 == blocks and text not in names),
                              f"_doc {kind}, _text string, leaks {hits}")
-    return out.select("_doc.*", F.coalesce("leaks", F.array().cast(hits)).alias("leaks"))
+    return out.select(*[F.col("_text").alias(c) if c == text else F.col(f"_doc.`{c}`") for c in names],
+                      F.coalesce("leaks", F.array().cast(hits)).alias("leaks"))
 
 
-def _scanner(items: Items, latent: np.ndarray, cosine: float, near: float, paraphrase: float, last: bool):
-    """Adds the leaks of one block of items; the texts go along until the last block."""
+def _scanner(items: Items, latent: np.ndarray, cosine: float, near: float, paraphrase: float, drop_text: bool):
+    """Adds the leaks of one block of items; the texts go along as long as they are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +287,7 @@ def _scanner(items: Items, latent: np.ndarray, cosine: float, near: float, parap
                 before = batch.column(2).slice(row, end - row)
                 if before.null_count < len(before):
                     found = [(old or []) + new for old, new in zip(before.to_pylist(), found)]
-                texts = pa.nulls(end - row, pa.string()) if last else batch.column(1).slice(row, end - row)
+                texts = pa.nulls(end - row, pa.string()) if drop_text else batch.column(1).slice(row, end - row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, end - row), texts, pa.array(found, before.type)], names=["_doc", "_text", "leaks"])
 

@@ -243,12 +243,12 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, phr
          templates=TEMPLATES) -> DataFrame:
     """The columns ``keep`` (default: all) with ``scan``: n_words, phrase hits and template hits (first, end, label)."""
     names = [c for c in (keep if keep is not None else docs.columns) if c != "scan"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(text).alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), *([] if text in names else [F.col(text).alias("_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, templates)
         for batch in batches:
-            for row, end, raw, offsets in tb.chunks(batch.column(1)):
+            for row, end, raw, offsets in tb.chunks(tb.text_column(batch, names, text)):
                 data = tb.lower_ascii(raw)
                 starts, ends, bounds = tb.words(data, offsets)
                 hashes = tb.span_hashes(data, starts, ends)

@@ -240,11 +240,11 @@ def hash_bytes(raw: bytes) -> int:
 def score(docs: DataFrame, field: LineField, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every document with its ``score``."""
     names = [c for c in (keep if keep is not None else docs.columns) if c != "score"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(text).alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), *([] if text in names else [F.col(text).alias("_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in tb.chunks(batch.column(1)):
+            for row, end, data, offsets in tb.chunks(tb.text_column(batch, names, text)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, end - row), pa.array(field.document_scores(data, offsets), pa.float64())],
                     names=["_doc", "score"])

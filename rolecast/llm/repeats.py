@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolecast.llm import textbytes as tb
@@ -306,7 +306,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     ranges = cut_lineage(ranges, "rep-ranges")
     covered = ranges.groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     out = numbered.select(
-        "_doc_key", "_copy", F.struct(*[F.col(f"_doc.`{c}`") for c in names]).alias("_kept"), "_text")
+        "_doc_key", "_copy", F.struct(F.lit(0).alias("_"), *[F.col(f"_doc.`{c}`") for c in names]).alias("_kept"), "_text")
     out = out.join(covered, on(covered), "left").select("_kept", "_text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,4 +338,9 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
 
     kind = out.schema["_kept"].dataType.simpleString()
     done = out.mapInArrow(run, f"_kept {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return done.select("_kept.*", F.struct("n_bytes", "n_removed", "n_spans", "kept").alias("cut"))
+    return done.select(*[F.col(f"_kept.`{c}`") for c in names], F.struct("n_bytes", "n_removed", "n_spans", "kept").alias("cut"))
+
+
+def kept_text(kept: Column) -> Column:
+    """The bytes that stay as text; what is left of characters that were cut in two goes."""
+    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit(""))

@@ -28,6 +28,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+def text_column(batch: pa.RecordBatch, names: list[str], text: str) -> pa.Array:
+    """The text of a batch (_doc struct, text if the struct has none)."""
+    return batch.column(0).flatten()[names.index(text)] if text in names else batch.column(1)
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all values, offsets of the values); a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
