@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolecast.config import DEFAULT_KEYWORDS
 from rolecast.functions import text
 from rolecast.functions.text import let
+from rolecast.operators.shaping import cut_lineage
 
 
 def plain_words(t: Column) -> Column:
@@ -43,10 +44,12 @@ def tally(items: Column) -> Column:
     return F.when(F.size(items) > 0, let(F.array_sort(items), runs))
 
 
-def repeated_bigrams(df: DataFrame, key: str, body: str, stop_words=(), minimum: int = 2, cap: int = 30) -> DataFrame:
-    """AG-16: (key, term, n) of the pairs a text repeats, the ``cap`` most frequent."""
+def repeated_bigrams(df: DataFrame, key: str, body: str, stop_words=(), minimum: int = 2, cap: int | None = None) -> DataFrame:
+    """AG-16: (key, term, n) of the pairs a text repeats; with ``cap`` only the most frequent (30 in the published check)."""
     counted = df.select(key, F.inline(F.filter(
         tally(bigrams(plain_words(F.col(body)), stop_words)), lambda x: x["n"] >= minimum)))
+    if cap is None:
+        return counted
     w = Window.partitionBy(key).orderBy(F.desc("n"), "term")
     return counted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
 
@@ -88,13 +91,14 @@ def emphasised_bullets(themes: DataFrame, resumes: DataFrame, never: tuple = ())
     return themes.join(tagged, "balde")
 
 
-def coverage(postings: DataFrame, resumes: DataFrame, synonyms=(), stop_words=(), declared=(), cap: int = 30) -> DataFrame:
+def coverage(postings: DataFrame, resumes: DataFrame, synonyms=(), stop_words=(), declared=(), cap: int | None = None) -> DataFrame:
     """AG-17: (id, termo, situacao, via) — coberto, sinonimo or ausente.
 
     ``postings``: (id, texto, resume_id); ``resumes``: (resume_id, texto).
     What is checked of a posting: the first term it uses of each synonym
-    group, the skills the résumé declares, and its repeated pairs, up to
-    ``cap`` terms.  Terms meet the résumé by equality, never text by text.
+    group, the skills the résumé declares, and its repeated pairs; ``cap`` keeps
+    only so many of a posting's pairs, the most frequent first, and never cuts
+    vocabulary terms.  Terms meet the résumé by equality, never text by text.
     """
     groups = [list(dict.fromkeys(text.fold(t) for t in g)) for g in synonyms]
     vocabulary = [t for g in groups for t in g]
@@ -111,14 +115,13 @@ def coverage(postings: DataFrame, resumes: DataFrame, synonyms=(), stop_words=()
             return F.concat(F.array_compact(F.array(*firsts)) if firsts else F.array().cast("array<string>"), listed)
 
         targets.append(words.select(
-            "id", "resume_id", F.explode(F.array_distinct(let(found, chosen))).alias("termo"), F.lit(0).alias("p")))
+            "id", "resume_id", F.explode(F.array_distinct(let(found, chosen))).alias("termo")))
     pairs = repeated_bigrams(postings, "id", "texto", stop_words, cap=cap)
     targets.append(pairs.join(postings.select("id", "resume_id"), "id").select(
-        "id", "resume_id", F.col("term").alias("termo"), F.lit(1).alias("p")))
+        "id", "resume_id", F.col("term").alias("termo")))
     wanted = targets[0] if len(targets) == 1 else targets[0].unionByName(targets[1])
-    wanted = wanted.groupBy("id", "resume_id", "termo").agg(F.min("p").alias("p"))
-    w = Window.partitionBy("id").orderBy("p", "termo")
-    wanted = wanted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn", "p")
+    # Written once: both ways to the résumé start from it, and the texts are not read again for the second.
+    wanted = cut_lineage(wanted.distinct(), "coverage-terms")
 
     # What each résumé says: vocabulary terms, and all of its adjacent pairs.
     said = resumes.select("resume_id", plain_words(F.col("texto")).alias("w"))

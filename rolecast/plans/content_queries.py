@@ -134,7 +134,7 @@ LANGUAGE_GROUPS = (("with", "avec", "mit", "con"), ("and", "et", "und"), ("the",
 def term_coverage(spark, sf):
     docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"), F.lit(0).alias("resume_id"))
     resumes = _t(spark, sf, "benchmark").select(F.lit(0).alias("resume_id"), F.col("text").alias("texto"))
-    got = coverage.coverage(docs, resumes, LANGUAGE_GROUPS, STOP, cap=10**6)
+    got = coverage.coverage(docs, resumes, LANGUAGE_GROUPS, STOP)
     return got.groupBy("id").agg(
         F.count_if(F.col("situacao") == "coberto").alias("cobertos"),
         F.count_if(F.col("situacao") == "sinonimo").alias("sinonimos"),

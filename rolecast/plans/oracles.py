@@ -476,7 +476,7 @@ CONTENT_ORACLES = {
         SELECT substr(sha1(t), 1, 12) AS impressao, min(doc_id) AS doc_id, count(*) AS n FROM f GROUP BY 1 HAVING count(*) > 1""",
     "doc_language_guess": f"""SELECT doc_id, {count_words(PT_WORDS)} AS pt, {count_words(EN_WORDS)} AS en,
         length(text) >= 200 AND {count_words(EN_WORDS)} > {count_words(PT_WORDS)} * 1.5 AS ingles FROM documents""",
-    "doc_bigrams": f"""WITH {PAIRS} SELECT doc_id, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rn FROM counted) WHERE rn <= 30""",
+    "doc_bigrams": f"""WITH {PAIRS} SELECT doc_id, term, n FROM counted""",
     "doc_pii_scan": f"SELECT doc_id, {TAGS} AS categorias FROM documents",
     "conversation_pii_scan": f"SELECT conv_id, turn, {TAGS} AS categorias FROM conversations",
     "term_coverage": f"""WITH {PAIRS}, d AS (SELECT doc_id, {PLAIN('text')} AS t FROM documents),

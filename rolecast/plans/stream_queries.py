@@ -14,7 +14,7 @@ from rolecast.streaming.state_table import StateTable
 def _events(spark, sf):
     inputs.prepare(spark)
     schema = inputs.table(spark, sf, "events").schema
-    stream = jobs.file_stream(spark, sf, schema, pattern="events.parquet")
+    stream = jobs.file_stream(spark, f"{sf.rstrip('/')}/events.parquet", schema)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

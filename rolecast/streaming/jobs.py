@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from rolecast.config import DEFAULT_PROFILE
 from rolecast.functions import text
 from rolecast.operators import state, windows
-from rolecast.operators.shaping import scratch_path
+from rolecast.operators.shaping import cut_lineage, scratch_path
 from rolecast.streaming.state_table import StateTable, write_batch
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """New parquet files of a folder, a bounded number per micro-batch."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(folder)
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """New parquet files of a table, a bounded number per micro-batch.
+
+    ``path`` is a folder of part files or a single file.  A file source wants a
+    folder or a pattern, so the last letter is written as a pattern that
+    matches itself only.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 # ---------------------------------------------------------------- declarative streams
@@ -70,7 +73,8 @@ def split_late(batch: DataFrame, ts: str, newest: Column, profile=DEFAULT_PROFIL
 def status_fold(board: StateTable, history: str, rejected: str):
     """STR-05: move requests folded into the board; unknown ones are rejected with a reason."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        nxt, events, refused = state.apply_moves(board.before(batch_id), batch)
+        # Written once: the fold reads the batch several times, and the source only once.
+        nxt, events, refused = state.apply_moves(board.before(batch_id), cut_lineage(batch, "batch"))
         write_batch(events, history, batch_id)
         write_batch(refused, rejected, batch_id)
         board.write(nxt, batch_id)
@@ -156,7 +160,7 @@ def fold_attempts(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataF
 def fold(table: StateTable, step, side: str | None = None):
     """A ``foreachBatch`` function from a fold: state to the table, the rest to a side table."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        nxt, rest = step(table.before(batch_id), batch)
+        nxt, rest = step(table.before(batch_id), cut_lineage(batch, "batch"))
         if side:
             write_batch(rest, side, batch_id)
         table.write(nxt, batch_id)
@@ -176,7 +180,7 @@ def upsert_sink(cache: StateTable, clock, late: str, ts: str = "publicada_em", s
         payload = [c for c in batch.columns if c != "id_externo"]
         latest = batch.groupBy("id_externo").agg(
             F.max_by(F.struct(*payload), F.struct(ts, F.xxhash64(*payload))).alias("r"))
-        rows = latest.select("id_externo", "r.*")
+        rows = cut_lineage(latest.select("id_externo", "r.*"), "batch")
         in_time, too_late = split_late(rows, ts, F.lit(now).cast("timestamp"))
         write_batch(too_late, late, batch_id)
         cache.write(state.upsert_cache(cache.before(batch_id), in_time, now, sparse), batch_id)
@@ -186,14 +190,19 @@ def upsert_sink(cache: StateTable, clock, late: str, ts: str = "publicada_em", s
 # ----------------------------------------------------------------------------- running
 
 
-def run_batches(stream: DataFrame, each, label: str, mode: str = "append") -> None:
-    """Process what is available now, batch by batch, and stop."""
+def run_batches(stream: DataFrame, each, label: str, mode: str = "append", checkpoint: str | None = None) -> int:
+    """Process what is available now, batch by batch, and stop; returns the rows read.
+
+    With a ``checkpoint`` folder that is kept, a later start goes on after the
+    last batch; without one, each start reads everything.
+    """
     spark = stream.sparkSession
     query = (
         stream.writeStream.foreachBatch(each).outputMode(mode)
-        .option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint"))
+        .option("checkpointLocation", checkpoint or scratch_path(spark, f"{label}-checkpoint"))
         .trigger(availableNow=True).start())
     query.awaitTermination()
+    return sum(p["numInputRows"] for p in query.recentProgress)
 
 
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -203,14 +212,15 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    seen: list[int] = []
+    newest = {"batch": -1}
 
     def each(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, path, batch_id)
-        seen.append(batch_id)
+        newest["batch"] = batch_id
 
     run_batches(stream, each, label, mode)
-    if not seen:
+    if newest["batch"] < 0:
         return spark.createDataFrame([], stream.schema)
-    wanted = seen[-1:] if mode == "complete" else sorted(set(seen))
-    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch={i}" for i in wanted])
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={newest['batch']}")
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)

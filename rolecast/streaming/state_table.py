@@ -4,6 +4,8 @@
 the version before it and writes its own one anew, so a retry after a lost
 executor or driver gives the same state.  Folds are grouped aggregates and
 two-level windows: a key with a third of all events needs no task of its own.
+The versions stand in one folder, so a new process finds the last one; versions
+older than the one before it are removed.
 """
 
 from __future__ import annotations
@@ -14,24 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 class StateTable:
     def __init__(self, spark: SparkSession, path: str, initial: DataFrame):
         self.spark, self.path, self.initial = spark, path.rstrip("/"), initial
-        self.last: int | None = None
+
+    def _versions(self) -> list[int]:
+        """Versions that were written to the end, at most three."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        names = [s.getPath() for s in files.listStatus(folder)]
+        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and files.exists(
+            self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _read(self, version: int) -> DataFrame:
+        return self.spark.read.schema(self.initial.schema).parquet(f"{self.path}/v={version}")
 
     def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.initial
-        return self.spark.read.schema(self.initial.schema).parquet(f"{self.path}/v={batch_id - 1}")
+        older = [v for v in self._versions() if v < batch_id]
+        return self._read(older[-1]) if older else self.initial
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         columns = self.initial.schema
         df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in columns]).write.mode("overwrite").parquet(
             f"{self.path}/v={batch_id}")
-        self.last = batch_id
+        for version in self._versions():
+            if version < batch_id - 1:
+                old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}")
+                old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def current(self) -> DataFrame:
-        """The latest version this process wrote, else the initial state."""
-        if self.last is None:
-            return self.initial
-        return self.spark.read.schema(self.initial.schema).parquet(f"{self.path}/v={self.last}")
+        """The last version that was written, by this process or an earlier one, else the initial state."""
+        versions = self._versions()
+        return self._read(versions[-1]) if versions else self.initial
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolecast.operators.shaping import scratch_path
+from rolecast.plans import stream_queries
 from rolecast.streaming import jobs
 from rolecast.streaming.state_table import StateTable
 
@@ -35,6 +36,31 @@ def test_dedupe_and_counts(spark, tmp_path, files):
     assert {(r.w.start.day, r.k): r.n for r in counts.collect()} == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 1, (2, "c"): 1, (3, "b"): 1}
 
 
+@pytest.mark.parametrize("name", sorted(stream_queries.QUERIES))
+def test_a_table_of_one_file_and_of_many_parts_streams_alike(spark, tmp_path, name):
+    source = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{source}/events.parquet")
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{source}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    want = sorted(map(str, stream_queries.QUERIES[name](spark, source).collect()))
+    assert want and sorted(map(str, stream_queries.QUERIES[name](spark, str(tmp_path)).collect())) == want
+
+
+def test_a_fold_goes_on_after_a_restart(spark, tmp_path):
+    kind = "instalacao string, dia date, tipo string, reserva_id string, run_id string, em timestamp, seq bigint"
+    empty = spark.createDataFrame([], "instalacao string, dia date, reserva_id string, reservado_em timestamp, run_id string")
+    day, seen = T0.date(), 0
+    rows = [("i", day, "reservar", "r1", None, at(1), 1), ("i", day, "confirmar", "r1", "run1", at(3), 2), ("j", day, "reservar", "r2", None, at(4), 3)]
+    for n, row in enumerate(rows):
+        spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        # A new table object and a new query each time, as after a restart.
+        table = StateTable(spark, f"{tmp_path}/state", empty)
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], kind).schema, files_per_batch=1)
+        seen += jobs.run_batches(stream, jobs.fold(table, jobs.fold_quota, f"{tmp_path}/refused"), "q", checkpoint=f"{tmp_path}/ck")
+    assert seen == 3 and {(r.instalacao, r.run_id) for r in StateTable(spark, f"{tmp_path}/state", empty).current().collect()} == {("i", "run1"), ("j", None)}
+    assert len(StateTable(spark, f"{tmp_path}/state", empty)._versions()) == 2
+
+
 @pytest.mark.parametrize("files", [1, 2, 4])
 def test_status_fold(spark, tmp_path, files):
     moves = [("a", "Aplicar", "p", at(1), 1), ("a", "Entrevista", "p", at(2), 2), ("b", "Sumiu", "p", at(3), 3), ("a", "Entrevista", "p", at(4), 4),
