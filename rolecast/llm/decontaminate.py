@@ -99,16 +99,16 @@ def _added(blocks: DataFrame, by: list[str]) -> DataFrame:
     return blocks.groupBy(*by).applyInPandas(run, ", ".join(f"{c} int" for c in by) + ", z binary")
 
 
-def latent_map(docs: DataFrame, text: str = "text", dims: int = DIMS) -> np.ndarray:
-    """(TERMS, dims): a text's position is the sum of its words' rows."""
+def latent_map(docs: DataFrame, text: str = "text", dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
+    """((TERMS, dims): a text's position is the sum of its words' rows; inverse document frequency per term)."""
     frequency, passages = document_frequencies(docs, text)
     if passages == 0:
-        return np.zeros((TERMS, dims), np.float32)
+        return np.zeros((TERMS, dims), np.float32), np.zeros(TERMS, np.float32)
     idf = np.log((1.0 + passages) / (1.0 + frequency)).astype(np.float32)
     width = dims + OVERSAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions, z, seed = _random(width), np.zeros((TERMS, width), np.float64), 0
+        directions, z, seed = _random(width) * idf[:, None], np.zeros((TERMS, width), np.float64), 0
         for batch in batches:
             for _, _, hashes, bounds in _word_arrays(batch.column(0)):
                 if not len(hashes):
@@ -119,11 +119,12 @@ def latent_map(docs: DataFrame, text: str = "text", dims: int = DIMS) -> np.ndar
                 starts, _ = _runs(bounds, PASSAGE)
                 which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
                 norm = np.add.reduceat(weight * weight, starts)
-                y = np.add.reduceat(directions[term] * weight[:, None], starts, axis=0) / np.maximum(norm, 1e-6)[:, None]
+                y = np.add.reduceat(directions[term], starts, axis=0) / np.maximum(norm, 1e-6).astype(np.float32)[:, None]
                 order = np.argsort(term, kind="stable")
                 sorted_terms = term[order]
                 cuts = np.flatnonzero(np.concatenate(([True], sorted_terms[1:] != sorted_terms[:-1])))
-                z[sorted_terms[cuts]] += np.add.reduceat(y[which[order]] * weight[order][:, None], cuts, axis=0)
+                z[sorted_terms[cuts]] += np.add.reduceat(y[which[order]], cuts, axis=0)
+        z *= idf[:, None]
         parts = z.astype(np.float32).reshape(-1, BLOCK_TERMS * width)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(len(parts)), pa.int32()), pa.array(np.full(len(parts), seed), pa.int32()),
@@ -140,7 +141,7 @@ def latent_map(docs: DataFrame, text: str = "text", dims: int = DIMS) -> np.ndar
     left, singular, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     left, singular = left[:, :dims], np.maximum(singular[:dims], 1e-9 * singular[0])
     out = idf[:, None] * left / singular
-    return np.pad(out, ((0, 0), (0, dims - out.shape[1]))).astype(np.float32)
+    return np.pad(out, ((0, 0), (0, dims - out.shape[1]))).astype(np.float32), idf
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -165,8 +166,9 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
 class Items:
     """A block of benchmark items: word hashes, answers, and latent probes for the two window sizes."""
 
-    def __init__(self, ids: list, texts: list[str], answers: list[str | None], latent: np.ndarray):
-        self.ids, self.words, self.answers, probes = [], [], [], ([], [])
+    def __init__(self, ids: list, texts: list[str], answers: list[str | None], latent: np.ndarray, idf: np.ndarray, share: float):
+        """``share`` of an item's words have to stand around a window for it to be looked at."""
+        self.ids, self.words, self.answers, self.need, probes, rare = [], [], [], [], ([], []), []
         for item, text, answer in zip(ids, texts, answers):
             words = self._hashes(text or "")
             if not len(words):
@@ -174,6 +176,12 @@ class Items:
             k = len(self.ids)
             self.ids.append(item)
             self.words.append(words)
+            # Of the rarest words of an item, those that a subsequence of the wanted length cannot do without.
+            order = np.argsort(-idf[(words & np.uint64(TERMS - 1)).astype(np.int64)], kind="stable")
+            chosen = max(len(words) // 2, len(words) - int(np.ceil(share * len(words) - 1e-9))) + 1
+            self.need.append(max(1, int(np.ceil(share * len(words) - 1e-9)) - (len(words) - chosen)))
+            kinds, counts = np.unique(words[order[:chosen]], return_counts=True)
+            rare += [(w, k, c) for w, c in zip(kinds, counts)]
             tail = self._hashes(answer) if answer is not None else words[-max(3, len(words) // 6):]
             self.answers.append(tail.tolist())
             for at in range(0, len(words), PASSAGE):
@@ -181,9 +189,37 @@ class Items:
                 if at == 0 or len(part) > SHORT:
                     vector = latent[(part & np.uint64(TERMS - 1)).astype(np.int64)].sum(axis=0)
                     probes[len(part) > SHORT].append((k, vector))
+        rare.sort()
+        self.rare_words, first = np.unique(np.array([r[0] for r in rare], np.uint64), return_index=True)
+        self.postings = np.append(first, len(rare))
+        self.rare_item = np.array([r[1] for r in rare], np.int64)
+        self.rare_count = np.array([r[2] for r in rare], np.int64)
+        self.need = np.array(self.need, np.int64)
         self.probes = [(np.array([k for k, _ in side], np.int64), _unit(np.array([v for _, v in side]).reshape(-1, latent.shape[1])))
                        for side in probes]
 
+    def met_around(self, hashes: np.ndarray, cell_of: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, item) pairs with enough of the item's rare words from ``before`` cells left to ``after`` cells right.
+
+        Every word of the text counts at most as often as the item has it, so the count bounds
+        the common subsequence from above together with the words that are not rare.
+        """
+        slot = np.minimum(np.searchsorted(self.rare_words, hashes), max(len(self.rare_words) - 1, 0))
+        at = np.flatnonzero(self.rare_words[slot] == hashes) if len(self.rare_words) else np.zeros(0, np.int64)
+        lists = self.postings[slot[at] + 1] - self.postings[slot[at]]
+        entry = np.repeat(self.postings[slot[at]] - (np.cumsum(lists) - lists), lists) + np.arange(lists.sum())
+        cell, reach = np.repeat(cell_of[at], lists), before + after + 1
+        # One row per (window cell, entry): how often the word stands there, up to the item's own count.
+        spread = (cell[:, None] + np.arange(-after, before + 1)[None, :]).ravel()
+        seen, times = np.unique(spread * np.int64(len(self.rare_item)) + np.repeat(entry, reach), return_counts=True)
+        which = seen % len(self.rare_item) if len(seen) else seen
+        times = np.minimum(times, self.rare_count[which])
+        pair, number = np.unique((seen // max(len(self.rare_item), 1)) * np.int64(len(self.ids) + 1) + self.rare_item[which], return_inverse=True)
+        total = np.bincount(number, weights=times)
+        item = pair % (len(self.ids) + 1)
+        enough = total >= self.need[item]
+        return pair[enough] // (len(self.ids) + 1), item[enough]
+
     @staticmethod
     def _hashes(text: str) -> np.ndarray:
         data = tb.lower_latin(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
@@ -202,45 +238,38 @@ def _leaks(hashes: np.ndarray, bounds: np.ndarray, items: Items, latent: np.ndar
     text_of = np.repeat(np.arange(len(cells) - 1), np.diff(cells))
     last = cells[1:][text_of]
     within = np.arange(len(starts)) - cells[:-1][text_of]
+    cell_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
     best: dict[tuple[int, int], tuple] = {}
+    margin = max(2, -(-max(len(w) for w in items.words) // CELL)) if items.words else 2
+    met_cell, met_item = items.met_around(hashes, cell_of, margin, 4 + margin)
+    inside = (met_cell >= 0) & (met_cell < len(starts))
+    met_cell, met_item = met_cell[inside], met_item[inside]
     for (owner, probe), span, step in zip(items.probes, (2, 4), (1, 2)):
         if not len(owner):
             continue
-        cell = np.flatnonzero(within % step == 0)
+        of_side = np.isin(met_item, owner) & (within[met_cell] % step == 0)
+        cell, item = met_cell[of_side], met_item[of_side]
         stop = np.minimum(cell + span, last[cell])
-        vectors = _unit(running[stop] - running[cell]).astype(np.float32)
-        for lo in range(0, len(cell), 8192):
-            similar = vectors[lo: lo + 8192] @ probe.T.astype(np.float32)
-            rows, columns = np.nonzero(similar >= cosine)
-            order = np.argsort(columns, kind="stable")
-            rows, columns = rows[order], columns[order]
-            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(columns)) + 1):
-                if not len(part):
-                    continue
-                item = int(owner[columns[part[0]]])
-                words = items.words[item]
-                at = cell[lo + rows[part]]
-                begin = np.maximum(starts[at] - max(2 * CELL, len(words)), bounds[text_of[at]])
-                finish = np.minimum(starts[at] + span * CELL + max(2 * CELL, len(words)), bounds[text_of[at] + 1])
-                for k in range(0, len(part), 256):
-                    piece = slice(k, k + 256)
-                    width = int((finish[piece] - begin[piece]).max())
-                    index = begin[piece, None] + np.arange(width)
-                    region = np.where(index < finish[piece, None], hashes[np.minimum(index, len(hashes) - 1)], np.uint64(0))
-                    present = np.stack([(region == w).any(axis=1) for w in np.unique(words)], axis=1)
-                    bound = present[:, np.unique(words, return_inverse=True)[1]].sum(axis=1)
-                    for r in np.flatnonzero(bound >= paraphrase * len(words)):
-                        a, b = int(begin[piece][r]), int(finish[piece][r])
-                        text = int(text_of[at[piece][r]])
-                        around = hashes[a:b].tolist()
-                        length = common_subsequence(words.tolist(), around)
-                        kind = "near" if length >= near * len(words) else "paraphrase" if (
-                            length >= paraphrase * len(words) and _stands(items.answers[item], around)) else None
-                        if kind:
-                            value = (length, float(similar[rows[part[k + r]], columns[part[0]]]), a - int(bounds[text]), kind)
-                            old = best.get((text, item))
-                            if old is None or value[:2] > old[:2]:
-                                best[text, item] = value
+        vectors = _unit(running[stop] - running[cell])
+        first = np.searchsorted(owner, item)
+        similar = np.full(len(cell), -1.0)
+        # An item of several probes is near if one of them is.
+        for more in range(int(np.bincount(owner).max())):
+            ok = (first + more < len(owner)) & (owner[np.minimum(first + more, len(owner) - 1)] == item)
+            similar[ok] = np.maximum(similar[ok], (vectors[ok] * probe[first[ok] + more]).sum(axis=1))
+        near_ = np.flatnonzero(similar >= cosine)
+        for c, i, value in zip(cell[near_].tolist(), item[near_].tolist(), similar[near_].tolist()):
+            words, text = items.words[i], int(text_of[c])
+            a = max(int(starts[c]) - margin * CELL, int(bounds[text]))
+            around = hashes[a: min(int(starts[c]) + (span + margin) * CELL, int(bounds[text + 1]))].tolist()
+            length = common_subsequence(words.tolist(), around)
+            kind = "near" if length >= near * len(words) else "paraphrase" if (
+                length >= paraphrase * len(words) and _stands(items.answers[i], around)) else None
+            if kind:
+                found = (length, value, a - int(bounds[text]), kind)
+                old = best.get((text, i))
+                if old is None or found[:2] > old[:2]:
+                    best[text, i] = found
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
@@ -250,7 +279,7 @@ def _stands(needle: list[int], words: list[int]) -> bool:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None,
-               item_key: str = "item_id", item_text: str = "text", answer: str = "answer", cosine: float = 0.45,
+               item_key: str = "item_id", item_text: str = "text", answer: str = "answer", cosine: float = 0.2,
                near: float = 0.75, paraphrase: float = 0.6, item_block: int = 20_000) -> DataFrame:
     """The columns ``keep`` (default: all) with ``leaks``: item, item_words, common, cosine, at (word), kind."""
     names = [c for c in (keep if keep is not None else docs.columns) if c != "leaks"]
@@ -258,7 +287,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
         F.col(item_key).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("words"),
         (F.col(answer).cast("string") if answer in benchmark.columns else F.lit(None).cast("string")).alias("answer"))
     blocks = max(1, -(-items.count() // item_block))
-    latent = latent_map(docs, text)
+    latent, idf = latent_map(docs, text)
     hits = "array<struct<item: bigint, item_words: bigint, common: bigint, cosine: double, at: bigint, kind: string>>"
     carried = [c for c in names if c != text]
     out = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]).alias("_doc"), F.col(text).cast("string").alias("_text"),
@@ -267,7 +296,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     for b in range(blocks):
         # About item_block items, whatever the benchmark's size.
         some = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).orderBy("item", "words").toPandas()
-        known = Items(some["item"].tolist(), some["words"].tolist(), [a if isinstance(a, str) else None for a in some["answer"]], latent)
+        known = Items([None if pd.isna(i) else int(i) for i in some["item"]], some["words"].tolist(), [a if isinstance(a, str) else None for a in some["answer"]],
+                      latent, idf, min(near, paraphrase))
         out = out.mapInArrow(_scanner(known, latent, cosine, near, paraphrase, b + 1 == blocks and text not in names),
                              f"_doc {kind}, _text string, leaks {hits}")
     return out.select(*[F.col("_text").alias(c) if c == text else F.col(f"_doc.`{c}`") for c in names],
