@@ -196,7 +196,7 @@ def classify_urls(url_table: DataFrame, cache: DataFrame, pages: DataFrame, now,
     landed = pages.select(
         F.col("url").alias("_page"), html.page_status(F.col("html")).alias("status_fonte"),
         html.page_title(F.col("html")).alias("titulo"), html.page_date_text(F.col("html")).alias("_data"),
-    ).dropDuplicates(["_page"])
+    ).groupBy("_page").agg(F.max(F.struct("status_fonte", "titulo", "_data")).alias("_r")).select("_page", "_r.*")
     rows = (
         ided.join(known, F.col("_id.id_externo") == F.col("_known"), "left")
         .join(landed, F.col("url") == F.col("_page"), "left")

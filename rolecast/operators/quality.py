@@ -150,7 +150,7 @@ def check_application_answers(rows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- paged snapshots
 
 
-def validate_snapshot(pages: DataFrame, chunk: int = 1000):
+def validate_snapshot(pages: DataFrame):
     """SRC-11: (rows, violations); one violation anywhere rejects the whole snapshot.
 
     ``pages``: (snapshot_id, indice, cursor_entrada, proximo_cursor, tem_mais,
@@ -159,7 +159,7 @@ def validate_snapshot(pages: DataFrame, chunk: int = 1000):
     last = pages.groupBy("snapshot_id").agg(F.max("indice").alias("_ultima"))
     slim = pages.drop("vagas")
     linked = with_previous(
-        slim, "snapshot_id", ["indice"], ["proximo_cursor"], F.floor(F.col("indice") / chunk)).join(last, "snapshot_id")
+        slim, "snapshot_id", ["indice"], ["proximo_cursor"]).join(last, "snapshot_id")
     is_last = F.col("indice") == F.col("_ultima")
     more = F.col("tem_mais")
     broken = _reasons(

@@ -26,8 +26,9 @@ def upsert_cache(old: DataFrame, new: DataFrame, now, sparse: tuple = ()) -> Dat
     for fields that not every source sets.
     """
     columns = [c for c in dict.fromkeys(old.columns + new.columns) if c not in ("id_externo", "encontrada_em")]
-    fresh = new.dropDuplicates(["id_externo"]).select(
-        "id_externo", F.struct(*[c for c in new.columns if c != "id_externo"]).alias("n"), F.lit(True).alias("_new"))
+    # Of several new rows of an id the latest stays; equal ones fall back on the content, so the choice is always the same.
+    row = F.struct(*[c for c in new.columns if c != "id_externo"])
+    fresh = new.groupBy("id_externo").agg(F.max_by(row, _newest(new)).alias("n")).withColumn("_new", F.lit(True))
     kept = old.select(
         "id_externo", F.struct(*[c for c in old.columns if c != "id_externo"]).alias("o"), F.lit(True).alias("_old"))
 
@@ -46,6 +47,12 @@ def upsert_cache(old: DataFrame, new: DataFrame, now, sparse: tuple = ()) -> Dat
         "id_externo", *[merged(c).alias(c) for c in columns], stamp.alias("encontrada_em"))
 
 
+def _newest(df: DataFrame) -> Column:
+    """A full order of an id's rows: by update, publication, place, then content."""
+    times = [F.col(c) for c in ("atualizada_em", "publicada_em", "seq") if c in df.columns]
+    return F.struct(*times, F.xxhash64(*[F.col(c) for c in df.columns]).alias("_content"))
+
+
 def expunge(cache: DataFrame, now, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY):
     """SNK-01: (rows that still pass today's filter, rows that do not, with the reason)."""
     judged = filters.with_reason(cache, now, profile, kw, parity)
@@ -75,7 +82,9 @@ def register(board: DataFrame, approved: DataFrame, now):
     salario_texto, publicada_em, registrada_em).
     """
     instant = F.lit(now).cast("timestamp")
-    seen = approved.filter("id_externo IS NOT NULL").dropDuplicates(["id_externo"])
+    rows = approved.filter("id_externo IS NOT NULL")
+    row = F.struct(*[c for c in rows.columns if c != "id_externo"])
+    seen = rows.groupBy("id_externo").agg(F.max_by(row, _newest(rows)).alias("r")).select("id_externo", "r.*")
     fresh = seen.select(F.col("id_externo").alias("id"), F.struct(*_snapshot(seen)).alias("s"))
     joined = board.join(fresh, "id", "full")
     is_new = F.col("status").isNull()
@@ -117,7 +126,7 @@ def apply_moves(board: DataFrame, moves: DataFrame):
     with its reason; a move to the status a card has is no event.  Several
     moves of one card chain in the order they were made.
     """
-    from rolecast.operators.windows import time_bucket, with_previous
+    from rolecast.operators.windows import with_previous
 
     known = F.col("para").isin(*BOARD_STATUSES, *BOARD_EXTRA)
     tagged = moves.join(board.select("id", F.col("status").alias("_atual")), "id", "left")
@@ -127,7 +136,7 @@ def apply_moves(board: DataFrame, moves: DataFrame):
     judged = tagged.withColumn("motivo", why)
     rejected = judged.filter("motivo IS NOT NULL").select("id", "para", "por", "em", "motivo")
     valid = judged.filter("motivo IS NULL")
-    chained = with_previous(valid, "id", ["em", "seq"], ["para"], time_bucket("em"))
+    chained = with_previous(valid, "id", ["em", "seq"], ["para"])
     events = (
         chained.withColumn("de", F.coalesce("ant_para", "_atual")).filter("de <> para")
         .select("id", "em", "de", "para", "por"))

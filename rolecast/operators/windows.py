@@ -5,8 +5,9 @@ of an id in one task.  Two shapes avoid it:
 
 * "first/last n per key" is written as ``row_number() <= n``, which Spark cuts
   to n rows per key before the shuffle (window group limit);
-* "previous value" and "running total" work in two levels: inside (key, time
-  bucket) with a window, and across buckets on one summary row per bucket.
+* "previous value" and "running total" cut the rows by range over (key, order)
+  into parts of about equal size, whatever a key's share, with a window inside
+  a part and one summary row per key and part across parts.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "_bucket"
+from rolecast.operators.shaping import cut_lineage
+
+_PART = "_part"
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -26,7 +29,8 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def prefer_described(df: DataFrame, key: str = "link", seq: str = "seq") -> DataFrame:
     """WIN-02: per URL the row that has a description, else the first one."""
     described = F.coalesce(F.length("descricao"), F.lit(0)) > 0
-    return first_per_key(df, [key], F.desc(described), F.col(seq))
+    # Equal places, as of pages that list a posting each, fall back on the content.
+    return first_per_key(df, [key], F.desc(described), F.col(seq), F.xxhash64(*[F.col(c) for c in df.columns if c != seq]))
 
 
 def last_n(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
@@ -43,43 +47,46 @@ def history_tail(df: DataFrame, key: str, n: int, order: list[str], row: list[st
         lambda x: x["e"]).alias("historico"))
 
 
-def time_bucket(ts: str, width: str = "day") -> Column:
-    return F.date_trunc(width, F.col(ts).cast("timestamp"))
+def _in_parts(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows with the number of their part, in ascending order of (key, order).
+
+    Written, because the cuts of a range partitioning are drawn anew each time it
+    is computed, and the levels above have to agree on them.
+    """
+    cut = df.repartitionByRange(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
+    return cut_lineage(cut.withColumn(_PART, F.spark_partition_id()), "parts")
 
 
-def with_previous(df: DataFrame, key: str, order: list[str], values: list[str], bucket: Column,
-                  prefix: str = "ant_") -> DataFrame:
+def with_previous(df: DataFrame, key: str, order: list[str], values: list[str], prefix: str = "ant_") -> DataFrame:
     """WIN-04, WIN-06, WIN-08: the previous row's values within the key.
 
-    ``bucket`` must never decrease along the order.  The window runs inside
-    (key, bucket); only the first row of a bucket looks at the summary of the
-    buckets before it.
+    The window runs inside (key, part); only the first row of a part looks at
+    the last row of the key in the parts before.
     """
-    df = df.withColumn(_BUCKET, bucket)
-    inside = Window.partitionBy(key, _BUCKET).orderBy(*order)
+    parts = _in_parts(df, key, order)
+    inside = Window.partitionBy(key, _PART).orderBy(*order)
     payload = F.struct(*values)
-    local = df.withColumn("_prev", F.lag(payload).over(inside)).withColumn("_n", F.row_number().over(inside))
-    last = df.groupBy(key, _BUCKET).agg(F.max_by(payload, F.struct(*order)).alias("_last"))
-    carried = last.withColumn(
-        "_carry", F.lag("_last").over(Window.partitionBy(key).orderBy(_BUCKET))).drop("_last")
-    joined = local.join(carried, [key, _BUCKET], "left")
+    local = parts.withColumn("_prev", F.lag(payload).over(inside)).withColumn("_n", F.row_number().over(inside))
+    last = parts.groupBy(key, _PART).agg(F.max_by(payload, F.struct(*order)).alias("_last"))
+    carried = last.select(
+        F.col(key).alias("_k"), F.col(_PART).alias("_p"), F.lag("_last").over(Window.partitionBy(key).orderBy(_PART)).alias("_carry"))
+    joined = local.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col(_PART) == F.col("_p")), "left").drop("_k", "_p")
     prev = F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    return joined.select(
-        *[c for c in df.columns if c != _BUCKET], prev.alias("_p")).select(
-        *[c for c in df.columns if c != _BUCKET], *[F.col(f"_p.{v}").alias(prefix + v) for v in values])
+    return joined.select(*df.columns, prev.alias("_p")).select(
+        *df.columns, *[F.col(f"_p.{v}").alias(prefix + v) for v in values])
 
 
-def with_running_sum(df: DataFrame, key: str, order: list[str], amount: str, bucket: Column,
-                     name: str = "acumulado") -> DataFrame:
+def with_running_sum(df: DataFrame, key: str, order: list[str], amount: str, name: str = "acumulado") -> DataFrame:
     """Running total per key in two levels, as in :func:`with_previous`."""
-    df = df.withColumn(_BUCKET, bucket)
-    inside = Window.partitionBy(key, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(key, _BUCKET).agg(F.sum(amount).alias("_s"))
-    before = Window.partitionBy(key).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    parts = _in_parts(df, key, order)
+    inside = Window.partitionBy(key, _PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.groupBy(key, _PART).agg(F.sum(amount).alias("_s"))
+    before = Window.partitionBy(key).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col(key).alias("_k"), F.col(_PART).alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
     return (
-        df.withColumn("_in", F.sum(amount).over(inside)).join(offsets, [key, _BUCKET])
-        .withColumn(name, F.col("_in") + F.col("_off")).drop("_in", "_off", _BUCKET))
+        parts.withColumn("_in", F.sum(amount).over(inside))
+        .join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col(_PART) == F.col("_p")))
+        .select(*df.columns, (F.col("_in") + F.col("_off")).alias(name)))
 
 
 def latest_status(events: DataFrame, key: str = "id", order: tuple = ("em",), status: str = "para") -> DataFrame:
@@ -96,13 +103,13 @@ def status_as_of(events: DataFrame, instant: Column, key: str = "id", order: tup
 
 def transitions(events: DataFrame, key: str = "id", order: tuple = ("em", "seq"), status: str = "para") -> DataFrame:
     """WIN-04: (de → para) of each event; equal consecutive statuses are no move."""
-    moved = with_previous(events, key, list(order), [status], time_bucket(order[0]))
+    moved = with_previous(events, key, list(order), [status])
     return moved.withColumnRenamed(f"ant_{status}", "de").filter(F.col("de").isNull() | (F.col("de") != F.col(status)))
 
 
-def chain_breaks(df: DataFrame, key: str, order: str, points_to: str, points_from: str, bucket: Column) -> DataFrame:
+def chain_breaks(df: DataFrame, key: str, order: str, points_to: str, points_from: str) -> DataFrame:
     """WIN-06: rows whose incoming cursor is not the previous row's outgoing one."""
-    linked = with_previous(df, key, [order], [points_to], bucket)
+    linked = with_previous(df, key, [order], [points_to])
     return linked.withColumn("ok", F.col(points_from).eqNullSafe(F.col(f"ant_{points_to}")))
 
 

@@ -195,7 +195,7 @@ def running_value(spark, sf):
     """Running total of the event value per user, in two levels."""
     ev = _t(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
     return windows.with_running_sum(
-        ev, "user_id", ["ts", "event_id"], "cents", windows.time_bucket("ts")).select("event_id", "acumulado")
+        ev, "user_id", ["ts", "event_id"], "cents").select("event_id", "acumulado")
 
 
 def local_day_counts(spark, sf):
@@ -232,7 +232,7 @@ def turn_chain_check(spark, sf):
     """WIN-06: each turn must follow the turn before it."""
     conv = _t(spark, sf, "conversations").select(
         "conv_id", "turn", F.when(F.col("turn") > 0, F.col("turn")).alias("entrada"), (F.col("turn") + 1).alias("saida"))
-    checked = windows.chain_breaks(conv, "conv_id", "turn", "saida", "entrada", F.floor(F.col("turn") / 1000))
+    checked = windows.chain_breaks(conv, "conv_id", "turn", "saida", "entrada")
     return checked.select("conv_id", "turn", "ok")
 
 

@@ -13,13 +13,16 @@ from rolecast.operators.shaping import bind
 from rolecast.operators.windows import first_per_key, prefer_described
 from rolecast.sources import items
 from rolecast.sources.items import ITEM, each, flag, join_parts, js, strings, txt
-from rolecast.sources.landing import POSTING_FIELDS, payloads
+from rolecast.sources.landing import POSTING_FIELDS, latest, payloads
 
 
 def shape(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """Every posting column, typed; what a source does not give is NULL."""
-    order = F.monotonically_increasing_id() if "pos" not in rows.columns else F.col("pos").cast("bigint")
+    order = F.col("pos").cast("bigint") if "pos" in rows.columns else F.lit(0)
     fields = {"seq": order, **fields}
+    if "fetched_at" in rows.columns and "url" in rows.columns:
+        rows = rows.withColumn("_landed", F.struct("fetched_at", "url"))
+        return rows.select(*[fields.get(c, F.lit(None)).cast(t).alias(c) for c, t in POSTING_FIELDS.items()], "_landed")
     return rows.select(*[fields.get(c, F.lit(None)).cast(t).alias(c) for c, t in POSTING_FIELDS.items()])
 
 
@@ -32,8 +35,11 @@ def _interesting(title: Column, kw) -> Column:
 
 
 def _distinct(df: DataFrame) -> DataFrame:
-    """WIN-01: the first arrival of each id."""
-    return first_per_key(df.filter("id_externo IS NOT NULL"), ["id_externo"], F.col("seq"))
+    """WIN-01: the first arrival of each id: by landing, page, place on the page, then content."""
+    landed = [F.col("_landed")] if "_landed" in df.columns else []
+    kept = first_per_key(df.filter("id_externo IS NOT NULL"), ["id_externo"], *landed, F.col("seq"),
+                         F.xxhash64("titulo", "empresa", "descricao", "link"))
+    return kept.drop("_landed")
 
 
 def gupy(raw: DataFrame, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
@@ -74,7 +80,7 @@ def inhire(raw: DataFrame, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
     """PV-03: list pages, then the detail payload of each posting of interest (SRC-13, FLT-15)."""
     listed = items.json_items(payloads(raw, "inhire", r"/pages/?$"), "$.jobsPage").filter(
         _interesting(js("displayName"), kw))
-    detail = payloads(raw, "inhire", r"/pages/[^/]+$").select(
+    detail = latest(payloads(raw, "inhire", r"/pages/[^/]+$")).select(
         F.regexp_extract("url", r"/pages/([^/?#]+)$", 1).alias("_id"), F.col("entry").alias("_tenant"),
         F.try_parse_json("body").alias("d"))
     rows = listed.withColumn("_job", txt("jobId")).join(
@@ -97,9 +103,8 @@ def inhire(raw: DataFrame, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
 
 
 def _detail_text(raw: DataFrame, source: str, url_pattern: str, extract) -> DataFrame:
-    pages = payloads(raw, source, url_pattern)
-    return pages.select(F.col("url").alias("_page"), F.col("body").alias("_html"), extract(F.col("body")).alias("_texto")
-                        ).dropDuplicates(["_page"])
+    pages = latest(payloads(raw, source, url_pattern), "url")
+    return pages.select(F.col("url").alias("_page"), F.col("body").alias("_html"), extract(F.col("body")).alias("_texto"))
 
 
 def _after_label(page: Column, label: str, skip_label: bool) -> Column:
@@ -192,9 +197,9 @@ def arc(raw: DataFrame, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
     link = F.concat(F.lit("https://arc.dev/remote-jobs/details/"), txt("urlString"), F.lit("-"), key)
     rows = lists.select("*", key.alias("_key"), link.alias("_link")).filter("_link IS NOT NULL")
     embedded = F.try_parse_json(F.regexp_extract("body", r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1))
-    detail = payloads(raw, "arc", r"/remote-jobs/details/").select(F.col("url").alias("_page"), embedded.alias("_doc")).select(
+    detail = latest(payloads(raw, "arc", r"/remote-jobs/details/"), "url").select(F.col("url").alias("_page"), embedded.alias("_doc")).select(
         "_page", F.try_variant_get("_doc", "$.props.pageProps.job", "variant").alias("d"),
-        F.try_variant_get("_doc", "$.props.pageProps.company.name", "string").alias("_co")).dropDuplicates(["_page"])
+        F.try_variant_get("_doc", "$.props.pageProps.company.name", "string").alias("_co"))
     rows = rows.join(detail, F.col("_link") == F.col("_page"), "left")
     both = lambda p, k="string": F.coalesce(js(p, k, "d"), js(p, k))
     when = lambda p: F.coalesce(dates.from_epoch(both(p, "double"), "s"), dates.loose_iso(both(p)))
@@ -223,7 +228,7 @@ def ux_remote_talent(raw: DataFrame, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
         ITEM, r'(?s)card-job-detail card-company-name"[^>]*>\s*<div[^>]*>(.*?)</div>', 1))
     details = F.transform(F.regexp_extract_all(ITEM, F.lit(pill), F.lit(1)), html.clean_html)
     rows = rows.select(
-        "url", "pos", F.nullif(F.regexp_extract(ITEM, r'href="(/ux-job/[^"]+)"', 1), F.lit("")).alias("_href"),
+        "url", "fetched_at", "pos", F.nullif(F.regexp_extract(ITEM, r'href="(/ux-job/[^"]+)"', 1), F.lit("")).alias("_href"),
         items.clean_text(F.regexp_extract(ITEM, r'(?s)<h2[^>]*class="[^"]*regular-job-title[^"]*"[^>]*>(.*?)</h2>', 1)).alias("_titulo"),
         company.alias("_empresa"), details.alias("_det"),
         html.clean_html(F.regexp_extract(ITEM, r'(?s)class="regular-job-info date"[^>]*>(.*?)</div>', 1)).alias("_data"),
@@ -236,7 +241,7 @@ def ux_remote_talent(raw: DataFrame, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
     rows = rows.filter(F.coalesce(filters.accepts_brazil_pill(F.col("_restricao")), F.lit(True)))
     block = lambda b: F.get(F.split(b, "rich-text-block w-richtext"), F.lit(1))
     detail = _detail_text(raw, "uxremotetalent", "/ux-job/", lambda b: html.clean_html(
-        F.array_join(F.slice(F.split(block(b), "</div>"), 1, 40), " ")))
+        F.replace(block(b), F.lit("</div>"), F.lit(" "))))
     rows = rows.join(detail, F.col("_link") == F.col("_page"), "left")
     enough = F.coalesce(F.length("_texto") > 40, F.lit(False))
     return _distinct(shape(rows, dict(
@@ -267,10 +272,10 @@ def ux_jobs(raw: DataFrame, now, kw=DEFAULT_KEYWORDS, max_days: int = 45) -> Dat
         & ~F.coalesce(txt("sen") == "Junior / Entry", F.lit(False)) & _interesting(F.col("_titulo"), kw)
     ).withColumn("_pagina", F.concat(F.lit("https://jobs.uxjobs.io/jobs/"), "_slug", F.lit("/")))
     # SRC-13: a cut-off or very short detail text is no description.
-    detail = items.ld_json(payloads(raw, "uxjobs", "/jobs/")).select(
+    detail = items.ld_json(latest(payloads(raw, "uxjobs", "/jobs/"), "source", "entry", "url")).select(
         F.col("url").alias("_page"), html.clean_html(js("description")).alias("_texto")).filter(
         (F.length("_texto") > 40) & ~F.col("_texto").rlike(r"(…|\.\.\.)\s*$"))
-    rows = rows.join(first_per_key(detail, ["_page"], F.desc(F.length("_texto"))), F.col("_pagina") == F.col("_page"), "left")
+    rows = rows.join(first_per_key(detail, ["_page"], F.desc(F.length("_texto")), F.col("_texto")), F.col("_pagina") == F.col("_page"), "left")
     return _distinct(shape(rows, dict(
         id_externo=F.concat(F.lit("uxjobs:"), F.col("_slug")), fonte=F.lit("UX Jobs"), camada=F.lit("API"), titulo=F.col("_titulo"),
         empresa=txt("co"), descricao=F.col("_texto"), descricao_pendente=F.col("_texto").isNull(), link=F.col("_link"),
@@ -401,25 +406,25 @@ def portal(raw: DataFrame, key: str, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
     from rolecast.sources.search import anchors
 
     name, host, path = PORTALS[key]
-    pages = payloads(raw, key)
+    pages = latest(payloads(raw, key))
     link = lambda c: urls.portal_link(c, f"https://{host}", host, path)
     first = lambda p: F.coalesce(txt(p), txt(p.replace("jobLocation", "jobLocation[0]")))
     remote = F.when(txt("jobLocationType") == "TELECOMMUTE", True)
     described = items.ld_json(pages).select(
-        F.col("pos").cast("bigint").alias("seq"), link(txt("url")).alias("link"), html.clean_html(js("title")).alias("titulo"),
+        F.struct(F.lit(0).alias("kind"), F.col("pos").cast("bigint").alias("pos")).alias("place"), link(txt("url")).alias("link"), html.clean_html(js("title")).alias("titulo"),
         html.clean_html(js("description")).alias("descricao"), txt("hiringOrganization.name").alias("empresa"),
         first("jobLocation.address.addressLocality").alias("cidade"), first("jobLocation.address.addressRegion").alias("estado"),
         first("jobLocation.address.addressCountry").alias("pais"), remote.alias("remoto"),
         dates.strict_iso(F.coalesce(js("datePosted"), F.lit(""))).alias("publicada_em"),
         dates.strict_iso(F.coalesce(js("validThrough"), F.lit(""))).alias("prazo"))
     linked = anchors(pages.select("body"), "body").select(
-        (F.col("pos") + 1_000_000).cast("bigint").alias("seq"), link(F.col("href")).alias("link"), F.col("texto").alias("titulo"))
+        F.struct(F.lit(1).alias("kind"), F.col("pos").cast("bigint").alias("pos")).alias("place"), link(F.col("href")).alias("link"), F.col("texto").alias("titulo"))
     rows = described.unionByName(linked, allowMissingColumns=True).filter(
         "link IS NOT NULL AND length(titulo) BETWEEN 3 AND 240")
-    rows = prefer_described(rows)
+    rows = prefer_described(rows, seq="place")
     pending = F.coalesce(F.length("descricao"), F.lit(0)) == 0
     return shape(rows, dict(
-        seq=F.col("seq"), id_externo=F.concat(F.lit(key + ":"), F.substring(F.sha1("link"), 1, 12)), fonte=F.lit(name),
+        seq=F.col("place.pos"), id_externo=F.concat(F.lit(key + ":"), F.substring(F.sha1("link"), 1, 12)), fonte=F.lit(name),
         camada=F.lit("HTML público"), titulo=F.col("titulo"), empresa=F.col("empresa"), descricao=F.coalesce("descricao", F.lit("")),
         link=F.col("link"), cidade=F.col("cidade"), estado=F.col("estado"), pais=F.col("pais"),
         modelo=F.when(F.col("remoto"), "remoto"), remoto=F.col("remoto"), publicada_em=F.col("publicada_em"), prazo=F.col("prazo"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolecast.functions import html
 from rolecast.functions.text import collapse, let
 
-KEEP = ("source", "entry", "url")
+KEEP = ("source", "entry", "url", "fetched_at")
 ITEM = "item"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ``source`` is the partition column: a normalizer reads only its own payloads.
+# ``source`` and the day of landing are the partition columns: a normalizer reads only its own payloads.
 RAW_SCHEMA = "source string, entry string, fetched_at timestamp, url string, http_status int, body string"
 
 # The columns every normalizer delivers, with their types.
@@ -23,20 +23,31 @@ POSTING_FIELDS = {
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_SCHEMA).parquet(path)
+    return spark.read.schema(RAW_SCHEMA + ", day date").parquet(path)
 
 
 def write_raw(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("source").parquet(path)
+    df.withColumn("day", F.to_date("fetched_at")).write.mode("append").partitionBy("source", "day").parquet(path)
 
 
-def payloads(raw: DataFrame, source: str, kind: str | None = None) -> DataFrame:
-    """Usable payloads of one source; ``kind`` narrows by a pattern on the URL."""
+def payloads(raw: DataFrame, source: str, kind: str | None = None, since=None) -> DataFrame:
+    """Usable payloads of one source; ``kind`` narrows by a pattern on the URL, ``since`` by the day of landing."""
     df = raw.filter((F.col("source") == source) & F.col("body").isNotNull() & F.coalesce(
         F.col("http_status") < 400, F.lit(True)))
+    if since is not None:
+        df = df.filter(F.col("fetched_at") >= F.lit(since).cast("timestamp"))
+        if "day" in df.columns:  # prunes the landing zone's folders
+            df = df.filter(F.col("day") >= F.to_date(F.lit(since).cast("timestamp")))
     return df.filter(F.col("url").rlike(kind)) if kind else df
 
 
+def latest(pages: DataFrame, *keys: str) -> DataFrame:
+    """The newest landing of each page; equal instants fall back on the content."""
+    keys = keys or ("source", "entry", "url")
+    row = F.struct(*[c for c in pages.columns if c not in keys])
+    return pages.groupBy(*keys).agg(F.max_by(row, F.struct("fetched_at", F.xxhash64("body"))).alias("_r")).select(*keys, "_r.*")
+
+
 def config_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-14: a JSON configuration file as a table with a declared schema."""
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)

@@ -25,6 +25,15 @@ def provider_jobs(raw: DataFrame, now, only: tuple[str, ...] | None = None) -> D
     frames = [
         providers.jobs_of(spec, payloads(raw, spec.id), now)
         for spec in providers.SPECS if only is None or spec.id in only]
+    if frames and (only is None or "workday" in only or "greenhouse" in only):
+        # Detail payloads land beside the lists and fill in what a list row leaves out.
+        parts = reduce(lambda a, b: a.unionByName(b), frames)
+        listed = parts.filter(~F.col("source").isin("workday", "greenhouse"))
+        workday = providers.workday_details(
+            parts.filter("source = 'workday'"), payloads(raw, "workday").filter(F.col("body").contains('"jobPostingInfo"')))
+        greenhouse = providers.with_offices(
+            parts.filter("source = 'greenhouse'"), providers.office_map(payloads(raw, "greenhouse", r"/offices/?$")))
+        frames = [listed, *[f.select(*listed.columns) for f in (workday, greenhouse)]]
     if only is None or "builtin" in only:
         cards = providers.builtin_jobs(payloads(raw, "builtin"), now)
         frames.append(cards.select(*frames[0].columns) if frames else cards)

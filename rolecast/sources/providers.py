@@ -17,6 +17,7 @@ from rolecast.functions import dates, html, money, text, urls
 from rolecast.functions.text import let
 from rolecast.operators.shaping import bind
 from rolecast.sources import items
+from rolecast.sources.landing import latest
 from rolecast.sources.items import (
     ITEM, each, flag, https_url, join_parts, js, remote_if, strings, tag, txt, web_url,
 )
@@ -67,6 +68,7 @@ def _after_icon(segment: Column, icon: str) -> Column:
 
 def builtin_jobs(df: DataFrame, now) -> DataFrame:
     """JN-09: list rows of the page joined to the cards of the page by job id."""
+    df = latest(df)
     entry = r'(\{"@type":"ListItem","position":\d+,"name":"(?:[^"\\]|\\.)*+","url":"(?:[^"\\]|\\.)*+"(?:,"description":"(?:[^"\\]|\\.)*+")?\})'
     listed = df.select(*items.KEEP, F.posexplode(F.regexp_extract_all("body", F.lit(entry), F.lit(1))).alias("pos", "t"))
     listed = listed.select(*items.KEEP, "pos", F.try_parse_json("t").alias(ITEM)).select(
@@ -87,7 +89,9 @@ def builtin_jobs(df: DataFrame, now) -> DataFrame:
             ("_mode", "fa-house-building"), ("_place", "fa-location-dot"), ("_clock", "fa-clock"), ("_pay", "fa-sack-dollar"))],
         html.decode_entities(F.regexp_extract(
             "after", r'aria-label="Job locations"[^>]*data-bs-title="([^"]*)"', 1)).alias("_tooltip"),
-    ).dropDuplicates(["_page", "job_id"])
+    )
+    cards = cards.groupBy("_page", "job_id").agg(F.min(F.struct(*[c for c in cards.columns if c not in ("_page", "job_id")])).alias("_r")).select(
+        "_page", "job_id", "_r.*")
     modes = F.create_map(*[F.lit(x) for m in ("Remote or Hybrid", "Remote", "Hybrid", "In-Office") for x in (m.lower(), m)])
     tips = F.filter(F.transform(F.split("_tooltip", r"(?i)</div>|<br\s*/?>"), lambda t: F.trim(
         F.regexp_replace(t, "<[^>]*>", " "))), lambda t: t != "")
@@ -156,7 +160,7 @@ def layout_drift(raw: DataFrame) -> DataFrame:
 
 def _hn_rows(df: DataFrame) -> DataFrame:
     """Comments with their text lines, decoded once per comment."""
-    rows = items.json_items(df, "$.children", "$.hits")
+    rows = items.json_items(df, "$.children", "$.hits").filter(~flag("deleted") & ~flag("dead"))
     t = F.regexp_replace(F.coalesce(js("text"), F.lit("")), r'(?i)<a\s[^>]*href="([^"]+)"[^>]*>.*?</a>', "$1")
     t = F.regexp_replace(t, r"(?i)</?(?:p|br|div|li|h[1-6])\b[^>]*>", "\n")
     t = html.decode_entities(F.regexp_replace(t, "<[^>]+>", " "), html.PROVIDER_ENTITIES, keep_invalid=True)
@@ -173,7 +177,8 @@ def _hn_fields(now) -> dict[str, Column]:
         title=F.trim(F.regexp_replace(F.regexp_replace(first, r"https?://\S+", ""), r"\s{2,}", " ")),
         url=F.coalesce(F.nullif(link, F.lit("")), F.col("url")),
         company=F.when(F.size(parts) >= 2, F.nullif(F.get(parts, F.lit(0)), F.lit(""))),
-        location=F.when(F.size(parts) >= 3, F.trim(F.regexp_replace(F.get(parts, F.lit(2)), r"https?://\S+", ""))).otherwise(""))
+        location=F.when(F.size(parts) >= 3, F.trim(F.regexp_replace(F.get(parts, F.lit(2)), r"https?://\S+", ""))).otherwise(""),
+        posted_at=_iso("created_at"))
 
 
 def latest_thread(searches: DataFrame) -> DataFrame:
@@ -230,7 +235,7 @@ def workday_details(jobs: DataFrame, details: DataFrame) -> DataFrame:
 
     ``details``: landed detail payloads, one per posting URL.
     """
-    info = details.select(F.col("url").alias("_u"), F.try_parse_json("body").alias(ITEM)).select(
+    info = latest(details, "url").select(F.col("url").alias("_u"), F.try_parse_json("body").alias(ITEM)).select(
         "_u",
         F.nullif(F.array_join(F.array_distinct(F.filter(F.transform(F.concat(
             F.array(js("jobPostingInfo.location")), strings("jobPostingInfo.additionalLocations")), lambda p: F.trim(p)),

@@ -118,7 +118,7 @@ def fold_fingerprints(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, D
     ``batch``: (id_externo, descricao, em, seq); ``stored``: (id_externo, impressao).
     """
     printed = batch.withColumn("impressao", text.fingerprint(F.col("descricao"))).filter("impressao IS NOT NULL")
-    chained = windows.with_previous(printed, "id_externo", ["em", "seq"], ["impressao"], windows.time_bucket("em"))
+    chained = windows.with_previous(printed, "id_externo", ["em", "seq"], ["impressao"])
     known = stored.withColumnRenamed("impressao", "_antes")
     edits = chained.join(known, "id_externo", "left").withColumn("de", F.coalesce("ant_impressao", "_antes")).filter(
         "de IS NOT NULL AND de <> impressao").select("id_externo", "em", "seq", "de", F.col("impressao").alias("para"))

@@ -314,8 +314,8 @@ def test_two_level_window_equals_plain_window(spark):
     data = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randrange(400)), i, rng.randrange(9))
             for i in range(600)]
     df = spark.createDataFrame(data, "k string, ts timestamp, seq int, v int")
-    prev = {r.seq: r.ant_v for r in windows.with_previous(df, "k", ["ts", "seq"], ["v"], windows.time_bucket("ts")).collect()}
-    total = {r.seq: r.acumulado for r in windows.with_running_sum(df, "k", ["ts", "seq"], "v", windows.time_bucket("ts")).collect()}
+    prev = {r.seq: r.ant_v for r in windows.with_previous(df, "k", ["ts", "seq"], ["v"]).collect()}
+    total = {r.seq: r.acumulado for r in windows.with_running_sum(df, "k", ["ts", "seq"], "v").collect()}
     seen, sums = {}, {}
     for k, _, seq, v in sorted(data, key=lambda r: (r[1], r[2])):
         assert prev[seq] == seen.get(k)
