@@ -26,14 +26,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.llm import textbytes as tb
-from rolecast.operators.shaping import cut_lineage, scratch_path
+from rolecast.operators.shaping import cut_lineage
 
-CHUNK = 4 << 20
-_LOW = np.uint64((1 << 48) - 1)
+CHUNK = 8 << 20
+#: Bytes of an n-gram's hash below the bits that name its bucket.
+GRAM_BYTES = 6
+
+
+def pack(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit values, one byte plane after the other, compressed.
+
+    In ascending values the high planes are runs, and in counts they are zero.
+    """
+    planes = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width:].T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(blob: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, 8 - width:] = planes.T
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 def _packed_words(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -48,7 +66,7 @@ def _packed_words(docs: DataFrame, text: str, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), batch.column(0).slice(row, end - row)),
                     pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), pa.array(np.diff(bounds), pa.int64())),
-                    pa.array([distinct.tobytes()], pa.binary()), pa.array([codes.astype(np.uint32).tobytes()], pa.binary())],
+                    pa.array([pack(distinct, 8)], pa.binary()), pa.array([pack(codes.astype(np.uint64), 4)], pa.binary())],
                     names=["keys", "sizes", "words", "codes"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -60,7 +78,7 @@ class _Chunk:
 
     def __init__(self, sizes: np.ndarray, words: bytes, codes: bytes):
         self.sizes = sizes
-        self.hashes = np.frombuffer(words, np.uint64)[np.frombuffer(codes, np.uint32)]
+        self.hashes = unpack(words, 8)[unpack(codes, 4).astype(np.int64)]
         self.text = np.repeat(np.arange(len(sizes)), sizes)
         self.left = np.arange(len(self.hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
@@ -87,13 +105,13 @@ def _requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
                     distinct, _, counts, _ = chunk.grams(level)
                     bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
                     cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                    low = (distinct & _LOW).view(np.uint8).reshape(-1, 8)[:, :6]
+                    low = (distinct << np.uint64(bits)) >> np.uint64(64 - 8 * GRAM_BYTES)
                     some = np.flatnonzero(np.diff(cuts))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(some, pa.int32()), pa.array(np.full(len(some), level), pa.int32()),
                         pa.array(np.full(len(some), batch.column(0)[i].as_py()), pa.int64()),
-                        pa.array([low[cuts[b]: cuts[b + 1]].tobytes() for b in some], pa.binary()),
-                        pa.array([counts[cuts[b]: cuts[b + 1]].astype(np.uint32).tobytes() for b in some], pa.binary())],
+                        pa.array([pack(low[cuts[b]: cuts[b + 1]], GRAM_BYTES) for b in some], pa.binary()),
+                        pa.array([pack(counts[cuts[b]: cuts[b + 1]].astype(np.uint64), 4) for b in some], pa.binary())],
                         names=["bucket", "level", "chunk", "grams", "counts"])
 
     return chunks.select("chunk", "sizes", "words", "codes").mapInArrow(
@@ -104,22 +122,17 @@ def _answers(requests: DataFrame) -> DataFrame:
     """(chunk, level, bucket, totals): corpus counts in the order of each request."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(g, np.uint8).reshape(-1, 6) for g in table.column("grams").to_pylist()]
+        parts = [unpack(g, GRAM_BYTES) for g in table.column("grams").to_pylist()]
         sizes = np.array([len(p) for p in parts])
-        wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-        wide[:, :6] = np.concatenate(parts)
-        wide[:, 7] = np.repeat(table.column("level").to_numpy(), sizes)
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()])
-        _, number = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+        level = np.repeat(table.column("level").to_numpy().astype(np.uint64), sizes)
+        counts = np.concatenate([unpack(c, 4) for c in table.column("counts").to_pylist()])
+        _, number = np.unique(np.concatenate(parts) | (level << np.uint64(56)), return_inverse=True)
         totals = np.bincount(number, weights=counts)[number].astype(np.uint64)
-        ends = np.cumsum(sizes)
-        # The narrowest type that holds the counts: most n-grams are rare.
-        packed = [t.astype(np.uint8 if t.max() < 256 else np.uint32 if t.max() < 2**32 else np.uint64).tobytes()
-                  for t in np.split(totals, ends[:-1])]
+        packed = [pack(t, GRAM_BYTES) for t in np.split(totals, np.cumsum(sizes)[:-1])]
         return pa.table({"chunk": table.column("chunk"), "level": table.column("level"), "bucket": table.column("bucket"),
-                         "totals": pa.array(packed, pa.binary()), "n": pa.array(sizes, pa.int32())})
+                         "totals": pa.array(packed, pa.binary())})
 
-    return requests.groupBy("bucket").applyInArrow(run, "chunk bigint, level int, bucket int, totals binary, n int")
+    return requests.groupBy("bucket").applyInArrow(run, "chunk bigint, level int, bucket int, totals binary")
 
 
 def chunk_scores(chunk: _Chunk, totals: list[np.ndarray], all_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -150,25 +163,21 @@ def chunk_scores(chunk: _Chunk, totals: list[np.ndarray], all_words: int, alpha:
 def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = 2, alpha: float = 0.4,
                     bucket_grams: int = 1_000_000) -> DataFrame:
     """(key, n_words, log10_score, per_word, backed_off), one row per document."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "lm-words")
-    _packed_words(docs, text, key).withColumn("chunk", F.monotonically_increasing_id()).write.option(
-        "compression", "zstd").parquet(path)
-    chunks = spark.read.parquet(path)
+    # The chunks' numbers hold because they are written.
+    chunks = cut_lineage(_packed_words(docs, text, key).withColumn("chunk", F.monotonically_increasing_id()), "lm-words")
     words = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = int(np.ceil(np.log2(max(1, words * order / bucket_grams))))
     answers = cut_lineage(_answers(_requests(chunks, order, bits)), "lm-answers")
-    lists = answers.groupBy(F.col("chunk").alias("_c")).agg(F.collect_list(F.struct("level", "bucket", "totals", "n")).alias("answers"))
+    lists = answers.groupBy(F.col("chunk").alias("_c")).agg(F.collect_list(F.struct("level", "bucket", "totals")).alias("answers"))
     joined = chunks.join(lists, F.col("chunk") == F.col("_c"), "left").select("keys", "sizes", "words", "codes", "answers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = _Chunk(np.array(batch.column(1)[i].as_py(), np.int64), batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
-                told = sorted(((a["level"], a["bucket"], a["totals"], a["n"]) for a in batch.column(4)[i].as_py() or []))
-                totals = [np.concatenate([np.zeros(0, np.uint64)] + [
-                    np.frombuffer(t, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(t) // n]).astype(np.uint64)
-                    for lv, _, t, n in told if lv == level]) for level in range(1, order + 1)]
+                told = sorted((a["level"], a["bucket"], a["totals"]) for a in batch.column(4)[i].as_py() or [])
+                totals = [np.concatenate([np.zeros(0, np.uint64)] + [unpack(t, GRAM_BYTES) for lv, _, t in told if lv == level])
+                          for level in range(1, order + 1)]
                 score, back = chunk_scores(chunk, totals, words, alpha)
                 size = chunk.sizes
                 mean = pa.array(np.divide(score, size, out=np.zeros_like(score), where=size > 0), mask=size == 0)
