@@ -147,10 +147,52 @@ def feed_hackernews(spark, sf):
     c = F.col
     body = _wrap("children", F.concat(
         c("empresa"), F.lit(" | "), c("titulo"), F.lit(" | "), _place(), F.lit(" | https://jobs.example.com/"), c("seq").cast("string"),
-        F.lit("<p>More &amp; more")).alias("text"))
+        F.lit("<p>More &amp; more")).alias("text"), F.date_format("publicada_em", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        (c("seq") % 9 == 0).alias("deleted"), (c("seq") % 9 == 1).alias("dead"))
     return _provider(spark, sf, "hackernews", body)
 
 
+def _boards_of_seven() -> dict[str, tuple[str | None, Column]]:
+    """Per source the field that holds its list, and a posting as one of its items."""
+    c = F.col
+    instant = F.date_format("publicada_em", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    named = F.struct(_place().alias("name"))
+    return {
+        "themuse": ("results", F.struct(
+            c("titulo").alias("name"), F.struct(c("link").alias("landing_page")).alias("refs"),
+            F.struct(F.lit("Acme").alias("name")).alias("company"), F.array(named).alias("locations"))),
+        "greenhouse": ("jobs", F.struct(
+            c("titulo").alias("title"), c("link").alias("absolute_url"), named.alias("location"), instant.alias("first_published"))),
+        "lever": (None, F.struct(
+            c("titulo").alias("text"), c("link").alias("hostedUrl"), F.struct(_place().alias("location")).alias("categories"),
+            F.unix_millis(c("publicada_em").cast("timestamp")).alias("createdAt"))),
+        "ashby": ("jobs", F.struct(
+            c("titulo").alias("title"), c("link").alias("jobUrl"), _place().alias("location"), instant.alias("publishedAt"))),
+        "recruitee": ("offers", F.struct(c("titulo").alias("title"), c("link").alias("careers_url"), _place().alias("location"))),
+        "pinpoint": ("data", F.struct(c("titulo").alias("title"), c("link").alias("url"), named.alias("location"))),
+        "comeet": (None, F.struct(
+            c("titulo").alias("name"), c("link").alias("url_active_page"), named.alias("location"), instant.alias("time_updated"))),
+    }
+
+
+def feed_seven_boards(spark, sf):
+    """Seven JSON sources in one landing zone: several items per page, and every page landed twice."""
+    shapes = _boards_of_seven()
+    postings = inputs.postings(spark, sf)
+    page = F.floor(F.col("seq") / (len(shapes) * 5))
+    raw = None
+    for n, (source, (field, item)) in enumerate(shapes.items()):
+        pages = postings.filter(F.col("seq") % len(shapes) == n).groupBy(page.alias("page")).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))), lambda x: x["item"]).alias("items"))
+        landed = pages.select(
+            F.lit(source).alias("source"), F.lit("Acme").alias("entry"),
+            F.explode(F.array(F.lit("2001-08-01").cast("timestamp"), F.lit("2001-08-02").cast("timestamp"))).alias("fetched_at"),
+            F.concat(F.lit("https://feed.example.com/p/"), F.lpad(F.col("page").cast("string"), 12, "0")).alias("url"),
+            F.lit(200).alias("http_status"), F.to_json("items" if field is None else F.struct(F.col("items").alias(field))).alias("body"))
+        raw = landed if raw is None else raw.unionByName(landed)
+    return _show(normalize.normalize(raw, NOW, tuple(shapes)))
+
+
 def feed_counters(spark, sf):
     """SRC-15: broken and refused payloads are counted, not fatal."""
     c = F.col
@@ -161,4 +203,4 @@ def feed_counters(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     feed_gupy, feed_arc, feed_ux_remote_talent, feed_linkedin, feed_mapped_import, feed_remotive, feed_weworkremotely,
-    feed_workable_markdown, feed_hackernews, feed_counters)}
+    feed_workable_markdown, feed_hackernews, feed_seven_boards, feed_counters)}

@@ -565,9 +565,9 @@ OF_INTEREST = (f"({any_of(has(nt('titulo'), k) for k in KW.title_weights)} AND N
 ENTERS = "(modelo = 'remoto' OR modelo IS NULL OR pais IN ('NATION_0', 'NATION_1', 'NATION_2'))"
 
 
-def provider(source, name, link, key, titulo="titulo", empresa="empresa", date="NULL"):
-    """A provider feed: one job per link, of interest, that accepts the region."""
-    return f"""WITH {KEYED}, f AS (SELECT *, {link} AS l, {key} AS k, {titulo} AS t, {PLACE} AS p FROM keyed),
+def provider(source, name, link, key, titulo="titulo", empresa="empresa", date="NULL", only="true"):
+    """A provider feed: one job per link, of interest, that accepts the region; ``only`` says which postings it carries."""
+    return f"""WITH {KEYED}, f AS (SELECT *, {link} AS l, {key} AS k, {titulo} AS t, {PLACE} AS p FROM keyed WHERE {only}),
       d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS rn FROM f)
       SELECT {q(source + ':')} || substr(sha1(k || '|' || {nt('t')}), 1, 12) AS id_externo, {q(name)} AS fonte, t AS titulo, {empresa} AS empresa, l AS link,
         p AS pais, CASE WHEN p = 'Remote' THEN 'remoto' END AS modelo, {date} AS publicada FROM d WHERE rn = 1 AND {OF_INTEREST} AND {ENTERS}"""
@@ -594,7 +594,14 @@ FEED_ORACLES = {
     "feed_workable_markdown": provider("workable", "Workable", "'https://apply.workable.com/acme/j/' || CAST(seq AS VARCHAR)",
                                        "'apply.workable.com/acme/j/' || CAST(seq AS VARCHAR)"),
     "feed_hackernews": provider("hackernews", "Hacker News Who is hiring", "'https://jobs.example.com/' || CAST(seq AS VARCHAR)",
-                                "'jobs.example.com/' || CAST(seq AS VARCHAR)", titulo=f"empresa || ' | ' || titulo || ' | ' || {PLACE} || ' |'"),
+                                "'jobs.example.com/' || CAST(seq AS VARCHAR)", titulo=f"empresa || ' | ' || titulo || ' | ' || {PLACE} || ' |'",
+                                date="strftime(publicada_em, '%Y-%m-%d')", only="seq % 9 > 1"),
+    "feed_seven_boards": " UNION ALL ".join(
+        "SELECT * FROM (" + provider(source, name, "link", "chave_link", empresa="'Acme'", only=f"seq % 7 = {n}",
+                                     date="strftime(publicada_em, '%Y-%m-%d')" if dated else "CAST(NULL AS VARCHAR)") + ")"
+        for n, (source, name, dated) in enumerate((
+            ("themuse", "The Muse", False), ("greenhouse", "Greenhouse", True), ("lever", "Lever", True), ("ashby", "Ashby", True),
+            ("recruitee", "Recruitee", False), ("pinpoint", "Pinpoint", False), ("comeet", "Comeet", True)))),
     "feed_counters": f"""WITH {POSTINGS} SELECT 'remotive' AS source, count(*) AS consultadas, count(*) FILTER (WHERE modelo IN ('remoto', 'hibrido')) AS falhas,
         'JSON invalido' AS erro FROM postings""",
 }
