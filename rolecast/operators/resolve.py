@@ -104,25 +104,36 @@ def resolve(postings: DataFrame, strict: bool = True, kw=DEFAULT_KEYWORDS, parit
     keyed = cut_lineage(with_identity(known, kw, parity).select("id_externo", "id_canonico", *KEYS))
     labels = component_labels(identity_edges(keyed, strict)).select(
         F.col("node").alias("id_externo"), F.col("label").alias("cluster"))
-    # Postings that share no key are most of the table.  They are not regrouped:
-    # the anti join leaves them partitioned by id, which is their cluster.
-    merged = known.join(labels, "id_externo")
-    alone = known.join(labels.select("id_externo"), "id_externo", "left_anti").withColumn(
-        "cluster", F.col("id_externo"))
-    survivors = elect(merged).unionByName(elect(alone))
+    # Postings that share no key and no id are most of the table: they are their own survivors, without
+    # an aggregate over their texts.  The groups are the labelled ids and the ids that stand twice.
+    repeated = keyed.groupBy("id_externo").agg(F.count("*").alias("n")).filter("n > 1").select(
+        "id_externo", F.col("id_externo").alias("cluster"))
+    grouped = labels.unionByName(repeated.join(labels.select("id_externo"), "id_externo", "left_anti"))
+    elected = elect(known.join(grouped, "id_externo"))
+    survivors = elected.unionByName(_lone(known.join(grouped.select("id_externo"), "id_externo", "left_anti")))
     aliases = (
         known.select("id_externo", F.explode(F.array_distinct(F.array("id_externo", "id_canonico"))).alias("alias"))
         .join(labels, "id_externo", "left").withColumn("cluster", F.coalesce("cluster", "id_externo"))
         .select("cluster", "alias").distinct()
         .join(survivors.select("cluster", "id_externo"), "cluster")
         .filter("alias <> id_externo").select("id_externo", "alias"))
-    judged = with_identity(survivors.select("id_externo", "id_canonico", "link", "empresa", "titulo"), kw, parity)
+    # The keys of lone postings are written already; an elected one may have a name or link from another member.
+    renamed = with_identity(elected.select("id_externo", "id_canonico", "link", "empresa", "titulo"), kw, parity)
+    judged = renamed.select(*keyed.columns).unionByName(keyed.join(grouped.select("id_externo"), "id_externo", "left_anti"))
     weak = _weak_edges(judged) if strict else _weak_edges(judged.limit(0))
     flagged = weak.select(F.col("u").alias("id_externo"), F.col("v").alias("possivel_duplicata")).unionByName(
         weak.select(F.col("v").alias("id_externo"), F.col("u").alias("possivel_duplicata")))
     return Resolution(survivors, aliases, flagged, labels)
 
 
+def _lone(postings: DataFrame) -> DataFrame:
+    """What :func:`elect` gives for postings that are alone in their cluster."""
+    return postings.select(
+        F.col("id_externo").alias("cluster"),
+        *[F.when(_present(postings, c), F.col(c)).alias(c) if c in GAP_COLUMNS else F.col(c) for c in postings.columns],
+        F.array().cast("array<string>").alias("tambem_visto_em"), F.lit(0).cast("bigint").alias("n_fundidas"))
+
+
 def elect(labelled: DataFrame) -> DataFrame:
     """GR-02, GR-03, GR-04: one survivor per ``cluster``, its gaps filled.
 
