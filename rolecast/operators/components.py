@@ -47,18 +47,15 @@ def _settled(edges: DataFrame) -> bool:
     return edges.join(centers, "u", "left_semi").isEmpty()
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest id of the component, for every node with an edge.
 
     Nodes without an edge are their own component and are not listed.
     """
     current = cut_lineage(edges, "edges")
-    for _ in range(max_rounds):
-        if _settled(current):
-            break
+    # Every round shortens the longest chain, so this ends.
+    while not _settled(current):
         current = cut_lineage(_small_star(_large_star(current)), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         roots.select("node", F.col("node").alias("label")))

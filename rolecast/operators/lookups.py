@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolecast.config import BOARD_CONCLUDED, DEFAULT_KEYWORDS, DEFAULT_PARITY, DEFAULT_PROFILE
 from rolecast.functions import html, text, urls
 from rolecast.operators import filters, score
-from rolecast.operators.shaping import bind, col_or_null
+from rolecast.operators.shaping import bind, col_or_null, cut_lineage
 
 
 def _known_ids(df: DataFrame) -> Column:
@@ -20,11 +20,18 @@ def _known_ids(df: DataFrame) -> Column:
 
 def known_keys(df: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(id_externo, pos, chave): own id, canonical id, then alternatives and aliases."""
-    keys = df.select("id_externo", F.posexplode(_known_ids(df)).alias("pos", "chave"))
+    keys = df.select("id_externo", F.posexplode(_known_ids(df)).alias("pos", "chave")).select(
+        "id_externo", _rank(0, F.col("pos")).alias("pos"), "chave")
     if aliases is None:
         return keys
     # Aliases come last and in a fixed order among themselves.
-    return keys.unionByName(aliases.select("id_externo", F.lit(1_000_000).alias("pos"), F.col("alias").alias("chave")))
+    return keys.unionByName(aliases.select("id_externo", _rank(1).alias("pos"), F.col("alias").alias("chave")))
+
+
+def _rank(kind: int, place: Column | int = 0) -> Column:
+    """How much a key is trusted: by its kind, then its place."""
+    place = F.lit(place) if isinstance(place, int) else place
+    return F.struct(F.lit(kind).alias("tipo"), place.cast("int").alias("pos"))
 
 
 def join_judgements(df: DataFrame, judgements: DataFrame, aliases: DataFrame | None = None,
@@ -98,17 +105,17 @@ def board_hits(df: DataFrame, board: DataFrame, strict: bool = True, aliases: Da
         keep = [c for c in ("id_externo", "id_canonico", "ids_alternativos", "link", "empresa", "titulo") if c in df.columns]
         df = with_identity(df.select(*keep), kw, parity)
     ids = F.transform(_known_ids(df), lambda i, n: F.struct(
-        n.alias("rank"), F.lit("id").alias("tipo"), i.alias("chave")))
+        _rank(0, n).alias("rank"), F.lit("id").alias("tipo"), i.alias("chave")))
     weaker = {"link": "chave_link", "canon": "id_canonico", "req": "chave_requisicao", "ann": "chave_anuncio"}
     rest = F.array(*[
-        F.struct(F.lit(2_000_001 + i).alias("rank"), F.lit(k).alias("tipo"), F.col(c).alias("chave"))
+        F.struct(_rank(2, i).alias("rank"), F.lit(k).alias("tipo"), F.col(c).alias("chave"))
         for i, (k, c) in enumerate(weaker.items())])
     wanted = df.select(
         "id_externo", urls.requisition(F.col("titulo")).alias("_req"), F.inline(F.concat(ids, rest))).filter(
         "chave IS NOT NULL")
     if aliases is not None:
         wanted = wanted.unionByName(aliases.select(
-            "id_externo", F.lit(None).cast("string").alias("_req"), F.lit(1_000_000).alias("rank"),
+            "id_externo", F.lit(None).cast("string").alias("_req"), _rank(1).alias("rank"),
             F.lit("id").alias("tipo"), F.col("alias").alias("chave")))
     index = board_index(board, kw, parity).withColumn("_req_quadro", urls.requisition(F.col("card.titulo_quadro")))
     conflict = F.coalesce(F.col("_req") != F.col("_req_quadro"), F.lit(False))
@@ -146,12 +153,16 @@ def hydrate(cache: DataFrame, judgements: DataFrame, board: DataFrame, now, prof
 
     Rows that fail today's filter are left out; cached verdicts are not read.
     """
+    from rolecast.operators.resolve import KEYS, with_identity
+
     active = filters.with_reason(cache, now, profile, kw, parity).filter("reason IS NULL")
     scored = score.with_score(active, profile, kw)
-    # The lookups read only ids and names, so they start from the cache and do
-    # not repeat the filter and the score.
-    joined = join_judgements(scored, judgements, aliases, keys_from=cache)
-    joined = join_board(joined, board, True, aliases, kw, parity, keys_from=cache)
+    # The lookups read only ids and keys.  These are written once, so neither lookup derives the cache again.
+    own = [c for c in ("id_externo", "id_canonico", "ids_alternativos") if c in cache.columns]
+    keyed = with_identity(cache.select(*own, "link", "empresa", "titulo"), kw, parity)
+    keyed = cut_lineage(keyed.select(*own, *[c for c in ("id_canonico", "titulo", *KEYS) if c not in own]), "lookup-keys")
+    joined = join_judgements(scored, judgements, aliases, keys_from=keyed.select(*own))
+    joined = join_board(joined, board, True, aliases, kw, parity, keys_from=keyed)
     compat = score.compatibility(
         F.col("score.determinado"), F.col("semantico"), col_or_null(cache, "validada", "boolean"),
         F.col("fonte"), profile)
