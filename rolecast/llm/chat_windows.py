@@ -23,9 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,10 @@ _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<turn:((?:[^\\<>]++|\\.)*+)>((?:[^\\<]++|\\.)*+)</turn>\n", re.S)
 SCHEMA = ("conv_id bigint, window_start bigint, text string, places array<bigint>, new array<boolean>, "
           "loss array<struct<start: bigint, end: bigint>>, tokens bigint, over_budget boolean")
+SCHEMA_FIELDS = [
+    ("conv_id", pa.int64()), ("window_start", pa.int64()), ("text", pa.string()), ("places", pa.list_(pa.int64())),
+    ("new", pa.list_(pa.bool_())), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+    ("tokens", pa.int64()), ("over_budget", pa.bool_())]
 
 
 def escape(text: str) -> str:
@@ -98,29 +103,49 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, tokens: Co
     system = system.select(F.col("conv_id").alias("_c"), "system")
     rows = rows.join(system, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq", kind="stable")
-        kept = part["system"].iloc[0]
-        head = None if kept is None else (int(kept["seq"]), "system", kept["text"])
-        base = 0 if kept is None else int(kept["tokens"])
-        here = head is not None and bool(part.loc[part["seq"] == head[0], "new"].any())
-        body = part[part["seq"] != head[0]] if head else part
-        new = body["new"].to_numpy()
-        turns_ = list(zip(body["seq"].tolist(), body["role"], body["text"]))
-        sums = np.concatenate(([0], np.cumsum(body["tokens"].to_numpy())))
-        conv = part["conv_id"].iloc[0]
-        conv = None if pd.isna(conv) else int(conv)
+    def build(conv, part: list[tuple]) -> list[list]:
+        """Windows of one segment from its rows (seq, role, text, tokens, new, system) in order."""
+        kept = part[0][5]
+        head = None if kept is None else (kept["seq"], "system", kept["text"])
+        base = 0 if kept is None else kept["tokens"]
+        here = head is not None and any(r[4] for r in part if r[0] == head[0])
+        body = [r for r in part if head is None or r[0] != head[0]]
+        turns_ = [r[:3] for r in body]
+        sums = np.concatenate(([0], np.cumsum([r[3] for r in body], dtype=np.int64)))
+        first = next((i for i, r in enumerate(body) if r[4]), len(body))
         out = []
-        for low, at, stop in _spans(sums, int(np.argmax(new)) if new.any() else len(body), budget - base, history):
+        for low, at, stop in _spans(sums, first, budget - base, history):
             # The system turn counts as new in the window around its own place.
             told = here and (not out or head[0] > turns_[at][0]) and (stop == len(body) or head[0] < turns_[stop][0])
             spent = base + int(sums[stop] - sums[low])
             out.append([conv, turns_[at][0], *_format(head, told, turns_[low:at], turns_[at:stop]), spent, spent > budget])
         if here and not out:
             out.append([conv, head[0], *_format(head, True, [], []), base, base > budget])
-        return pd.DataFrame(out, columns=["conv_id", "window_start", "text", "places", "new", "loss", "tokens", "over_budget"])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come in order, so a segment is complete when the next one begins.
+        current, part = None, []
+        for batch in batches:
+            done = []
+            for conv, segment_, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if part and (conv, segment_) != current:
+                    done += build(current[0], part)
+                    part = []
+                current = conv, segment_
+                part.append(tuple(row))
+            yield _batch(done, SCHEMA_FIELDS)
+        if part:
+            yield _batch(build(current[0], part), SCHEMA_FIELDS)
+
+    ordered = rows.select("conv_id", "segment", "seq", "role", "text", "tokens", "new", "system").repartition(
+        "conv_id", "segment").sortWithinPartitions("conv_id", "segment", "seq")
+    return ordered.mapInArrow(run, SCHEMA)
 
-    return rows.groupBy("conv_id", "segment").applyInPandas(build, SCHEMA)
+
+def _batch(rows: list[list], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def _spans(sums: np.ndarray, at: int, room: int, history: int):
@@ -158,34 +183,31 @@ def read_back(formatted: DataFrame) -> DataFrame:
     conversation; a running digest is a sequence by nature.
     """
 
-    def run(batches):
-        current, state, started = None, None, False
-        for frame in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
             done = []
-            for conv, text, places, new, loss in zip(frame["conv_id"], frame["text"], frame["places"], frame["new"], frame["loss"]):
-                conv = None if pd.isna(conv) else int(conv)
-                if not started or conv != current:
-                    if started:
+            for conv, *window in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or conv != current:
+                    if state is not None:
                         done.append(state.row(current))
-                    current, state, started = conv, _Digest(), True
-                state.add(text, places, new, loss)
-            if done:
-                yield pd.DataFrame(done, columns=_Digest.columns)
-        if started:
-            yield pd.DataFrame([state.row(current)], columns=_Digest.columns)
+                    current, state = conv, _Digest()
+                state.add(*window)
+            yield _batch(done, DIGEST_FIELDS)
+        if state is not None:
+            yield _batch([state.row(current)], DIGEST_FIELDS)
 
     ordered = formatted.select("conv_id", "window_start", "text", "places", "new", "loss").repartition("conv_id").sortWithinPartitions(
-        "conv_id", "window_start")
-    return ordered.mapInPandas(run, DIGEST)
+        "conv_id", "window_start").drop("window_start")
+    return ordered.mapInArrow(run, DIGEST)
 
 
 DIGEST = ("conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, "
           "n_windows bigint")
+DIGEST_FIELDS = [(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in DIGEST.split(", ")]
 
 
 class _Digest:
-    columns = [c.split()[0] for c in DIGEST.split(", ")]
-
     def __init__(self):
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = self.windows = 0
