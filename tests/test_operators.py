@@ -357,6 +357,29 @@ def test_coverage(spark):
     assert got == {"discovery": ("sinonimo", "descoberta"), "pesquisa": ("ausente", None), "figma": ("coberto", None), "fluxo novo": ("ausente", None)}
 
 
+def test_coverage_keeps_all_terms_and_ranks_pairs_by_count(spark):
+    terms = [f"termo{i:02d}" for i in range(40)]
+    body = " . ".join(terms) + " . " + "raro par . " * 2 + "zona comum . " * 5
+    p = spark.createDataFrame([("v", body, 1)], "id string, texto string, resume_id int")
+    r = spark.createDataFrame([(1, "nada")], "resume_id int, texto string")
+    groups = tuple((t, t + "x") for t in terms)
+    whole = {x.termo for x in coverage.coverage(p, r, groups).collect()}
+    assert set(terms) <= whole and {"raro par", "zona comum"} <= whole
+    cut = {x.termo for x in coverage.coverage(p, r, groups, cap=1).collect()}
+    assert set(terms) <= cut and "raro par" not in cut
+
+
+def test_a_hot_key_is_cut_into_even_parts(spark):
+    rows = [("hot" if i % 10 else f"k{i}", i, i % 3) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, seq int, v int").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the parts are tiny here
+    try:
+        sizes = [r["count"] for r in windows._in_parts(df, "k", ["seq"]).groupBy(windows._PART).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_emphasis_and_bullets(spark):
     themes = coverage.emphasis(postings(spark, dict(titulo="Product Designer", descricao="Design system, tokens e pesquisa em fintech")))
     assert {r.balde: r.n for r in themes.collect()} == {"design-system": 2, "research": 1, "fintech": 1}

@@ -123,6 +123,32 @@ def test_generalist_cards_and_layout_drift(spark):
     assert {r.url: r.layout_suspeito for r in providers.layout_drift(raw).collect()} == {"a": False, "b": True, "c": True}
 
 
+def test_deleted_and_dead_comments_are_no_jobs_and_the_rest_have_dates(spark):
+    text = "Acme | UX | Remote | https://a.com/1"
+    body = {"children": [{"text": text, "created_at": "2026-09-01T10:00:00.000Z"}, {"text": text + "2", "deleted": True}, {"text": text + "3", "dead": True}]}
+    got = jobs(spark, dict(source="hackernews", body=json.dumps(body)))
+    assert [(r["url"], r["posted_at"].date().isoformat()) for r in got] == [("https://a.com/1", "2026-09-01")]
+
+
+def test_details_of_the_newest_landing_are_joined_once(spark):
+    site = "https://acme.wd1.myworkdayjobs.com"
+    listed = {"jobPostings": [{"title": "UX", "externalPath": "/job/X/UX_R1", "locationsText": "3 Locations", "postedOn": "Posted Today"}]}
+    detail = lambda *places: json.dumps({"jobPostingInfo": {"location": places[0], "additionalLocations": list(places[1:])}})
+    raw = land(spark, dict(source="workday", entry="Acme", url=f"{site}/wday/cxs/acme/jobs", body=json.dumps(listed)),
+               dict(source="workday", entry="Acme", url=f"{site}/job/X/UX_R1", body=detail("Old")))
+    again = land(spark, dict(source="workday", entry="Acme", url=f"{site}/job/X/UX_R1", body=detail("Lima", "Remote"))).withColumn(
+        "fetched_at", F.lit("2026-09-26 00:00:00").cast("timestamp"))
+    got = normalize.provider_jobs(raw.unionByName(again), NOW, ("workday",)).collect()
+    assert [(r.title, r.location) for r in got] == [("UX", "Lima · Remote")]
+
+
+def test_the_landing_zone_is_cut_by_source_and_day(spark, tmp_path):
+    landing.write_raw(land(spark, dict(source="a", body="x"), dict(source="b", body="y")), f"{tmp_path}/raw")
+    raw = landing.read_raw(spark, f"{tmp_path}/raw")
+    assert landing.payloads(raw, "a", since="2026-09-25 00:00:00").count() == 1
+    assert landing.payloads(raw, "a", since="2026-09-26 00:00:00").count() == 0
+
+
 def test_free_text_header_and_latest_thread(spark):
     got = jobs(spark, dict(source="hackernews", body=json.dumps({"children": [{"text": 'Acme | UX Designer | Remote (LATAM) | <a href="https://acme.com/j">x</a><p>more'}, {"text": "no link here"}]})))
     assert pick(got, "company", "location", "url")[0] == ("Acme", "Remote (LATAM)", "https://acme.com/j")
