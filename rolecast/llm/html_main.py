@@ -55,6 +55,8 @@ BESIDE = frozenset(
     "navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices comment comments reply "
     "replies disqus share sharing social related newsletter subscribe popup modal pagination pager toolbar widget "
     "contentinfo complementary search skip".split())
+#: Further words of that kind on a page without an article or main element.
+BESIDE_PAGE = frozenset("header topbar masthead logo branding toolbar".split())
 MAIN = frozenset({"article", "main"})
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|"
@@ -178,6 +180,7 @@ def blocks_text(root: Node, gone: set[int]) -> str:
     """Text of the blocks under ``root`` without the deleted elements."""
     blocks: list[str] = []
     piece: list[str] = []
+    extra = frozenset() if root.tag in MAIN else BESIDE_PAGE
 
     def cut() -> None:
         if piece:
@@ -193,7 +196,7 @@ def blocks_text(root: Node, gone: set[int]) -> str:
             cut()
         elif isinstance(item, str):
             piece.append(item)
-        elif item is root or not (id(item) in gone or item.beside() or _page_header(item)):
+        elif item is root or not (id(item) in gone or item.beside() or _page_header(item) or not item.marks.isdisjoint(extra)):
             if item.tag in BLOCKS:
                 cut()
                 todo.append(None)
