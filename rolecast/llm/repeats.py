@@ -24,8 +24,9 @@ its windows are hashed to 128 bits and grouped by Spark.
 
 Edge cases: a null text is empty; a text shorter than ``length`` keeps all;
 documents with equal or null keys are told apart by their place among them in the
-order of their texts (nulls come last), so a repeated row is a later document;
-columns other than key and text are carried.
+order of their texts' hashes (null keys come last), so a repeated row is a later
+document; the place is a column of its own, for any number of equal keys; columns
+other than key and text are carried.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ GRAM = 28
 #: Bytes that one symbol of the suffix sort stands for.
 BLOCK = 24
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Bits of a packed place: copy (16), position (32), bytes left (7) and right (7) of the anchor.
+#: Bits of a packed place: position (32), bytes left (7) and right (7) of the anchor.
 _POS, _LEFT = 14, 7
 
 
@@ -82,7 +83,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, c, doc, at): anchor hash, context hash, key, packed place.  c = 0: known to be a repeat."""
+    """(h, c, doc, copy, at): anchor hash, context hash, key, place among equal keys, packed place.  c = 0: known to be a repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,42 +93,43 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 place, text, h, left, right = anchors(data, offsets, length, gram)
                 c = tb.span_hashes(data, place - left, place + right)
                 c = tb.mix(c ^ left.astype(np.uint64)) | np.uint64(1)
-                doc = keys[row:end][text]
-                at = (copies[row:end][text] << 46) | ((place - offsets[text]) << _POS) | (left << _LEFT) | right
+                doc, copy = keys[row:end][text], copies[row:end][text]
+                at = ((place - offsets[text]) << _POS) | (left << _LEFT) | right
                 both = tb.mix(h ^ tb.mix(c))
-                order = np.lexsort((at, doc, both))
+                order = np.lexsort((at, copy, doc, both))
                 again = np.zeros(len(order), bool)
                 again[order[1:]] = both[order[1:]] == both[order[:-1]]
                 # Known repeats need no partner, so they are dealt evenly.
                 c[again] = 0
-                h[again] = tb.mix(at[again].astype(np.uint64) ^ tb.mix(doc[again].astype(np.uint64)))
+                from_doc = tb.mix(doc[again].astype(np.uint64) ^ tb.mix(copy[again].astype(np.uint64)))
+                h[again] = tb.mix(at[again].astype(np.uint64) ^ from_doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at)],
-                    names=["h", "c", "doc", "at"])
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(copy), pa.array(at)],
+                    names=["h", "c", "doc", "copy", "at"])
 
-    return docs.select("_doc_key", "_copy", "_text").mapInArrow(run, "h bigint, c bigint, doc bigint, at bigint")
+    return docs.select("_doc_key", "_copy", "_text").mapInArrow(run, "h bigint, c bigint, doc bigint, copy bigint, at bigint")
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """(doc, at, h) of repeats (h null) and of first occurrences that have to be compared.
+    """(doc, copy, at, h) of repeats (h null) and of first occurrences that have to be compared.
 
     One shuffle by h; the windows only look back, so a group streams through its task.
     """
-    by_context = Window.partitionBy("h", "c").orderBy("doc", "at")
-    by_anchor = Window.partitionBy("h").orderBy("c", "doc", "at").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("n", F.row_number().over(by_context)).withColumn("head", F.first(F.struct("c", "doc", "at")).over(by_anchor))
+    by_context = Window.partitionBy("h", "c").orderBy("doc", "copy", "at")
+    by_anchor = Window.partitionBy("h").orderBy("c", "doc", "copy", "at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("n", F.row_number().over(by_context)).withColumn("head", F.first(F.struct("doc", "copy", "at")).over(by_anchor))
     # The second context of an anchor also calls up the first one, each time it is a first occurrence.
     seen = seen.withColumn("rank", F.dense_rank().over(Window.partitionBy("h").orderBy("c")))
     repeat = (F.col("c") == 0) | (F.col("n") > 1)
-    own = F.struct("doc", "at", F.when(~repeat, F.col("h")).alias("h"))
-    first = F.struct(F.col("head.doc").alias("doc"), F.col("head.at").alias("at"), F.col("h").alias("h"))
+    own = F.struct("doc", "copy", "at", F.when(~repeat, F.col("h")).alias("h"))
+    first = F.struct(*[F.col(f"head.{c}").alias(c) for c in ("doc", "copy", "at")], F.col("h").alias("h"))
     out = F.when((F.col("c") != 0) & (F.col("n") == 1) & (F.col("rank") == 2), F.array(own, first)).when(
         repeat | (F.col("rank") > 1), F.array(own))
     return seen.select(F.inline(out))
 
 
 def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position with the copy number above it, bytes left, bytes right)."""
+    """(position, bytes left, bytes right)."""
     return at >> _POS, (at >> _LEFT) & 127, at & 127
 
 
@@ -184,7 +186,7 @@ def repeated_ranges(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_r
 
 
 def _cut_contexts(asked: DataFrame) -> DataFrame:
-    """(h, doc, at, bytes) from texts with their asked places."""
+    """(h, doc, copy, at, bytes) from texts with their asked places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,16 +198,17 @@ def _cut_contexts(asked: DataFrame) -> DataFrame:
             at, h = flat.field("at").to_numpy(), flat.field("h")
             text = np.repeat(np.arange(len(counts)), counts)
             place, left, right = _places(at)
-            place = (place & 0xFFFFFFFF) + offsets[text]
+            place = place + offsets[text]
             raw = data.tobytes()
-            doc = batch.column(0).to_numpy(zero_copy_only=False)[text]
+            doc, copy = (batch.column(i).to_numpy(zero_copy_only=False)[text] for i in (0, 1))
             for k in range(0, len(at), 20_000):
                 cut = slice(k, k + 20_000)
                 pieces = [raw[a:b] for a, b in zip((place - left)[cut].tolist(), (place + right)[cut].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [h[cut], pa.array(doc[cut]), pa.array(at[cut]), pa.array(pieces, pa.binary())], names=["h", "doc", "at", "bytes"])
+                    [h[cut], pa.array(doc[cut]), pa.array(copy[cut]), pa.array(at[cut]), pa.array(pieces, pa.binary())],
+                    names=["h", "doc", "copy", "at", "bytes"])
 
-    return asked.mapInArrow(run, "h bigint, doc bigint, at bigint, bytes binary")
+    return asked.mapInArrow(run, "h bigint, doc bigint, copy bigint, at bigint, bytes binary")
 
 
 def _compare(contexts: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
@@ -214,9 +217,9 @@ def _compare(contexts: DataFrame, length: int, gram: int, buckets: int) -> DataF
     r_width = -(-length // BLOCK) * BLOCK
 
     def run(table: pa.Table) -> pa.Table:
-        at, doc = table.column("at").to_numpy(), table.column("doc").to_numpy()
-        order = np.lexsort((at, doc))
-        at, doc = at[order], doc[order]
+        at, copy, doc = (table.column(c).to_numpy() for c in ("at", "copy", "doc"))
+        order = np.lexsort((at, copy, doc))
+        at, copy, doc = at[order], copy[order], doc[order]
         data, offsets = tb.column_bytes(table.column("bytes"))
         place, n_left, n_right = _places(at)
         n = len(order)
@@ -232,12 +235,12 @@ def _compare(contexts: DataFrame, length: int, gram: int, buckets: int) -> DataF
         # Per context, windows that overlap are one range.
         by = np.lexsort((start, who))
         who, start = who[by], start[by]
-        lo = (place[who] & 0xFFFFFFFF) + start
+        lo = place[who] + start
         new = np.ones(len(who), bool)
         new[1:] = (who[1:] != who[:-1]) | (lo[1:] > lo[:-1] + length)
         at_new = np.flatnonzero(new)
         last = np.append(at_new[1:], len(who)) - 1 if len(who) else at_new
-        return pa.table({"doc": doc[who[at_new]], "copy": place[who[at_new]] >> 32, "lo": lo[at_new], "hi": lo[last] + length})
+        return pa.table({"doc": doc[who[at_new]], "copy": copy[who[at_new]], "lo": lo[at_new], "hi": lo[last] + length})
 
     dealt = contexts.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(run, "doc bigint, copy bigint, lo bigint, hi bigint")
@@ -250,19 +253,19 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = tb.column_bytes(batch.column(3))
             place, n_left, n_right = _places(batch.column(2).to_numpy())
-            doc = batch.column(1).to_numpy()
+            doc, copy = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i in range(int(n_left.max(initial=0)) + 1):
                 ok = np.flatnonzero((n_left >= i) & (n_right >= length - i))
                 lo = offsets[:-1][ok] + n_left[ok] - i
                 names = [hashlib.blake2b(data[a: a + length], digest_size=16).digest() for a in lo]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.binary()), pa.array(doc[ok]), pa.array(place[ok] - i)], names=["w", "doc", "at"])
+                    [pa.array(names, pa.binary()), pa.array(doc[ok]), pa.array(copy[ok]), pa.array(place[ok] - i)],
+                    names=["w", "doc", "copy", "lo"])
 
-    rows = contexts.select("h", "doc", "at", "bytes").mapInArrow(run, "w binary, doc bigint, at bigint")
-    first = rows.groupBy("w").agg(F.min(F.struct("doc", "at")).alias("first"))
-    again = rows.join(first, "w").filter(F.struct("doc", "at") != F.col("first"))
-    lo = F.col("at").bitwiseAND(0xFFFFFFFF)
-    return again.select("doc", F.shiftright("at", 32).alias("copy"), lo.alias("lo"), (lo + length).alias("hi"))
+    rows = contexts.select("doc", "copy", "at", "bytes").mapInArrow(run, "w binary, doc bigint, copy bigint, lo bigint")
+    first = rows.groupBy("w").agg(F.min(F.struct("doc", "copy", "lo")).alias("first"))
+    again = rows.join(first, "w").filter(F.struct("doc", "copy", "lo") != F.col("first"))
+    return again.select("doc", "copy", "lo", (F.col("lo") + length).alias("hi"))
 
 
 def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -273,27 +276,44 @@ def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
     many = cut_lineage(packed.groupBy("_doc_key").agg(F.count("*").alias("n")).filter("n > 1").select("_doc_key"), "rep-keys")
     if many.isEmpty():
         return packed.withColumn("_copy", F.lit(0).cast("long"))
-    place = Window.partitionBy("_doc_key").orderBy("_text")
-    repeated = packed.join(many, "_doc_key", "left_semi").withColumn("_copy", (F.row_number().over(place) - 1).cast("long"))
+    repeated = cut_lineage(packed.join(many, "_doc_key", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "rep-rows")
+    repeated = repeated.join(_copies(repeated), "_row").drop("_row")
     return packed.join(many, "_doc_key", "left_anti").withColumn("_copy", F.lit(0).cast("long")).unionByName(repeated)
 
 
+def _copies(repeated: DataFrame) -> DataFrame:
+    """(_row, _copy): the place of each row among the rows with its key, counted from 0.
+
+    Keys, text hashes and row numbers without the texts are cut by range into parts of equal
+    size; a key's rows are numbered part by part, so that no task has to hold all rows of a key.
+    """
+    order = ["_doc_key", "_h1", "_h2", "_row"]
+    rows = repeated.select("_doc_key", F.xxhash64("_text").alias("_h1"), F.xxhash64(F.lit(1), "_text").alias("_h2"), "_row")
+    rows = cut_lineage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "rep-order")
+    earlier = Window.partitionBy("_doc_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_doc_key", "_part").agg(F.count("*").alias("_n")).select(
+        "_doc_key", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_doc_key", "_part").orderBy(*order[1:]))
+    placed = rows.withColumn("_within", within).join(before, ["_doc_key", "_part"])
+    return cut_lineage(placed.select("_row", (F.col("_before") + F.col("_within") - 1).alias("_copy")), "rep-copies")
+
+
 def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None,
                 length: int = LENGTH, gram: int = GRAM, bucket_size: int = 8_000, max_group: int = 100_000) -> DataFrame:
     """The columns ``keep`` (default: all) with ``cut``: n_bytes, n_removed, n_spans and the bytes that stay (kept)."""
     names = [c for c in (keep if keep is not None else docs.columns) if c != "cut"]
     numbered = _numbered(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, key, text])]), text, key)
     marks = cut_lineage(_marks(_anchor_rows(numbered, length, gram)), "rep-marks")
-    copy, position = F.shiftright("at", 46), F.shiftright("at", _POS).bitwiseAND(0xFFFFFFFF)
+    position = F.shiftright("at", _POS)
     n_left, n_right = F.shiftright("at", _LEFT).bitwiseAND(127), F.col("at").bitwiseAND(127)
     whole = marks.filter("h IS NULL").select(
-        "doc", copy.alias("copy"), (position - n_left).alias("lo"), (position + n_right).alias("hi"))
+        "doc", "copy", (position - n_left).alias("lo"), (position + n_right).alias("hi"))
 
     asks = marks.filter("h IS NOT NULL")
     per_anchor = cut_lineage(asks.groupBy("h").agg(F.count("*").alias("n")), "rep-anchors")
     total = per_anchor.agg(F.sum("n")).first()[0] or 0
     # One list per document, no longer than its text.
-    lists = asks.groupBy("doc", copy.alias("copy")).agg(F.collect_list(F.struct("at", "h")).alias("asked"))
+    lists = asks.groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "h")).alias("asked"))
     texts = numbered.select("_doc_key", "_copy", "_text")
     on = lambda other: (F.col("_doc_key") == other["doc"]) & (F.col("_copy") == other["copy"])
     contexts = _cut_contexts(texts.join(lists, on(lists)).select("_doc_key", "_copy", "_text", "asked"))

@@ -80,6 +80,15 @@ def test_repeats_of_awkward_rows(docs, none):
     assert repeats.cut_repeats(none).count() == 0
 
 
+def test_repeats_among_very_many_rows_of_one_key(spark):
+    """More rows without a key than 18 bits number; each text stands twice."""
+    rows = spark.range(270_000).select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.sha2(F.expr("string(id div 2)"), 512).alias("text"))
+    out = repeats.cut_repeats(rows).groupBy("text").agg(
+        F.count("*").alias("n"), F.sum("cut.n_removed").alias("removed"), F.max("cut.n_removed").alias("most"))
+    assert out.groupBy("n", "removed", "most").count().collect() == [(2, 128, 128, 135_000)]
+
+
 def test_leaks_of_awkward_rows(spark, docs, none):
     items = spark.createDataFrame(
         [(1, sentence(5, 40), "x"), (1, sentence(5, 40), "x"), (2, None, "x"), (3, "", "x"), (None, sentence(2, 30), "x"), (4, "of the", "x")],
