@@ -12,7 +12,8 @@
    longest common subsequence from above; where the bound allows it, the
    subsequence is computed.  A document leaks an item if the subsequence has
    ``near`` of the item's words, or ``paraphrase`` of them and the item's answer
-   stands there too.  The answer is the column ``answer`` where the benchmark has
+   stands there too.  A subsequence may cover ``STRETCH`` times the item's own
+   words of text; what other items there are does not matter.  The answer is the column ``answer`` where the benchmark has
    one, else the end of the item's text.
 
 Benchmark items are compared in blocks of ``item_block``, each with its own pass, so
@@ -42,6 +43,8 @@ PASSAGE = 64
 #: Items of up to this many words are looked up in the small windows (2 cells), longer ones in the large (4 cells).
 SHORT = 24
 BLOCK_TERMS = 512
+#: A match covers at most so many times the item's number of words.
+STRETCH = 2
 
 
 def _word_arrays(column: pa.Array):
@@ -189,6 +192,10 @@ class Items:
                 if at == 0 or len(part) > SHORT:
                     vector = latent[(part & np.uint64(TERMS - 1)).astype(np.int64)].sum(axis=0)
                     probes[len(part) > SHORT].append((k, vector))
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        # Cells that a match can touch, and cells from which starts are looked at together.
+        self.reach = (STRETCH * sizes + CELL - 2) // CELL + 1
+        self.step = np.maximum(1, self.reach // 4)
         rare.sort()
         self.rare_words, first = np.unique(np.array([r[0] for r in rare], np.uint64), return_index=True)
         self.postings = np.append(first, len(rare))
@@ -198,8 +205,8 @@ class Items:
         self.probes = [(np.array([k for k, _ in side], np.int64), _unit(np.array([v for _, v in side]).reshape(-1, latent.shape[1])))
                        for side in probes]
 
-    def met_around(self, hashes: np.ndarray, cell_of: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
-        """(cell, item) pairs with enough of the item's rare words from ``before`` cells left to ``after`` cells right.
+    def met_around(self, hashes: np.ndarray, cell_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, item) pairs with enough of the item's rare words where matches stand that start in ``step`` cells from there on.
 
         Every word of the text counts at most as often as the item has it, so the count bounds
         the common subsequence from above together with the words that are not rare.
@@ -208,10 +215,12 @@ class Items:
         at = np.flatnonzero(self.rare_words[slot] == hashes) if len(self.rare_words) else np.zeros(0, np.int64)
         lists = self.postings[slot[at] + 1] - self.postings[slot[at]]
         entry = np.repeat(self.postings[slot[at]] - (np.cumsum(lists) - lists), lists) + np.arange(lists.sum())
-        cell, reach = np.repeat(cell_of[at], lists), before + after + 1
-        # One row per (window cell, entry): how often the word stands there, up to the item's own count.
-        spread = (cell[:, None] + np.arange(-after, before + 1)[None, :]).ravel()
-        seen, times = np.unique(spread * np.int64(len(self.rare_item)) + np.repeat(entry, reach), return_counts=True)
+        cell, step = np.repeat(cell_of[at], lists), self.step[self.rare_item[entry]]
+        first = np.maximum(-((self.reach[self.rare_item[entry]] + step - 2 - cell) // step), 0)
+        several = cell // step - first + 1
+        # One row per (first cell, entry): how often the word stands there, up to the item's own count.
+        spread = (np.repeat(first - (np.cumsum(several) - several), several) + np.arange(several.sum())) * np.repeat(step, several)
+        seen, times = np.unique(spread * np.int64(len(self.rare_item)) + np.repeat(entry, several), return_counts=True)
         which = seen % len(self.rare_item) if len(seen) else seen
         times = np.minimum(times, self.rare_count[which])
         pair, number = np.unique((seen // max(len(self.rare_item), 1)) * np.int64(len(self.ids) + 1) + self.rare_item[which], return_inverse=True)
@@ -237,18 +246,18 @@ def _leaks(hashes: np.ndarray, bounds: np.ndarray, items: Items, latent: np.ndar
     running = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
     text_of = np.repeat(np.arange(len(cells) - 1), np.diff(cells))
     last = cells[1:][text_of]
-    within = np.arange(len(starts)) - cells[:-1][text_of]
     cell_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
     best: dict[tuple[int, int], tuple] = {}
-    margin = max(2, -(-max(len(w) for w in items.words) // CELL)) if items.words else 2
-    met_cell, met_item = items.met_around(hashes, cell_of, margin, 4 + margin)
-    inside = (met_cell >= 0) & (met_cell < len(starts))
-    met_cell, met_item = met_cell[inside], met_item[inside]
-    for (owner, probe), span, step in zip(items.probes, (2, 4), (1, 2)):
+    met_cell, met_item = items.met_around(hashes, cell_of)
+    for (owner, probe), span in zip(items.probes, (2, 4)):
         if not len(owner):
             continue
-        of_side = np.isin(met_item, owner) & (within[met_cell] % step == 0)
+        of_side = np.isin(met_item, owner)
         cell, item = met_cell[of_side], met_item[of_side]
+        # The starts that are looked at together, cell by cell.
+        several = np.minimum(items.step[item], len(starts) - cell)
+        cell = np.repeat(cell - (np.cumsum(several) - several), several) + np.arange(several.sum())
+        item = np.repeat(item, several)
         stop = np.minimum(cell + span, last[cell])
         vectors = _unit(running[stop] - running[cell])
         first = np.searchsorted(owner, item)
@@ -259,20 +268,41 @@ def _leaks(hashes: np.ndarray, bounds: np.ndarray, items: Items, latent: np.ndar
             similar[ok] = np.maximum(similar[ok], (vectors[ok] * probe[first[ok] + more]).sum(axis=1))
         near_ = np.flatnonzero(similar >= cosine)
         for c, i, value in zip(cell[near_].tolist(), item[near_].tolist(), similar[near_].tolist()):
-            words, text = items.words[i], int(text_of[c])
-            a = max(int(starts[c]) - margin * CELL, int(bounds[text]))
-            around = hashes[a: min(int(starts[c]) + (span + margin) * CELL, int(bounds[text + 1]))].tolist()
-            length = common_subsequence(words.tolist(), around)
-            kind = "near" if length >= near * len(words) else "paraphrase" if (
-                length >= paraphrase * len(words) and _stands(items.answers[i], around)) else None
-            if kind:
-                found = (length, value, a - int(bounds[text]), kind)
+            text = int(text_of[c])
+            found = _match(items, i, hashes, int(starts[c]), int(bounds[text]), int(bounds[text + 1]), near, paraphrase)
+            if found:
+                length, at, kind = found
+                found = (length, value, at, kind)
                 old = best.get((text, i))
                 if old is None or found[:2] > old[:2]:
                     best[text, i] = found
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
+def _match(items: Items, i: int, hashes: np.ndarray, start: int, begin: int, end: int, near: float,
+           paraphrase: float) -> tuple[int, int, str] | None:
+    """(subsequence, first word, kind) of the longest match of an item that starts in the cell at ``start`` of a text."""
+    words = items.words[i].tolist()
+    stretch, reach = STRETCH * len(words), max(2 * CELL, len(words))
+    text = hashes[start: min(start + CELL - 1 + stretch, end)].tolist()
+    least = min(near, paraphrase) * len(words)
+    if common_subsequence(words, text) < least:
+        return None
+    best, known = None, set(words)
+    for k in range(min(CELL, len(text))):
+        if text[k] not in known:
+            continue
+        length = common_subsequence(words, text[k: k + stretch])
+        if length < least or (best and length <= best[0]):
+            continue
+        a = max(start + k - reach, begin)
+        if length >= near * len(words):
+            best = length, start + k - begin, "near"
+        elif length >= paraphrase * len(words) and _stands(items.answers[i], hashes[a: min(start + k + stretch + reach, end)].tolist()):
+            best = length, start + k - begin, "paraphrase"
+    return best
+
+
 def _stands(needle: list[int], words: list[int]) -> bool:
     n = len(needle)
     return n > 0 and any(words[i: i + n] == needle for i in range(len(words) - n + 1))

@@ -170,6 +170,22 @@ def test_paraphrases_need_their_answer(spark):
     assert {(r.doc_id, r.kind) for r in found} == {(100, "paraphrase"), (102, "near")}
 
 
+def test_a_long_item_does_not_widen_short_ones(spark):
+    """Clean long documents hold a short item's words in order, but far apart."""
+    rnd = random.Random(6)
+    item = [f"w{k}" for k in range(15)]
+    filler = lambda n: [f"v{rnd.randrange(3000)}" for _ in range(n)]
+    apart = [[x for w in item for x in (w, *filler(100))] for _ in range(5)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(apart)] + [(10, " ".join(filler(200) + item + filler(200)))]
+    long = filler(1000)
+    rows.append((11, " ".join(filler(77) + long + filler(300))))
+    both = [(1, " ".join(item)), (2, " ".join(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{(r.doc_id, r.item, r.common) for r in decontaminate.find_leaks(
+        docs, spark.createDataFrame(some, "item_id long, text string")).select("doc_id", F.inline("leaks")).collect()} for some in (both, both[:1])]
+    assert found == [{(10, 1, 15), (11, 2, 1000)}, {(10, 1, 15)}]
+
+
 def test_common_subsequence_equals_table():
     rnd = random.Random(2)
     for _ in range(200):
