@@ -1,20 +1,22 @@
-"""Benchmark decontamination: latent search for passages, then a check word by word.
+"""Benchmark decontamination: rare words make the pairs, then a check word by word; latent cosine of the hits.
 
 1. Passages of 64 words are rows of a TF-IDF matrix over hashed terms.  A randomised
    singular value decomposition of all passages is computed in one pass: each task
    sums its part of A'A R for a fixed random R, Spark adds the parts, and the small
    rest (Nystroem: A'A is about Z (R'Z)^-1 Z') is done on the driver, whose size depends
    on the number of terms and dimensions only.
-2. Every document is read again in overlapping windows of two sizes.  A window's
-   position in the latent space, with all directions scaled alike, is compared with
-   each benchmark item's by cosine.
-3. Near pairs are checked: the item's words that occur around the window bound the
-   longest common subsequence from above; where the bound allows it, the
-   subsequence is computed.  A document leaks an item if the subsequence has
-   ``near`` of the item's words, or ``paraphrase`` of them and the item's answer
-   stands there too.  A subsequence may cover ``STRETCH`` times the item's own
-   words of text; what other items there are does not matter.  The answer is the column ``answer`` where the benchmark has
-   one, else the end of the item's text.
+2. Every document is read again in cells of 16 words.  An index of each item's rarest
+   words makes the (cell, item) pairs: those of an item's words that stand where a
+   match could bound the longest common subsequence from above, so no pair is lost.
+3. For every pair that meets the bound the subsequence is computed.  A document leaks
+   an item if the subsequence has ``near`` of the item's words, or ``paraphrase`` of
+   them and the item's answer stands there too.  A subsequence may cover ``STRETCH``
+   times the item's own words of text; what other items there are does not matter.
+   The answer is the column ``answer`` where the benchmark has one, else the end of
+   the item's text.
+4. A hit's position in the latent space, with all directions scaled alike, is compared
+   with the item's by cosine.  The cosine is given with the hit and, of equally long
+   matches in a document, chooses the one that is given; it decides about no pair.
 
 Benchmark items are compared in blocks of ``item_block``, each with its own pass, so
 what is sent to the tasks is bounded.
@@ -40,7 +42,7 @@ TERMS = 1 << 14
 DIMS, OVERSAMPLE = 32, 8
 CELL = 16
 PASSAGE = 64
-#: Items of up to this many words are looked up in the small windows (2 cells), longer ones in the large (4 cells).
+#: Items of up to this many words have their cosine with small windows (2 cells), longer ones with large (4 cells).
 SHORT = 24
 BLOCK_TERMS = 512
 #: A match covers at most so many times the item's number of words.
@@ -236,7 +238,7 @@ class Items:
         return tb.span_hashes(data, starts, ends)
 
 
-def _leaks(hashes: np.ndarray, bounds: np.ndarray, items: Items, latent: np.ndarray, cosine: float, near: float,
+def _leaks(hashes: np.ndarray, bounds: np.ndarray, items: Items, latent: np.ndarray, near: float,
            paraphrase: float) -> list[tuple]:
     """(text, item, subsequence, cosine, first word, kind) of one chunk, the best window of each pair."""
     starts, cells = _runs(bounds, CELL)
@@ -266,8 +268,7 @@ def _leaks(hashes: np.ndarray, bounds: np.ndarray, items: Items, latent: np.ndar
         for more in range(int(np.bincount(owner).max())):
             ok = (first + more < len(owner)) & (owner[np.minimum(first + more, len(owner) - 1)] == item)
             similar[ok] = np.maximum(similar[ok], (vectors[ok] * probe[first[ok] + more]).sum(axis=1))
-        near_ = np.flatnonzero(similar >= cosine)
-        for c, i, value in zip(cell[near_].tolist(), item[near_].tolist(), similar[near_].tolist()):
+        for c, i, value in zip(cell.tolist(), item.tolist(), similar.tolist()):
             text = int(text_of[c])
             found = _match(items, i, hashes, int(starts[c]), int(bounds[text]), int(bounds[text + 1]), near, paraphrase)
             if found:
@@ -309,7 +310,7 @@ def _stands(needle: list[int], words: list[int]) -> bool:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None,
-               item_key: str = "item_id", item_text: str = "text", answer: str = "answer", cosine: float = 0.2,
+               item_key: str = "item_id", item_text: str = "text", answer: str = "answer",
                near: float = 0.75, paraphrase: float = 0.6, item_block: int = 20_000) -> DataFrame:
     """The columns ``keep`` (default: all) with ``leaks``: item, item_words, common, cosine, at (word), kind."""
     names = [c for c in (keep if keep is not None else docs.columns) if c != "leaks"]
@@ -328,20 +329,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
         some = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).orderBy("item", "words").toPandas()
         known = Items([None if pd.isna(i) else int(i) for i in some["item"]], some["words"].tolist(), [a if isinstance(a, str) else None for a in some["answer"]],
                       latent, idf, min(near, paraphrase))
-        out = out.mapInArrow(_scanner(known, latent, cosine, near, paraphrase, b + 1 == blocks and text not in names),
+        out = out.mapInArrow(_scanner(known, latent, near, paraphrase, b + 1 == blocks and text not in names),
                              f"_doc {kind}, _text string, leaks {hits}")
     return out.select(*[F.col("_text").alias(c) if c == text else F.col(f"_doc.`{c}`") for c in names],
                       F.coalesce("leaks", F.array().cast(hits)).alias("leaks"))
 
 
-def _scanner(items: Items, latent: np.ndarray, cosine: float, near: float, paraphrase: float, drop_text: bool):
+def _scanner(items: Items, latent: np.ndarray, near: float, paraphrase: float, drop_text: bool):
     """Adds the leaks of one block of items; the texts go along as long as they are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, hashes, bounds in _word_arrays(batch.column(1)):
                 found: list[list] = [[] for _ in range(end - row)]
-                for t, i, common, cos, at, what in _leaks(hashes, bounds, items, latent, cosine, near, paraphrase):
+                for t, i, common, cos, at, what in _leaks(hashes, bounds, items, latent, near, paraphrase):
                     found[t].append({"item": items.ids[i], "item_words": len(items.words[i]), "common": common, "cosine": cos,
                                      "at": at, "kind": what})
                 before = batch.column(2).slice(row, end - row)

@@ -186,6 +186,23 @@ def test_a_long_item_does_not_widen_short_ones(spark):
     assert found == [{(10, 1, 15), (11, 2, 1000)}, {(10, 1, 15)}]
 
 
+def test_no_exact_passage_is_lost(spark, texts):
+    items = {r.item_id: " ".join(words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    flat = {d: f" {' '.join(words(t))} " for d, t in texts.items()}
+    want = {(d, i) for i, item in items.items() for d, t in flat.items() if f" {item} " in t}
+    assert {(r.doc_id, r.item_id) for r in queries.op5_latent_leaks(spark, SF).collect()} == want
+
+
+def test_cosine_decides_about_no_leak(spark, monkeypatch):
+    """Words without any weight in the latent directions."""
+    none = np.zeros((decontaminate.TERMS, decontaminate.DIMS), np.float32), np.ones(decontaminate.TERMS, np.float32)
+    monkeypatch.setattr(decontaminate, "latent_map", lambda *_: none)
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"a b c {item} d e"), (2, "a b c d e")], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert [(r.doc_id, r.item) for r in found.select("doc_id", F.inline("leaks")).collect()] == [(1, 5)]
+
+
 def test_common_subsequence_equals_table():
     rnd = random.Random(2)
     for _ in range(200):
