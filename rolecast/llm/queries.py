@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import adaptive_scan, backoff_lm, bag_minhash, chat_windows, decontaminate, html_main, licenses, mixing, quality, repeats
+from rolecast.llm import (
+    adaptive_scan, backoff_lm, bag_minhash, chat_windows, decontaminate, html_main, licenses, mixing, quality, repeats, token_alignment,
+)
 from rolecast.operators.shaping import checkpoint_root
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
@@ -89,6 +91,11 @@ def op10_mix_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of every document, with the links' counts over all documents."""
+    return token_alignment.aligned_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES = {
     "op1_chat_windows": op1_chat_windows,
     "op2_quality_lines": op2_quality_lines,
@@ -100,6 +107,7 @@ QUERIES = {
     "op8_license_templates": op8_license_templates,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_mix_thresholds": op10_mix_thresholds,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLES = {
