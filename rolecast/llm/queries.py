@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecast.llm import (
-    adaptive_scan, backoff_lm, bag_minhash, chat_windows, decontaminate, html_main, licenses, mixing, quality, repeats, token_alignment,
+    adaptive_scan, backoff_lm, bag_minhash, chat_windows, decontaminate, html_main, licenses, line_index, mixing, quality, repeats,
+    token_alignment,
 )
 from rolecast.operators.shaping import checkpoint_root
 
@@ -96,6 +97,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.aligned_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op12_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand in ten of them or more."""
+    done = line_index.drop_common_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return done.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_chat_windows": op1_chat_windows,
     "op2_quality_lines": op2_quality_lines,
@@ -108,6 +115,7 @@ QUERIES = {
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_mix_thresholds": op10_mix_thresholds,
     "op11_token_alignment": op11_token_alignment,
+    "op12_line_index": op12_line_index,
 }
 
 ORACLES = {
@@ -135,5 +143,16 @@ SELECT d.doc_id, d.size, q.source_size, q.target,
        WHEN k.n = 0 THEN 0 ELSE floor(d.size * (q.rem - k.before) / k.n) END AS BIGINT) AS taken
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.h = d.h
+""",
+    "op12_line_index": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT r, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+c AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10),
+m AS (SELECT k.*, c.k IS NOT NULL AS gone FROM k LEFT JOIN c ON k.k = c.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
 """,
 }
