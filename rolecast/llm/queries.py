@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecast.llm import (
     adaptive_scan, backoff_lm, bag_minhash, chat_windows, decontaminate, html_main, licenses, line_index, mixing, quality, repeats,
-    token_alignment,
+    spelling, token_alignment,
 )
 from rolecast.operators.shaping import checkpoint_root
 
@@ -103,6 +103,11 @@ def op12_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept", 256).alias("kept_sha256"))
 
 
+def op13_spelling_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commoner form of every word that is one letter away from it."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_windows": op1_chat_windows,
     "op2_quality_lines": op2_quality_lines,
@@ -116,6 +121,7 @@ QUERIES = {
     "op10_mix_thresholds": op10_mix_thresholds,
     "op11_token_alignment": op11_token_alignment,
     "op12_line_index": op12_line_index,
+    "op13_spelling_pivots": op13_spelling_pivots,
 }
 
 ORACLES = {
