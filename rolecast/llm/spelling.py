@@ -9,13 +9,13 @@ stands in that word's prefix if that prefix does not end earlier in the global o
 the word's own; of two near words at least one is therefore found by a pivot of it in the
 other's prefix.
 
-The position limit is as tight as one edit allows.  Where the edit is behind the pivot,
-the two words are equal up to the pivot's end; where it is before, they are equal from the
-pivot on, counted from their ends.  So each pivot asks for two hashes, of the word's
-beginning and of its rest, in words of one length or one more or less, and the index holds
-both for each prefix bigram.  Candidates whose letters differ too much are dropped by a
-bitmap of letters, the others are verified by the edit distance itself.  Words of more than
-256 letters are paired by their halves, which is as exact.
+The position limit is as tight as one edit allows.  Where the edit is before the pivot, the
+two words are equal from the pivot on, counted from their ends; and as the letters before
+it hold one edit, either their first half is equal as well, or all from there on.  Likewise
+behind the pivot.  So each pivot asks for the hashes of these parts in words of one length
+or one more or less, and the index holds them for each prefix bigram.  Candidates are
+verified by the edit distance itself.  Words of more than 256 letters are paired by their
+halves, which is as exact.
 
 Counting runs on byte arrays: each task sends every word of a few megabytes once, with its
 count.  The order of the bigrams is a table of at most 90 times 90 rows, since words
@@ -165,14 +165,6 @@ def word_keys(word: str, order: dict[str, int]) -> tuple[list[int], list[int]]:
     return pivot_places(prefix, ranks[prefix]), prefix.tolist()
 
 
-def letter_mask(word: str) -> int:
-    """One bit for each letter that stands in the word, sixty-three bits in all."""
-    mask = 0
-    for c in word:
-        mask |= 1 << (ord(c) * 0x9E37 % 63)
-    return mask
-
-
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, near): all pairs of words at distance one, in both directions; words have four letters or more."""
     sized = words.select("word", F.char_length("word").alias("size"))
@@ -193,30 +185,50 @@ def _by_pivots(words: DataFrame) -> DataFrame:
                 letter = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
                 size = np.array([len(w) for w in names])
                 first = np.cumsum(size) - size
-                mask = np.array([letter_mask(w) for w in names], np.int64)
+
+                def part(word: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+                    return tb.span_hashes(data, letter[first[word] + begin], letter[first[word] + end])
+
                 for pivot in (True, False):
                     places = [k[not pivot] for k in keys]
                     word = np.repeat(np.arange(len(names)), [len(p) for p in places])
                     at = np.array([p for own in places for p in own], np.int64)
-                    begin, end = first[word], first[word] + size[word]
-                    # What an edit behind the bigram leaves and what one before it leaves, each with its place.
-                    fronts = tb.span_hashes(data, letter[begin], letter[begin + at + 2])
-                    backs = tb.span_hashes(data, letter[begin + at], letter[end])
-                    for part, place, side in ((fronts, at, 1), (backs, size[word] - at, 2)):
-                        for more in (-1, 0, 1) if pivot else (0,):
-                            h = tb.mix(tb.mix(part + place.astype(np.uint64)) + (size[word] + more).astype(np.uint64) * np.uint64(4) + np.uint64(side))
+                    for more in (-1, 0, 1) if pivot else (0,):
+                        for number, h in enumerate(_asked(part, word, at, size[word], more)):
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(word), pivot)), pa.array([names[i] for i in word.tolist()], pa.string()), pa.array(mask[word]),
-                                 pa.array(h.view(np.int64))], names=["pivot", "word", "mask", "h"])
-
-    rows = cut_lineage(words.mapInArrow(run, "pivot boolean, word string, mask bigint, h bigint"), "spelling-grams")
-    asks = rows.filter("pivot").select("word", "mask", "h")
-    index = rows.filter("NOT pivot").select(F.col("word").alias("near"), F.col("mask").alias("_mask"), F.col("h").alias("_h"))
-    met = asks.join(index, (F.col("h") == F.col("_h")) & (F.col("word") != F.col("near")) & (
-        F.bit_count(F.col("mask").bitwiseXOR(F.col("_mask"))) <= 2))
+                                [pa.array(np.full(len(h[0]), pivot)), pa.array([names[i] for i in h[0].tolist()], pa.string()),
+                                 pa.array(tb.mix(h[1] + np.uint64(number)).view(np.int64))], names=["pivot", "word", "h"])
+
+    rows = cut_lineage(words.mapInArrow(run, "pivot boolean, word string, h bigint"), "spelling-grams")
+    asks = rows.filter("pivot").select("word", "h")
+    index = rows.filter("NOT pivot").select(F.col("word").alias("near"), F.col("h").alias("_h"))
+    met = asks.join(index, (F.col("h") == F.col("_h")) & (F.col("word") != F.col("near")))
     return met.filter(F.levenshtein("word", "near", 1) == 1).select("word", "near")
 
 
+def _asked(part, word: np.ndarray, at: np.ndarray, size: np.ndarray, more: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Four lists of (words, hashes): what one edit leaves in a word ``more`` letters longer that has the bigram, too.
+
+    ``before`` is the number of letters in front of the bigram in the other word.  If the edit is among them, the words
+    are equal from the bigram on.  And they either begin with the same half of these letters, or are equal from there on.
+    The same holds behind the bigram.
+    """
+    none, out = np.zeros_like(at), []
+    tag = (size + more).astype(np.uint64) << np.uint64(8)
+    for before, front in ((at + more, True), (size - at - 2 + more, False)):
+        half = before // 2
+        some = np.flatnonzero(before >= 0)
+        w, h, s, p = word[some], half[some], size[some], at[some]
+        kept = part(w, p, s) if front else part(w, none[some], p + 2)
+        outer = part(w, none[some], h) if front else part(w, s - h, s)
+        out.append((w, tb.mix(kept ^ tb.mix(outer)) + tag[some]))
+        some = np.flatnonzero((before >= 0) & (half > 0))
+        w, h, s = word[some], half[some], size[some]
+        inner = part(w, h - more, s) if front else part(w, none[some], s + more - h)
+        out.append((w, inner + tag[some]))
+    return out
+
+
 def _by_halves(words: DataFrame) -> DataFrame:
     """Pairs of words of at least ``LONG`` letters (word, size): one edit leaves one half of the shorter word as it is.
 
