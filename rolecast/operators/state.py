@@ -1,15 +1,19 @@
 """State tables and their writers (SNK-01 … SNK-10).
 
-Merges are joins that return the next version of a table; writers replace only
-the date partitions they touch, so a retried job writes the same files again.
-History is append-only and never deleted.
+Merges are joins that return the next version of a table.  The cache and the external
+snapshot are stored in parts that change one by one and become visible in one step;
+other writers replace only the date partitions they touch, so a retried job writes the
+same files again.  History is append-only and never deleted.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rolecast.config import (
     BOARD_EXTRA, BOARD_STATUSES, DEFAULT_KEYWORDS, DEFAULT_PARITY, DEFAULT_PROFILE, INITIAL_STATUS,
@@ -17,6 +21,7 @@ from rolecast.config import (
 from rolecast.functions import text
 from rolecast.operators import filters
 from rolecast.operators.shaping import col_or_null
+from rolecast.operators.versioned import PartTable
 
 
 def upsert_cache(old: DataFrame, new: DataFrame, now, sparse: tuple = ()) -> DataFrame:
@@ -206,16 +211,20 @@ def write_judgements(judgements: DataFrame, path: str) -> None:
     judgements.orderBy("id").write.mode("overwrite").parquet(path)
 
 
-def replace_snapshot(rows: DataFrame, consulted_at, path: str) -> bool:
-    """SNK-09: a full external snapshot replaces the stored one, unless it is older."""
-    spark = rows.sparkSession
-    stored = _read_or_none(spark, path)
-    if stored is not None:
-        older = stored.agg((F.max("consultado_em") > F.lit(consulted_at).cast("timestamp")).alias("o")).first()["o"]
-        if older:
-            return False
-    (rows.withColumn("consultado_em", F.lit(consulted_at).cast("timestamp"))
-     .write.mode("overwrite").parquet(path))
+def snapshot_table(spark: SparkSession, path: str, schema: StructType, keys: list[str], parts: int = 16) -> PartTable:
+    """SNK-09: the stored copy of an external snapshot."""
+    return PartTable(spark, path, schema, keys, parts)
+
+
+def replace_snapshot(table: PartTable, rows: DataFrame, consulted_at: str) -> bool:
+    """SNK-09: a full external snapshot replaces the stored one, unless it is older.
+
+    ``consulted_at``: an ISO instant.  Readers see the old rows until the new ones are all written.
+    """
+    at = dt.datetime.fromisoformat(str(consulted_at)).isoformat()
+    if table.facts().get("consultado_em", at) > at:
+        return False
+    table.replace(rows, facts={"consultado_em": at})
     return True
 
 
@@ -230,6 +239,17 @@ def append_events(events: DataFrame, path: str) -> None:
     events.withColumn("dia", F.to_date("em")).write.mode("append").partitionBy("dia").parquet(path)
 
 
-def write_cache(cache: DataFrame, path: str, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) -> None:
-    """The posting cache, partitioned by the day a posting was first seen."""
-    write_partitions(cache.withColumn("dia", F.to_date("encontrada_em")), path, "dia")
+def cache_table(spark: SparkSession, path: str, schema: StructType, parts: int = 64) -> PartTable:
+    """SNK-01: the posting cache, dealt into parts by id."""
+    return PartTable(spark, path, schema, ["id_externo"], parts)
+
+
+def save_cache(table: PartTable, new: DataFrame, now, sparse: tuple = (), batch: int | None = None) -> list[int]:
+    """SNK-01: ``upsert_cache`` of the parts that hold ids of ``new``, a written table; returns these parts."""
+    return table.merge(new.filter("id_externo IS NOT NULL"), lambda stored, rows: upsert_cache(stored, rows, now, sparse), batch)
+
+
+def expunge_cache(table: PartTable, now, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) -> list[int]:
+    """SNK-01: rows that fail today's filter leave the cache; parts without such rows are not written."""
+    return table.rewrite(lambda rows: filters.with_reason(rows, now, profile, kw, parity).filter("reason IS NOT NULL"),
+                         lambda rows: expunge(rows, now, profile, kw, parity)[0])

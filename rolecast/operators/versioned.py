@@ -135,10 +135,10 @@ class PartTable:
         touched = sorted(r[0] for r in self.with_part(changes).select(PART).distinct().collect())
         return self._replace(before, touched, lambda: fold(self._read(before, touched), changes), batch, facts)
 
-    def rewrite(self, hit: Column, change: Callable[[DataFrame], DataFrame], facts: dict | None = None) -> list[int]:
-        """Replaces the parts in which ``hit`` holds for a row by ``change(their rows)``; returns these parts."""
+    def rewrite(self, hits: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame], facts: dict | None = None) -> list[int]:
+        """Replaces the parts that hold rows of ``hits(all rows)`` by ``change(their rows)``; returns these parts."""
         before = self.manifest()
-        touched = sorted(r[0] for r in self.with_part(self._read(before)).filter(hit).select(PART).distinct().collect())
+        touched = sorted(r[0] for r in self.with_part(hits(self._read(before))).select(PART).distinct().collect())
         return self._replace(before, touched, lambda: change(self._read(before, touched)), None, facts)
 
     def replace(self, df: DataFrame, batch: int | None = None, facts: dict | None = None) -> None:

@@ -101,6 +101,39 @@ def status_as_of(events: DataFrame, instant: Column, key: str = "id", order: tup
     return latest_status(events.filter(F.col(order[0]) <= instant), key, order, status)
 
 
+def as_of_join(probes: DataFrame, events: DataFrame, key: str, at: str, when: str, order: list[str], values: list[str],
+               prefix: str = "vigente_") -> DataFrame:
+    """WIN-05: each probe row with the values of its key's last event at or before its own instant.
+
+    Probes and events are ordered together by (key, instant), cut by range into parts, and the last event is carried
+    along: inside a part by a window, across parts by one row per key and part.  So neither a key with very many events
+    nor one with very many probes meets in one task.  ``order`` decides among events of one instant.  A probe without key
+    or instant, or before its key's first event, gets nulls.
+    """
+    probe = F.struct(*[F.col(c) for c in probes.columns])
+    value = F.struct(*[F.col(c) for c in values])
+    kinds = {c: events.schema[c].dataType for c in order}
+    asked = probes.select(
+        F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_is"), *[F.lit(None).cast(t).alias(f"_o{i}") for i, t in enumerate(kinds.values())],
+        probe.alias("_row"), F.lit(None).cast(events.select(value.alias("v")).schema["v"].dataType).alias("_val"))
+    told = events.filter(F.col(key).isNotNull() & F.col(when).isNotNull()).select(
+        F.col(key).alias("_k"), F.col(when).alias("_t"), F.lit(0).alias("_is"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+        F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), value.alias("_val"))
+    along = ["_t", "_is", *[f"_o{i}" for i in range(len(order))]]
+    parts = _in_parts(asked.unionByName(told), "_k", along)
+    inside = Window.partitionBy("_k", _PART).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.withColumn("_here", F.last("_val", ignorenulls=True).over(inside)).filter("_is = 1")
+    last = parts.filter("_is = 0").groupBy("_k", _PART).agg(F.max_by("_val", F.struct(*along)).alias("_last"))
+    # One row for each key and part that has events, so that a part without any finds the one before.
+    spans = parts.select("_k", _PART).distinct().join(last, ["_k", _PART], "left")
+    before = Window.partitionBy("_k").orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(F.col("_k").alias("_ck"), F.col(_PART).alias("_cp"), F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    joined = local.join(carried, (F.col("_k") == F.col("_ck")) & (F.col(_PART) == F.col("_cp")), "left")
+    found = F.when(F.col("_t").isNotNull(), F.coalesce("_here", "_carry"))
+    return joined.select("_row.*", found.alias("_found")).select(
+        *probes.columns, *[F.col(f"_found.{v}").alias(prefix + v) for v in values])
+
+
 def transitions(events: DataFrame, key: str = "id", order: tuple = ("em", "seq"), status: str = "para") -> DataFrame:
     """WIN-04: (de → para) of each event; equal consecutive statuses are no move."""
     moved = with_previous(events, key, list(order), [status])

@@ -174,6 +174,13 @@ def status_as_of(spark, sf):
     return windows.status_as_of(inputs.board_events(spark, sf), at, order=("em", "seq")).select("id", "status")
 
 
+def status_at_each(spark, sf):
+    """WIN-05: the status of each event's card twelve hours before the event."""
+    events = inputs.board_events(spark, sf)
+    probes = events.select("id", F.col("seq").alias("evento"), (F.col("em") - F.expr("INTERVAL 12 HOURS")).alias("antes"))
+    return windows.as_of_join(probes, events, "id", "antes", "em", ["seq"], ["para", "seq"]).select("evento", "vigente_para", "vigente_seq")
+
+
 def status_counts(spark, sf):
     current = windows.latest_status(inputs.board_events(spark, sf), order=("em", "seq"))
     return views.board_counts(current.select("id", "status"))
@@ -304,7 +311,7 @@ QUERIES = {f.__name__: f for f in (
     page_links, page_title, page_text, page_clean_html, page_status, public_urls, page_duplicates, known_url_classes,
     unseen_companies, discovered_boards, doc_normalized, doc_fingerprint_duplicates, doc_language_guess, doc_bigrams,
     doc_pii_scan, conversation_pii_scan, term_coverage, judgement_staleness, latest_status, status_transitions,
-    status_events, last_five, status_as_of, status_counts, board_summary, daily_balance, running_value,
+    status_events, last_five, status_as_of, status_at_each, status_counts, board_summary, daily_balance, running_value,
     local_day_counts, event_props, task_effects, turn_chain_check, revision_chain, answer_checks, snapshot_validation,
     import_completeness, page_yield,
 )}

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolecast.operators import state
+from rolecast.operators.shaping import scratch_path
 from rolecast.plans import inputs
-from rolecast.sources import boards, normalize
+from rolecast.sources import boards, items, normalize, providers
+from rolecast.sources.landing import POSTING_FIELDS, ReadMarks, read_raw, write_raw
 
 NOW = "2001-08-02 00:00:00"
 
@@ -44,14 +47,17 @@ def _show(postings: DataFrame) -> DataFrame:
     return postings.select("id_externo", "fonte", "titulo", "empresa", "link", "pais", "modelo", _day(F.col("publicada_em")).alias("publicada"))
 
 
-def feed_gupy(spark, sf):
+def _gupy_body(title: Column) -> Column:
     c = F.col
     kind = F.when(c("modelo") == "remoto", "remote").when(c("modelo") == "hibrido", "hybrid").when(c("modelo") == "presencial", "presential")
-    body = _wrap("data", c("seq").alias("id"), c("titulo").alias("name"), c("empresa").alias("careerPageName"),
+    return _wrap("data", c("seq").alias("id"), title.alias("name"), c("empresa").alias("careerPageName"),
                  F.concat(F.lit("&lt;p&gt;"), c("descricao"), F.lit("&lt;/p&gt;")).alias("description"), c("link").alias("jobUrl"),
                  kind.alias("workplaceType"), c("pais").alias("country"),
                  F.date_format("publicada_em", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedDate"))
-    return _show(boards.gupy(_raw(spark, sf, "gupy", body), NOW))
+
+
+def feed_gupy(spark, sf):
+    return _show(boards.gupy(_raw(spark, sf, "gupy", _gupy_body(F.col("titulo"))), NOW))
 
 
 def feed_arc(spark, sf):
@@ -176,23 +182,80 @@ def _boards_of_seven() -> dict[str, tuple[str | None, Column]]:
 
 
 def feed_seven_boards(spark, sf):
-    """Seven JSON sources in one landing zone: several items per page, and every page landed twice."""
+    """Seven JSON sources in one landing zone: several items per page, and every page landed twice, the first time with older titles."""
     shapes = _boards_of_seven()
-    postings = inputs.postings(spark, sf)
     page = F.floor(F.col("seq") / (len(shapes) * 5))
     raw = None
-    for n, (source, (field, item)) in enumerate(shapes.items()):
-        pages = postings.filter(F.col("seq") % len(shapes) == n).groupBy(page.alias("page")).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))), lambda x: x["item"]).alias("items"))
-        landed = pages.select(
-            F.lit(source).alias("source"), F.lit("Acme").alias("entry"),
-            F.explode(F.array(F.lit("2001-08-01").cast("timestamp"), F.lit("2001-08-02").cast("timestamp"))).alias("fetched_at"),
-            F.concat(F.lit("https://feed.example.com/p/"), F.lpad(F.col("page").cast("string"), 12, "0")).alias("url"),
-            F.lit(200).alias("http_status"), F.to_json("items" if field is None else F.struct(F.col("items").alias(field))).alias("body"))
-        raw = landed if raw is None else raw.unionByName(landed)
+    for day, title in (("2001-08-01", F.concat("titulo", F.lit(" (antiga)"))), ("2001-08-02", F.col("titulo"))):
+        postings = inputs.postings(spark, sf).withColumn("titulo", title)
+        for n, (source, (field, item)) in enumerate(shapes.items()):
+            pages = postings.filter(F.col("seq") % len(shapes) == n).groupBy(page.alias("page")).agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))), lambda x: x["item"]).alias("items"))
+            landed = pages.select(
+                F.lit(source).alias("source"), F.lit("Acme").alias("entry"), F.lit(day).cast("timestamp").alias("fetched_at"),
+                F.concat(F.lit("https://feed.example.com/p/"), F.lpad(F.col("page").cast("string"), 12, "0")).alias("url"),
+                F.lit(200).alias("http_status"), F.to_json("items" if field is None else F.struct(F.col("items").alias(field))).alias("body"))
+            raw = landed if raw is None else raw.unionByName(landed)
     return _show(normalize.normalize(raw, NOW, tuple(shapes)))
 
 
+def landing_rounds(spark, sf):
+    """SRC-15, SNK-01: three runs over a landing zone that grows twice; the last run finds nothing to read."""
+    zone, start = scratch_path(spark, "zone"), spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in POSTING_FIELDS.items()))
+    cache = state.cache_table(spark, scratch_path(spark, "cache"), start.schema.add("encontrada_em", "timestamp"), parts=8)
+    marks = ReadMarks(spark, scratch_path(spark, "marks"))
+    # The second day brings every third posting of the first again, edited, and the rest.
+    first, again = F.col("seq") % 2 == 0, F.col("seq") % 3 == 0
+    postings = inputs.postings(spark, sf)
+    page = F.concat(F.lit("https://feed.example.com/p/"), F.lpad(F.col("seq").cast("string"), 12, "0"))
+    read = []
+    for day, rows, title in (("2001-08-01", first, F.col("titulo")), ("2001-08-02", ~first | again, F.concat("titulo", F.lit(" (2)"))), (None, None, None)):
+        if day:
+            write_raw(postings.filter(rows).select(
+                F.lit("gupy").alias("source"), F.lit("").alias("entry"), F.lit(f"{day} 08:00:00").cast("timestamp").alias("fetched_at"), page.alias("url"),
+                F.lit(200).alias("http_status"), _gupy_body(title).alias("body")), zone)
+        report = normalize.land_new(read_raw(spark, zone), f"{day or '2001-08-03'} 09:00:00", cache, marks, ("gupy", "remotar"))
+        read.append(sum(line["postagens"] for line in report))
+    found = cache.read().groupBy(F.date_format("encontrada_em", "yyyy-MM-dd").alias("encontrada"), F.col("titulo").endswith("(2)").alias("editada")).agg(
+        F.count("*").alias("n"))
+    return found.withColumns({f"lidas_{i + 1}": F.lit(n).cast("long") for i, n in enumerate(read)})
+
+
+#: Levels of the nested documents below.
+DEEP = 10
+
+
+def feed_deep_ld_json(spark, sf):
+    """SRC-03: postings under ten levels of graphs and item lists, a page of several at the innermost one."""
+    job = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("titulo").alias("title"), F.col("link").alias("url")))
+    pages = inputs.postings(spark, sf).groupBy(F.floor(F.col("seq") / 20).alias("page")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", job.alias("j")))), lambda x: x["j"]), ",").alias("jobs"))
+    body = F.concat(F.lit("["), F.col("jobs"), F.lit("]"))
+    for i in range(DEEP):
+        body = F.concat(F.lit('{"@graph":' if i % 2 else '{"itemListElement":'), body, F.lit("}")) if i % 3 else F.concat(F.lit("["), body, F.lit("]"))
+        body = body if i % 3 == 0 else F.concat(F.lit("["), body, F.lit("]"))
+    raw = pages.select(
+        F.lit("vanhack").alias("source"), F.lit("").alias("entry"), F.lit("2001-08-01").cast("timestamp").alias("fetched_at"),
+        F.concat(F.lit("https://p/"), "page").alias("url"), F.lit(200).alias("http_status"),
+        F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("body"))
+    return items.ld_json(raw).select("url", F.col("pos").cast("long").alias("pos"), items.txt("title").alias("titulo"), items.txt("url").alias("link"))
+
+
+def feed_office_tree(spark, sf):
+    """JN-10: jobs of an office tree of ten levels, each posting at the depth of its number's last digit."""
+    job = F.struct(F.col("seq").cast("string").alias("id"))
+    pages = inputs.postings(spark, sf).groupBy(F.floor(F.col("seq") / 500).alias("page"), (F.col("seq") % DEEP).alias("depth")).agg(F.collect_list(job).alias("jobs"))
+    tree = pages.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("depth", "jobs"))).alias("at"))
+    body = F.lit("[]")
+    for depth in reversed(range(DEEP)):
+        held = F.coalesce(F.to_json(F.try_element_at("at", F.lit(depth).cast("long"))), F.lit("[]"))
+        body = F.concat(F.lit(f'[{{"name":"Office {depth}","departments":[{{"jobs":'), held, F.lit('}],"children":'), body, F.lit("}]"))
+    raw = tree.select(
+        F.lit("greenhouse").alias("source"), F.concat(F.lit("b"), "page").alias("entry"), F.lit("2001-08-01").cast("timestamp").alias("fetched_at"),
+        F.lit("https://x/offices").alias("url"), F.lit(200).alias("http_status"), F.concat(F.lit('{"offices":'), body, F.lit("}")).alias("body"))
+    return providers.office_map(raw).select("entry", "job_id", F.array_join("offices", "|").alias("offices"))
+
+
 def feed_counters(spark, sf):
     """SRC-15: broken and refused payloads are counted, not fatal."""
     c = F.col
@@ -203,4 +266,5 @@ def feed_counters(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     feed_gupy, feed_arc, feed_ux_remote_talent, feed_linkedin, feed_mapped_import, feed_remotive, feed_weworkremotely,
-    feed_workable_markdown, feed_hackernews, feed_seven_boards, feed_counters)}
+    feed_workable_markdown, feed_hackernews, feed_seven_boards, feed_counters, landing_rounds, feed_deep_ld_json,
+    feed_office_tree)}

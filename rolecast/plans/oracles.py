@@ -499,6 +499,9 @@ CONTENT_ORACLES = {
     "last_five": f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY em DESC, seq DESC) AS rn FROM board_events)
         SELECT id, string_agg(para, '>' ORDER BY rn DESC) AS historico FROM r WHERE rn <= 5 GROUP BY id""",
     "status_as_of": f"""WITH {EVENTS} SELECT id, arg_max(para, (em, seq)) AS status FROM board_events WHERE em <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY id""",
+    "status_at_each": f"""WITH {EVENTS}, p AS (SELECT id, seq AS evento, em - INTERVAL 12 HOUR AS antes FROM board_events)
+        SELECT evento, arg_max(e.para, (e.em, e.seq)) AS vigente_para, arg_max(e.seq, (e.em, e.seq)) AS vigente_seq
+        FROM p LEFT JOIN board_events e ON e.id = p.id AND e.em <= p.antes GROUP BY evento""",
     "status_counts": f"""WITH {CURRENT}, dim AS (SELECT * FROM (VALUES ('Avaliar', 0), ('Aplicar', 1), ('Já apliquei', 2), ('Entrevista', 3), ('Cancelada', 4)) v(status, ordem))
         SELECT dim.status, ordem, count(c.id) AS n FROM dim LEFT JOIN current_status c USING (status) GROUP BY ALL""",
     "board_summary": f"""WITH {CURRENT} SELECT count(*) AS total, count(*) FILTER (WHERE status IN {CONCLUDED}) AS concluidas, count(*) FILTER (WHERE status = 'Avaliar') AS n_0,
@@ -547,6 +550,16 @@ STREAM_ORACLES = {
         s AS (SELECT *, sum(novo) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS inicio, count(*) AS n FROM s GROUP BY user_id, k""",
     "stream_status_fold": f"""WITH {CURRENT} SELECT coalesce(c.status, 'Avaliar') AS status, count(*) AS n FROM orders o LEFT JOIN current_status c ON c.id = CAST(o.o_orderkey AS VARCHAR) GROUP BY 1""",
+    "stream_upsert": f"""WITH {POSTINGS} SELECT fonte, publicada_em < TIMESTAMP '1997-12-02 00:00:00' AS atrasada, count(*) AS n FROM postings GROUP BY 1, 2""",
+    "cache_rounds": f"""WITH {POSTINGS}, merged AS (SELECT * REPLACE (descricao || CASE WHEN seq % 3 = 0 THEN ' (nova)' ELSE '' END AS descricao) FROM postings WHERE seq % 2 = 0 OR seq % 3 = 0),
+          j AS (SELECT *, {reason()} AS reason FROM merged)
+        SELECT fonte, CASE WHEN seq % 2 = 0 THEN '2001-08-01' ELSE '2001-08-02' END AS encontrada, seq % 3 = 0 AS editada, count(*) AS n
+        FROM j WHERE reason IS NULL GROUP BY 1, 2, 3""",
+    "snapshot_replace": f"""WITH {KEYED}, {BOARD} SELECT status, count(*) AS n, CAST(2 AS BIGINT) AS aceitos, '2001-08-02T10:00:00' AS consultado_em
+        FROM board WHERE id LIKE 'manual:%' GROUP BY 1""",
+    "stream_status_history": f"""WITH {EVENTS}, m AS (SELECT e.*, o.o_orderkey IS NOT NULL AS existe FROM board_events e LEFT JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = e.id),
+        l AS (SELECT *, CASE WHEN existe THEN coalesce(lag(para) OVER (PARTITION BY id ORDER BY em, seq), 'Avaliar') END AS de FROM m)
+        SELECT CASE WHEN existe THEN 'evento' ELSE 'rejeitada' END AS tipo, de, para, count(*) AS n FROM l WHERE NOT existe OR de <> para GROUP BY ALL""",
     "stream_day_quota": """WITH e AS (SELECT *, CAST(ts - INTERVAL 3 HOUR AS DATE) AS dia FROM events),
         r AS (SELECT user_id, dia, min(ts) AS em FROM e WHERE event_type = 'signup' GROUP BY ALL),
         c AS (SELECT e.user_id, e.dia, arg_min(event_id, (ts, event_id)) AS run FROM e JOIN r ON r.user_id = e.user_id AND r.dia = e.dia AND e.ts >= r.em WHERE event_type = 'purchase' GROUP BY ALL)
@@ -602,6 +615,12 @@ FEED_ORACLES = {
         for n, (source, name, dated) in enumerate((
             ("themuse", "The Muse", False), ("greenhouse", "Greenhouse", True), ("lever", "Lever", True), ("ashby", "Ashby", True),
             ("recruitee", "Recruitee", False), ("pinpoint", "Pinpoint", False), ("comeet", "Comeet", True)))),
+    "landing_rounds": f"""WITH {POSTINGS} SELECT CASE WHEN seq % 2 = 0 THEN '2001-08-01' ELSE '2001-08-02' END AS encontrada,
+          seq % 2 <> 0 OR seq % 3 = 0 AS editada, count(*) AS n, (SELECT count(*) FILTER (WHERE seq % 2 = 0) FROM postings) AS lidas_1,
+          (SELECT count(*) FILTER (WHERE seq % 2 <> 0 OR seq % 3 = 0) FROM postings) AS lidas_2, CAST(0 AS BIGINT) AS lidas_3 FROM postings GROUP BY 1, 2""",
+    "feed_deep_ld_json": f"""WITH {POSTINGS} SELECT 'https://p/' || CAST(seq // 20 AS VARCHAR) AS url,
+          CAST(row_number() OVER (PARTITION BY seq // 20 ORDER BY seq) - 1 AS BIGINT) AS pos, titulo, link FROM postings""",
+    "feed_office_tree": f"""WITH {POSTINGS} SELECT 'b' || CAST(seq // 500 AS VARCHAR) AS entry, CAST(seq AS VARCHAR) AS job_id, 'Office ' || CAST(seq % 10 AS VARCHAR) AS offices FROM postings""",
     "feed_counters": f"""WITH {POSTINGS} SELECT 'remotive' AS source, count(*) AS consultadas, count(*) FILTER (WHERE modelo IN ('remoto', 'hibrido')) AS falhas,
         'JSON invalido' AS erro FROM postings""",
 }

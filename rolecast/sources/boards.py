@@ -35,8 +35,8 @@ def _interesting(title: Column, kw) -> Column:
 
 
 def _distinct(df: DataFrame) -> DataFrame:
-    """WIN-01: the first arrival of each id: by landing, page, place on the page, then content."""
-    landed = [F.col("_landed")] if "_landed" in df.columns else []
+    """WIN-01: each id once: the newest landing's, of it the first by page, place on the page, then content."""
+    landed = [F.col("_landed.fetched_at").desc_nulls_last(), F.col("_landed.url")] if "_landed" in df.columns else []
     kept = first_per_key(df.filter("id_externo IS NOT NULL"), ["id_externo"], *landed, F.col("seq"),
                          F.xxhash64("titulo", "empresa", "descricao", "link"))
     return kept.drop("_landed")

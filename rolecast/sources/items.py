@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolecast.functions import html
 from rolecast.functions.text import collapse, let
+from rolecast.operators.shaping import cut_lineage
 
 KEEP = ("source", "entry", "url", "fetched_at")
 ITEM = "item"
@@ -39,11 +40,29 @@ def script_json(df: DataFrame, marker: str, *paths: str, carry: dict[str, str] |
     return json_items(df.withColumn("body", text), *paths, carry=carry)
 
 
+def walk(rows: DataFrame, children, label: str = "walk") -> DataFrame:
+    """The items of ``rows`` and all that they hold, to any depth, with ``path``, the places on the way to each.
+
+    ``children``: from an item to the array of those inside it.  Each level is written once and read for the next one,
+    until a level is empty, so the number of rounds is the depth of the deepest document.
+    """
+    others = [c for c in rows.columns if c not in (ITEM, "path")]
+    place = F.array(F.col("pos").cast("int")) if "pos" in rows.columns else F.array(F.lit(0))
+    level = cut_lineage(rows.withColumn("path", place), label)
+    levels = level
+    while True:
+        level = cut_lineage(level.select(*others, "path", F.posexplode(children(F.col(ITEM))).alias("_at", ITEM)).withColumn(
+            "path", F.concat("path", F.array("_at"))).select(*levels.columns), label)
+        if level.isEmpty():
+            return levels
+        levels = levels.unionByName(level)
+
+
 def ld_json(df: DataFrame) -> DataFrame:
-    """SRC-03: JobPosting objects of all ld+json blocks, through @graph and itemListElement."""
+    """SRC-03: JobPosting objects of all ld+json blocks, through lists, @graph and itemListElement of any depth."""
     pattern = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
-    docs = df.select(*KEEP, F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("t")).select(
-        *KEEP, F.try_parse_json("t").alias("v"))
+    docs = df.select(*KEEP, F.posexplode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("pos", "t")).select(
+        *KEEP, "pos", F.try_parse_json("t").alias(ITEM)).filter(F.col(ITEM).isNotNull())
 
     def children(v: Column) -> Column:
         get = lambda p: F.try_variant_get(v, p, "array<variant>")
@@ -51,14 +70,12 @@ def ld_json(df: DataFrame) -> DataFrame:
         none = F.array().cast("array<variant>")
         return F.concat(F.coalesce(get("$"), none), F.coalesce(get("$['@graph']"), none), F.coalesce(listed, none))
 
-    # Four levels: a list of pages, each with a graph that holds a list of items.
-    level, levels = docs, docs
-    for _ in range(4):
-        level = level.select(*KEEP, F.explode(children(F.col("v"))).alias("v"))
-        levels = levels.unionByName(level)
     kind = F.coalesce(
-        F.try_variant_get("v", "$['@type']", "array<string>"), F.array(F.try_variant_get("v", "$['@type']", "string")))
-    return levels.filter(F.array_contains(kind, "JobPosting")).select(*KEEP, F.lit(0).alias("pos"), F.col("v").alias(ITEM))
+        F.try_variant_get(ITEM, "$['@type']", "array<string>"), F.array(F.try_variant_get(ITEM, "$['@type']", "string")))
+    found = walk(docs, children, "ld-json").filter(F.array_contains(kind, "JobPosting"))
+    # A page's items are what one body holds.
+    on_page = Window.partitionBy(*KEEP).orderBy("path")
+    return found.withColumn("pos", F.row_number().over(on_page) - 1).select(*KEEP, "pos", ITEM)
 
 
 def html_blocks(df: DataFrame, separator: str) -> DataFrame:

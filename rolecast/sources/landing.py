@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from rolecast.operators.versioned import PartTable
 
 # ``source`` and the day of landing are the partition columns: a normalizer reads only its own payloads.
 RAW_SCHEMA = "source string, entry string, fetched_at timestamp, url string, http_status int, body string"
@@ -48,6 +51,54 @@ def latest(pages: DataFrame, *keys: str) -> DataFrame:
     return pages.groupBy(*keys).agg(F.max_by(row, F.struct("fetched_at", F.xxhash64("body"))).alias("_r")).select(*keys, "_r.*")
 
 
+class ReadMarks:
+    """SRC-15: per source the instant up to which its landings have been read, kept at ``path``."""
+
+    SCHEMA = StructType().add("fonte", "string").add("lido_ate", "long")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.table = spark, PartTable(spark, path, self.SCHEMA, ["fonte"], parts=1)
+
+    def known(self) -> dict[str, int]:
+        """Microseconds by source; as many rows as there are sources."""
+        return {r.fonte: r.lido_ate for r in self.table.read().collect()}
+
+    def advance(self, newest: dict[str, int]) -> None:
+        """A mark never goes back."""
+        rows = self.spark.createDataFrame(list(newest.items()), self.SCHEMA)
+        self.table.merge(rows, lambda stored, new: stored.unionByName(new).groupBy("fonte").agg(F.max("lido_ate").alias("lido_ate")))
+
+
+def _after(mark: int | None, raw: DataFrame, overlap_days: int) -> Column:
+    if mark is None:
+        return F.lit(True)
+    from_then = F.timestamp_micros(F.lit(mark)) - F.make_dt_interval(days=F.lit(overlap_days))
+    after = F.col("fetched_at") > from_then
+    return after & (F.col("day") >= F.to_date(from_then)) if "day" in raw.columns else after  # prunes the zone's folders
+
+
+def news(raw: DataFrame, marks: dict[str, int], sources: tuple[str, ...]) -> dict[str, int]:
+    """The newest landing of each source that has one after its mark.
+
+    Reads instants only, from the mark's day on; a source without news is not read again.
+    """
+    some = raw.filter(F.col("source").isin(*sources) & F.col("fetched_at").isNotNull())
+    wanted = F.lit(False)
+    for source in sources:
+        wanted = wanted | ((F.col("source") == source) & _after(marks.get(source), raw, 0))
+    found = some.filter(wanted).groupBy("source").agg(F.max(F.unix_micros("fetched_at")).alias("newest")).collect()
+    return {r["source"]: r.newest for r in found}
+
+
+def unread(raw: DataFrame, source: str, mark: int | None, newest: int, overlap_days: int = 0) -> DataFrame:
+    """One source's landings after its mark, up to the newest that ``news`` saw.
+
+    A detail page that lands after its list page is found if both lie within ``overlap_days`` before the mark.
+    """
+    upto = F.col("fetched_at") <= F.timestamp_micros(F.lit(newest))
+    return raw.filter((F.col("source") == source) & _after(mark, raw, overlap_days) & upto)
+
+
 def config_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-14: a JSON configuration file as a table with a declared schema."""
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)

@@ -11,10 +11,12 @@ from rolecast.config import DEFAULT_KEYWORDS
 from rolecast.functions import html, text, urls
 from rolecast.functions.text import let
 from rolecast.operators import filters
-from rolecast.operators.shaping import bind
+from rolecast.operators.shaping import bind, cut_lineage
+from rolecast.operators.state import save_cache
+from rolecast.operators.versioned import PartTable
 from rolecast.operators.windows import first_per_key
 from rolecast.sources import boards, providers
-from rolecast.sources.landing import failures, payloads
+from rolecast.sources.landing import ReadMarks, failures, news, payloads, unread
 
 # UDF-04: the key under which a source recognises its own postings again.
 DEDUPE_KEYS = {"workday": lambda: F.coalesce(urls.workday_requisition_key(F.col("url")), urls.normalize_link(F.col("url")))}
@@ -41,8 +43,9 @@ def provider_jobs(raw: DataFrame, now, only: tuple[str, ...] | None = None) -> D
     key = urls.normalize_link(F.col("url"))
     for source, build in DEDUPE_KEYS.items():
         key = F.when(F.col("source") == source, build()).otherwise(key)
-    # A feed lists a posting once per page and query: the first one stays.
-    return first_per_key(jobs.withColumn("_k", key), ["source", "_k"], F.col("page"), F.col("pos")).drop("_k")
+    # A feed lists a posting once per page and query: the first one of the newest landing stays.
+    order = [F.col("fetched_at").desc_nulls_last(), F.col("page"), F.col("pos"), F.xxhash64("title", "url", "company", "location", "description")]
+    return first_per_key(jobs.withColumn("_k", key), ["source", "_k"], *order).drop("_k")
 
 
 def provider_postings(jobs: DataFrame, names: dict[str, str] | None = None, kw=DEFAULT_KEYWORDS) -> DataFrame:
@@ -98,6 +101,27 @@ def counters(raw: DataFrame) -> DataFrame:
     return raw.groupBy("source").agg(F.count("*").alias("consultadas")).join(bad, "source", "left").fillna(0, ["falhas"])
 
 
+def land_new(raw: DataFrame, now, cache: PartTable, marks: ReadMarks, sources: tuple[str, ...] = ALL_SOURCES, kw=DEFAULT_KEYWORDS,
+             overlap_days: int = 0) -> list[dict]:
+    """SRC-15, SNK-01: what has landed since the last run, source by source, into the posting cache.
+
+    Each source with news is a job of its own over its unread landings.  Its mark moves after its postings are in the
+    cache, so a source that fails is read again by the next run, and the others stand.
+    """
+    known, report = marks.known(), []
+    for source, newest in sorted(news(raw, known, sources).items()):
+        line = {"fonte": source, "postagens": 0, "erro": None}
+        try:
+            fresh = cut_lineage(normalize(unread(raw, source, known.get(source), newest, overlap_days), now, (source,), kw), "fresh")
+            line["postagens"] = fresh.count()
+            save_cache(cache, fresh, now)
+            marks.advance({source: newest})
+        except Exception as e:  # the other sources must not suffer from this one
+            line["erro"] = str(e).split("\n")[0][:200]
+        report.append(line)
+    return report
+
+
 def land_postings(raw: DataFrame, now, path: str, sources: tuple[str, ...] = ALL_SOURCES, kw=DEFAULT_KEYWORDS) -> list[dict]:
     """SRC-15, SET-01: normalize source by source into a table partitioned by source.
 

@@ -105,7 +105,7 @@ def builtin_jobs(df: DataFrame, now) -> DataFrame:
         dates.board_relative_date(F.col("_clock"), now).alias("posted_at"), money.card_band(F.col("_pay")).alias("salary"))
     joined = listed.join(cards, (F.col("url") == F.col("_page")) & (listed["job_id"] == cards["job_id"]), "left")
     return joined.select(
-        "source", "entry", F.col("url").alias("page"), "pos", "title", F.col("job_url").alias("url"), "company",
+        "source", "entry", F.col("url").alias("page"), "fetched_at", "pos", "title", F.col("job_url").alias("url"), "company",
         F.coalesce("location", F.lit("")).alias("location"), "description", "posted_at", "salary",
     ).filter("title IS NOT NULL AND url IS NOT NULL")
 
@@ -194,17 +194,14 @@ def _greenhouse_location(now=None) -> Column:
     return F.coalesce(txt("location.name"), F.lit(""))
 
 
-def office_map(raw: DataFrame, depth: int = 6) -> DataFrame:
-    """JN-10: (job id → sorted office names) through the nested office tree."""
-    level = items.json_items(raw, "$.offices").select("source", "entry", ITEM)
-    found = None
-    for _ in range(depth):
-        jobs = level.select("source", "entry", txt("name").alias("office"), F.explode(
-            js("departments", "array<variant>")).alias("d")).select(
-            "source", "entry", "office", F.explode(F.try_variant_get("d", "$.jobs", "array<variant>")).alias("j"))
-        jobs = jobs.select("source", "entry", F.try_variant_get("j", "$.id", "string").alias("job_id"), "office")
-        found = jobs if found is None else found.unionByName(jobs)
-        level = level.select("source", "entry", F.explode(js("children", "array<variant>")).alias(ITEM))
+def office_map(raw: DataFrame) -> DataFrame:
+    """JN-10: (job id → sorted office names) through the nested office tree, however deep it is."""
+    roots = items.json_items(raw, "$.offices").select("source", "entry", ITEM)
+    offices = items.walk(roots, lambda v: F.try_variant_get(v, "$.children", "array<variant>"), "offices")
+    jobs = offices.select("source", "entry", txt("name").alias("office"), F.explode(
+        js("departments", "array<variant>")).alias("d")).select(
+        "source", "entry", "office", F.explode(F.try_variant_get("d", "$.jobs", "array<variant>")).alias("j"))
+    found = jobs.select("source", "entry", F.try_variant_get("j", "$.id", "string").alias("job_id"), "office")
     return found.filter("job_id IS NOT NULL AND office IS NOT NULL").groupBy("source", "entry", "job_id").agg(
         F.array_sort(F.collect_set("office")).alias("offices"))
 
@@ -529,4 +526,4 @@ def jobs_of(spec: ProviderSpec, payloads: DataFrame, now) -> DataFrame:
     if spec.id == "generalist-world":
         usable = usable & F.coalesce(F.col("job.company") != "", F.lit(False))
     # Bound, so that the filter does not parse and decode the fields a second time.
-    return bind(rows, job=job).filter(usable).select("source", "entry", F.col("url").alias("page"), "pos", "job.*")
+    return bind(rows, job=job).filter(usable).select("source", "entry", F.col("url").alias("page"), "fetched_at", "pos", "job.*")

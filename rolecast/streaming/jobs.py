@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from rolecast.config import DEFAULT_PROFILE
 from rolecast.functions import text
 from rolecast.operators import state, windows
 from rolecast.operators.shaping import cut_lineage, scratch_path
-from rolecast.streaming.state_table import StateTable, write_batch
+from rolecast.operators.versioned import PartTable
+from rolecast.streaming.keyed import state_store
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -60,7 +63,7 @@ def sessions(stream: DataFrame, key: str, ts: str, gap: str = "30 minutes", dela
     return stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count("*").alias("n"))
 
 
-# ------------------------------------------------------------------------ folded state
+# ------------------------------------------------- batch forms of the keyed streams, and the sink
 
 
 def split_late(batch: DataFrame, ts: str, newest: Column, profile=DEFAULT_PROFILE) -> tuple[DataFrame, DataFrame]:
@@ -70,19 +73,8 @@ def split_late(batch: DataFrame, ts: str, newest: Column, profile=DEFAULT_PROFIL
     return batch.filter(~late), batch.filter(late)
 
 
-def status_fold(board: StateTable, history: str, rejected: str):
-    """STR-05: move requests folded into the board; unknown ones are rejected with a reason."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        # Written once: the fold reads the batch several times, and the source only once.
-        nxt, events, refused = state.apply_moves(board.before(batch_id), cut_lineage(batch, "batch"))
-        write_batch(events, history, batch_id)
-        write_batch(refused, rejected, batch_id)
-        board.write(nxt, batch_id)
-    return run
-
-
 def fold_quota(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """STR-06: (next state, rejected requests) of the one paid trigger per installation and local day.
+    """STR-06 in batch: (next state, rejected requests) of the one paid trigger per installation and local day.
 
     ``batch``: (instalacao, dia, tipo, reserva_id, run_id, em, seq) with tipo
     reservar or confirmar.  The first reservation of a day wins and uses it up;
@@ -113,7 +105,7 @@ def fold_quota(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def fold_fingerprints(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """STR-07: (next state, re-edited postings).
+    """STR-07 in batch: (next state, re-edited postings).
 
     ``batch``: (id_externo, descricao, em, seq); ``stored``: (id_externo, impressao).
     """
@@ -128,7 +120,7 @@ def fold_fingerprints(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, D
 
 
 def fold_attempts(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """STR-10: (next state, rejected events) of the attempt ledger.
+    """STR-10 in batch: (next state, rejected events) of the attempt ledger.
 
     ``batch``: (chave, tentativa_id, tipo, prova, em, seq) with tipo intencao,
     confirmar or reconciliar.  An intent blocks its key until it is confirmed;
@@ -157,21 +149,11 @@ def fold_attempts(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataF
     return nxt, refused
 
 
-def fold(table: StateTable, step, side: str | None = None):
-    """A ``foreachBatch`` function from a fold: state to the table, the rest to a side table."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        nxt, rest = step(table.before(batch_id), cut_lineage(batch, "batch"))
-        if side:
-            write_batch(rest, side, batch_id)
-        table.write(nxt, batch_id)
-    return run
-
-
-def upsert_sink(cache: StateTable, clock, late: str, ts: str = "publicada_em", sparse: tuple = ()):
+def upsert_sink(cache: PartTable, clock, late: str, ts: str = "publicada_em", sparse: tuple = (), profile=DEFAULT_PROFILE):
     """STR-09, STR-02: each batch merged into the cache, one row per id; late rows to a side table.
 
-    ``clock`` gives the instant of a batch: an argument, so a replayed batch can
-    be given the instant it had.
+    Only the parts of the cache that hold the batch's ids are read and written, and a batch that is run again changes
+    nothing.  ``clock`` gives the instant of a batch: an argument, so a replayed batch can be given the instant it had.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         now = clock(batch_id)
@@ -181,12 +163,17 @@ def upsert_sink(cache: StateTable, clock, late: str, ts: str = "publicada_em", s
         latest = batch.groupBy("id_externo").agg(
             F.max_by(F.struct(*payload), F.struct(ts, F.xxhash64(*payload))).alias("r"))
         rows = cut_lineage(latest.select("id_externo", "r.*"), "batch")
-        in_time, too_late = split_late(rows, ts, F.lit(now).cast("timestamp"))
+        in_time, too_late = split_late(rows, ts, F.lit(now).cast("timestamp"), profile)
         write_batch(too_late, late, batch_id)
-        cache.write(state.upsert_cache(cache.before(batch_id), in_time, now, sparse), batch_id)
+        cache.merge(in_time, lambda stored, new: state.upsert_cache(stored, new, now, sparse), batch=batch_id)
     return run
 
 
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Rows of one batch; running the batch again replaces them."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
 # ----------------------------------------------------------------------------- running
 
 
@@ -205,22 +192,62 @@ def run_batches(stream: DataFrame, each, label: str, mode: str = "append", check
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a declarative stream into a table in the shared folder and read it back.
+class AppendRun:
+    """A stream in append mode into a table: each start takes what is there, goes on after the last batch, and stops.
 
-    ``complete`` keeps the last full result, ``append`` all rows.
+    With a watermark only final windows and sessions are written, and their state goes.  ``read`` gives the rows written
+    so far, of finished batches only.
     """
+
+    def __init__(self, stream: DataFrame, label: str, checkpoint: str | None = None, path: str | None = None, keyed: bool = False):
+        spark = stream.sparkSession
+        self.stream, self.keyed, self.spark = stream, keyed, spark
+        self.checkpoint = checkpoint or scratch_path(spark, f"{label}-checkpoint")
+        self.path = path or scratch_path(spark, label)
+        #: Newest event time seen by this object's runs, and the most rows of state that a batch left.
+        self.newest: str | None = None
+        self.state_rows = 0
+
+    def once(self) -> int:
+        """Takes in what is available now; returns the rows read."""
+        with state_store(self.spark) if self.keyed else nullcontext():
+            query = (self.stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", self.checkpoint)
+                     .option("path", self.path).trigger(availableNow=True).start())
+        query.awaitTermination()
+        progress = query.recentProgress
+        times = [p["eventTime"]["max"] for p in progress if "max" in p["eventTime"]]
+        self.newest = max([*times, *([self.newest] if self.newest else [])], default=None)
+        self.state_rows = max([self.state_rows, *(o["numRowsTotal"] for p in progress for o in p["stateOperators"])])
+        return sum(p["numInputRows"] for p in progress)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.stream.schema).parquet(self.path)
+
+
+def with_closing(stream: DataFrame, path: str) -> DataFrame:
+    """A stream joined by the rows of ``path``, a folder that is empty until ``close`` is called."""
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
-    newest = {"batch": -1}
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
-        newest["batch"] = batch_id
-
-    run_batches(stream, each, label, mode)
-    if newest["batch"] < 0:
-        return spark.createDataFrame([], stream.schema)
-    if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{path}/batch={newest['batch']}")
-    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def close(run: AppendRun, path: str, schema, ts: str, after: str) -> None:
+    """Ends a finite input: a row ``after`` the newest event moves the watermark past all windows, and the run hands them over.
+
+    The row itself stays in the state, in a window that never ends.
+    """
+    if run.newest is not None:
+        at = F.to_timestamp(F.lit(run.newest)) + F.expr(f"INTERVAL {after}")
+        row = [(at if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        run.spark.range(1).select(*row).write.mode("append").parquet(path)
+        run.once()
+
+
+def run_to_end(build, stream: DataFrame, ts: str, label: str, after: str) -> DataFrame:
+    """All windows or sessions of a finite input, in append mode: the input, then a closing row ``after`` its newest event."""
+    path = scratch_path(stream.sparkSession, f"{label}-closing")
+    run = AppendRun(build(with_closing(stream, path)), label)
+    run.once()
+    close(run, path, stream.schema, ts, after)
+    return run.read()

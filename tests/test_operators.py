@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rolecast.config import Keywords, Profile
@@ -298,8 +299,13 @@ def test_writers(spark, tmp_path):
     assert state.backup_once(df.limit(1), f"{tmp_path}/bk", "2026-09-25") is False
     assert state.backup_once(df, f"{tmp_path}/bk", "2026-09-26") is True
     assert spark.read.parquet(f"{tmp_path}/bk").count() == 4
-    assert state.replace_snapshot(df, "2026-09-25 10:00:00", f"{tmp_path}/snap") is True
-    assert state.replace_snapshot(df, "2026-09-24 10:00:00", f"{tmp_path}/snap") is False
+    table = state.snapshot_table(spark, f"{tmp_path}/snap", df.schema, ["id"])
+    assert state.replace_snapshot(table, df, "2026-09-25 10:00:00") is True
+    assert state.replace_snapshot(table, df.limit(1), "2026-09-24 10:00:00") is False and table.read().count() == 2
+    assert state.replace_snapshot(table, df.limit(1), "2026-09-25 10:00:00") is True and table.read().count() == 1
+    with pytest.raises(PySparkException):
+        state.replace_snapshot(table, df.withColumn("n", F.raise_error(F.lit("lost")).cast("int")), "2026-09-26 10:00:00")
+    assert table.read().count() == 1 and table.facts() == {"consultado_em": "2026-09-25T10:00:00"}
     state.write_judgements(df, f"{tmp_path}/j")
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/j").coalesce(1).collect()] == ["a", "b"]
     state.write_run_report(df.agg(F.count("*").alias("n")), f"{tmp_path}/run", "2026-09-25")
@@ -461,3 +467,39 @@ def test_mapping_is_checked():
     with pytest.raises(ValueError):
         boards.check_mapping({**{k: None for k in boards.IMPORT_FIELDS}, "title": "__proto__;", "url": "u"})
     boards.check_mapping({**{k: None for k in boards.IMPORT_FIELDS}, "title": "a.b", "url": "u"})
+
+
+def test_cache_of_parts(spark, tmp_path):
+    kind = "id_externo string, titulo string, publicada_em timestamp"
+    schema = spark.createDataFrame([], kind + ", encontrada_em timestamp").schema
+    cache = state.cache_table(spark, f"{tmp_path}/c", schema, parts=8)
+    state.save_cache(cache, spark.createDataFrame([(f"a{i}", "v1", None) for i in range(30)] + [(None, "x", None)], kind), "2026-09-25 00:00:00")
+    touched = state.save_cache(cache, spark.createDataFrame([("a3", "v2", None)], kind), "2026-09-26 00:00:00")
+    rows = {r.id_externo: (r.titulo, r.encontrada_em.day) for r in cache.read().collect()}
+    assert len(touched) == 1 and len(rows) == 30 and rows["a3"] == ("v2", 25) and rows["a4"] == ("v1", 25)
+
+
+def test_as_of_join(spark):
+    """Against a plain search, with a hot key, equal instants, null keys and instants, at several cuts."""
+    import random
+    rnd = random.Random(7)
+    keys = ["hot"] * 5 + ["a", "b", None]
+    events = [(rnd.choice(keys), rnd.choice([None, *range(40)]), i, f"v{i}") for i in range(400)]
+    probes = [(i, rnd.choice([*keys, "none"]), rnd.choice([None, *range(-2, 45)])) for i in range(400)]
+    want = {}
+    for n, k, t in probes:
+        held = [e for e in events if k is not None and t is not None and e[0] == k and e[1] is not None and e[1] <= t]
+        want[n] = max(held, key=lambda e: (e[1], e[2]))[3] if held else None
+    left = spark.createDataFrame(probes, "n int, id string, at int")
+    right = spark.createDataFrame(events, "id string, em int, seq int, para string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for cuts in ("1", "4", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", cuts)
+            got = windows.as_of_join(left, right, "id", "at", "em", ["seq"], ["para"])
+            assert got.columns == ["n", "id", "at", "vigente_para"]
+            assert {r.n: r.vigente_para for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert windows.as_of_join(left, right.limit(0), "id", "at", "em", ["seq"], ["para"]).filter("vigente_para IS NOT NULL").count() == 0
+    assert windows.as_of_join(left.limit(0), right, "id", "at", "em", ["seq"], ["para"]).count() == 0

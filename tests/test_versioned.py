@@ -92,9 +92,9 @@ def test_a_fold_that_moves_rows_to_other_parts_is_refused(spark, table):
 
 def test_rewrite_touches_the_parts_with_hits_and_old_files_go(spark, table, tmp_path):
     put(spark, table, [(f"k{i}", i) for i in range(1, 41)], facts={"a": 1})
-    touched = table.rewrite(F.col("n") == 7, lambda stored: stored.filter("n <> 7"), {"b": 2})
+    touched = table.rewrite(lambda rows: rows.filter("n = 7"), lambda stored: stored.filter("n <> 7"), {"b": 2})
     assert len(touched) == 1 and "k7" not in dict(rows(table)) and len(rows(table)) == 39
-    assert table.facts() == {"a": 1, "b": 2} and table.rewrite(F.col("n") == 7, lambda s: s) == []
+    assert table.facts() == {"a": 1, "b": 2} and table.rewrite(lambda rows: rows.filter("n = 7"), lambda s: s) == []
     for _ in range(3):
         table.replace(spark.createDataFrame([("z", 1)], SCHEMA))
     named = {v for n in table._numbers() for v in table.manifest(n)["parts"].values()}
