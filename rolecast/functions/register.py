@@ -17,7 +17,8 @@ def _q(s: str) -> str:
 
 def _definitions() -> dict[str, tuple[str, str]]:
     collapsed = f"trim(regexp_replace({{}}, {_q(text.SPACE + '+')}, ' '))"
-    folded = f"translate(s, {_q(text._FOLD_FROM)}, {_q(text._FOLD_TO)})"
+    decomposed = f"regexp_replace(java_method('com.ibm.icu.text.Normalizer', 'decompose', s, false), {_q('[' + chr(0x300) + '-' + chr(0x36F) + ']')}, '')"
+    folded = f"CASE WHEN s RLIKE {_q(text._BEYOND)} THEN {decomposed} ELSE translate(s, {_q(text._FOLD_FROM)}, {_q(text._FOLD_TO)}) END"
     return {
         "normalize_text": ("STRING", f"coalesce({collapsed.format(f'lower({folded})')}, '')"),
         "fingerprint": ("STRING", f"substr(sha1(nullif({collapsed.format('s')}, '')), 1, 12)"),

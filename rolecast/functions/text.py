@@ -35,10 +35,14 @@ def fold(text: str | None) -> str:
     return re.sub(SPACE + "+", " ", bare.lower()).strip(" ")
 
 
+#: Code points up to here decompose into one base letter and marks, which a table of letters can say.
+_TABLE_END = 0x0900
+
+
 def _fold_tables() -> tuple[str, str]:
-    """Every precomposed letter below U+3000 and the base letter it folds to."""
+    """Every precomposed letter below ``_TABLE_END`` and the base letter it folds to."""
     source, target = [], []
-    for code in range(0xC0, 0x3000):
+    for code in range(0xC0, _TABLE_END):
         ch = chr(code)
         if _is_mark(ch):
             continue
@@ -52,6 +56,14 @@ def _fold_tables() -> tuple[str, str]:
 
 
 _FOLD_FROM, _FOLD_TO = _fold_tables()
+#: A letter that may decompose into several, or that the table does not hold.
+_BEYOND = "[\u0622-\u0626\u06C0-\u06D3\u0900-\U0010FFFF]"
+
+
+def _decomposed(c: Column) -> Column:
+    """Canonical decomposition of all of Unicode, by the library of Spark's collations."""
+    return F.regexp_replace(F.java_method(
+        F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(False)), "[\u0300-\u036F]", "")
 
 
 def quote(term: str) -> str:
@@ -66,8 +78,8 @@ def let(value: Column, body) -> Column:
 
 def strip_accents(c: Column) -> Column:
     # Pure ASCII needs no fold, and comparing lengths is far cheaper than folding.
-    return let(c, lambda x: F.when(
-        F.octet_length(x) > F.char_length(x), F.translate(x, _FOLD_FROM, _FOLD_TO)).otherwise(x))
+    return let(c, lambda x: F.when(F.octet_length(x) == F.char_length(x), x).when(
+        x.rlike(_BEYOND), _decomposed(x)).otherwise(F.translate(x, _FOLD_FROM, _FOLD_TO)))
 
 
 def collapse(c: Column) -> Column:

@@ -67,11 +67,19 @@ def with_identity(df: DataFrame, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) ->
     ).drop("_empresa", "_titulo")
 
 
+def _strong_keys() -> Column:
+    kinds = {"c": "id_canonico", "l": "chave_link", "r": "chave_requisicao"}
+    return F.array_compact(F.array(*[F.concat(F.lit(k + ":"), F.col(c)) for k, c in kinds.items()]))
+
+
+def identity_members(postings: DataFrame, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) -> DataFrame:
+    """(node, key): every strong key of every posting; a posting without keys has one row."""
+    return with_identity(postings, kw, parity).select(F.col("id_externo").alias("node"), F.explode_outer(_strong_keys()).alias("key"))
+
+
 def identity_edges(keyed: DataFrame, strict: bool = True) -> DataFrame:
     """JN-06: one star per shared key; the weak key only links in loose mode."""
-    kinds = {"c": "id_canonico", "l": "chave_link", "r": "chave_requisicao"}
-    keys = F.array_compact(F.array(*[F.concat(F.lit(k + ":"), F.col(c)) for k, c in kinds.items()]))
-    members = keyed.select(F.col("id_externo").alias("node"), F.explode(keys).alias("key"))
+    members = keyed.select(F.col("id_externo").alias("node"), F.explode(_strong_keys()).alias("key"))
     edges = star_edges(members, "node", "key")
     return edges if strict else edges.unionByName(_weak_edges(keyed)).distinct()
 

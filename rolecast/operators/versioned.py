@@ -109,6 +109,16 @@ class PartTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self._read(self.manifest(version))
 
+    def near(self, keyed: DataFrame) -> DataFrame:
+        """The stored rows of the parts that hold keys of ``keyed``, and no other part's files.
+
+        At most ``parts`` small numbers come to the driver.
+        """
+        manifest = self.manifest()
+        if not manifest["parts"]:
+            return self._read(manifest)
+        return self._read(manifest, [r[0] for r in self.with_part(keyed).select(PART).distinct().collect()])
+
     def facts(self) -> dict:
         return self.manifest()["facts"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolecast.functions import dates, html, text, urls
+from rolecast.functions.register import register
 from rolecast.operators import coverage, lookups, quality, views, windows
 from rolecast.operators.shaping import bind
 from rolecast.plans import inputs
@@ -174,6 +175,15 @@ def status_as_of(spark, sf):
     return windows.status_as_of(inputs.board_events(spark, sf), at, order=("em", "seq")).select("id", "status")
 
 
+def unicode_names(spark, sf):
+    """FN-01, UDF-02: names with a Korean syllable and a compatibility letter, by the Column and the SQL form."""
+    register(spark)
+    syllable = F.decode(F.unhex(F.hex(F.lit(0xAC00) + F.pmod(F.col("doc_id"), F.lit(11172)))), "UTF-16BE")
+    name = F.concat(F.lit("Ção "), syllable, F.lit("\uFA1E"))
+    named = _t(spark, sf, "documents").select("doc_id", name.alias("nome"))
+    return named.select("doc_id", text.normalize_text(F.col("nome")).alias("normal"), F.expr("job_normalize_text(nome)").alias("por_sql"))
+
+
 def status_at_each(spark, sf):
     """WIN-05: the status of each event's card twelve hours before the event."""
     events = inputs.board_events(spark, sf)
@@ -311,7 +321,7 @@ QUERIES = {f.__name__: f for f in (
     page_links, page_title, page_text, page_clean_html, page_status, public_urls, page_duplicates, known_url_classes,
     unseen_companies, discovered_boards, doc_normalized, doc_fingerprint_duplicates, doc_language_guess, doc_bigrams,
     doc_pii_scan, conversation_pii_scan, term_coverage, judgement_staleness, latest_status, status_transitions,
-    status_events, last_five, status_as_of, status_at_each, status_counts, board_summary, daily_balance, running_value,
+    status_events, last_five, status_as_of, status_at_each, unicode_names, status_counts, board_summary, daily_balance, running_value,
     local_day_counts, event_props, task_effects, turn_chain_check, revision_chain, answer_checks, snapshot_validation,
     import_completeness, page_yield,
 )}

@@ -281,6 +281,7 @@ POSTING_ORACLES = {
     "comparable_titles": f"WITH {POSTINGS} SELECT id_externo, {COMPARABLE} AS titulo_comparavel FROM postings",
     "requisition_keys": f"WITH {KEYED} SELECT id_externo, chave_requisicao, chave_anuncio, requisicao FROM keyed",
     "entity_clusters": f"WITH {CLUSTERS} SELECT id_externo, cluster FROM clusters",
+    "entity_clusters_by_day": f"WITH {CLUSTERS} SELECT id_externo, cluster FROM clusters",
     "entity_survivors": f"""WITH {SURVIVORS} SELECT s.cluster, s.id_externo, s.fonte,
         coalesce(s.modelo, (SELECT arg_min(l.modelo, l.rn) FROM labelled l WHERE l.cluster = s.cluster AND l.modelo IS NOT NULL)) AS modelo,
         (SELECT count(*) - 1 FROM labelled l WHERE l.cluster = s.cluster) AS n_fundidas,
@@ -499,6 +500,9 @@ CONTENT_ORACLES = {
     "last_five": f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY em DESC, seq DESC) AS rn FROM board_events)
         SELECT id, string_agg(para, '>' ORDER BY rn DESC) AS historico FROM r WHERE rn <= 5 GROUP BY id""",
     "status_as_of": f"""WITH {EVENTS} SELECT id, arg_max(para, (em, seq)) AS status FROM board_events WHERE em <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY id""",
+    "unicode_names": """WITH d AS (SELECT doc_id, CAST(doc_id % 11172 AS INTEGER) AS i FROM documents), n AS (
+          SELECT doc_id, 'cao ' || chr(4352 + i // 588) || chr(4449 + (i % 588) // 28) || CASE WHEN i % 28 > 0 THEN chr(4519 + i % 28) ELSE '' END || chr(32701) AS normal FROM d)
+        SELECT doc_id, normal, normal AS por_sql FROM n""",
     "status_at_each": f"""WITH {EVENTS}, p AS (SELECT id, seq AS evento, em - INTERVAL 12 HOUR AS antes FROM board_events)
         SELECT evento, arg_max(e.para, (e.em, e.seq)) AS vigente_para, arg_max(e.seq, (e.em, e.seq)) AS vigente_seq
         FROM p LEFT JOIN board_events e ON e.id = p.id AND e.em <= p.antes GROUP BY evento""",

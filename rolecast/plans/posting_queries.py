@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rolecast.config import Profile
 from rolecast.functions import dates, money, text, urls
-from rolecast.operators import coverage, filters, lookups, quality, resolve, score, state, views, windows
-from rolecast.operators.shaping import bind
+from rolecast.operators import coverage, entities, filters, lookups, quality, resolve, score, state, views, windows
+from rolecast.operators.shaping import bind, scratch_path
 from rolecast.plans import inputs
 from rolecast.plans.inputs import NOW
 
@@ -52,6 +52,15 @@ def entity_clusters(spark, sf):
         "id_externo", F.coalesce("cluster", "id_externo").alias("cluster"))
 
 
+def entity_clusters_by_day(spark, sf):
+    """GR-06: the same clusters, from postings that come in three days."""
+    index = entities.EntityIndex(spark, scratch_path(spark, "entities"), parts=8)
+    postings = _P(spark, sf)
+    for day in range(3):
+        index.add(postings.filter(F.col("seq") % 7 % 3 == day))
+    return index.clusters()
+
+
 def entity_survivors(spark, sf):
     got = resolve.resolve(_P(spark, sf)).survivors
     return got.select(
@@ -389,7 +398,7 @@ def send_preconditions(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_links, link_dedupe_survivor, comparable_titles, requisition_keys, entity_clusters, entity_survivors,
+    normalize_links, link_dedupe_survivor, comparable_titles, requisition_keys, entity_clusters, entity_clusters_by_day, entity_survivors,
     entity_aliases, weak_duplicates, collision_count, classify_seniority, work_model, salary_monthly,
     freshness_windows, freshness_points, eligibility, filter_reasons, filter_reasons_hybrid_profile, reason_histogram,
     source_counts, score_postings, document_scores, hydrated_view, rank_top_k, reading_queue, queue_histogram,

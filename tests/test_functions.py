@@ -208,3 +208,16 @@ def test_page_reading(rows):
     assert rows(['{"status": "Frozen"}', '{"status":"published"}', "none"], lambda c: html.is_alive(html.page_status(c))) == [False, True, None]
     assert rows(["<title>Job page | UX &amp; UI</title>", "<p>"], html.page_title) == ["UX & UI", None]
     assert rows(["", "uddg=x", "captcha", "x" * 30000], html.scan_status) == ["blocked", "ok", "blocked", "empty"]
+
+
+def test_all_of_unicode_folds(rows):
+    """Every code point alone and inside a word, as decomposition and removal of the marks U+0300 to U+036F say."""
+    import unicodedata
+    values = []
+    for start in range(0x80, 0x110000, 64):
+        some = [chr(c) for c in range(start, start + 64) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+        if some and (start < 0x900 or any(unicodedata.normalize("NFD", c) != c for c in some) or start % 8192 == 0):
+            values += some if start < 0x3400 else ["x".join(some)]
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F)
+    got = rows(values, text.strip_accents)
+    assert [(v, g) for v, g in zip(values, got) if g != bare(v)] == []

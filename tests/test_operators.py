@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolecast.config import Keywords, Profile
 from rolecast.functions import register, text
-from rolecast.operators import components, coverage, filters, lookups, quality, resolve, score, state, views, windows
+from rolecast.operators import components, coverage, entities, filters, lookups, quality, resolve, score, state, views, windows
 
 NOW = "2026-09-25 12:00:00"
 POSTING = ("id_externo string, fonte string, titulo string, empresa string, descricao string, link string, modelo string, remoto boolean, "
@@ -503,3 +503,31 @@ def test_as_of_join(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert windows.as_of_join(left, right.limit(0), "id", "at", "em", ["seq"], ["para"]).filter("vigente_para IS NOT NULL").count() == 0
     assert windows.as_of_join(left.limit(0), right, "id", "at", "em", ["seq"], ["para"]).count() == 0
+
+
+def test_entities_by_day_equal_a_run_over_everything(spark, tmp_path):
+    """Chains that grow at both ends, joins of old entities, repeated and lone postings, at several orders of arrival."""
+    import random
+    rnd = random.Random(9)
+    rows = [(f"s{i}:{rnd.randrange(200)}", f"Senior Product Designer ({1000 + rnd.randrange(40)})", f"Co {rnd.randrange(6)}",
+             f"https://x.example.com/jobs/{rnd.randrange(150)}", i) for i in range(160)] + [("lone:1", "x", "y", None, 900), (None, "x", "y", None, 901)]
+    kind = "id_externo string, titulo string, empresa string, link string, seq int"
+    everything = spark.createDataFrame(rows, kind)
+    keyed = resolve.with_identity(everything.filter("id_externo IS NOT NULL"))
+    labels = {r.node: r.label for r in resolve.component_labels(resolve.identity_edges(keyed)).collect()}
+    want = {r[0]: labels.get(r[0], r[0]) for r in rows if r[0]}
+    assert len(set(want.values())) < len(want) - 20
+    for order, days in ((1, 4), (-1, 2)):
+        index = entities.EntityIndex(spark, f"{tmp_path}/{days}", parts=4)
+        for day in range(days):
+            index.add(spark.createDataFrame(rows[::order][day * len(rows) // days: (day + 1) * len(rows) // days], kind))
+        assert {r.id_externo: r.cluster for r in index.clusters().collect()} == want
+    # The same postings again change nothing; one new posting reads and writes few parts.
+    before = [t.manifest()["parts"] for t in (index.centers, index.labels, index.roots)]
+    assert index.add(everything.limit(1)).count() == 0
+    wide = entities.EntityIndex(spark, f"{tmp_path}/wide", parts=32)
+    wide.add(everything)
+    parts = wide.centers.manifest()["parts"]
+    wide.add(spark.createDataFrame([("new:1", "Designer", "Z", "https://z.example.com/1", 1)], kind))
+    assert sum(parts.get(p) != v for p, v in wide.centers.manifest()["parts"].items()) <= 2
+    assert len(wide.labels.near(spark.createDataFrame([("new:1",)], "node string")).inputFiles()) == 1 and before
