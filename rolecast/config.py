@@ -187,6 +187,22 @@ class Keywords:
     emphasis_buckets: dict = field(default_factory=lambda: dict(EMPHASIS_BUCKETS))
 
 
+@dataclass(frozen=True)
+class Reach:
+    """How far the rules look, in characters; None is the whole text.  The defaults are the published rules' (fixed values)."""
+
+    talent_pool: int | None = 400
+    marketing: int | None = 600
+    model: int | None = 400
+    city: int | None = 600
+    seniority: int | None = 700
+    named_place: int | None = 48
+
+
+#: Every rule reads whole texts.
+WHOLE_TEXTS = Reach(None, None, None, None, None, None)
+
+
 @dataclass(frozen=True)
 class Profile:
     """Thresholds, weights, exchange rates and market focus of one person."""
@@ -217,6 +233,7 @@ class Profile:
     market_priority: str | None = None
     market_discount: float = 6.0
     sources_off: tuple = ()
+    reach: Reach = Reach()
 
 
 @dataclass(frozen=True)

@@ -166,20 +166,23 @@ def page_date_text(html: Column) -> Column:
     return F.coalesce(field("publishedDate"), field("publishedAt"), field("createdAt"), bare)
 
 
-def page_title(html: Column) -> Column:
-    """FN-82: the title element without the boilerplate prefix."""
-    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.{0,200}?)</title>", 1)
+def page_title(html: Column, most: int | None = 200) -> Column:
+    """FN-82: the title element without the boilerplate prefix; one of more than ``most`` characters is none (None: any is)."""
+    raw = F.regexp_extract(html, rf"(?is)<title[^>]*>(.{{0,{'' if most is None else most}}}?)</title>", 1)
     t = F.regexp_replace(clean_html(raw), r"(?iu)^(job page|pagina da vaga|página da vaga)\s*\|?\s*", "")
     return F.nullif(F.trim(t), F.lit(""))
 
 
-def scan_status(html: Column) -> Column:
-    """SRC-16: a blocked search page is not the same as a page without results."""
+def scan_status(html: Column, least: int = 20000) -> Column:
+    """SRC-16: a blocked search page is not the same as a page without results.
+
+    By the published rule a page without results has at least ``least`` characters; 0 takes a short one for empty.
+    """
     body = F.coalesce(html, F.lit(""))
     return (
         F.when(body == "", "blocked")
         .when(body.rlike("uddg=|result__a"), "ok")
         .when(body.rlike("(?i)anomaly|blocked|captcha|unusual traffic"), "blocked")
-        .when(F.length(body) < 20000, "blocked")
+        .when(F.length(body) < least, "blocked")
         .otherwise("empty")
     )

@@ -229,10 +229,15 @@ def triggers_found(norm: Column, terms) -> Column:
 # ------------------------------------------------------------------- slugs, titles
 
 
-def slug(company: Column) -> Column:
-    """FN-09: hyphen slug of a company, at most 40 characters."""
+def head(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters, all of them for None."""
+    return c if n is None else F.substring(c, 1, n)
+
+
+def slug(company: Column, most: int | None = 40) -> Column:
+    """FN-09: hyphen slug of a company, at most ``most`` characters (None: as long as it is)."""
     s = F.regexp_replace(normalize_text(F.coalesce(company, F.lit("empresa"))), "[^a-z0-9]+", "-")
-    s = F.substring(F.regexp_replace(s, "^-|-$", ""), 1, 40)
+    s = head(F.regexp_replace(s, "^-|-$", ""), most)
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("empresa"))
 
 
@@ -348,10 +353,10 @@ def word_count(lowered: Column, words) -> Column:
     return F.regexp_count(lowered, F.lit(f"{WORD_START}(?:{'|'.join(words)}){WORD_END}"))
 
 
-def reads_english(body: Column) -> Column:
-    """FN-15: more than 1.5 English stop words per Portuguese one; short text: false."""
+def reads_english(body: Column, least: int = 200) -> Column:
+    """FN-15: more than 1.5 English stop words per Portuguese one; a text of less than ``least`` characters: false."""
     return let(F.lower(F.coalesce(body, F.lit(""))), lambda low: F.when(
-        F.length(low) < 200, F.lit(False)).otherwise(
+        F.length(low) < least, F.lit(False)).otherwise(
         word_count(low, EN_WORDS) > word_count(low, PT_WORDS) * F.lit(1.5)))
 
 
@@ -384,8 +389,8 @@ def junior_body_pattern(area_roles) -> str:
 
 
 def seniority(title_norm: Column, body: Column, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY,
-              opening: int = 700) -> Column:
-    """FN-16: junior, senior or pleno by title, then junior by the opening of the body."""
+              opening: int | None = 700) -> Column:
+    """FN-16: junior, senior or pleno by title, then junior by the opening of the body (None: all of it)."""
     t = F.concat(F.lit(" "), title_norm, F.lit(" "))
     junior = "|".join(quote(x) for x in dict.fromkeys(fold(x) for x in kw.junior_terms))
     right = "" if parity.junior_prefix else r"(s|es|is)?([^a-z0-9]|$)"
@@ -393,7 +398,7 @@ def seniority(title_norm: Column, body: Column, kw=DEFAULT_KEYWORDS, parity=DEFA
         F.when(t.rlike(f" ({junior}){right}"), "junior")
         .when(t.rlike(f" ({'|'.join(SENIOR_WORDS)})[ .]"), "senior")
         .when(t.rlike(f" ({'|'.join(MID_WORDS)})"), "pleno")
-        .when(F.substring(F.coalesce(body, F.lit("")), 1, opening).rlike(junior_body_pattern(kw.area_roles)), "junior")
+        .when(head(F.coalesce(body, F.lit("")), opening).rlike(junior_body_pattern(kw.area_roles)), "junior")
         .otherwise("sem_rotulo")
     )
 

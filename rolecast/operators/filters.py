@@ -16,22 +16,18 @@ from rolecast.functions import dates, money, text
 from rolecast.functions.text import let
 from rolecast.operators.shaping import bind, col_or_null
 
-# Characters of the opening that frame a posting; marketing framing comes later in an ad.
-OPENING = 400
-OPENING_MARKETING = 600
-
-
 def with_features(df: DataFrame, now, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS,
                   parity=DEFAULT_PARITY) -> DataFrame:
     """Columns the rules share, each computed once per row."""
-    body = F.coalesce(F.col("descricao"), F.lit(""))
+    body, reach = F.coalesce(F.col("descricao"), F.lit("")), profile.reach
     structured = F.col("salario_bruto") if "salario_bruto" in df.columns else None
     df = bind(
         df,
         titulo_norm=text.normalize_text(F.col("titulo")),
         empresa_norm=text.normalize_text(F.col("empresa")),
-        abertura_norm=text.normalize_text(F.substring(body, 1, OPENING)),
-        abertura_mkt_norm=text.normalize_text(F.substring(body, 1, OPENING_MARKETING)),
+        abertura_norm=text.normalize_text(text.head(body, reach.talent_pool)),
+        abertura_mkt_norm=text.normalize_text(text.head(body, reach.marketing)),
+        **({} if reach.model == reach.talent_pool else {"abertura_modelo_norm": text.normalize_text(text.head(body, reach.model))}),
         salario=money.resolve_salary(structured, F.col("descricao"), parity),
         idade_dias=dates.age_days(
             dates.effective_date(
@@ -42,7 +38,7 @@ def with_features(df: DataFrame, now, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWOR
     declared = F.nullif(col_or_null(df, "senioridade", "string"), F.lit(""))
     return bind(
         df,
-        nivel=F.coalesce(declared, text.seniority(F.col("titulo_norm"), F.col("descricao"), kw, parity)),
+        nivel=F.coalesce(declared, text.seniority(F.col("titulo_norm"), F.col("descricao"), kw, parity, reach.seniority)),
         mensal_brl=money.monthly_brl(F.col("salario"), profile),
         janela=dates.freshness_window(F.col("idade_dias"), _deadline(df), now, profile),
     )
@@ -60,12 +56,13 @@ def work_model(df: DataFrame, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS) -> C
     """
     declared = F.nullif(text.normalize_text(F.col("modelo")), F.lit(""))
     clues = F.array_compact(F.array(
-        declared, text.model_from_title(F.col("titulo_norm")), text.model_from_body(F.col("abertura_norm"), kw)))
+        declared, text.model_from_title(F.col("titulo_norm")), text.model_from_body(
+            F.col("abertura_norm" if profile.reach.model == profile.reach.talent_pool else "abertura_modelo_norm"), kw)))
     remote_flag = F.coalesce(col_or_null(df, "remoto", "boolean"), F.lit(False))
     city = text.fold(profile.city)
     where = text.normalize_text(F.concat_ws(
         " ", col_or_null(df, "cidade", "string"), col_or_null(df, "estado", "string"), F.col("titulo"),
-        F.substring(F.coalesce(F.col("descricao"), F.lit("")), 1, 600)))
+        text.head(F.coalesce(F.col("descricao"), F.lit("")), profile.reach.city)))
     in_city = text.match_term(where, city) if city else F.lit(True)
 
     def decide(c: Column) -> Column:
@@ -129,6 +126,11 @@ def with_reason(df: DataFrame, now, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS
     return bind(featured, reason=reason(featured, now, profile, kw))
 
 
+def reason_code(reason: Column) -> Column:
+    """AG-01: the rule behind a reason, without the term, amount or place that it names; at most one code per rule."""
+    return F.substring_index(reason, ":", 1)
+
+
 def stalled_reason(profile=DEFAULT_PROFILE) -> Column:
     """FLT-14: a stalled posting stays only if reading it could still lift it far enough."""
     reachable = F.col("score.determinado") + profile.semantic_max
@@ -160,8 +162,8 @@ _GLUED_MENTION = (
 _GLOBAL_REMOTE = r"\b(fully remote worldwide|remote worldwide|work from anywhere)\b"
 
 
-def eligibility(restrictions: Column, body: Column) -> Column:
-    """FLT-16: struct(entra, latam, motivo).
+def eligibility(restrictions: Column, body: Column, named: int | None = 48) -> Column:
+    """FLT-16: struct(entra, latam, motivo); a reason names at most ``named`` characters of the places (None: all).
 
     ``restrictions`` is an array of places.  The structured field decides when
     it names a place; the text only decides when the field says nothing.
@@ -176,7 +178,7 @@ def eligibility(restrictions: Column, body: Column) -> Column:
             F.when(p["hit"].isNotNull(), verdict(True, True, F.concat(F.lit("aceita "), p["hit"])))
             .when((p["joined"] != "") & ~text.is_vague_remote(p["joined"]), verdict(
                 False, False,
-                F.concat(F.lit("local especifico, sem mencao a LATAM: "), F.substring(p["joined"], 1, 48))))
+                F.concat(F.lit("local especifico, sem mencao a LATAM: "), text.head(p["joined"], named))))
             .when(mentions, verdict(True, True, F.lit("texto cita LATAM")))
             .otherwise(verdict(True, None, F.lit("elegibilidade nao declarada"))))
 

@@ -139,8 +139,9 @@ def model_reason(hybrid=False, onsite=False):
             f"'conflito de modalidade: ' ELSE '' END || ({BLOCKED}) || ': so remoto entra' END")
 
 
-def reason(hybrid=False, onsite=False, floor=8000, new=7, recent=21, stalled=30):
-    t, framing = nt("titulo"), nt("titulo") + " || ' ' || " + nt("substr(descricao, 1, 400)")
+def reason(hybrid=False, onsite=False, floor=8000, new=7, recent=21, stalled=30, pool=400, marketing=600, deadline=None):
+    t, framing = nt("titulo"), nt("titulo") + " || ' ' || " + nt(f"substr(descricao, 1, {pool})")
+    ended = f"CASE WHEN {deadline} < {NOW} THEN 'prazo vencido' END," if deadline else ""
     area = any_of(has(t, k) for k in KW.title_weights)
     return f"""coalesce(
       CASE WHEN {t} = '' THEN 'sem titulo' END,
@@ -149,10 +150,11 @@ def reason(hybrid=False, onsite=False, floor=8000, new=7, recent=21, stalled=30)
       CASE WHEN NOT {area} THEN 'titulo fora da area' END,
       'nao e vaga aberta: ' || {first_of(framing, KW.talent_pool, term)},
       'empregador de outra disciplina: ' || {first_of(nt('empresa'), KW.employer_excluded, has)},
-      'vaga de marketing: ' || {first_of(nt('substr(descricao, 1, 600)'), KW.marketing_framing, has)},
+      'vaga de marketing: ' || {first_of(nt(f'substr(descricao, 1, {marketing})'), KW.marketing_framing, has)},
       CASE WHEN ({SENIORITY}) = 'junior' THEN 'senioridade: junior' END,
       CASE WHEN {MONTHLY} < {floor} THEN 'salario abaixo do piso: ' || {SALARY_TEXT} || ' (~R$ ' || CAST(CAST(floor({MONTHLY} + 0.5) AS BIGINT) AS VARCHAR) || '/mes)' END,
       {model_reason(hybrid, onsite)},
+      {ended}
       CASE WHEN ({window(new, recent, stalled)}) = 'zumbi' THEN 'zumbi: mais de {stalled} dias sem sinal de vida' END)"""
 
 
@@ -310,6 +312,11 @@ POSTING_ORACLES = {
             ELSE 'local especifico, sem mencao a LATAM: ' || substr(j, 1, 48) END AS motivo FROM hits""",
     "filter_reasons": f"WITH {JUDGED} SELECT id_externo, reason FROM judged",
     "filter_reasons_hybrid_profile": f"WITH {POSTINGS} SELECT id_externo, {reason(hybrid=True, floor=0)} AS reason FROM postings",
+    "filter_reasons_by_reach": f"""WITH {POSTINGS}, p AS (SELECT * REPLACE (repeat('Sobre a vaga. ', 60) || CASE seq % 5 WHEN 0 THEN {q(KW.talent_pool[0])} WHEN 1 THEN {q(KW.marketing_framing[0])} ELSE '' END || '. ' || descricao AS descricao,
+            CASE WHEN seq % 13 = 0 THEN {q('Grupo ' + KW.employer_excluded[0])} ELSE empresa END AS empresa), CASE WHEN seq % 6 = 0 THEN TIMESTAMP '2001-07-01 00:00:00' END AS prazo FROM postings),
+          j AS (SELECT id_externo, 'publicado' AS alcance, {reason(hybrid=True, floor=0, deadline='prazo')} AS reason FROM p
+            UNION ALL SELECT id_externo, 'inteiro', {reason(hybrid=True, floor=0, pool=100000, marketing=100000, deadline='prazo')} FROM p)
+        SELECT *, string_split(reason, ':')[1] AS codigo FROM j""",
     "reason_histogram": f"WITH {JUDGED} SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 1",
     "source_counts": f"WITH {JUDGED} SELECT fonte, count(*) AS n FROM judged WHERE reason IS NULL GROUP BY 1",
     "score_postings": f"""WITH {SCORED} SELECT id_externo, p_titulo, p_senioridade, p_dominio, p_sinais, p_frescor,

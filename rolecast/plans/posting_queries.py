@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.config import Profile
+from rolecast.config import EMPLOYER_EXCLUDED, MARKETING_FRAMING, TALENT_POOL, WHOLE_TEXTS, Profile, Reach
 from rolecast.functions import dates, money, text, urls
 from rolecast.operators import coverage, entities, filters, lookups, quality, resolve, score, state, views, windows
 from rolecast.operators.shaping import bind, scratch_path
@@ -139,6 +139,19 @@ def filter_reasons_hybrid_profile(spark, sf):
     return _judged(spark, sf, profile=Profile(accepts_hybrid=True, salary_floor_brl=0.0)).select("id_externo", "reason")
 
 
+def filter_reasons_by_reach(spark, sf):
+    """FLT-05, FLT-06, FLT-07, FLT-12 and AG-01: long texts by the published reach and as a whole."""
+    late = F.when(F.col("seq") % 5 == 0, TALENT_POOL[0]).when(F.col("seq") % 5 == 1, MARKETING_FRAMING[0]).otherwise("")
+    padded = _P(spark, sf).withColumns({
+        "descricao": F.concat(F.repeat(F.lit("Sobre a vaga. "), 60), late, F.lit(". "), "descricao"),
+        "empresa": F.when(F.col("seq") % 13 == 0, f"Grupo {EMPLOYER_EXCLUDED[0]}").otherwise(F.col("empresa")),
+        "prazo": F.when(F.col("seq") % 6 == 0, F.lit("2001-07-01 00:00:00").cast("timestamp"))})
+    judged = [filters.with_reason(padded, NOW, profile=Profile(accepts_hybrid=True, salary_floor_brl=0.0, reach=reach)).select(
+        "id_externo", F.lit(name).alias("alcance"), "reason", filters.reason_code(F.col("reason")).alias("codigo"))
+        for name, reach in (("publicado", Reach()), ("inteiro", WHOLE_TEXTS))]
+    return judged[0].unionByName(judged[1])
+
+
 def reason_histogram(spark, sf):
     return views.count_by(_judged(spark, sf).filter("reason IS NOT NULL"), "reason")
 
@@ -400,7 +413,7 @@ def send_preconditions(spark, sf):
 QUERIES = {f.__name__: f for f in (
     normalize_links, link_dedupe_survivor, comparable_titles, requisition_keys, entity_clusters, entity_clusters_by_day, entity_survivors,
     entity_aliases, weak_duplicates, collision_count, classify_seniority, work_model, salary_monthly,
-    freshness_windows, freshness_points, eligibility, filter_reasons, filter_reasons_hybrid_profile, reason_histogram,
+    freshness_windows, freshness_points, eligibility, filter_reasons, filter_reasons_hybrid_profile, filter_reasons_by_reach, reason_histogram,
     source_counts, score_postings, document_scores, hydrated_view, rank_top_k, reading_queue, queue_histogram,
     queue_gaps, brief_candidates, run_totals, judgement_join, judgement_migration, board_join_priority, board_index,
     board_listing, cache_upsert, cache_expunge, cache_removed_ids, new_ids, board_register, board_moves,

@@ -401,8 +401,11 @@ PORTALS = {
 }
 
 
-def portal(raw: DataFrame, key: str, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
-    """PV-13: ld+json postings and anchors of a public page; per link the described row wins."""
+def portal(raw: DataFrame, key: str, now, kw=DEFAULT_KEYWORDS, title_length: tuple[int, int | None] = (3, 240)) -> DataFrame:
+    """PV-13: ld+json postings and anchors of a public page; per link the described row wins.
+
+    By the published rule a title has 3 to 240 characters; (0, None) takes any.
+    """
     from rolecast.sources.search import anchors
 
     name, host, path = PORTALS[key]
@@ -419,8 +422,9 @@ def portal(raw: DataFrame, key: str, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
         dates.strict_iso(F.coalesce(js("validThrough"), F.lit(""))).alias("prazo"))
     linked = anchors(pages.select("body"), "body").select(
         F.struct(F.lit(1).alias("kind"), F.col("pos").cast("bigint").alias("pos")).alias("place"), link(F.col("href")).alias("link"), F.col("texto").alias("titulo"))
+    least, most = title_length
     rows = described.unionByName(linked, allowMissingColumns=True).filter(
-        "link IS NOT NULL AND length(titulo) BETWEEN 3 AND 240")
+        F.col("link").isNotNull() & (F.length("titulo") >= least) & (F.lit(True) if most is None else F.length("titulo") <= most))
     rows = prefer_described(rows, seq="place")
     pending = F.coalesce(F.length("descricao"), F.lit(0)) == 0
     return shape(rows, dict(

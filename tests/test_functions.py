@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rolecast.config import Parity
 from rolecast.functions import dates, html, money, text, urls
+from rolecast.operators import filters
 
 
 def test_normalize_text(rows):
@@ -221,3 +222,18 @@ def test_all_of_unicode_folds(rows):
     bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F)
     got = rows(values, text.strip_accents)
     assert [(v, g) for v, g in zip(values, got) if g != bare(v)] == []
+
+
+def test_reach_is_an_argument(rows):
+    late = "x " * 400 + "vaga para iniciantes"
+    assert rows([late], lambda c: text.seniority(F.lit("designer"), c)) == ["sem_rotulo"]
+    assert rows([late], lambda c: text.seniority(F.lit("designer"), c, opening=None)) == ["junior"]
+    assert [len(x) for x in rows(["a" * 90], text.slug) + rows(["a" * 90], lambda c: text.slug(c, None))] == [40, 90]
+    short = "we are the team and you will work with the people"
+    assert rows([short], text.reads_english) == [False] and rows([short], lambda c: text.reads_english(c, 0)) == [True]
+    long = f"<title>{'t' * 300}</title>"
+    assert rows([long], html.page_title) == [None] and len(rows([long], lambda c: html.page_title(c, None))[0]) == 300
+    assert rows(["<p>0</p>"], html.scan_status) == ["blocked"] and rows(["<p>0</p>"], lambda c: html.scan_status(c, 0)) == ["empty"]
+    place = F.array(F.lit("z" * 90))
+    assert [len(x) for x in rows(["b"], lambda c: filters.eligibility(place, c)["motivo"]) + rows(
+        ["b"], lambda c: filters.eligibility(place, c, None)["motivo"])] == [48 + 38, 90 + 38]
