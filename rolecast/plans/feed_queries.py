@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.operators import state
-from rolecast.operators.shaping import scratch_path
+from rolecast.config import Profile
+from rolecast.operators import rounds, state
+from rolecast.operators.shaping import cut_lineage, scratch_path
 from rolecast.plans import inputs
 from rolecast.sources import boards, items, normalize, providers
 from rolecast.sources.landing import POSTING_FIELDS, ReadMarks, read_raw, write_raw
@@ -221,6 +222,18 @@ def landing_rounds(spark, sf):
     return found.withColumns({f"lidas_{i + 1}": F.lit(n).cast("long") for i, n in enumerate(read)})
 
 
+def round_state(spark, sf):
+    """The board after two runs over a landing zone; the second has no news and registers nothing."""
+    page = F.concat(F.lit("https://feed.example.com/p/"), F.lpad(F.col("seq").cast("string"), 12, "0"))
+    raw = cut_lineage(inputs.postings(spark, sf).select(
+        F.lit("gupy").alias("source"), F.lit("").alias("entry"), F.lit("2001-08-01 08:00:00").cast("timestamp").alias("fetched_at"), page.alias("url"),
+        F.lit(200).alias("http_status"), _gupy_body(F.col("titulo")).alias("body")), "landed")
+    st = rounds.RoundState.at(spark, scratch_path(spark, "round"), parts=8)
+    done = [rounds.run_round(raw, st, inputs.judgements(spark, sf), NOW, ("gupy",), Profile(stalled_min_score=0)) for _ in range(2)]
+    read, new = (sum(x["postagens"] for x in done[0].sources), done[1].events.count() + len(done[1].sources))
+    return st.board.read().select("id", "status", "titulo", "empresa").withColumns({"lidas": F.lit(read).cast("long"), "novas_depois": F.lit(new).cast("long")})
+
+
 #: Levels of the nested documents below.
 DEEP = 10
 
@@ -266,5 +279,5 @@ def feed_counters(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     feed_gupy, feed_arc, feed_ux_remote_talent, feed_linkedin, feed_mapped_import, feed_remotive, feed_weworkremotely,
-    feed_workable_markdown, feed_hackernews, feed_seven_boards, feed_counters, landing_rounds, feed_deep_ld_json,
+    feed_workable_markdown, feed_hackernews, feed_seven_boards, feed_counters, landing_rounds, round_state, feed_deep_ld_json,
     feed_office_tree)}

@@ -626,6 +626,10 @@ FEED_ORACLES = {
         for n, (source, name, dated) in enumerate((
             ("themuse", "The Muse", False), ("greenhouse", "Greenhouse", True), ("lever", "Lever", True), ("ashby", "Ashby", True),
             ("recruitee", "Recruitee", False), ("pinpoint", "Pinpoint", False), ("comeet", "Comeet", True)))),
+    "round_state": "WITH " + CLUSTERS.replace(POSTINGS, "base AS (" + POSTINGS.removeprefix("postings AS (") + f""", postings AS (
+          SELECT * REPLACE ('gupy:' || CAST(seq AS VARCHAR) AS id_externo, 'Gupy' AS fonte) FROM base WHERE ({reason()}) IS NULL)""") + """
+        SELECT p.id_externo AS id, 'Avaliar' AS status, p.titulo, p.empresa, (SELECT count(*) FROM base) AS lidas, CAST(0 AS BIGINT) AS novas_depois
+        FROM clusters c JOIN postings p ON p.id_externo = c.cluster WHERE c.id_externo = c.cluster""",
     "landing_rounds": f"""WITH {POSTINGS} SELECT CASE WHEN seq % 2 = 0 THEN '2001-08-01' ELSE '2001-08-02' END AS encontrada,
           seq % 2 <> 0 OR seq % 3 = 0 AS editada, count(*) AS n, (SELECT count(*) FILTER (WHERE seq % 2 = 0) FROM postings) AS lidas_1,
           (SELECT count(*) FILTER (WHERE seq % 2 <> 0 OR seq % 3 = 0) FROM postings) AS lidas_2, CAST(0 AS BIGINT) AS lidas_3 FROM postings GROUP BY 1, 2""",
