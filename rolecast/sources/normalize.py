@@ -43,8 +43,8 @@ def provider_jobs(raw: DataFrame, now, only: tuple[str, ...] | None = None) -> D
     key = urls.normalize_link(F.col("url"))
     for source, build in DEDUPE_KEYS.items():
         key = F.when(F.col("source") == source, build()).otherwise(key)
-    # A feed lists a posting once per page and query: the first one of the newest landing stays.
-    order = [F.col("fetched_at").desc_nulls_last(), F.col("page"), F.col("pos"), F.col("title"), F.col("url"), F.col("company"), F.col("location")]
+    # A feed lists a posting once per page and query: the first page's stays, of its landings the newest.
+    order = [F.col("page"), F.col("fetched_at").desc_nulls_last(), F.col("pos"), F.col("title"), F.col("url"), F.col("company"), F.col("location")]
     return first_per_key(jobs.withColumn("_k", key), ["source", "_k"], *order).drop("_k")
 
 
