@@ -45,6 +45,17 @@ def page_status(spark, sf):
         html.page_date_text(page).alias("data"), html.scan_status(page).alias("situacao"))
 
 
+def pages_in_sql(spark, sf):
+    """UDF-05: pages read in SQL alone, by the session's functions."""
+    register(spark, names=["page_title", "drop_scripts", "clean_html", "html_to_text", "page_status", "is_alive", "page_date_text", "scan_status",
+                           "public_url", "normalize_link", "link_hash"])
+    return spark.sql("""
+        SELECT page_id, job_page_title(html) AS titulo, sha1(job_html_to_text(html)) AS texto, sha1(job_clean_html(job_drop_scripts(html))) AS limpo,
+          job_page_status(html) AS status, job_is_alive(job_page_status(html)) AS viva, job_page_date_text(html) AS data,
+          job_scan_status(html) AS situacao, job_public_url(url) AS url_publica, job_normalize_link(url) AS chave, job_link_hash(url) AS id_link
+        FROM {pages}""", pages=_t(spark, sf, "pages"))
+
+
 def public_urls(spark, sf):
     return _t(spark, sf, "pages").select(
         "page_id", urls.public_url(F.col("url")).alias("url_publica"), urls.normalize_link(F.col("url")).alias("chave"),
@@ -177,7 +188,7 @@ def status_as_of(spark, sf):
 
 def unicode_names(spark, sf):
     """FN-01, UDF-02: names with a Korean syllable and a compatibility letter, by the Column and the SQL form."""
-    register(spark)
+    register(spark, names=["normalize_text"])
     syllable = F.decode(F.unhex(F.hex(F.lit(0xAC00) + F.pmod(F.col("doc_id"), F.lit(11172)))), "UTF-16BE")
     name = F.concat(F.lit("Ção "), syllable, F.lit("\uFA1E"))
     named = _t(spark, sf, "documents").select("doc_id", name.alias("nome"))
@@ -318,7 +329,7 @@ def page_yield(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    page_links, page_title, page_text, page_clean_html, page_status, public_urls, page_duplicates, known_url_classes,
+    page_links, pages_in_sql, page_title, page_text, page_clean_html, page_status, public_urls, page_duplicates, known_url_classes,
     unseen_companies, discovered_boards, doc_normalized, doc_fingerprint_duplicates, doc_language_guess, doc_bigrams,
     doc_pii_scan, conversation_pii_scan, term_coverage, judgement_staleness, latest_status, status_transitions,
     status_events, last_five, status_as_of, status_at_each, unicode_names, status_counts, board_summary, daily_balance, running_value,

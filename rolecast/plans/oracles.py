@@ -303,6 +303,9 @@ POSTING_ORACLES = {
     "salary_monthly": f"""WITH {POSTINGS} SELECT id_externo, {DE} AS de, 'BRL' AS moeda, {PERIOD} AS periodo,
         round({MONTHLY}, 2) AS mensal_brl, {SALARY_TEXT} AS salario_texto FROM postings""",
     "freshness_windows": f"WITH {POSTINGS} SELECT id_externo, {AGE} AS idade_dias, {window()} AS janela FROM postings",
+    "postings_in_sql": f"""WITH {KEYED} SELECT id_externo, chave_link, chave_requisicao, chave_anuncio, requisicao, {COMPARABLE} AS titulo_comparavel,
+        {SENIORITY} AS nivel, {DE} AS de, {PERIOD} AS periodo, round({MONTHLY}, 2) AS mensal_brl, {SALARY_TEXT} AS salario_texto, {AGE} AS idade_dias,
+        {window()} AS janela FROM keyed""",
     "freshness_points": f"""WITH {POSTINGS} SELECT CASE WHEN {AGE} <= 3 THEN 5 WHEN {AGE} <= 7 THEN 4 WHEN {AGE} <= 14 THEN 2
         WHEN {AGE} <= 30 THEN 1 ELSE 0 END AS pontos, count(*) AS n FROM postings GROUP BY 1""",
     "eligibility": f"""WITH {POSTINGS}, places AS (SELECT id_externo, concat_ws(' | ', modelo, CASE WHEN modelo = 'remoto' THEN NULL ELSE {NATION_PLACE} END) AS j FROM postings),
@@ -670,4 +673,8 @@ MORE_ORACLES = {
         SELECT *, (usaveis >= 5 AND com_local * 2 < usaveis) OR (cartoes > 0 AND usaveis = 0) AS layout_suspeito FROM c""",
 }
 
+CONTENT_ORACLES["pages_in_sql"] = f"""SELECT page_id, titulo, t.sha1 AS texto, c.sha1 AS limpo, status, viva, data, situacao, url_publica, chave, id_link
+    FROM ({CONTENT_ORACLES['page_title']}) JOIN ({CONTENT_ORACLES['page_text']}) t USING (page_id) JOIN ({CONTENT_ORACLES['page_clean_html']}) c USING (page_id)
+    JOIN ({CONTENT_ORACLES['page_status']}) USING (page_id) JOIN ({CONTENT_ORACLES['public_urls']}) USING (page_id)"""
+
 ORACLES = {**POSTING_ORACLES, **CONTENT_ORACLES, **STREAM_ORACLES, **FEED_ORACLES, **MORE_ORACLES}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecast.config import EMPLOYER_EXCLUDED, MARKETING_FRAMING, TALENT_POOL, WHOLE_TEXTS, Profile, Reach
 from rolecast.functions import dates, money, text, urls
+from rolecast.functions.register import register
 from rolecast.operators import coverage, entities, filters, lookups, quality, resolve, score, state, views, windows
 from rolecast.operators.shaping import bind, scratch_path
 from rolecast.plans import inputs
@@ -114,6 +115,20 @@ def freshness_points(spark, sf):
     return df.groupBy(F.col("p").alias("pontos")).agg(F.count("*").alias("n"))
 
 
+def postings_in_sql(spark, sf):
+    """UDF-05: keys, level, pay and freshness of the postings in SQL alone, by the session's functions."""
+    register(spark, names=["normalize_text", "normalize_link", "requisition", "requisition_key", "announcement_key", "comparable_title", "seniority",
+                           "salary_from_text", "monthly_brl", "format_salary", "age_days", "freshness_window"])
+    return spark.sql("""
+        WITH p AS (SELECT *, job_normalize_text(titulo) AS t, job_normalize_text(empresa) AS e, job_salary_from_text(descricao) AS pago,
+            job_age_days(publicada_em, CAST(:now AS TIMESTAMP)) AS idade FROM {postings})
+        SELECT id_externo, job_normalize_link(link) AS chave_link, job_requisition_key(e, titulo) AS chave_requisicao, job_announcement_key(e, t) AS chave_anuncio,
+          job_requisition(titulo) AS requisicao, job_comparable_title(titulo) AS titulo_comparavel, job_seniority(t, descricao) AS nivel,
+          pago.de AS de, pago.periodo AS periodo, round(job_monthly_brl(pago), 2) AS mensal_brl, job_format_salary(pago) AS salario_texto,
+          idade AS idade_dias, job_freshness_window(idade, NULL, CAST(:now AS TIMESTAMP)) AS janela
+        FROM p""", args={"now": NOW}, postings=_P(spark, sf))
+
+
 def eligibility(spark, sf):
     # The place next to the work model; remote postings name no place.
     place = F.when(~F.col("modelo").eqNullSafe("remoto"), inputs.place_of(F.col("pais")))
@@ -413,7 +428,7 @@ def send_preconditions(spark, sf):
 QUERIES = {f.__name__: f for f in (
     normalize_links, link_dedupe_survivor, comparable_titles, requisition_keys, entity_clusters, entity_clusters_by_day, entity_survivors,
     entity_aliases, weak_duplicates, collision_count, classify_seniority, work_model, salary_monthly,
-    freshness_windows, freshness_points, eligibility, filter_reasons, filter_reasons_hybrid_profile, filter_reasons_by_reach, reason_histogram,
+    freshness_windows, freshness_points, postings_in_sql, eligibility, filter_reasons, filter_reasons_hybrid_profile, filter_reasons_by_reach, reason_histogram,
     source_counts, score_postings, document_scores, hydrated_view, rank_top_k, reading_queue, queue_histogram,
     queue_gaps, brief_candidates, run_totals, judgement_join, judgement_migration, board_join_priority, board_index,
     board_listing, cache_upsert, cache_expunge, cache_removed_ids, new_ids, board_register, board_moves,

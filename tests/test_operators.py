@@ -449,12 +449,44 @@ def test_facets_page_yield_and_balance(spark):
 
 def test_sql_functions(spark):
     names = register.register(spark)
-    assert len(names) == 4
+    assert len(names) == len(register.functions()) >= 75
     r = spark.sql("SELECT job_normalize_text('  Ação  X ') AS a, job_requisition('(1552) Y') AS b, job_is_alive('frozen') AS c, job_fingerprint(' a  b ') AS d").first()
     want = spark.range(1).select(text.fingerprint(F.lit("a b"))).first()[0]
     assert (r.a, r.b, r.c, r.d) == ("acao x", "1552", False, want)
 
 
+def test_each_sql_function_equals_its_column(spark):
+    texts = [
+        None, "", "  Ação  X ", "Senior Designer at Acme (1552)", "Acme: Product Designer", "Vaga home office: UX na Acme - SP", "Remote · Chile, Brazil", "3 Locations",
+        "R$ 8.000 a 12.000 por mes, ingles avançado", "R$8,100.00/mo - R$10,000.00/mo", "115K-130K Annually", "1.234,5", "2 weeks ago", "Posted 3 Days Ago",
+        "Reposted 15 Days Ago", "Yesterday", "2026-08-25T10:00:00Z", "August 25, 2026", "Mar 5, 2026 6:28 PM", "Tue, 25 Aug 2026 10:00:00 GMT", "entry level",
+        "hibrido, modelo presencial", "https://www.gupy.io/jobs/123?utm_source=x&f_WT=2#y", "https://acme.myworkdayjobs.com/x/Role_JR-1234-2", "acme-design-co",
+        "<html><title>A &amp; B</title><script>x</script><p>Ol&aacute; it\'s</p>{\"status\": \"published\"} 2026-01-02T03:04</html>", "**bold** [a](b) \\ 'q'",
+        "CPF 123.456.789-00 sk-abcdefghijklmnopqrst", "the and of with for " * 20, "1 YEAR", "nova", "USD", "\u0622\ud55c"]
+    times = [None, dt.datetime(2026, 8, 25, 12), dt.datetime(2026, 1, 1)]
+    pay = [None, (8000.0, None, "BRL", "texto", "mes"), (30.0, 50.0, "USD", "fonte", "hora")]
+    sample = {"string": texts, "timestamp": times, "date": [None, dt.date(2026, 8, 1)], "int": [None, 0, 5, 12, 25, 99], "boolean": [None, True],
+              "double": [None, 0.0, 100.0, 1.7e9, 1.7e12], "array<string>": [None, ["São Paulo", "são paulo", ""], ["Senior"]], register.PAY: pay}
+    names, made = register.register(spark, "same_"), register.functions()
+    rows = max(len(v) for v in sample.values())
+    kinds = sorted({t for f in made.values() for t in f.arguments.values()} - {"variant"})
+    # Two columns of each type, out of step with each other, so that functions of several arguments see several pairs.
+    data = [(i, *[sample[t][(i * k + k - 1) % len(sample[t])] for t in kinds for k in (1, 2)]) for i in range(rows)]
+    df = spark.createDataFrame(data, "i int, " + ", ".join(f"c{n}_{k} {t}" for n, t in enumerate(kinds) for k in (1, 2))).withColumn(
+        "v", F.try_parse_json(F.lit('{"from": 10, "maxSalary": 20, "type": "month"}')))
+    differ = []
+    for name, f in made.items():
+        seen, given = {}, []
+        for t in f.arguments.values():
+            seen[t] = seen.get(t, 0) + 1
+            given.append("v" if t == "variant" else f"c{kinds.index(t)}_{1 + (seen[t] - 1) % 2}")
+        differ.append((~F.expr(f"same_{name}({', '.join(given)})").eqNullSafe(f.expression(*[F.col(g) for g in given]))).alias(name))
+    wrong = set()
+    for at in range(0, len(differ), 15):
+        wrong |= {n for r in df.select(*differ[at:at + 15]).collect() for n, d in r.asDict().items() if d}
+    assert wrong == set() and len(names) == len(made) == len(differ)
+
+
 def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
     from rolecast.operators import shaping
     assert shaping.scratch_path(spark, "x").startswith(shaping.checkpoint_root(spark))
