@@ -269,6 +269,108 @@ def feed_office_tree(spark, sf):
     return providers.office_map(raw).select("entry", "job_id", F.array_join("offices", "|").alias("offices"))
 
 
+def _land_mixed(spark, sf, shapes: dict[str, tuple[str, Column, str, str]], per_page: int = 5) -> DataFrame:
+    """Every posting as an item of one of the sources in turn, several on a page, landed in one pass over the postings.
+
+    A shape is what stands before a page's items, an item, what joins items, and what follows them.
+    """
+    sources = list(shapes)
+    pick = lambda k: F.element_at(F.array(*[F.lit(shapes[s][k]) for s in sources]), F.col("n"))
+    item = F.coalesce(*[F.when(F.col("n") == i + 1, shapes[s][1]) for i, s in enumerate(sources)])
+    postings = inputs.postings(spark, sf).withColumn("n", (F.col("seq") % len(sources) + 1).cast("int"))
+    pages = postings.groupBy("n", F.floor(F.col("seq") / (len(sources) * per_page)).alias("page")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    raw = pages.select(
+        F.element_at(F.array(*[F.lit(s) for s in sources]), F.col("n")).alias("source"), F.lit("Acme").alias("entry"),
+        F.lit("2001-08-01").cast("timestamp").alias("fetched_at"),
+        F.concat(F.lit("https://feed.example.com/p/"), F.lpad(F.col("page").cast("string"), 12, "0")).alias("url"),
+        F.lit(200).alias("http_status"), F.concat(pick(0), F.call_function("array_join", F.col("items"), pick(2)), pick(3)).alias("body"))
+    zone = scratch_path(spark, "zone")
+    write_raw(raw, zone)
+    jobs = normalize.provider_jobs(read_raw(spark, zone), NOW, tuple(sources))
+    return jobs.select("source", "title", "url", "company", "location", "description", _day(F.col("posted_at")).alias("publicada"),
+                       F.col("salary.min").alias("de"), F.col("salary.max").alias("ate"), F.col("salary.currency").alias("moeda"))
+
+
+def feed_json_jobs(spark, sf):
+    """PV-16 to PV-47: the jobs of seventeen JSON sources, with place, pay and date."""
+    c = F.col
+    seq, instant = c("seq").cast("string"), F.date_format("publicada_em", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    seconds, remote = F.unix_seconds(c("publicada_em").cast("timestamp")), F.coalesce(c("modelo") == "remoto", F.lit(False))
+    at = lambda base: F.concat(F.lit(base), seq)
+    place = lambda **parts: F.struct(*[v.alias(k) for k, v in parts.items()])
+    there = place(city=c("pais"), country=F.lit("BR"))
+
+    def listed(field: str | None, **fields: Column) -> tuple[str, Column, str, str]:
+        return ("[" if field is None else f'{{"{field}":[', F.to_json(place(**fields)), ",", "]" if field is None else "]}")
+
+    return _land_mixed(spark, sf, {
+        "remotli": listed("jobs", jobs=place(
+            title=c("titulo"), status=F.when(remote, "active").otherwise("closed"), slug=at("p-"), location=c("pais"),
+            allLocations=F.array(F.lit("Remote"), F.lower("pais")), salaryMin=c("seq") % 90, salaryMax=F.lit(50), salaryCurrency=F.lit("usd"),
+            description=F.concat(F.lit("<p>"), c("descricao"), F.lit("</p>")), publishedAt=instant), companies=place(name=c("empresa"))),
+        "jobicy": listed("jobs", jobTitle=c("titulo"), url=at("https://jobicy.com/j/"), companyName=c("empresa"), jobGeo=c("pais"), pubDate=instant),
+        "torre": listed("results", id=at("job-"), objective=c("titulo"), organizations=F.array(place(name=F.lit(" ")), place(name=c("empresa"))),
+                        locations=F.array("pais"), remote=remote, status=F.lit("open"), created=_day(c("publicada_em"))),
+        "remoteok": listed(None, position=c("titulo"), url=at("https://remoteok.com/"), company=c("empresa"), location=c("pais")),
+        "workingnomads": listed(None, title=c("titulo"), url=at("https://w.com/"), company_name=c("empresa"), location=c("pais")),
+        "himalayas": listed("jobs", title=c("titulo"), applicationLink=F.lit("https://elsewhere.example.com"), guid=at("https://himalayas.app/j/"),
+                            companyName=c("empresa"), locationRestrictions=F.array(c("pais"), F.lit("Chile")), pubDate=seconds),
+        "getonbrd": listed("data", attributes=place(
+            title=c("titulo"), countries=F.array("pais"), remote=remote, published_at=seconds,
+            company=place(data=place(attributes=place(name=c("empresa"))))), links=place(public_url=at("https://www.getonbrd.com/j/"))),
+        "landingjobs": listed(None, title=c("titulo"), url=at("https://landing.jobs/at/acme-co/"), remote=remote, published_at=instant,
+                              locations=F.array(place(city=c("pais"), country_code=F.lit("BR")))),
+        "wttj": listed("hits", name=c("titulo"), slug=seq, organization=place(slug=F.lit("acme"), name=c("empresa")), offices=F.array(there),
+                       remote=F.when(remote, "fulltime"), salary_yearly_minimum=1000 + c("seq") % 7, salary_maximum=F.lit(9), salary_period=F.lit("monthly"),
+                       salary_currency=F.lit("eur"), published_at_timestamp=seconds),
+        "4dayweek": listed("jobs", title=c("titulo"), slug=at("p-"), company=place(name=c("empresa")), locations=F.array(there),
+                           work_arrangement=F.when(remote, "remote"), is_expired=c("seq") % 4 == 2, posted=instant),
+        "bamboohr": listed("result", id=c("seq"), jobOpeningName=c("titulo"), location=place(city=c("pais"), state=F.lit("SP")), isRemote=remote),
+        "breezy": listed(None, name=c("titulo"), url=at("https://a.breezy.hr/p/"), published_date=instant,
+                         location=place(city=c("pais"), country=place(name=F.lit("Brazil")), is_remote=remote)),
+        "gem": listed("job_posts", title=c("titulo"), absolute_url=at("https://jobs.gem.com/acme/"), location=place(name=c("pais"), isRemote=remote),
+                      content_plain=c("descricao"), first_published_at=instant),
+        "workable": listed("jobs", title=c("titulo"), shortlink=at("https://apply.workable.com/j/"), city=c("pais"), country=F.lit("BR"),
+                           description=F.concat(F.lit("<p>"), c("descricao"), F.lit("</p>")), published_on=_day(c("publicada_em"))),
+        "rippling": listed(None, name=c("titulo"), url=at("https://ats.rippling.com/a/"), workLocation=place(label=c("pais"))),
+        "a16z-speedrun-talent": listed("jobs", title=c("titulo"), url=at("https://speedrun-talent-network.com/"), company=c("empresa"), location=c("pais"),
+                                       remote=remote, published_at=instant),
+        "workday": listed("jobPostings", title=c("titulo"), externalPath=F.concat(F.lit("/job/X/Role_JR-"), seq), locationsText=c("pais"),
+                          postedOn=F.lit("Posted 3 Days Ago")),
+    })
+
+
+def feed_markup_jobs(spark, sf):
+    """PV-20, PV-23, PV-24, PV-34, PV-43 to PV-46, PV-49: the jobs of sources in XML, HTML and embedded JSON."""
+    c = F.col
+    seq, day = c("seq").cast("string"), F.date_format("publicada_em", "EEE, dd MMM yyyy HH:mm:ss Z")
+
+    def element(*inside: tuple[str, Column], name: str = "item") -> Column:
+        return F.concat(F.lit(f"<{name}>"), *[x for tag, v in inside for x in (F.lit(f"<{tag}>"), v, F.lit(f"</{tag.split(' ')[0]}>"))], F.lit(f"</{name}>"))
+
+    link = lambda base: ("link", F.concat(F.lit(base), seq))
+    offered = F.concat(c("titulo"), F.lit(" at "), c("empresa"))
+    paid = F.concat(F.lit("<![CDATA[<p>"), c("descricao"), F.lit("</p>]]>"))
+    rss = lambda *inside: ("<rss><channel>", element(*inside), "\n", "</channel></rss>")
+    inner = F.to_json(F.struct(c("titulo").alias("title"), seq.alias("idParam"), F.struct(c("pais").alias("cityName")).alias("city")))
+    return _land_mixed(spark, sf, {
+        "cryptocurrencyjobs": rss(("title", offered), link("https://c.com/"), ("description", paid), ("pubDate", day)),
+        "nodesk": rss(("title", offered), link("https://nodesk.co/"), ("pubDate", day)),
+        "jobspresso": rss(("title", c("titulo")), link("https://jobspresso.co/"), ("job_listing:company", c("empresa")), ("job_listing:location", c("pais")), ("pubDate", day)),
+        "jobvite": ("<result>", element(("title", F.concat(c("titulo"), F.lit(" &amp; UI"))), ("detail-url", F.concat(F.lit("http://a.com/"), seq)), ("location", c("pais")),
+                                        ("date", _day(c("publicada_em"))), name="job"), "", "</result>"),
+        "personio": ("<w>", element(("id", seq), ("jobDescriptions", F.lit("<name>noise</name>")), ("name", c("titulo")), ("office", c("pais")), ("office", F.lit("RJ")),
+                                    ("office", c("pais")), ("createdAt", _day(c("publicada_em"))), name="position"), "", "</w>"),
+        "teamtailor": rss(("title", c("titulo")), link("https://a.teamtailor.com/"), ("tt:city", c("pais")), ("tt:country", F.lit("Brazil")), ("pubDate", day)),
+        "join": ('<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"initialState":{"company":{"domain":"acme"},"jobs":{"items":[', inner, ",",
+                 "]}}}}}</script>"),
+        "generalist-world": ('<div class="gw-jobs-section"><!-- <a class="gw-job-card" href="/jobs/noise/"></a> -->', F.concat(
+            F.lit('<a class="x gw-job-card" href="/jobs/'), seq, F.lit('/" data-region="latin-america"><div class="gw-job-title">'), c("titulo"),
+            F.lit('</div><div class="gw-job-company">'), c("empresa"), F.lit('</div><p class="gw-job-description">'), c("descricao"), F.lit("</p></a>")), "", "</div>"),
+    })
+
+
 def feed_counters(spark, sf):
     """SRC-15: broken and refused payloads are counted, not fatal."""
     c = F.col
@@ -280,4 +382,4 @@ def feed_counters(spark, sf):
 QUERIES = {f.__name__: f for f in (
     feed_gupy, feed_arc, feed_ux_remote_talent, feed_linkedin, feed_mapped_import, feed_remotive, feed_weworkremotely,
     feed_workable_markdown, feed_hackernews, feed_seven_boards, feed_counters, landing_rounds, round_state, feed_deep_ld_json,
-    feed_office_tree)}
+    feed_office_tree, feed_json_jobs, feed_markup_jobs)}

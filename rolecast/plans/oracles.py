@@ -600,7 +600,54 @@ def provider(source, name, link, key, titulo="titulo", empresa="empresa", date="
         p AS pais, CASE WHEN p = 'Remote' THEN 'remoto' END AS modelo, {date} AS publicada FROM d WHERE rn = 1 AND {OF_INTEREST} AND {ENTERS}"""
 
 
+def jobs_in_turn(*sources):
+    """Provider jobs of postings that are dealt to the sources in turn: per source its name, link, and what differs from a plain job."""
+    usual = dict(title="titulo", company="empresa", location="pais", description="NULL", day="strftime(publicada_em, '%Y-%m-%d')", de="NULL", ate="NULL",
+                 moeda="NULL", only="true")
+    parts = []
+    for n, (source, link, given) in enumerate(sources):
+        x = {**usual, **given}
+        parts.append(f"""SELECT {q(source)} AS source, {x['title']} AS title, {link} || CAST(seq AS VARCHAR) || {x.get('after', "''")} AS url, {x['company']} AS company,
+          {x['location']} AS location, CAST({x['description']} AS VARCHAR) AS description, CAST({x['day']} AS VARCHAR) AS publicada,
+          CAST({x['de']} AS DOUBLE) AS de, CAST({x['ate']} AS DOUBLE) AS ate, CAST({x['moeda']} AS VARCHAR) AS moeda
+          FROM postings WHERE seq % {len(sources)} = {n} AND {x['only']}""")
+    return f"WITH {POSTINGS} " + " UNION ALL ".join(parts)
+
+
+IS_REMOTE = "coalesce(modelo = 'remoto', false)"
+NO_DAY, ACME = {"day": "NULL"}, {"company": "'Acme'"}
+
+
+def and_remote(place, sep=", "):
+    return f"{place} || CASE WHEN {IS_REMOTE} THEN '{sep}Remote' ELSE '' END"
+
+
 FEED_ORACLES = {
+    "feed_json_jobs": jobs_in_turn(
+        ("remotli", "'https://remotli.ch/jobs/p-'", dict(location="pais || '; Remote'", de="least(seq % 90, 50)", ate="greatest(seq % 90, 50)", moeda="'USD'",
+                                                         description="descricao", only=IS_REMOTE)),
+        ("jobicy", "'https://jobicy.com/j/'", {}),
+        ("torre", "'https://torre.ai/post/job-'", dict(location=f"CASE WHEN {IS_REMOTE} THEN 'Remote — ' || pais ELSE pais END")),
+        ("remoteok", "'https://remoteok.com/'", NO_DAY), ("workingnomads", "'https://w.com/'", NO_DAY),
+        ("himalayas", "'https://himalayas.app/j/'", dict(location="pais || ', Chile'")),
+        ("getonbrd", "'https://www.getonbrd.com/j/'", dict(location=f"CASE WHEN {IS_REMOTE} THEN 'Remote' ELSE pais END")),
+        ("landingjobs", "'https://landing.jobs/at/acme-co/'", dict(company="'Acme Co'", location=and_remote("pais || ', BR'"))),
+        ("wttj", "'https://www.welcometothejungle.com/en/companies/acme/jobs/'", dict(location=and_remote("pais || ', BR'"), de="1000 + seq % 7", ate="1000 + seq % 7", moeda="'EUR'")),
+        ("4dayweek", "'https://4dayweek.io/job/p-'", dict(location=and_remote("pais || ', BR'"), only="seq % 4 <> 2")),
+        ("bamboohr", "'https://feed.example.com/careers/'", {**ACME, **NO_DAY, "location": and_remote("pais || ', SP'")}),
+        ("breezy", "'https://a.breezy.hr/p/'", {**ACME, "location": and_remote("pais || ', Brazil'")}),
+        ("gem", "'https://jobs.gem.com/acme/'", {**ACME, "location": and_remote("pais", " · "), "description": "descricao"}),
+        ("workable", "'https://apply.workable.com/j/'", {**ACME, "location": "pais || ', BR'", "description": "descricao"}),
+        ("rippling", "'https://ats.rippling.com/a/'", {**ACME, **NO_DAY}),
+        ("a16z-speedrun-talent", "'https://speedrun-talent-network.com/'", dict(location=and_remote("pais"))),
+        ("workday", "'https://feed.example.com/job/X/Role_JR-'", {**ACME, "day": "'2001-07-30'"})),
+    "feed_markup_jobs": jobs_in_turn(
+        ("cryptocurrencyjobs", "'https://c.com/'", dict(location="'Remote'", description="descricao")), ("nodesk", "'https://nodesk.co/'", dict(location="''")),
+        ("jobspresso", "'https://jobspresso.co/'", {}), ("jobvite", "'https://a.com/'", {**ACME, "title": "titulo || ' & UI'"}),
+        ("personio", "'https://feed.example.com/job/'", {**ACME, "location": "pais || ', RJ'"}),
+        ("teamtailor", "'https://a.teamtailor.com/'", {**ACME, "location": "pais || ', Brazil'"}),
+        ("join", "'https://join.com/companies/acme/jobs/'", {**ACME, **NO_DAY}),
+        ("generalist-world", "'https://generalist.world/jobs/'", {**NO_DAY, "after": "'/'", "location": "'LATIN AMERICA'", "description": "descricao"})),
     "feed_gupy": f"WITH {POSTINGS} SELECT 'gupy:' || CAST(seq AS VARCHAR) AS id_externo, 'Gupy' AS fonte, titulo, empresa, link, pais, modelo, {DAY} FROM postings",
     "feed_arc": f"""WITH {POSTINGS} SELECT 'arc:' || CAST(seq AS VARCHAR) AS id_externo, 'Arc' AS fonte, titulo, empresa,
         'https://arc.dev/remote-jobs/details/job-' || CAST(seq AS VARCHAR) AS link, CASE WHEN pais = 'NATION_0' THEN 'Brasil' END AS pais, 'remoto' AS modelo, {DAY}
