@@ -15,14 +15,19 @@ Spark merges them.  A query probes further lists until these hold k vectors besi
 itself, so no query comes back short while there are candidates.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no
-part, and neither do those whose length is not the most frequent one (the larger of
-two equally frequent); equal scores go to the smaller id; ids that stand twice are
-different candidates, but a row is never its query's candidate under its own id; no
-vectors give no rows; other columns are ignored.
+part; vectors of different lengths have no cosine, so each length is a search of its
+own; vectors are scaled by powers of two before anything is squared, which changes no
+digit and lets components of any finite size be compared; equal scores go to the
+smaller id; ids that stand twice are different candidates, but a row is never its
+query's candidate under its own id; equal rows of one query id are one query, rows with
+different vectors are a query each, with ranks of their own; no vectors give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -119,16 +124,19 @@ def _kth(values: np.ndarray, k: int) -> float:
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component between a half and one."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if x.size else x
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(_id, _v) of the vectors that take part; a list of doubles without nulls, all of one length."""
+    """(_id, _v) of the vectors that take part, as lists of doubles without nulls."""
     v = F.col("_v")
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).filter(F.col("_id").isNotNull() & fine)
-    common = rows.groupBy(F.size("_v").alias("n")).count().agg(F.max_by("n", F.struct("count", "n"))).first()[0]
-    return rows.filter(F.size("_v") == (common or 0))
+    return df.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).filter(F.col("_id").isNotNull() & fine)
 
 
 def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 5, recall: float = 0.98,
@@ -137,18 +145,25 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
 
     ``sample_size`` bounds the vectors that come to the driver to fit centroids and to
     choose how many lists are probed for ``recall``; ``max_lists`` bounds what is sent to
-    the tasks.  Every vector is indexed.
+    the tasks.  Every vector is indexed.  Each length of vectors is a search of its own.
     """
     rows = usable_vectors(df, key, vector)
-    total = rows.count()
     kind = rows.schema["_id"].dataType.simpleString()
-    if total == 0:
+    lengths = rows.groupBy(F.size("_v").alias("n")).count().orderBy("n").collect()
+    if not lengths:
         return df.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {key} {kind}, score double")
+    found = [_search_length(rows.filter(F.size("_v") == r["n"]), r["count"], is_query, key, k, recall, sample_size, max_lists, part_size) for r in lengths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search_length(rows: DataFrame, total: int, is_query, key: str, k: int, recall: float, sample_size: int, max_lists: int, part_size: int) -> DataFrame:
+    """:func:`search` over ``total`` vectors of one length."""
+    kind = rows.schema["_id"].dataType.simpleString()
     lists = int(min(max_lists, max(1, round(np.sqrt(total) / 2))))
     scale = 1 << 30
     share = int(scale * min(1.0, sample_size / total))
     sample = rows.filter(F.pmod(F.xxhash64("_id", "_v"), F.lit(scale)) <= share).orderBy("_id").select("_v").toPandas()
-    points = np.array(sample["_v"].tolist() or [rows.select("_v").first()[0]], np.float64)
+    points = scaled(np.array(sample["_v"].tolist() or [rows.select("_v").first()[0]], np.float64))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     points = np.unique(points, axis=0)
     centroids = fit_centroids(points, lists)
@@ -186,23 +201,24 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
                 cut = slice(a, a + 50_000)
                 take = pa.array(row[again[cut]])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(lists_[again[cut]], pa.int32()), pa.array(part[cut], pa.int32())],
-                    names=["_id", "_v", "list", "part"])
+                    [*[c.take(take) for c in batch.columns], pa.array(lists_[again[cut]], pa.int32()), pa.array(part[cut], pa.int32())],
+                    names=["_id", "_v", "_row", "list", "part"])
 
-    queries = listed.filter(is_query(F.col("_id"))).select("_id", "_v").mapInArrow(
-        probe, f"_id {kind}, _v array<double>, list int, part int")
+    asked = listed.filter(is_query(F.col("_id"))).select("_id", "_v").dropDuplicates(["_id", "_v"])
+    queries = asked.withColumn("_row", F.xxhash64("_v")).mapInArrow(probe, f"_id {kind}, _v array<double>, _row bigint, list int, part int")
     split = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1)
     dealt = listed.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(3)), split).cast("int"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": left.column("_id").slice(0, 0), "_id": left.column("_id").slice(0, 0), "score": pa.array([], pa.float64())})
+            none = left.slice(0, 0)
+            return pa.table({"query_id": none.column("_id"), "_row": none.column("_row"), "_id": none.column("_id"), "score": pa.array([], pa.float64())})
         q_ids, ids = left.column("_id").to_numpy(), right.column("_id").to_numpy()
         row, found, score = scan_part(_matrix(left.column("_v")), q_ids, _matrix(right.column("_v")), ids, turn, k)
-        return pa.table({"query_id": pa.array(q_ids[row]), "_id": pa.array(ids[found]), "score": pa.array(score)})
+        return pa.table({"query_id": pa.array(q_ids[row]), "_row": left.column("_row").take(pa.array(row)), "_id": pa.array(ids[found]), "score": pa.array(score)})
 
     hits = queries.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(
-        scan, f"query_id {kind}, _id {kind}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_id")
+        scan, f"query_id {kind}, _row bigint, _id {kind}, score double")
+    best = Window.partitionBy("query_id", "_row").orderBy(F.col("score").desc(), "_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").alias(key), "score")

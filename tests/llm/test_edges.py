@@ -153,6 +153,18 @@ def test_vectors_of_awkward_rows(spark):
     assert adaptive_scan.search(frame.limit(0), lambda key: key == 0).count() == 0
 
 
+def test_vectors_of_any_size_length_and_repeated_queries(spark):
+    rows = [(0, [1e200, 1.0]), (0, [1e200, 1.0]), (1, [3 * 2.0**660, 4 * 2.0**660]), (2, [3 * 2.0**-660, 4 * 2.0**-660]), (3, [5e-324, 0.0]), (50, [0.0, -1e308]), (50, [1.0, 0.0]),
+            (100, [1.0, 0.0, 0.0]), (4, [0.0, 3.0, 4.0]), (5, [3.0, 0.0, 4.0]), (150, [2.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in adaptive_scan.search(frame, lambda key: F.pmod(key, F.lit(50)) == 0).collect()]
+    assert sorted(g for g in got if g[0] == 0) == [(0, 1, 3, 1.0), (0, 2, 50, 1.0), (0, 3, 1, 0.6), (0, 4, 2, 0.6), (0, 5, 50, 0.0)]
+    # Two different vectors of one id are a query each; the cosine with [1e200, 1] is a little below zero.
+    low, high = [(1, 3, 0.0), (2, 0, 0.0), (3, 0, 0.0), (4, 1, -0.8), (5, 2, -0.8)], [(1, 0, 1.0), (2, 0, 1.0), (3, 3, 1.0), (4, 1, 0.6), (5, 2, 0.6)]
+    assert sorted(g[1:] for g in got if g[0] == 50) == sorted(low + high)
+    assert sorted(g for g in got if g[0] == 100) == [(100, 1, 5, 0.6), (100, 2, 4, 0.0)] and not [g for g in got if g[0] == 150]
+
+
 @pytest.mark.parametrize("number", range(5))
 def test_stages_keep_columns_and_take_awkward_rows(spark, docs, none, number, tmp_path):
     spark.createDataFrame([(1, 1), (8, 0), (9, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
