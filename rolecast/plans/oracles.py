@@ -303,6 +303,18 @@ POSTING_ORACLES = {
     "salary_monthly": f"""WITH {POSTINGS} SELECT id_externo, {DE} AS de, 'BRL' AS moeda, {PERIOD} AS periodo,
         round({MONTHLY}, 2) AS mensal_brl, {SALARY_TEXT} AS salario_texto FROM postings""",
     "freshness_windows": f"WITH {POSTINGS} SELECT id_externo, {AGE} AS idade_dias, {window()} AS janela FROM postings",
+    "functions_in_sql": f"""WITH {POSTINGS}, y AS (SELECT *, CASE seq % 4 WHEN 0 THEN 2080 WHEN 1 THEN 26 WHEN 3 THEN 1 END AS vezes FROM postings)
+        SELECT id_externo, regexp_replace({nt('empresa')}, '[^a-z0-9]+', '-', 'g') AS slug,
+          regexp_replace(regexp_replace({nt('titulo')}, '[^a-z0-9 -]+', '', 'g'), '[ -]+', '-', 'g') AS slug_vaga, pais || ', Remote' AS local,
+          'workday:acme.wd1.myworkdayjobs.com:r000' || CAST(seq AS VARCHAR) AS requisicao, 'Acme Nation ' || split_part(pais, '_', 2) AS empresa_do_slug,
+          CASE WHEN seq % 4 <> 3 AND seq % 3 > 0 THEN CAST(seq % 3 * 1000 AS DOUBLE) END AS de,
+          CASE WHEN seq % 3 > 0 THEN CASE seq % 4 WHEN 0 THEN 'hora' WHEN 1 THEN 'mes' WHEN 2 THEN 'ano' END END AS periodo,
+          nullif(CAST(seq AS DOUBLE), 0) AS bruto_de, CASE WHEN seq > 0 THEN 'USD' END AS bruto_moeda, CASE WHEN seq > 0 THEN 'mes' END AS bruto_periodo, CAST(vezes * least(seq % 100, seq % 7) AS DOUBLE) AS anual_min,
+          CAST(vezes * greatest(seq % 100, seq % 7) AS DOUBLE) AS anual_max, CASE WHEN vezes > 0 THEN 'USD' END AS anual_moeda,
+          CAST(CASE WHEN seq % 300 = 0 THEN 10 ELSE seq % 300 END * 1000 AS DOUBLE) AS faixa_min, CAST((seq % 300 + 10) * 1000 AS DOUBLE) AS faixa_max,
+          strftime({NOW} - to_days(CAST(seq % 60 + 2 AS INTEGER)), '%Y-%m-%d') AS no_quadro,
+          CASE WHEN seq % 5 > 0 THEN strftime({NOW} - to_days(CAST(seq % 30 + 2 AS INTEGER)), '%Y-%m-%d') END AS no_workday,
+          greatest(1, date_diff('day', CAST(publicada_em AS DATE), CAST({NOW} AS DATE))) AS dias FROM y""",
     "postings_in_sql": f"""WITH {KEYED} SELECT id_externo, chave_link, chave_requisicao, chave_anuncio, requisicao, {COMPARABLE} AS titulo_comparavel,
         {SENIORITY} AS nivel, {DE} AS de, {PERIOD} AS periodo, round({MONTHLY}, 2) AS mensal_brl, {SALARY_TEXT} AS salario_texto, {AGE} AS idade_dias,
         {window()} AS janela FROM keyed""",

@@ -129,6 +129,25 @@ def postings_in_sql(spark, sf):
         FROM p""", args={"now": NOW}, postings=_P(spark, sf))
 
 
+def functions_in_sql(spark, sf):
+    """FN-09, FN-12, FN-37, FN-40, FN-53, FN-57, FN-58, FN-75, FN-81 over texts built from the postings, in SQL alone."""
+    register(spark, names=["slug", "slug_posting", "compose_location", "workday_requisition_key", "company_from_slug", "salary_from_struct", "raw_salary",
+                           "annualise", "card_band", "board_relative_date", "workday_relative_date", "elapsed_days"])
+    return spark.sql("""
+        WITH p AS (SELECT *, job_salary_from_struct(seq % 3 * 1000, 0, NULL, element_at(array('hourly', 'mensal', 'annual', 'uninformed'), CAST(seq % 4 + 1 AS INT))) AS pago,
+            job_raw_salary(parse_json(concat('{{"minSalary":', seq, ',"salaryCurrency":"USD","type":"month"}}'))) AS bruto,
+            job_annualise(seq % 100, seq % 7, element_at(array('1 HOUR', '2 WEEK', '1 FORTNIGHT', ''), CAST(seq % 4 + 1 AS INT)), ' usd') AS anual,
+            job_card_band(concat(seq % 300, 'K-', seq % 300 + 10, 'K Annually')) AS faixa FROM {postings})
+        SELECT id_externo, job_slug(empresa) AS slug, job_slug_posting(titulo) AS slug_vaga, job_compose_location(array(pais, lower(pais), '', 'Remote')) AS local,
+          job_workday_requisition_key(concat('https://Acme.wd1.myworkdayjobs.com/x/Role_R000', seq, '-2')) AS requisicao,
+          job_company_from_slug(concat('acme-', lower(pais))) AS empresa_do_slug, pago.de AS de, pago.periodo AS periodo, bruto.de AS bruto_de, bruto.moeda AS bruto_moeda,
+          bruto.periodo AS bruto_periodo, anual.min AS anual_min, anual.max AS anual_max, anual.currency AS anual_moeda, faixa.min AS faixa_min, faixa.max AS faixa_max,
+          date_format(job_board_relative_date(concat('Reposted ', seq % 60 + 2, ' Days Ago'), CAST(:now AS TIMESTAMP)), 'yyyy-MM-dd') AS no_quadro,
+          date_format(job_workday_relative_date(concat('Posted ', seq % 30 + 2, CASE WHEN seq % 5 = 0 THEN '+' ELSE '' END, ' Days Ago'), CAST(:now AS TIMESTAMP)), 'yyyy-MM-dd') AS no_workday,
+          job_elapsed_days(CAST(publicada_em AS DATE), CAST(:now AS DATE)) AS dias
+        FROM p""", args={"now": NOW}, postings=_P(spark, sf))
+
+
 def eligibility(spark, sf):
     # The place next to the work model; remote postings name no place.
     place = F.when(~F.col("modelo").eqNullSafe("remoto"), inputs.place_of(F.col("pais")))
@@ -428,7 +447,7 @@ def send_preconditions(spark, sf):
 QUERIES = {f.__name__: f for f in (
     normalize_links, link_dedupe_survivor, comparable_titles, requisition_keys, entity_clusters, entity_clusters_by_day, entity_survivors,
     entity_aliases, weak_duplicates, collision_count, classify_seniority, work_model, salary_monthly,
-    freshness_windows, freshness_points, postings_in_sql, eligibility, filter_reasons, filter_reasons_hybrid_profile, filter_reasons_by_reach, reason_histogram,
+    freshness_windows, freshness_points, postings_in_sql, functions_in_sql, eligibility, filter_reasons, filter_reasons_hybrid_profile, filter_reasons_by_reach, reason_histogram,
     source_counts, score_postings, document_scores, hydrated_view, rank_top_k, reading_queue, queue_histogram,
     queue_gaps, brief_candidates, run_totals, judgement_join, judgement_migration, board_join_priority, board_index,
     board_listing, cache_upsert, cache_expunge, cache_removed_ids, new_ids, board_register, board_moves,
