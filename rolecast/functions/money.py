@@ -21,7 +21,7 @@ _CUR = r"r\$|rs|us\$|usd|\$|€"
 _NUM_SEPARATED = r"\d+\s*k|\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?"
 _NUM_BARE = r"\d+\s*k|\d{4,}(?:[.,]\d{1,2})?(?!\d)|\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?"
 # "R$" must not be read as "$": the mark has to start a word.
-_BEFORE = r"(?<![a-z0-9])"
+_BEFORE = r"(?=[ru$€])(?<![a-z0-9])"
 
 _LOOSE_PERIODS = (
     ("mes", r"m[êe]s|mensal|mensais|monthly|per\s+month"),
@@ -83,20 +83,24 @@ def salary_from_text(text: Column, parity=DEFAULT_PARITY, normalized: bool = Fal
     num = _NUM_SEPARATED if parity.separator_required else _NUM_BARE
     # Each pattern captures the 30 characters in which the period is looked for.
     ranged = (rf"(?s){_BEFORE}({_CUR})\s*({num})\s*(?:a|-|ate|as|to)\s*(?:{_CUR})?\s*({num})(.{{0,30}})")
-    labelled = (rf"(?s)(?:salario|remuneracao|faixa salarial|compensation)[^\d]{{0,40}}{_BEFORE}"
+    labelled = (rf"(?s)(?=[srfc])(?:salario|remuneracao|faixa salarial|compensation)[^\d]{{0,40}}{_BEFORE}"
                 rf"({_CUR})\s*({num})(.{{0,30}})")
     periodic = (rf"(?s){_BEFORE}(?=(.{{0,30}}))({_CUR})\s*({num})\s*(?:/|por\s+)?\s*"
                 r"(?:mes|mensal|mensais|hora|ano|anual)")
 
     def read(t, pattern, mark, low, high, near, default=None):
         """One salary from the first match of the pattern, when its amounts are plausible."""
-        take = lambda i: F.regexp_extract(t, pattern, i)
-        period = read_period(take(near), parity)
-        parts = F.struct(
-            parse_number(take(low)).alias("de"),
-            (parse_number(take(high)) if high else F.lit(None).cast("double")).alias("ate"),
-            _currency(take(mark)).alias("moeda"), F.lit("texto").alias("origem"),
-            (F.coalesce(period, F.lit(default)) if default else period).alias("periodo"))
+        def amounts(g: Column) -> Column:
+            period = read_period(g[3], parity)
+            return F.struct(
+                parse_number(g[1]).alias("de"),
+                (parse_number(g[2]) if high else F.lit(None).cast("double")).alias("ate"),
+                _currency(g[0]).alias("moeda"), F.lit("texto").alias("origem"),
+                (F.coalesce(period, F.lit(default)) if default else period).alias("periodo"))
+
+        # All groups in one match, line by line.
+        groups = F.split(F.regexp_replace(
+            t, rf"(?s)^.*?{pattern}.*$", f"${mark}\n${low}\n${high or low}\n${near}"), "\n")
 
         def sensible(s: Column) -> Column:
             ok = _plausible(s["de"])
@@ -104,11 +108,11 @@ def salary_from_text(text: Column, parity=DEFAULT_PARITY, normalized: bool = Fal
                 ok = ok & _plausible(s["ate"]) & (s["ate"] >= s["de"])
             return F.when(ok, s)
 
-        return F.when(t.rlike(pattern), let(parts, sensible))
+        return F.when(t.rlike(pattern), let(let(groups, amounts), sensible))
 
     return let(text if normalized else normalize_text(text), lambda t: F.when(
         # No currency mark, no salary: most texts stop here after one scan.
-        t.rlike(rf"(?:{_CUR})\s*\d"),
+        t.rlike(rf"(?=[ru$€])(?:{_CUR})\s*\d"),
         F.coalesce(
             read(t, ranged, 1, 2, 3, 4),
             read(t, labelled, 1, 2, None, 3),

@@ -84,7 +84,12 @@ def strip_accents(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Collapse runs of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    # Most texts have nothing to collapse, and a search for two blanks is far cheaper than a match at each one.
+    def uneven(x: Column) -> Column:
+        gaps = [x.contains(gap) for gap in ("  ", "\t", "\n", "\x0B", "\f", "\r")]
+        return reduce(lambda a, b: a | b, gaps) | (F.octet_length(x) != F.char_length(x))
+
+    return let(c, lambda x: F.trim(F.when(uneven(x), F.regexp_replace(x, SPACE + "+", " ")).otherwise(x)))
 
 
 def normalize_text(c: Column) -> Column:
@@ -95,10 +100,39 @@ def normalize_text(c: Column) -> Column:
 # ---------------------------------------------------------------- term matching
 
 
+def starts(terms) -> str:
+    """A look at the next character, which rules out most places of a text before any term is tried."""
+    firsts = re.sub(r"([\]\[\\^&-])", r"\\\1", "".join(dict.fromkeys(t[0] for t in terms)))
+    return f"(?=[{firsts}])"
+
+
+def any_of(terms) -> str:
+    """One of the literals, with every common beginning written once; says whether, not which one."""
+    tree: dict = {}
+    for term in terms:
+        node = tree
+        for ch in term:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        branches = [quote(ch) + write(child) for ch, child in node.items() if ch]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return body + "?" if "" in node else body
+
+    return write(tree)
+
+
 def word_pattern(terms) -> str:
     """Any of the one-word terms, at a word start, with an optional plural."""
-    body = "|".join(quote(t) for t in terms)
-    return f"(^|[^a-z0-9])({body})(s|es|is)?([^a-z0-9]|$)"
+    return f"{starts(terms)}(?<![a-z0-9]){any_of(terms)}(?:s|es|is)?(?![a-z0-9])"
+
+
+def phrase_pattern(phrases) -> str:
+    """Any of the phrases, wherever it stands."""
+    return starts(phrases) + any_of(phrases) if len(phrases) > 1 else quote(phrases[0])
 
 
 def match_term(norm: Column, term: str) -> Column:
@@ -120,7 +154,7 @@ def match_any(norm: Column, terms) -> Column:
     if words:
         parts.append(norm.rlike(word_pattern(words)))
     if phrases:
-        parts.append(norm.rlike("|".join(quote(p) for p in phrases)))
+        parts.append(norm.rlike(phrase_pattern(phrases)))
     return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
@@ -145,13 +179,13 @@ def first_contained(norm: Column, terms) -> Column:
     folded = [(t, fold(t)) for t in terms if fold(t)]
     if not folded:
         return F.lit(None).cast("string")
-    gate = norm.rlike("|".join(quote(f) for _, f in folded))
+    gate = norm.rlike(phrase_pattern([f for _, f in folded]))
     return F.when(gate, F.coalesce(*[F.when(norm.contains(f), F.lit(t)) for t, f in folded]))
 
 
 def any_contained(norm: Column, terms) -> Column:
     folded = [fold(t) for t in terms if fold(t)]
-    return norm.rlike("|".join(quote(f) for f in folded)) if folded else F.lit(False)
+    return norm.rlike(phrase_pattern(folded)) if folded else F.lit(False)
 
 
 def _plural(term: str) -> str:
@@ -160,7 +194,7 @@ def _plural(term: str) -> str:
 
 def bounded_pattern(terms) -> str:
     body = "|".join(quote(fold(t)) + _plural(fold(t)) for t in terms)
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"
+    return rf"{starts([fold(t) for t in terms])}(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"
 
 
 def contains_term(norm: Column, *terms: str) -> Column:
@@ -198,7 +232,7 @@ def terms_found(norm: Column, terms, plural: bool = True) -> Column:
     for layer in _layers(folded):
         body = "|".join(quote(t) + (_plural(t) if plural else "") for t in layer)
         scans.append(F.regexp_extract_all(
-            norm, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?=({body})(?![\p{{L}}\p{{N}}]))"), F.lit(1)))
+            norm, F.lit(rf"{starts(layer)}(?<![\p{{L}}\p{{N}}])(?=({body})(?![\p{{L}}\p{{N}}]))"), F.lit(1)))
     hits = F.array_distinct(F.concat(*scans)) if len(scans) > 1 else F.array_distinct(scans[0])
     names = {}
     for t in folded:
@@ -216,7 +250,7 @@ def triggers_found(norm: Column, terms) -> Column:
     words = [t for t in folded if " " not in t]
     phrases = [t for t in folded if " " in t]
     scans = [F.regexp_extract_all(
-        norm, F.lit(rf"(?<![a-z0-9])(?=({'|'.join(quote(t) for t in layer)})(?:s|es|is)?(?![a-z0-9]))"), F.lit(1))
+        norm, F.lit(rf"{starts(layer)}(?<![a-z0-9])(?=({'|'.join(quote(t) for t in layer)})(?:s|es|is)?(?![a-z0-9]))"), F.lit(1))
         for layer in _layers(words)]
     if phrases:
         scans.append(F.when(
@@ -379,12 +413,16 @@ MID_WORDS = ("pleno", "mid-level", "mid level", "intermediario", "ii")
 def junior_body_pattern(area_roles) -> str:
     b, e = WORD_START, WORD_END
     roles = "|".join(area_roles)
+    # A role may be a pattern; only plain words say what they begin with.
+    plain = all(re.fullmatch("[^\\W_]+", r) for r in area_roles)
     return "(?iu)" + "|".join((
-        rf"(^|[^a-z])({roles})\s+(junior|j[uú]nior|jr){e}",
-        rf"{b}n[ií]vel\s+(junior|j[uú]nior){e}",
-        rf"{b}n[ãa]o\s+exigimos\s+(gradua[çc][ãa]o\s+nem\s+)?experi[êe]ncia\s+pr[ée]via{e}",
-        rf"{b}vaga\s+para\s+iniciantes?{e}",
-        rf"{b}primeira\s+experi[êe]ncia{e}",
+        rf"{starts(area_roles) if plain and area_roles else ''}(?<![a-z])({roles})\s+(junior|j[uú]nior|jr){e}",
+        rf"(?=[nvp]){b}(?:" + "|".join((
+            r"n[ií]vel\s+(junior|j[uú]nior)",
+            r"n[ãa]o\s+exigimos\s+(gradua[çc][ãa]o\s+nem\s+)?experi[êe]ncia\s+pr[ée]via",
+            r"vaga\s+para\s+iniciantes?",
+            r"primeira\s+experi[êe]ncia",
+        )) + f"){e}",
     ))
 
 

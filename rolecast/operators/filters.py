@@ -16,25 +16,43 @@ from rolecast.functions import dates, money, text
 from rolecast.functions.text import let
 from rolecast.operators.shaping import bind, col_or_null
 
-def with_features(df: DataFrame, now, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS,
-                  parity=DEFAULT_PARITY) -> DataFrame:
-    """Columns the rules share, each computed once per row."""
-    body, reach = F.coalesce(F.col("descricao"), F.lit("")), profile.reach
+def _common(df: DataFrame, now, parity, body: Column | None = None) -> dict[str, Column]:
+    """The features that no profile and no reach changes; ``body`` is the normalized description, if there is one already."""
     structured = F.col("salario_bruto") if "salario_bruto" in df.columns else None
-    df = bind(
-        df,
+    return dict(
         titulo_norm=text.normalize_text(F.col("titulo")),
         empresa_norm=text.normalize_text(F.col("empresa")),
-        abertura_norm=text.normalize_text(text.head(body, reach.talent_pool)),
-        abertura_mkt_norm=text.normalize_text(text.head(body, reach.marketing)),
-        **({} if reach.model == reach.talent_pool else {"abertura_modelo_norm": text.normalize_text(text.head(body, reach.model))}),
-        salario=money.resolve_salary(structured, F.col("descricao"), parity),
+        salario=money.resolve_salary(structured, F.col("descricao") if body is None else body, parity, body is not None),
         idade_dias=dates.age_days(
             dates.effective_date(
                 F.col("publicada_em"),
                 col_or_null(df, "atualizada_em", "timestamp"),
                 col_or_null(df, "republicada_em", "timestamp")), now),
     )
+
+
+def with_common(df: DataFrame, now, parity=DEFAULT_PARITY) -> DataFrame:
+    """What several profiles share, for a frame that more than one of them judges."""
+    df = bind(df, descricao_norm=text.normalize_text(F.col("descricao")))
+    return bind(df, **_common(df, now, parity, F.col("descricao_norm")))
+
+
+def with_features(df: DataFrame, now, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS,
+                  parity=DEFAULT_PARITY) -> DataFrame:
+    """Columns the rules share, each computed once per row; those of :func:`with_common` are taken as they are."""
+    body, reach = F.coalesce(F.col("descricao"), F.lit("")), profile.reach
+    shared = {"titulo_norm", "descricao_norm"} <= set(df.columns)
+
+    def opening(n: int | None) -> Column:
+        return F.col("descricao_norm") if shared and n is None else text.normalize_text(text.head(body, n))
+
+    df = bind(
+        df,
+        **({} if shared else _common(df, now, parity)),
+        abertura_norm=opening(reach.talent_pool),
+        abertura_mkt_norm=opening(reach.marketing),
+        **({} if reach.model == reach.talent_pool else {"abertura_modelo_norm": opening(reach.model)}),
+    )
     declared = F.nullif(col_or_null(df, "senioridade", "string"), F.lit(""))
     return bind(
         df,

@@ -180,10 +180,14 @@ def filter_reasons_by_reach(spark, sf):
         "descricao": F.concat(F.repeat(F.lit("Sobre a vaga. "), 60), late, F.lit(". "), "descricao"),
         "empresa": F.when(F.col("seq") % 13 == 0, f"Grupo {EMPLOYER_EXCLUDED[0]}").otherwise(F.col("empresa")),
         "prazo": F.when(F.col("seq") % 6 == 0, F.lit("2001-07-01 00:00:00").cast("timestamp"))})
-    judged = [filters.with_reason(padded, NOW, profile=Profile(accepts_hybrid=True, salary_floor_brl=0.0, reach=reach)).select(
-        "id_externo", F.lit(name).alias("alcance"), "reason", filters.reason_code(F.col("reason")).alias("codigo"))
-        for name, reach in (("publicado", Reach()), ("inteiro", WHOLE_TEXTS))]
-    return judged[0].unionByName(judged[1])
+    # Both reaches judge the same row, so what they share is computed once.
+    judged = filters.with_common(padded, NOW)
+    reaches = {"publicado": Reach(), "inteiro": WHOLE_TEXTS}
+    for name, reach in reaches.items():
+        judged = filters.with_reason(judged, NOW, profile=Profile(accepts_hybrid=True, salary_floor_brl=0.0, reach=reach)).select(
+            *judged.columns, F.col("reason").alias(name))
+    both = F.array(*[F.struct(F.lit(name).alias("alcance"), F.col(name).alias("reason")) for name in reaches])
+    return judged.select("id_externo", F.inline(both)).withColumn("codigo", filters.reason_code(F.col("reason")))
 
 
 def reason_histogram(spark, sf):
