@@ -261,9 +261,9 @@ def brief_candidates(spark, sf):
 
 
 def run_totals(spark, sf):
-    judged = filters.with_reason(_P(spark, sf), NOW, profile=WIDE)
-    seen = lookups.join_board(
-        lookups.join_judgements(judged, inputs.judgements(spark, sf)), inputs.board(spark, sf))
+    cache = _P(spark, sf)
+    judged = filters.with_reason(cache, NOW, profile=WIDE)
+    seen = lookups.look_up(judged, cache, inputs.judgements(spark, sf), inputs.board(spark, sf))
     return views.run_totals(seen.withColumn("nova", F.col("publicada_em") >= F.lit("2001-01-01").cast("timestamp")))
 
 
@@ -439,8 +439,9 @@ def stock(spark, sf):
 
 def send_preconditions(spark, sf):
     """FLT-21 over every posting, with what the filter, the judgements and the board say of it."""
-    judged = filters.with_reason(_P(spark, sf), NOW, profile=WIDE)
-    df = lookups.join_board(lookups.join_judgements(judged, inputs.judgements(spark, sf)), inputs.board(spark, sf))
+    cache = _P(spark, sf)
+    judged = filters.with_reason(cache, NOW, profile=WIDE)
+    df = lookups.look_up(judged, cache, inputs.judgements(spark, sf), inputs.board(spark, sf))
     df = df.select(
         "id_externo", F.col("reason").isNull().alias("presente"), F.col("status_notion").alias("status_quadro"), "lida",
         "julgamento_desatualizado", "conflito_identidade", (F.col("fonte") != "Arc").alias("transmissao"))
