@@ -9,7 +9,7 @@ from rolecast.config import EMPLOYER_EXCLUDED, MARKETING_FRAMING, TALENT_POOL, W
 from rolecast.functions import dates, money, text, urls
 from rolecast.functions.register import register
 from rolecast.operators import coverage, entities, filters, lookups, quality, resolve, score, state, views, windows
-from rolecast.operators.shaping import bind, scratch_path
+from rolecast.operators.shaping import bind, cut_lineage, scratch_path
 from rolecast.plans import inputs
 from rolecast.plans.inputs import NOW
 
@@ -46,7 +46,9 @@ def requisition_keys(spark, sf):
 
 
 def entity_clusters(spark, sf):
-    keyed = resolve.with_identity(_P(spark, sf))
+    postings = _P(spark, sf)
+    # The edges read the keys twice; they are derived and written once.
+    keyed = cut_lineage(resolve.with_identity(postings).select("id_externo", "id_canonico", *resolve.KEYS), "identity")
     labels = resolve.component_labels(resolve.identity_edges(keyed)).select(
         F.col("node").alias("id_externo"), F.col("label").alias("cluster"))
     return keyed.select("id_externo").join(labels, "id_externo", "left").select(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolecast.functions import money, text
+from rolecast.operators import resolve
 from rolecast.plans import posting_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +56,11 @@ def test_salary_patterns_give_the_same_amounts(spark):
     got = [(r.x and (r.x.de, r.x.ate, r.x.moeda, r.x.periodo)) for r in rows.select(pay.alias("x")).collect()]
     assert got == [(5123.0, None, "BRL", "mes"), (100000.0, None, "USD", "ano"), (4000.0, 6500.0, "BRL", "mes"), None,
                    None, (3000.0, 4000.0, "EUR", "ano"), (7000.0, None, "BRL", "mes")]
+
+
+def test_clusters_read_written_keys(spark, monkeypatch):
+    seen = []
+    edges = resolve.identity_edges
+    monkeypatch.setattr(resolve, "identity_edges", lambda keyed, *a: seen.append(_plan(keyed)) or edges(keyed, *a))
+    posting_queries.entity_clusters(spark, SMALL)
+    assert len(seen) == 1 and "Join" not in seen[0] and "Generate" not in seen[0]
