@@ -50,8 +50,11 @@ def parse_number(s: Column) -> Column:
     def number(v: Column) -> Column:
         return F.regexp_extract(plain(v), r"^([+-]?(?:\d+(?:\.\d*)?|\.\d+))", 1).try_cast("double")
 
-    return let(F.lower(F.trim(s)), lambda raw: let(
-        F.regexp_replace(raw, r"\s*k$", ""), number) * F.when(raw.rlike(r"k\s*$"), 1000.0).otherwise(1.0))
+    # A whole number with one kind of separator, as most are, says all there is to read.
+    whole = r"^(?:[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{1,3}(?:,[0-9]{3})+)\z"
+    return let(F.lower(F.trim(s)), lambda raw: F.when(
+        raw.rlike(whole), F.translate(raw, ".,", "").try_cast("double")).otherwise(
+        let(F.regexp_replace(raw, r"\s*k$", ""), number) * F.when(raw.rlike(r"k\s*$"), 1000.0).otherwise(1.0)))
 
 
 def read_period(window: Column, parity=DEFAULT_PARITY) -> Column:

@@ -73,7 +73,8 @@ def quote(term: str) -> str:
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
+    # element_at keeps its type; a subscript works it out again from the whole body at every row.
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip_accents(c: Column) -> Column:
@@ -82,19 +83,21 @@ def strip_accents(c: Column) -> Column:
         x.rlike(_BEYOND), _decomposed(x)).otherwise(F.translate(x, _FOLD_FROM, _FOLD_TO)))
 
 
+def _uneven(x: Column) -> Column:
+    """Not ASCII, or with white space to collapse: a search for two blanks is far cheaper than a match at each one."""
+    gaps = [x.contains(gap) for gap in ("  ", "\t", "\n", "\x0B", "\f", "\r")]
+    return (F.octet_length(x) != F.char_length(x)) | reduce(lambda a, b: a | b, gaps)
+
+
 def collapse(c: Column) -> Column:
     """Collapse runs of white space to one blank and trim."""
-    # Most texts have nothing to collapse, and a search for two blanks is far cheaper than a match at each one.
-    def uneven(x: Column) -> Column:
-        gaps = [x.contains(gap) for gap in ("  ", "\t", "\n", "\x0B", "\f", "\r")]
-        return reduce(lambda a, b: a | b, gaps) | (F.octet_length(x) != F.char_length(x))
-
-    return let(c, lambda x: F.trim(F.when(uneven(x), F.regexp_replace(x, SPACE + "+", " ")).otherwise(x)))
+    return let(c, lambda x: F.trim(F.when(_uneven(x), F.regexp_replace(x, SPACE + "+", " ")).otherwise(x)))
 
 
 def normalize_text(c: Column) -> Column:
     """FN-01: accents off, lower case, white space collapsed; null becomes ''."""
-    return F.coalesce(collapse(F.lower(strip_accents(c))), F.lit(""))
+    # Most texts are ASCII with nothing to collapse. They need no lambda, which compiled code would have to step out for.
+    return F.coalesce(F.when(_uneven(c), collapse(F.lower(strip_accents(c)))).otherwise(F.trim(F.lower(c))), F.lit(""))
 
 
 # ---------------------------------------------------------------- term matching
@@ -389,9 +392,9 @@ def word_count(lowered: Column, words) -> Column:
 
 def reads_english(body: Column, least: int = 200) -> Column:
     """FN-15: more than 1.5 English stop words per Portuguese one; a text of less than ``least`` characters: false."""
-    return let(F.lower(F.coalesce(body, F.lit(""))), lambda low: F.when(
-        F.length(low) < least, F.lit(False)).otherwise(
-        word_count(low, EN_WORDS) > word_count(low, PT_WORDS) * F.lit(1.5)))
+    lowered = F.lower(F.coalesce(body, F.lit("")))
+    return F.when(F.length(lowered) < least, F.lit(False)).otherwise(let(
+        lowered, lambda low: word_count(low, EN_WORDS) > word_count(low, PT_WORDS) * F.lit(1.5)))
 
 
 def is_international(pays_usd: Column, currency: Column, body: Column) -> Column:

@@ -30,11 +30,30 @@ def url_segments(url: Column) -> Column:
     return F.filter(F.split(_part(url, 3), "/"), lambda s: s != "")
 
 
+#: A link of printable ASCII without user, port, fragment and escapes in its query, whose path has no separator of queries.
+_PLAIN_LINK = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[a-zA-Z0-9._-]+(?:/[!-%'->@-~&&[^#\\\\]]*)?(?:\?[!-~&&[^#%?]]*)?$"
+
+
 def normalize_link(url: Column, parity=DEFAULT_PARITY) -> Column:
     """FN-30: host + path + the query that is not tracking, in lower case.
 
     Text that is not a URL comes back trimmed in lower case.
     """
+    u = F.trim(F.coalesce(url, F.lit("")))
+    # Most links are plain ones, and go through replacements of the whole instead of a search per part.
+    plain = u.rlike(_PLAIN_LINK) & ~u.rlike("(?i)gh_jid")
+    return F.when(plain, _plain_link(u)).otherwise(_link_by_parts(u, parity))
+
+
+def _plain_link(u: Column) -> Column:
+    names = "|".join(t for t in TRACKING if t != "gh_jid")
+    bare = F.regexp_replace(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?i:www\.)?+([^?]*?)/*(?=\?|$)", "$1")
+    kept = F.regexp_replace(bare, rf"(?i)(?<=[?&])(?:utm_[^&]*|(?:{names})(?:=[^&]*)?)(?=&|$)", "")
+    named = F.regexp_replace(kept, "(?<=[?&])([^&=]+)(?=&|$)", "$1=")
+    return F.lower(F.when(u.contains("?"), F.regexp_replace(named, "[?&]+$|(?<=[?&])&+", "")).otherwise(bare))
+
+
+def _link_by_parts(u: Column, parity) -> Column:
     tracked = [t for t in TRACKING if t != "gh_jid"]
     drop = rf"(?i)^(?:utm_|(?:{'|'.join(tracked)})(?:=|$))"
     drop_jid = r"(?i)^gh_jid(?:=|$)"
@@ -48,14 +67,11 @@ def normalize_link(url: Column, parity=DEFAULT_PARITY) -> Column:
             F.concat(p, F.lit("=")))), "&")
         return F.regexp_replace(F.replace(joined, F.lit("%20"), F.lit("+")), "^(?=.)", "?")
 
-    def rebuild(u: Column) -> Column:
-        parts = F.struct(
-            url_host(u).alias("host"), F.regexp_replace(_part(u, 3), "/+$", "").alias("path"),
-            _part(u, 4).alias("query"))
-        return F.when(u.rlike(_URL), let(parts, lambda p: F.lower(F.concat(p["host"], p["path"], query(p))))
-                      ).otherwise(F.lower(u))
-
-    return let(F.trim(F.coalesce(url, F.lit(""))), rebuild)
+    parts = F.struct(
+        url_host(u).alias("host"), F.regexp_replace(_part(u, 3), "/+$", "").alias("path"),
+        _part(u, 4).alias("query"))
+    return F.when(u.rlike(_URL), let(parts, lambda p: F.lower(F.concat(p["host"], p["path"], query(p))))
+                  ).otherwise(F.lower(u))
 
 
 # Query keys that name a secret, and names that are not public hosts.
@@ -127,8 +143,7 @@ def extract_id(url: Column) -> Column:
 
     # Most links belong to none of these hosts and stop at one scan.
     known = r"(?i)\.gupy\.io|\.inhire\.app|jobs\.ashbyhq\.com|boards\.greenhouse\.io|jobs\.lever\.co|jobs\.recrutei\.com\.br"
-    return let(url, lambda u: F.when(
-        u.rlike(known), let(F.struct(url_host(u).alias("host"), url_segments(u).alias("parts")), by_host)))
+    return F.when(url.rlike(known), let(F.struct(url_host(url).alias("host"), url_segments(url).alias("parts")), by_host))
 
 
 def canonical_id(link: Column, external_id: Column) -> Column:
@@ -138,18 +153,20 @@ def canonical_id(link: Column, external_id: Column) -> Column:
 
 def comparable_title(title: Column, normalized: bool = False) -> Column:
     """FN-34: the title without what changes between two ads of one posting."""
-    s = title if normalized else normalize_text(title)
-    s = F.regexp_replace(s, r"\([^)]*\)", " ")
+    t = title if normalized else normalize_text(title)
+    # What a step looks for stands in the title from the start, so titles without it pass by the steps.
+    s = F.regexp_replace(t, r"\([^)]*\)", " ")
     s = F.regexp_replace(s, r"\bref\.?\s*#?\s*[0-9a-z]+\b", " ")
     s = F.regexp_replace(s, r"[|–—-]\s*(remoto|remote|home office|brasil|brazil|latam)\b.*$", " ")
     s = F.regexp_replace(s, r"\b(remoto|remote|home office|trabalho remoto|work from home)\b", " ")
     s = F.regexp_replace(s, r"\bpessoa\b", " ")
-    s = F.regexp_replace(s, r"\bdesigner de produto\b", "product designer")
+    cut = F.when(t.rlike(r"[(]|(?=[rhblwp])(?:ref|remot|home|bra[sz]il|latam|pessoa)"), s).otherwise(t)
+    s = F.regexp_replace(cut, r"\bdesigner de produto\b", "product designer")
     s = F.regexp_replace(s, r"\bux\s*/?\s*ui\b", "uiux")
     s = F.regexp_replace(s, r"\bui\s*/?\s*ux\b", "uiux")
     s = F.regexp_replace(s, r"\bsenior\b", "sr")
-    s = F.regexp_replace(s, r"[^a-z0-9 ]+", " ")
-    return F.trim(F.regexp_replace(s, " +", " "))
+    named = F.when(t.rlike("(?=[dus])(?:designer de produto|ux|senior)"), s).otherwise(cut)
+    return F.trim(F.regexp_replace(named, "[^a-z0-9]+", " "))
 
 
 def requisition(title: Column) -> Column:
@@ -157,10 +174,11 @@ def requisition(title: Column) -> Column:
     def take(pattern):
         return F.nullif(F.regexp_extract(title, pattern, 1), F.lit(""))
 
-    return F.coalesce(
+    # Each of the three has three digits in a row; most titles have none and stop at one scan.
+    return F.when(title.rlike("[0-9]{3}"), F.coalesce(
         take(r"\((\d{3,6})\)"),
         F.upper(take(r"(?i)REF\s*#?\s*([0-9]{3,8}[a-z]?)")),
-        F.upper(take(r"(?i)\bRef\.?\s*([0-9]{3,8}[a-z]?)\b")))
+        F.upper(take(r"(?i)\bRef\.?\s*([0-9]{3,8}[a-z]?)\b"))))
 
 
 def _employer(company_norm: Column, kw) -> Column:

@@ -29,10 +29,15 @@ def title_points(title_norm: Column, kw=DEFAULT_KEYWORDS, profile=DEFAULT_PROFIL
 def domain_points(body_norm: Column, kw=DEFAULT_KEYWORDS) -> Column:
     """SC-02: ambiguous phrases are taken out, then 10, 7 or 3."""
     cleaned = F.regexp_replace(body_norm, text.bounded_pattern(kw.domain_neutral), " ") if kw.domain_neutral else body_norm
-    return let(cleaned, lambda t: (
+    points = let(cleaned, lambda t: (
         F.when(text.contains_term(t, *kw.domain_high), 10)
         .when(text.contains_term(t, *kw.domain_medium), 7)
         .otherwise(3)))
+    terms = (*kw.domain_high, *kw.domain_medium)
+    # A word that does not stand in the text does not stand in what is left of it; a phrase might.
+    if not terms or not all(text.fold(t).isalnum() for t in terms):
+        return points
+    return F.when(text.contains_term(body_norm, *terms), points).otherwise(3)
 
 
 def signals_found(body_norm: Column, kw=DEFAULT_KEYWORDS) -> Column:
@@ -50,7 +55,10 @@ def signals_found(body_norm: Column, kw=DEFAULT_KEYWORDS) -> Column:
             kept.append(F.when(hit, F.lit(term)))
         return F.array_compact(F.array(*kept))
 
-    return let(text.terms_found(body_norm, kw.signals), leaders)
+    none = F.array().cast("array<string>")
+    if not ordered:
+        return none
+    return F.when(text.contains_term(body_norm, *kw.signals), let(text.terms_found(body_norm, kw.signals), leaders)).otherwise(none)
 
 
 def seniority_points(level: Column, monthly: Column, international: Column, profile=DEFAULT_PROFILE) -> Column:

@@ -14,10 +14,13 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
 
     A plain ``withColumn`` is only an alias: a filter that moves below it takes
     a copy of the expression along.  A generated column stays where it is, so
-    the folded title or body is not folded again by every rule.
+    the folded title or body is not folded again by every rule.  The generator
+    only passes on what the projection below it has computed in compiled code;
+    expressions inside a generator are interpreted as soon as one has a lambda.
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    computed = df.select("*", *[c.alias(f"_bound_{name}") for name, c in columns.items()])
+    row = F.struct(*[F.col(f"_bound_{name}").alias(name) for name in columns])
+    return computed.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(row)))
 
 
 def col_or_null(df: DataFrame, name: str, kind: str) -> Column:
