@@ -77,6 +77,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)``: a column by its name may be read repeatedly in compiled code, anything else goes through :func:`let`."""
+    return body(value) if re.fullmatch(r"Column<'\w+'>", repr(value)) else let(value, body)
+
+
 def strip_accents(c: Column) -> Column:
     # Pure ASCII needs no fold, and comparing lengths is far cheaper than folding.
     return let(c, lambda x: F.when(F.octet_length(x) == F.char_length(x), x).when(
@@ -97,7 +102,8 @@ def collapse(c: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     """FN-01: accents off, lower case, white space collapsed; null becomes ''."""
     # Most texts are ASCII with nothing to collapse. They need no lambda, which compiled code would have to step out for.
-    return F.coalesce(F.when(_uneven(c), collapse(F.lower(strip_accents(c)))).otherwise(F.trim(F.lower(c))), F.lit(""))
+    return F.coalesce(once(c, lambda x: F.when(
+        _uneven(x), collapse(F.lower(strip_accents(x)))).otherwise(F.trim(F.lower(x)))), F.lit(""))
 
 
 # ---------------------------------------------------------------- term matching
@@ -392,9 +398,9 @@ def word_count(lowered: Column, words) -> Column:
 
 def reads_english(body: Column, least: int = 200) -> Column:
     """FN-15: more than 1.5 English stop words per Portuguese one; a text of less than ``least`` characters: false."""
-    lowered = F.lower(F.coalesce(body, F.lit("")))
-    return F.when(F.length(lowered) < least, F.lit(False)).otherwise(let(
-        lowered, lambda low: word_count(low, EN_WORDS) > word_count(low, PT_WORDS) * F.lit(1.5)))
+    lowered = lambda b: F.lower(F.coalesce(b, F.lit("")))
+    return once(body, lambda b: F.when(F.length(lowered(b)) < least, F.lit(False)).otherwise(let(
+        lowered(b), lambda low: word_count(low, EN_WORDS) > word_count(low, PT_WORDS) * F.lit(1.5))))
 
 
 def is_international(pays_usd: Column, currency: Column, body: Column) -> Column:

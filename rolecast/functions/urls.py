@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolecast.config import DEFAULT_KEYWORDS, DEFAULT_PARITY
-from rolecast.functions.text import any_contained, let, normalize_text
+from rolecast.functions.text import any_contained, let, normalize_text, once
 
 # scheme, authority, path, query, fragment
 _URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#\\\s]+)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -39,10 +39,13 @@ def normalize_link(url: Column, parity=DEFAULT_PARITY) -> Column:
 
     Text that is not a URL comes back trimmed in lower case.
     """
-    u = F.trim(F.coalesce(url, F.lit("")))
-    # Most links are plain ones, and go through replacements of the whole instead of a search per part.
-    plain = u.rlike(_PLAIN_LINK) & ~u.rlike("(?i)gh_jid")
-    return F.when(plain, _plain_link(u)).otherwise(_link_by_parts(u, parity))
+    def read(link: Column) -> Column:
+        u = F.trim(F.coalesce(link, F.lit("")))
+        # Most links are plain ones, and go through replacements of the whole instead of a search per part.
+        plain = u.rlike(_PLAIN_LINK) & ~u.rlike("(?i)gh_jid")
+        return F.when(plain, _plain_link(u)).otherwise(let(u, lambda x: _link_by_parts(x, parity)))
+
+    return once(url, read)
 
 
 def _plain_link(u: Column) -> Column:
@@ -143,7 +146,8 @@ def extract_id(url: Column) -> Column:
 
     # Most links belong to none of these hosts and stop at one scan.
     known = r"(?i)\.gupy\.io|\.inhire\.app|jobs\.ashbyhq\.com|boards\.greenhouse\.io|jobs\.lever\.co|jobs\.recrutei\.com\.br"
-    return F.when(url.rlike(known), let(F.struct(url_host(url).alias("host"), url_segments(url).alias("parts")), by_host))
+    return once(url, lambda u: F.when(
+        u.rlike(known), let(F.struct(url_host(u).alias("host"), url_segments(u).alias("parts")), by_host)))
 
 
 def canonical_id(link: Column, external_id: Column) -> Column:
@@ -153,7 +157,10 @@ def canonical_id(link: Column, external_id: Column) -> Column:
 
 def comparable_title(title: Column, normalized: bool = False) -> Column:
     """FN-34: the title without what changes between two ads of one posting."""
-    t = title if normalized else normalize_text(title)
+    return once(title if normalized else normalize_text(title), _comparable)
+
+
+def _comparable(t: Column) -> Column:
     # What a step looks for stands in the title from the start, so titles without it pass by the steps.
     s = F.regexp_replace(t, r"\([^)]*\)", " ")
     s = F.regexp_replace(s, r"\bref\.?\s*#?\s*[0-9a-z]+\b", " ")
@@ -171,14 +178,14 @@ def comparable_title(title: Column, normalized: bool = False) -> Column:
 
 def requisition(title: Column) -> Column:
     """FN-35: "(1552)", "REF#301709", "Ref. 123"."""
-    def take(pattern):
-        return F.nullif(F.regexp_extract(title, pattern, 1), F.lit(""))
+    def take(t, pattern):
+        return F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
 
     # Each of the three has three digits in a row; most titles have none and stop at one scan.
-    return F.when(title.rlike("[0-9]{3}"), F.coalesce(
-        take(r"\((\d{3,6})\)"),
-        F.upper(take(r"(?i)REF\s*#?\s*([0-9]{3,8}[a-z]?)")),
-        F.upper(take(r"(?i)\bRef\.?\s*([0-9]{3,8}[a-z]?)\b"))))
+    return once(title, lambda t: F.when(t.rlike("[0-9]{3}"), F.coalesce(
+        take(t, r"\((\d{3,6})\)"),
+        F.upper(take(t, r"(?i)REF\s*#?\s*([0-9]{3,8}[a-z]?)")),
+        F.upper(take(t, r"(?i)\bRef\.?\s*([0-9]{3,8}[a-z]?)\b")))))
 
 
 def _employer(company_norm: Column, kw) -> Column:

@@ -128,3 +128,10 @@ def test_whole_numbers_and_signals_as_before(spark):
     got = spark.createDataFrame(bodies, "s string, want int").select(
         "want", score.domain_points(F.col("s")).alias("x"), score.signals_found(F.lit("ai research com figma")).alias("g"), score.signals_found(F.lit("nada")).alias("n")).collect()
     assert [r.x for r in got] == [r.want for r in got] and got[0].g == ["research", "figma", "ai"] and got[0].n == []
+
+
+def test_costly_texts_are_computed_once(spark):
+    costly = F.regexp_replace("s", "x+", "y")
+    for f in (text.normalize_text, urls.normalize_link, urls.requisition, text.reads_english):
+        plan = spark.createDataFrame([("a",)], "s string").select(f(costly).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("x+") == 1
