@@ -19,7 +19,9 @@ from rolecast.sources.landing import POSTING_FIELDS, latest, payloads
 def shape(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """Every posting column, typed; what a source does not give is NULL."""
     order = F.col("pos").cast("bigint") if "pos" in rows.columns else F.lit(0)
-    fields = {"seq": order, **fields}
+    # Bound, so that a filter on the id does not derive it a second time.
+    rows = bind(rows, _ident=fields["id_externo"].cast("string"))
+    fields = {"seq": order, **fields, "id_externo": F.col("_ident")}
     if "fetched_at" in rows.columns and "url" in rows.columns:
         rows = rows.withColumn("_landed", F.struct("fetched_at", "url"))
         return rows.select(*[fields.get(c, F.lit(None)).cast(t).alias(c) for c, t in POSTING_FIELDS.items()], "_landed")
