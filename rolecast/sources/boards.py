@@ -229,16 +229,18 @@ def ux_remote_talent(raw: DataFrame, now, kw=DEFAULT_KEYWORDS) -> DataFrame:
     company = items.clean_text(F.regexp_extract(
         ITEM, r'(?s)card-job-detail card-company-name"[^>]*>\s*<div[^>]*>(.*?)</div>', 1))
     details = F.transform(F.regexp_extract_all(ITEM, F.lit(pill), F.lit(1)), html.clean_html)
-    rows = rows.select(
-        "url", "fetched_at", "pos", F.nullif(F.regexp_extract(ITEM, r'href="(/ux-job/[^"]+)"', 1), F.lit("")).alias("_href"),
-        items.clean_text(F.regexp_extract(ITEM, r'(?s)<h2[^>]*class="[^"]*regular-job-title[^"]*"[^>]*>(.*?)</h2>', 1)).alias("_titulo"),
-        company.alias("_empresa"), details.alias("_det"),
-        html.clean_html(F.regexp_extract(ITEM, r'(?s)class="regular-job-info date"[^>]*>(.*?)</div>', 1)).alias("_data"),
-    ).filter("_href IS NOT NULL AND _titulo IS NOT NULL")
+    # Bound, so that the filters below do not read the card again.
+    rows = bind(
+        rows, _href=F.nullif(F.regexp_extract(ITEM, r'href="(/ux-job/[^"]+)"', 1), F.lit("")),
+        _titulo=items.clean_text(F.regexp_extract(ITEM, r'(?s)<h2[^>]*class="[^"]*regular-job-title[^"]*"[^>]*>(.*?)</h2>', 1)),
+        _empresa=company, _det=details,
+        _data=html.clean_html(F.regexp_extract(ITEM, r'(?s)class="regular-job-info date"[^>]*>(.*?)</div>', 1)),
+    ).select("url", "fetched_at", "pos", "_href", "_titulo", "_empresa", "_det", "_data").filter("_href IS NOT NULL AND _titulo IS NOT NULL")
     others = F.filter("_det", lambda d: (d != "") & ~d.eqNullSafe(F.col("_empresa")))
     contract = lambda d: F.lower(F.trim(d)).isin(*CONTRACT_PILLS)
-    rows = rows.withColumn("_restricao", F.get(F.filter(others, lambda d: ~contract(d)), F.lit(0))).withColumn(
-        "_contrato", F.get(F.filter(others, contract), F.lit(0))).withColumn(
+    rows = bind(
+        rows, _restricao=F.get(F.filter(others, lambda d: ~contract(d)), F.lit(0)),
+        _contrato=F.get(F.filter(others, contract), F.lit(0))).withColumn(
         "_link", F.concat(F.lit("https://www.uxremotetalent.com"), "_href"))
     rows = rows.filter(F.coalesce(filters.accepts_brazil_pill(F.col("_restricao")), F.lit(True)))
     block = lambda b: F.get(F.split(b, "rich-text-block w-richtext"), F.lit(1))
@@ -469,7 +471,8 @@ def mapped_import(raw: DataFrame, source: str, mapping: dict[str, str | None]) -
     read = lambda f: js(mapping[f]) if mapping[f] else F.lit(None).cast("string")
     body, where, employer = (items.clean_text(read(f)) for f in ("description", "location", "company"))
     ident = F.when(read("id").rlike("^[A-Za-z0-9_-]{1,200}$"), read("id"))
-    rows = rows.select("*", items.clean_text(read("title")).alias("_titulo"), urls.public_url(read("url")).alias("_link"))
+    # Bound, so that the filters below do not clean and check the fields again.
+    rows = bind(rows, _titulo=items.clean_text(read("title")), _link=urls.public_url(read("url")))
     valid = F.col("_titulo").isNotNull() & F.col("_link").isNotNull()
     shaped = shape(rows.filter(valid), dict(
         id_externo=F.concat(F.lit(source.lower() + ":"), F.coalesce(ident, F.concat(F.lit("url-"), urls.link_hash(F.col("_link"))))),

@@ -21,3 +21,11 @@ def test_mapped_import_derives_each_id_once(spark):
     got, _ = boards.mapped_import(raw, "Indeed", mapping)
     assert _optimized(got).count("sha2(") == 1
     assert got.first().id_externo.startswith("indeed:url-")
+
+
+def test_ux_remote_talent_reads_each_card_once(spark):
+    body = '<div class="w-dyn-item"><a href="/ux-job/7"></a><h2 class="regular-job-title">A &amp; B</h2></div>'
+    raw = spark.createDataFrame([("uxremotetalent", "", NOW, "https://www.uxremotetalent.com/p/1", 200, body)], RAW)
+    got = boards.ux_remote_talent(raw, NOW)
+    assert _optimized(got).count("regular-job-title") == 1
+    assert [(r.id_externo, r.titulo) for r in got.collect()] == [("uxremotetalent:7", "A & B")]
