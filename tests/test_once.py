@@ -29,3 +29,12 @@ def test_ux_remote_talent_reads_each_card_once(spark):
     got = boards.ux_remote_talent(raw, NOW)
     assert _optimized(got).count("regular-job-title") == 1
     assert [(r.id_externo, r.titulo) for r in got.collect()] == [("uxremotetalent:7", "A & B")]
+
+
+def test_iso_dates_do_not_run_through_the_formats_of_rss(spark):
+    texts = ["2026-03-05T10:00:00Z", "2026-03-05", "2026-13-45", " 2026-03-05", "Thu, 05 Mar 2026 10:00:00 GMT", "5 Mar 2026 10:00 +0000", "soon", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    both = df.select("i", dates.feed_date(F.col("t")).alias("a"), F.coalesce(dates.rfc822(F.col("t")), dates.loose_iso(F.col("t"))).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and [r.a is not None for r in sorted(both)] == [True, True, False, False, True, True, False, False]
+    # What decides is one look at the text, before any format.
+    assert repr(dates.feed_date(F.col("t"))).startswith("Column<'CASE WHEN rlike(t, ")
