@@ -38,3 +38,11 @@ def test_iso_dates_do_not_run_through_the_formats_of_rss(spark):
     assert all(r.a == r.b for r in both) and [r.a is not None for r in sorted(both)] == [True, True, False, False, True, True, False, False]
     # What decides is one look at the text, before any format.
     assert repr(dates.feed_date(F.col("t"))).startswith("Column<'CASE WHEN rlike(t, ")
+
+
+def test_first_per_key_sorts_by_a_hash_of_the_key_first(spark):
+    df = spark.createDataFrame([("long-common-prefix-%d" % (i % 3), i) for i in range(9)], "k string, i int")
+    got = windows.first_per_key(df, ["k"], F.col("i"))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "xxhash64(k" in plan and "Partial" in plan
+    assert sorted(r.i for r in got.collect()) == [0, 1, 2] and got.columns == ["k", "i"]
