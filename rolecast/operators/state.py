@@ -20,8 +20,8 @@ from rolecast.config import (
 )
 from rolecast.functions import text
 from rolecast.operators import filters
-from rolecast.operators.shaping import col_or_null
-from rolecast.operators.versioned import PartTable
+from rolecast.operators.shaping import bind, col_or_null, cut_lineage
+from rolecast.operators.versioned import PART, PartTable
 
 
 def upsert_cache(old: DataFrame, new: DataFrame, now, sparse: tuple = ()) -> DataFrame:
@@ -250,6 +250,21 @@ def save_cache(table: PartTable, new: DataFrame, now, sparse: tuple = (), batch:
 
 
 def expunge_cache(table: PartTable, now, profile=DEFAULT_PROFILE, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) -> list[int]:
-    """SNK-01: rows that fail today's filter leave the cache; parts without such rows are not written."""
-    return table.rewrite(lambda rows: filters.with_reason(rows, now, profile, kw, parity).filter("reason IS NOT NULL"),
-                         lambda rows: expunge(rows, now, profile, kw, parity)[0])
+    """SNK-01: rows that fail today's filter leave the cache; parts without such rows are not written.
+
+    The rules run once over each row: what passes is written whole, of what fails only the key, which names the parts to change.
+    """
+    columns = [f.name for f in table.schema]
+    judged = {}
+
+    def failing(rows: DataFrame) -> DataFrame:
+        ruled = bind(filters.with_reason(rows, now, profile, kw, parity).select(*columns, "reason"), _passes=F.col("reason").isNull())
+        judged["rows"] = cut_lineage(ruled.select(
+            "_passes", *[F.col(c) if c in table.keys else F.when(F.col("_passes"), F.col(c)).alias(c) for c in columns]), "judged")
+        return judged["rows"].filter("NOT _passes")
+
+    def passing(stored: DataFrame) -> DataFrame:
+        touched = table.with_part(judged["rows"].filter("NOT _passes")).select(PART).distinct()
+        return table.with_part(judged["rows"].filter("_passes")).join(touched, PART, "left_semi").select(*columns)
+
+    return table.rewrite(failing, passing)

@@ -46,3 +46,20 @@ def test_first_per_key_sorts_by_a_hash_of_the_key_first(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "xxhash64(k" in plan and "Partial" in plan
     assert sorted(r.i for r in got.collect()) == [0, 1, 2] and got.columns == ["k", "i"]
+
+
+def test_expunging_applies_the_rules_once(spark, tmp_path, monkeypatch):
+    schema = spark.createDataFrame([], "id_externo string, titulo string, fonte string, n int").schema
+    table = state.cache_table(spark, str(tmp_path / "cache"), schema, parts=4)
+    table.replace(spark.createDataFrame([(f"a:{i}", "t", "Gupy", i) for i in range(40)], schema))
+    asked = []
+
+    def with_reason(rows, *args, **kw):
+        asked.append(1)
+        return rows.withColumn("reason", F.when(F.col("n") % 4 == 1, "x"))
+
+    monkeypatch.setattr(filters, "with_reason", with_reason)
+    touched = state.expunge_cache(table, NOW)
+    assert touched and len(asked) == 1
+    assert sorted(r.n for r in table.read().collect()) == [i for i in range(40) if i % 4 != 1]
+    assert table.read().filter("titulo IS NULL OR fonte IS NULL").isEmpty() and state.expunge_cache(table, NOW) == []
