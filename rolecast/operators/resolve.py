@@ -36,12 +36,14 @@ class Resolution:
     ``aliases``: (id_externo, alias) rows, every other id of an entity.
     ``possible_duplicates``: (id_externo, possivel_duplicata) weak matches, strict mode only.
     ``clusters``: (id_externo, cluster) for every posting that shares a key.
+    ``merged``: (id_externo, sobrevivente) for every row of an entity of several rows, read from the written keys alone.
     """
 
     survivors: DataFrame
     aliases: DataFrame
     possible_duplicates: DataFrame
     clusters: DataFrame
+    merged: DataFrame
 
 
 def source_priority(source: Column) -> Column:
@@ -107,31 +109,35 @@ def resolve(postings: DataFrame, strict: bool = True, kw=DEFAULT_KEYWORDS, parit
     known = postings.filter("id_externo IS NOT NULL")
     if "id_canonico" not in known.columns:
         known = bind(known, id_canonico=urls.canonical_id(F.col("link"), F.col("id_externo")))
-    # The keys cost many patterns per row and the edges read them twice, so
-    # they are written once; the postings themselves, with their text, are not.
-    keyed = cut_lineage(with_identity(known, kw, parity).select("id_externo", "id_canonico", *KEYS))
-    labels = component_labels(identity_edges(keyed, strict)).select(
-        F.col("node").alias("id_externo"), F.col("label").alias("cluster"))
-    # Postings that share no key and no id are most of the table: they are their own survivors, without
-    # an aggregate over their texts.  The groups are the labelled ids and the ids that stand twice.
+    # The keys cost many patterns per row and are read several times, so they are written once, with what the election
+    # looks at; the postings themselves, with their text, are not.
+    keyed = cut_lineage(with_identity(known.withColumn("seq", col_or_null(known, "seq", "bigint")), kw, parity).select(
+        "id_externo", "id_canonico", "fonte", "seq", *KEYS))
+    labels = cut_lineage(component_labels(identity_edges(keyed, strict)).select(
+        F.col("node").alias("id_externo"), F.col("label").alias("cluster")), "labels")
+    # Postings that share no key and no id are their own survivors, without an aggregate over their texts.
+    # The groups are the labelled ids and the ids that stand twice.
     repeated = keyed.groupBy("id_externo").agg(F.count("*").alias("n")).filter("n > 1").select(
         "id_externo", F.col("id_externo").alias("cluster"))
     grouped = labels.unionByName(repeated.join(labels.select("id_externo"), "id_externo", "left_anti"))
     elected = elect(known.join(grouped, "id_externo"))
     survivors = elected.unionByName(_lone(known.join(grouped.select("id_externo"), "id_externo", "left_anti")))
-    aliases = (
-        known.select("id_externo", F.explode(F.array_distinct(F.array("id_externo", "id_canonico"))).alias("alias"))
-        .join(labels, "id_externo", "left").withColumn("cluster", F.coalesce("cluster", "id_externo"))
-        .select("cluster", "alias").distinct()
-        .join(survivors.select("cluster", "id_externo"), "cluster")
-        .filter("alias <> id_externo").select("id_externo", "alias"))
-    # The keys of lone postings are written already; an elected one may have a name or link from another member.
-    renamed = with_identity(elected.select("id_externo", "id_canonico", "link", "empresa", "titulo"), kw, parity)
-    judged = renamed.select(*keyed.columns).unionByName(keyed.join(grouped.select("id_externo"), "id_externo", "left_anti"))
+    # Who was elected, and under which keys, follows from the written keys; only ``survivors`` needs the postings.
+    members = cut_lineage(keyed.join(grouped, "id_externo", "left").withColumn("_h", F.xxhash64("cluster")), "members")
+    lone, several = members.filter("cluster IS NULL"), members.filter("cluster IS NOT NULL")
+    winners = several.groupBy("_h", "cluster").agg(F.min_by(
+        F.struct("id_externo", "chave_anuncio", "requisicao"), _election_order(F.col("seq"))).alias("w"))
+    winners = cut_lineage(winners.select("_h", "cluster", "w.*"), "winners")
+    elected_id = winners.select("_h", "cluster", F.col("id_externo").alias("sobrevivente"))
+    merged = several.select("_h", "cluster", "id_externo", "id_canonico").join(elected_id, ["_h", "cluster"])
+    aliases = merged.select(F.col("sobrevivente").alias("id_externo"), F.explode(F.array("id_externo", "id_canonico")).alias("alias")).unionByName(
+        lone.select("id_externo", F.col("id_canonico").alias("alias"))).filter("alias <> id_externo").distinct()
+    judged = winners.select("id_externo", "chave_anuncio", "requisicao").unionByName(lone.select("id_externo", "chave_anuncio", "requisicao"))
     weak = _weak_edges(judged) if strict else _weak_edges(judged.limit(0))
-    flagged = weak.select(F.col("u").alias("id_externo"), F.col("v").alias("possivel_duplicata")).unionByName(
-        weak.select(F.col("v").alias("id_externo"), F.col("u").alias("possivel_duplicata")))
-    return Resolution(survivors, aliases, flagged, labels)
+    flagged = weak.select(F.inline(F.array(
+        F.struct(F.col("u").alias("id_externo"), F.col("v").alias("possivel_duplicata")),
+        F.struct(F.col("v").alias("id_externo"), F.col("u").alias("possivel_duplicata")))))
+    return Resolution(survivors, aliases, flagged, labels, merged.select("id_externo", "sobrevivente"))
 
 
 def _lone(postings: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rolecast.functions import dates
-from rolecast.operators import filters, state, windows
+from rolecast.operators import components, filters, resolve, state, windows
 from rolecast.sources import boards
 
 NOW = "2026-03-06 00:00:00"
@@ -63,3 +63,24 @@ def test_expunging_applies_the_rules_once(spark, tmp_path, monkeypatch):
     assert touched and len(asked) == 1
     assert sorted(r.n for r in table.read().collect()) == [i for i in range(40) if i % 4 != 1]
     assert table.read().filter("titulo IS NULL OR fonte IS NULL").isEmpty() and state.expunge_cache(table, NOW) == []
+
+
+def _group(spark):
+    """Three rows of one entity, one of them twice, a lone row with another id in its link, a weak pair and a row without an id."""
+    rows = [("a:1", "Gupy", "Designer", "Co", "https://x.example.com/1", 1), ("b:1", "Arc", "Designer", "Co", "https://x.example.com/1", 2),
+            ("b:1", "Arc", "Designer", "Co", "https://x.example.com/other", 3), ("c:1", "Arc", "Writer", "We", "https://y.example.com/1", 4),
+            ("d:1", "Arc", "Writer", "We", "https://y.example.com/2", 5), ("e:1", "Arc", "Cook", "Us", "https://acme.gupy.io/jobs/77", 6),
+            (None, "Arc", "Cook", "Us", None, 7)]
+    return spark.createDataFrame(rows, "id_externo string, fonte string, titulo string, empresa string, link string, seq bigint")
+
+
+def test_entity_aliases_come_from_the_written_keys(spark):
+    got = resolve.resolve(_group(spark)).aliases
+    assert {tuple(r) for r in got.collect()} == {("a:1", "b:1"), ("e:1", "gupy:77")} and got.count() == 2
+    assert "LogicalRDD" not in _optimized(got)
+
+
+def test_star_edges_group_by_a_hash_of_the_key_first(spark):
+    members = spark.createDataFrame([("b", "k1"), ("a", "k1"), ("c", "k2"), ("a", None), (None, "k1")], "node string, key string")
+    edges = components.star_edges(members, "node", "key")
+    assert [tuple(r) for r in edges.collect()] == [("b", "a")] and "xxhash64(" in _optimized(edges)
