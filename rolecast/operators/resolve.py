@@ -93,9 +93,10 @@ def _weak_edges(keyed: DataFrame) -> DataFrame:
     posting of an announcement can stand for all of them.  Postings that carry
     a requisition and share it are linked by the strong key already.
     """
-    silent = keyed.filter("requisicao IS NULL AND chave_anuncio IS NOT NULL")
-    centers = silent.groupBy("chave_anuncio").agg(F.min("id_externo").alias("center"))
-    joined = keyed.filter("chave_anuncio IS NOT NULL").join(centers, "chave_anuncio").filter("id_externo <> center")
+    # Announcements begin with the company, so a hash in front spares comparing them whole.
+    hashed = keyed.filter("chave_anuncio IS NOT NULL").select("id_externo", "chave_anuncio", "requisicao", F.xxhash64("chave_anuncio").alias("_h"))
+    centers = hashed.filter("requisicao IS NULL").groupBy("_h", "chave_anuncio").agg(F.min("id_externo").alias("center"))
+    joined = hashed.join(centers, ["_h", "chave_anuncio"]).filter("id_externo <> center")
     return joined.select(
         F.greatest("id_externo", "center").alias("u"), F.least("id_externo", "center").alias("v")).distinct()
 

@@ -80,6 +80,12 @@ def test_entity_aliases_come_from_the_written_keys(spark):
     assert "LogicalRDD" not in _optimized(got)
 
 
+def test_weak_duplicates_come_from_the_written_keys(spark):
+    got = resolve.resolve(_group(spark)).possible_duplicates
+    assert {tuple(r) for r in got.collect()} == {("c:1", "d:1"), ("d:1", "c:1")}
+    assert "LogicalRDD" not in _optimized(got)
+
+
 def test_star_edges_group_by_a_hash_of_the_key_first(spark):
     members = spark.createDataFrame([("b", "k1"), ("a", "k1"), ("c", "k2"), ("a", None), (None, "k1")], "node string, key string")
     edges = components.star_edges(members, "node", "key")
