@@ -186,7 +186,9 @@ def _present_in(value: Column, df: DataFrame, name: str) -> Column:
 
 def collisions(resolution: Resolution) -> DataFrame:
     """GR-05: how many rows were merged away."""
-    return resolution.survivors.agg(F.coalesce(F.sum("n_fundidas"), F.lit(0)).alias("colisoes"))
+    entities = resolution.merged.select("sobrevivente").distinct().agg(F.count("*").alias("entidades"))
+    rows = resolution.merged.agg(F.count("*").alias("linhas"))
+    return rows.crossJoin(entities).select((F.col("linhas") - F.col("entidades")).alias("colisoes"))
 
 
 def reconcile(cache: DataFrame, strict: bool = True, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY):

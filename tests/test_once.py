@@ -86,6 +86,13 @@ def test_weak_duplicates_come_from_the_written_keys(spark):
     assert "LogicalRDD" not in _optimized(got)
 
 
+def test_collisions_are_counted_from_the_written_keys(spark):
+    got = resolve.collisions(resolve.resolve(_group(spark)))
+    assert [r[0] for r in got.collect()] == [2] and "LogicalRDD" not in _optimized(got)
+    none = resolve.collisions(resolve.resolve(_group(spark).filter("seq = 4")))
+    assert [r[0] for r in none.collect()] == [0]
+
+
 def test_star_edges_group_by_a_hash_of_the_key_first(spark):
     members = spark.createDataFrame([("b", "k1"), ("a", "k1"), ("c", "k2"), ("a", None), (None, "k1")], "node string, key string")
     edges = components.star_edges(members, "node", "key")
