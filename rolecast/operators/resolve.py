@@ -195,9 +195,14 @@ def reconcile(cache: DataFrame, strict: bool = True, kw=DEFAULT_KEYWORDS, parity
     """GR-06, SET-02: (reconciled cache, ids that lost their own entry)."""
     known = [c for c in cache.columns if c not in ("id_canonico",)]
     result = resolve(cache.select(*known), strict, kw, parity)
-    removed = cache.select("id_externo").distinct().join(
-        result.survivors.select("id_externo"), "id_externo", "left_anti")
-    return result.survivors, removed
+    return result.survivors, removed_ids(cache, result)
+
+
+def removed_ids(cache: DataFrame, resolution: Resolution) -> DataFrame:
+    """SET-02: the ids of ``cache``, which was resolved, that lost their own entry."""
+    # An id that survives in one of its rows keeps its entry; a row without an id has none to keep.
+    lost = resolution.merged.filter("id_externo <> sobrevivente").select("id_externo")
+    return lost.unionByName(cache.select("id_externo").filter("id_externo IS NULL")).distinct()
 
 
 def resolve_aliases(identities: DataFrame) -> tuple[DataFrame, DataFrame]:

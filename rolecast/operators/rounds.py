@@ -66,7 +66,7 @@ def run_round(raw: DataFrame, st: RoundState, judgements: DataFrame, now, source
     cache = st.cache.read()
     resolved = resolve.resolve(cache, kw=kw)
     # Losers of a merge leave the cache; their ids live on as aliases.
-    losers = cut_lineage(views.removed_ids(cache, resolved.survivors), "losers")
+    losers = cut_lineage(resolve.removed_ids(cache, resolved), "losers")
     survivors = cut_lineage(resolved.survivors.select(*cache.columns, "tambem_visto_em", "n_fundidas"), "survivors")
     if not losers.isEmpty():
         st.cache.merge(losers, lambda stored, gone: stored.join(gone, "id_externo", "left_anti").select(*cache.columns))

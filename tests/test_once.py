@@ -93,6 +93,12 @@ def test_collisions_are_counted_from_the_written_keys(spark):
     assert [r[0] for r in none.collect()] == [0]
 
 
+def test_removed_ids_read_the_cache_once_for_rows_without_an_id(spark):
+    survivors, removed = resolve.reconcile(_group(spark))
+    assert {r[0] for r in removed.collect()} == {"b:1", None} and survivors.count() == 4
+    assert _optimized(removed).count("LogicalRDD") == 1
+
+
 def test_star_edges_group_by_a_hash_of_the_key_first(spark):
     members = spark.createDataFrame([("b", "k1"), ("a", "k1"), ("c", "k2"), ("a", None), (None, "k1")], "node string, key string")
     edges = components.star_edges(members, "node", "key")
