@@ -38,18 +38,23 @@ class EntityIndex:
 
     def _rooted(self, df: DataFrame, column: str) -> DataFrame:
         """``df`` with each label replaced by the one it has given way to, however many steps that takes."""
+        settled = None
         while True:
             ahead = self.roots.near(df.select(F.col(column).alias("label"))).select(F.col("label").alias("_l"), F.col("root").alias("_r"))
-            moved = cut_lineage(df.join(ahead, F.col(column) == F.col("_l"), "left").withColumn("_moved", F.col("_r").isNotNull()).withColumn(
+            step = cut_lineage(df.join(ahead, F.col(column) == F.col("_l"), "left").withColumn("_moved", F.col("_r").isNotNull()).withColumn(
                 column, F.coalesce("_r", column)).drop("_l", "_r"), "rooted")
-            df = moved.drop("_moved")
-            if moved.filter("_moved").isEmpty():
-                return df
+            still, moved = step.filter("NOT _moved").drop("_moved"), step.filter("_moved").drop("_moved")
+            settled = still if settled is None else settled.unionByName(still)
+            if moved.isEmpty():
+                return settled
+            # Only what has moved may have to move on.
+            df = moved
 
     def add(self, postings: DataFrame, kw=DEFAULT_KEYWORDS, parity=DEFAULT_PARITY) -> DataFrame:
         """Takes postings in; returns (label, root): the labels of stored entities that gave way, and to which."""
         members = cut_lineage(identity_members(postings.filter("id_externo IS NOT NULL"), kw, parity), "members")
-        firsts = cut_lineage(members.filter("key IS NOT NULL").groupBy("key").agg(F.min("node").alias("center")), "firsts")
+        firsts = cut_lineage(members.filter("key IS NOT NULL").groupBy(F.xxhash64("key").alias("_h"), "key").agg(
+            F.min("node").alias("center")).drop("_h"), "firsts")
         self.centers.merge(firsts, lambda stored, new: stored.unionByName(new.join(stored.select("key"), "key", "left_anti").select("key", "center")))
         centers = self.centers.near(firsts).select(F.col("key").alias("_k"), "center")
         edges = cut_lineage(members.join(centers, F.col("key") == F.col("_k")).filter("node <> center").select("node", "center").distinct(), "edges")

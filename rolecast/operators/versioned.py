@@ -127,7 +127,8 @@ class PartTable:
     def _write(self, df: DataFrame, name: str) -> set[int]:
         """Writes the parts of ``df`` to a folder of their own; returns those that have rows."""
         typed = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema])
-        self.with_part(typed).repartition(F.col(PART)).write.partitionBy(PART).parquet(f"{self.path}/data/{name}")
+        # A large part is written by several tasks: adaptive execution splits it, whatever the number of parts.
+        self.with_part(typed).hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.path}/data/{name}")
         folder, files = self._hadoop("data", name)
         names = [s.getPath().getName() for s in files.listStatus(folder)]
         return {int(n.partition("=")[2]) for n in names if n.startswith(f"{PART}=")}

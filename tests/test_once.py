@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from rolecast.functions import dates
-from rolecast.operators import components, filters, resolve, state, windows
+from rolecast.operators import components, entities, filters, resolve, state, windows
+from rolecast.operators.versioned import PartTable
 from rolecast.sources import boards
 
 NOW = "2026-03-06 00:00:00"
@@ -103,3 +104,24 @@ def test_star_edges_group_by_a_hash_of_the_key_first(spark):
     members = spark.createDataFrame([("b", "k1"), ("a", "k1"), ("c", "k2"), ("a", None), (None, "k1")], "node string, key string")
     edges = components.star_edges(members, "node", "key")
     assert [tuple(r) for r in edges.collect()] == [("b", "a")] and "xxhash64(" in _optimized(edges)
+
+
+def test_only_labels_that_moved_are_followed_further(spark, tmp_path, monkeypatch):
+    index = entities.EntityIndex(spark, str(tmp_path), parts=2)
+    index.roots.replace(spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a")], index.roots.schema))
+    written, cut = [], entities.cut_lineage
+    monkeypatch.setattr(entities, "cut_lineage", lambda df, label: written.append(cut(df, label)) or written[-1])
+    got = index._rooted(spark.createDataFrame([("n%d" % i, x) for i, x in enumerate("dcbaxyz")], "node string, label string"), "label")
+    assert {r.node: r.label for r in got.collect()} == dict(n0="a", n1="a", n2="a", n3="a", n4="x", n5="y", n6="z")
+    assert [w.count() for w in written] == [7, 3, 2, 1]
+
+
+def test_entity_clusters_by_day_write_a_large_part_by_several_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        table = PartTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "k string, v string").schema, ["k"], parts=1)
+        table.replace(spark.range(0, 40000, 1, 8).selectExpr("CAST(id AS STRING) AS k", "sha1(CAST(id AS STRING)) AS v"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(table.read().inputFiles()) > 1 and table.read().distinct().count() == 40000
